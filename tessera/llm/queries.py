@@ -23,5 +23,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_classifier, op7_token_counts)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_quality_classifier, op7_token_counts, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
