@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate
+from tessera.llm import decontaminate, ngram_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.decontaminate import decontaminate
+    from tessera.llm.decontaminate import decontaminate, ngram_join
 
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))[0].drop("row_key")
 
@@ -37,11 +37,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.rules import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op5_quality_classifier, op7_token_counts, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op5_quality_classifier, op7_token_counts, op9_ngram_join, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op9_ngram_join": ngram_join.ORACLE}
