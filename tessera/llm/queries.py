@@ -29,6 +29,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix import dedup_bytes
+
+    return dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import score_quality
 
@@ -55,5 +61,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_toxicity, op5_quality_classifier, op7_token_counts, op9_ngram_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_toxicity, op4_suffix_array_dedup, op5_quality_classifier, op7_token_counts, op9_ngram_join, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_substring_dedup": substring.ORACLE, "op9_ngram_join": ngram_join.ORACLE}
