@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, ngram_join, substring
+from tessera.llm import decontaminate, ngram_join, revisit, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.decontaminate import decontaminate, ngram_join, substring
+    from tessera.llm.decontaminate import decontaminate, ngram_join, revisit, substring
 
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))[0].drop("row_key")
 
@@ -41,6 +41,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import revisit as R
+
+    out = R.resolve_revisits(R.captures_of_pages(table(spark, sf_dir, "pages")))
+    return out.withColumn("headers", R.header_text(out["headers"]))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +56,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"), target_entropy=0.97, max_repeats=4.0)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.ngram_join import ngram_components
 
@@ -61,5 +74,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_toxicity, op4_suffix_array_dedup, op5_quality_classifier, op7_token_counts, op9_ngram_join, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_substring_dedup": substring.ORACLE, "op9_ngram_join": ngram_join.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_toxicity, op4_suffix_array_dedup, op5_quality_classifier, op6_warc_revisits, op7_token_counts, op8_source_mixing, op9_ngram_join, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_substring_dedup": substring.ORACLE, "op6_warc_revisits": revisit.ORACLE, "op9_ngram_join": ngram_join.ORACLE}
