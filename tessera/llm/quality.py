@@ -58,18 +58,35 @@ class QualityClassifier:
             self.weights, self.intercept = L.train_ftrl(rows, bits, alpha=self.alpha, l1=self.l1, epochs=self.epochs)
         return self
 
+    def _scores(self, model):
+        bits, intercept = self.bits, self.intercept
+
+        def scores(texts) -> np.ndarray:
+            out = [np.zeros(0)]
+            for first, end, data, offsets in K.pieces(texts):
+                d, slot, value = L.normalised(*L.style_features(data, offsets), bits, end - first)
+                out.append(L.sigmoid(intercept + np.bincount(d, model.value[slot] * value, minlength=end - first)))
+            return np.concatenate(out)
+
+        return scores
+
+    def keep(self, docs: DataFrame, least: float) -> DataFrame:
+        """The rows of ``docs`` that score ``least`` or more, with all their columns."""
+        scores = self._scores(docs.sparkSession.sparkContext.broadcast(self.weights))
+        at = docs.columns.index("text")
+
+        def run(rows):
+            yield rows.filter(S.pa.array(scores(rows.column(at)) >= least))
+
+        return S.arrow_map(docs, run, docs.schema)
+
     def score(self, docs: DataFrame, *keep: str) -> DataFrame:
         """doc_id, the columns of ``keep``, and ``score``."""
-        bits, intercept = self.bits, self.intercept
-        model = docs.sparkSession.sparkContext.broadcast(self.weights)  # 2**bits floats
+        scores = self._scores(docs.sparkSession.sparkContext.broadcast(self.weights))  # 2**bits floats
 
         def run(rows):
-            out, weights = [], model.value
-            for first, end, data, offsets in K.pieces(rows.column(1)):
-                d, slot, value = L.normalised(*L.style_features(data, offsets), bits, end - first)
-                out.append(L.sigmoid(intercept + np.bincount(d, weights[slot] * value, minlength=end - first)))
             kept = {c: rows.column(i + 2) for i, c in enumerate(keep)}
-            yield S.batch(doc_id=rows.column(0), score=np.concatenate(out), **kept)
+            yield S.batch(doc_id=rows.column(0), score=scores(rows.column(1)), **kept)
 
         types = dict(docs.dtypes)
         return S.arrow_map(S.texts_of(docs, *keep), run, "doc_id long, score double" + "".join(f", `{c}` {types[c]}" for c in keep))

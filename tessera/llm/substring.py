@@ -150,10 +150,12 @@ def repeated_words(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     return rows, spans
 
 
-def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and ``kept``, the remaining words) for each row of ``docs``."""
-    rows, spans = repeated_words(S.texts_of(docs), window)
-    joined = rows.join(S.small(spans), "doc_id", "left").select("doc_id", "text", "copy", "starts")
+def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for each row of ``docs``; with ``keep_text`` also ``text``, ``kept`` (the remaining words) and the columns of ``keep``."""
+    keep = keep or []
+    types = dict(docs.dtypes)
+    rows, spans = repeated_words(S.texts_of(docs, *keep), window)
+    joined = rows.join(S.small(spans), "doc_id", "left").select("doc_id", "text", "copy", "starts", *[f"`{c}`" for c in keep])
 
     def run(batch):
         copy = batch.column(2).to_numpy(zero_copy_only=False)
@@ -177,10 +179,12 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = False)
                 row += 1
         out = {"doc_id": batch.column(0), "n_words": np.array(n_words, np.int64), "n_removed": np.array(n_removed, np.int64), "kept_sha256": sha}
         if keep_text:
-            out["kept"] = S.pa.array([k.decode("utf-8", "replace") for k in kept], S.pa.string())
+            out["text"], out["kept"] = batch.column(1), S.pa.array([k.decode("utf-8", "replace") for k in kept], S.pa.string())
+        for i, c in enumerate(keep):
+            out[c] = batch.column(4 + i)
         yield S.batch(**out)
 
-    return S.arrow_map(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else ""))
+    return S.arrow_map(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string, kept string" if keep_text else "") + "".join(f", `{c}` {types[c]}" for c in keep))
 
 
 #: DuckDB SQL for the digest rows.
