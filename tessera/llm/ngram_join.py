@@ -8,12 +8,14 @@ Index-level skips: an index list is ordered by set size, entries carry their pre
 position, and a run of entries whose sizes or positions cannot reach the required
 overlap is skipped as a block.  Answer-level skips: first each list compares its sets
 with one pivot only.  Sets found similar to a pivot take it as their leader, and
-their answers follow from the leader's: two lists' sets meet again only through their
-leaders, pairs already in one component need no comparison, and when two leaders'
-distance exceeds the threshold distance by the members' distances to them (Jaccard
-distance is a metric) all pairs between their members are skipped.  Members are
-compared one by one only between leaders inside that ring.  Every reported link is
-checked exactly on the two whole texts.
+their answers follow from the leader's: pairs already in one component need no
+comparison.  Of the rest, sets that meet in short lists are counted over the lists,
+and the count of common prefix shingles bounds their overlap; sets that meet in long
+lists meet through their leaders, and when two leaders' distance exceeds the
+threshold distance by the members' distances to them (Jaccard distance is a metric)
+all pairs between their members are skipped.  Members are compared one by one only
+between leaders inside that ring.  Every reported link is checked exactly on the two
+whole texts.
 
 Frequent shingles are found by mergeable counters over all documents (Misra-Gries);
 any set of them gives the same links.  Defined results: null text and text without
@@ -36,8 +38,10 @@ from tessera.llm import scratch as S
 from tessera.llm.components import connected_components
 
 #: A shingle in more than one of so many documents counts as frequent.
-FREQUENT = 4000
+FREQUENT = 16_000
 COUNTERS = 400_000
+#: Lists with more pairs of sets than this between components are compared through leaders, others pair by pair.
+LIST_PAIRS = 4096
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +85,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
     S.ship(docs.sparkSession)
     total = docs.count()
-    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(16, total // FREQUENT))
+    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(12, total // FREQUENT))
     return np.sort(K.unsigned(found.select("h").toArrow().column("h").to_numpy()))
 
 
@@ -149,34 +153,51 @@ def pivot_pairs(batches):
         best = np.lexsort((doc, rank, group))[start]
         pivot = best[group]
         ok = (pivot != np.arange(len(doc))) & enough(n, n[pivot], 1 + np.minimum(n - 1 - pos, n[pivot] - 1 - pos[pivot]), percent)
-        zero = np.zeros(len(doc), np.int64)
+        zero, least = np.zeros(len(doc), np.int64), np.minimum(n, n[pivot])[ok]
         yield S.batch(token=token, a=doc, b=zero - 1, n=n, pos=pos)
         a, b = doc[ok], doc[pivot][ok]
-        yield S.batch(token=zero[: len(a)], a=np.minimum(a, b), b=np.maximum(a, b), n=zero[: len(a)], pos=zero[: len(a)].astype(np.int32))
+        yield S.batch(token=zero[: len(a)], a=np.minimum(a, b), b=np.maximum(a, b), n=least, pos=zero[: len(a)].astype(np.int32))
 
 
-def leader_pairs(batches):
-    """Of each list: pairs of sets with different leaders and components that no block skip excludes, with their leaders."""
+def list_pairs(batches):
+    """Of each list, pairs of sets in different components.
+
+    A list with few such pairs gives all that sizes allow (a, b, na, nb), to be counted
+    over the lists; a longer one gives its pairs of leaders that sizes and positions
+    allow, with na = 0.
+    """
     percent = 80
     for token, n, doc, pos, leader, comp in _lists(batches, 6):
         start, size = _runs(token)
+        out = []
         for s, z in zip(start[size > 1], size[size > 1]):
             c = comp[s : s + z]
             if (c == c[0]).all():
                 continue
             nn, dd, pp, ll = n[s : s + z], doc[s : s + z], pos[s : s + z], leader[s : s + z]
+            few = z * (z - 1) // 2 <= LIST_PAIRS
             seen_a, seen_b = [], []
             for i in range(z - 1):  # sizes ascend: the block of sets that are small enough ends at ``stop``
                 stop = i + 1 + int(np.searchsorted(nn[i + 1 :], nn[i] * 100 // percent, "right"))
                 j = np.arange(i + 1, stop)
-                j = j[(c[j] != c[i]) & enough(nn[j], nn[i], 1 + np.minimum(nn[j] - 1 - pp[j], nn[i] - 1 - pp[i]), percent)]
+                j = j[c[j] != c[i]]
+                if not few:
+                    j = j[enough(nn[j], nn[i], 1 + np.minimum(nn[j] - 1 - pp[j], nn[i] - 1 - pp[i]), percent)]
                 if len(j):
                     seen_a.append(np.full(len(j), i))
                     seen_b.append(j)
             if seen_a:
                 a, b = np.concatenate(seen_a), np.concatenate(seen_b)
-                one = np.unique(np.stack([np.minimum(ll[a], ll[b]), np.maximum(ll[a], ll[b])]), axis=1)
-                yield S.batch(a=one[0], b=one[1])
+                if few:
+                    swap = dd[a] > dd[b]
+                    a, b = np.where(swap, b, a), np.where(swap, a, b)
+                    out.append(np.stack([dd[a], dd[b], nn[a], nn[b]]))
+                else:
+                    one = np.unique(np.stack([np.minimum(ll[a], ll[b]), np.maximum(ll[a], ll[b])]), axis=1)
+                    out.append(np.vstack([one, np.zeros_like(one)]))
+        if out:
+            a, b, na, nb = np.concatenate(out, axis=1)
+            yield S.batch(a=a, b=b, na=na, nb=nb)
 
 
 def member_pairs(batches):
@@ -252,7 +273,9 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         return checked.where(f"{100 + percent} * overlap >= {percent} * (na + nb)")
 
     distance = (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("dist")
-    first = verified(scratch.write(found.where("b <> -1").select("a", "b").distinct(), "pivot-pairs"), docs, scratch, k)
+    # the first round only has to find leaders: pairs that a sixteenth of the smaller set's shingles point at
+    pointed = found.where("b <> -1").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("16 * c >= n")
+    first = verified(scratch.write(pointed.select("a", "b"), "pivot-pairs"), docs, scratch, k)
     linked = links_of(first)
     sides = linked.select("a", "b", distance)
     choice = sides.select(F.col("a").alias("doc"), F.col("b").alias("leader"), "dist").unionByName(sides.select(F.col("b").alias("doc"), F.col("a").alias("leader"), "dist"))
@@ -266,10 +289,16 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     known = scratch.write(own.select("doc", "x.leader", "x.dist").join(comps.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc"), "leaders")
     led = index.join(S.small(known), "doc", "left").select("token", "n", "doc", "pos", F.coalesce("leader", "doc").alias("leader"), F.coalesce("comp", "doc").alias("comp"))
     sorted_lists = led.repartition(int(parts), "token").sortWithinPartitions("token", "n", "doc")
-    second = scratch.write(sorted_lists.mapInArrow(leader_pairs, "a long, b long").distinct(), "leader-pairs")
+    met = scratch.write(sorted_lists.mapInArrow(list_pairs, "a long, b long, na long, nb long"), "met")
+    # both prefixes hold every common shingle up to the smaller of their last ones: c and what follows bound the overlap
+    after = F.greatest(F.expr(f"({percent} * na + 99) div 100"), F.expr(f"({percent} * nb + 99) div 100")) - 1
+    counted = met.where("na > 0").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where((100 + percent) * (F.col("c") + after) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    led_pairs = scratch.write(met.where("na = 0").select("a", "b").distinct(), "leader-pairs")
+    second = scratch.write(counted.unionByName(led_pairs).distinct(), "second")
     checked = verified(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), docs, scratch, k).unionByName(first.join(second, ["a", "b"], "left_semi"))
+    scratch.drop(met)
     reach = known.groupBy("leader").agg(F.max("dist").alias("reach"))
-    near = checked.select("a", "b", distance).join(reach.select(F.col("leader").alias("a"), F.col("reach").alias("ra")), "a", "left").join(reach.select(F.col("leader").alias("b"), F.col("reach").alias("rb")), "b", "left")
+    near = checked.join(led_pairs, ["a", "b"], "left_semi").select("a", "b", distance).join(reach.select(F.col("leader").alias("a"), F.col("reach").alias("ra")), "a", "left").join(reach.select(F.col("leader").alias("b"), F.col("reach").alias("rb")), "b", "left")
     limit = 1 - percent / 100
     ring = near.where((F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)) > 0) & (F.col("dist") > limit + 1e-12) & (F.col("dist") <= limit + F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)) + 1e-9))
     ring = scratch.write(ring.select("a", "b"), "rings")
