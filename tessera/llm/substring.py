@@ -5,14 +5,16 @@ pairs of neighbours whose left symbol is on the left side of a two-colouring and
 whose right one is on the right side.  A name is a hash of what it stands for, so it
 is the same in every document and task, and equal substrings get equal symbols in
 their interior: an edge reaches at most 3 + 3 + 6 words inwards over a run round and
-two pair rounds, so a repeat of 50 words keeps at least 26 words of common symbols.
-Of every 26 words the smallest symbol is kept, and every run of four or more; a
-repeat of ``window`` words hence shares a kept symbol.
-
-Symbols that occur in two documents or more go into a bitmap of fixed size, sent to
-the tasks; the windows that hold such a symbol are hashed, a window's smallest
-doc_id is found by a grouped minimum (combined before the shuffle), and the windows
-that start in a smaller document are joined back.  A false bit only adds windows to
+two pair rounds, so a repeat of 50 words keeps at least 26 words of common symbols,
+from the last symbol that begins at its 13th word or before.  Of the 14 words from
+there the smallest symbol is the window's anchor; the stretch of 12 words that it
+begins is named, and so is every run of four words or more.  All windows of equal
+words have equally named anchors or runs.
+
+Names that occur in two documents or more go into a bitmap of fixed size, sent to the
+tasks; the windows whose name is in it are hashed, a window's smallest doc_id is
+found by a grouped minimum (combined before the shuffle), and the windows that start
+in a smaller document are joined back.  A false bit only adds windows to
 that exact check.  Exact copies of whole texts are set aside first.
 
 Defined results: null text has no words; documents of fewer than ``window`` words
@@ -33,7 +35,7 @@ from tessera.llm import kernels as K
 from tessera.llm import scratch as S
 
 LONG_RUN = 4
-CORE = 26
+MARGIN, CHOICE, STRETCH = 12, 14, 12
 BITMAP_BITS = 27
 
 
@@ -66,13 +68,16 @@ def compress(words: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[
     return symbol, begin, end, runs
 
 
-def kept_symbols(words: K.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, first, last window start that holds it) of the sampled symbols of texts of at least ``window`` words."""
+def window_names(words: K.Words, window: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, name of each) of the windows inside texts, and (name, first, last start) of the windows that hold a long run."""
+    n = len(words.hash)
+    doc = words.doc()
+    starts = np.flatnonzero(K.same_text(words.first, window, doc))
     symbol, begin, end, (run, r_begin, r_end) = compress(words)
-    if not len(symbol):
-        return symbol, begin, begin
-    stop = words.first[1:][words.doc()]  # of each word, where its text ends
-    limit = np.minimum(begin + CORE, stop[begin])
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64), (run[:0], r_begin[:0], r_begin[:0])
+    stop = words.first[1:][doc]  # of each word, where its text ends
+    limit = np.minimum(begin + CHOICE, stop[begin])
     count = np.maximum(np.searchsorted(end, limit, "right") - np.arange(len(symbol)), 1)
     best = [np.arange(len(symbol))]
     while 2 << (len(best) - 1) <= count.max():
@@ -83,15 +88,13 @@ def kept_symbols(words: K.Words, window: int) -> tuple[np.ndarray, np.ndarray, n
     table = np.stack(best)
     i = np.arange(len(symbol))
     a, b = table[level, i], table[level, i + count - (1 << level)]
-    chosen = np.unique(np.where(symbol[a] <= symbol[b], a, b))
-    sym = np.concatenate([symbol[chosen], run])
-    low = np.concatenate([end[chosen] - window, r_begin + LONG_RUN - window])
-    high = np.concatenate([begin[chosen], r_end - LONG_RUN])
-    text = np.concatenate([begin[chosen], r_begin])
-    where = np.searchsorted(words.first, text, "right") - 1
-    low, high = np.maximum(low, words.first[where]), np.minimum(high, words.first[where + 1] - window)
+    chosen = np.where(symbol[a] <= symbol[b], a, b)
+    stretch = np.concatenate([K.grams(words.hash, STRETCH), np.zeros(min(STRETCH - 1, n), np.uint64)])[:n]
+    names = stretch[begin[chosen]][np.searchsorted(begin, starts + MARGIN, "right") - 1]
+    where = np.searchsorted(words.first, r_begin, "right") - 1
+    low, high = np.maximum(r_begin + LONG_RUN - window, words.first[where]), np.minimum(r_end - LONG_RUN, words.first[where + 1] - window)
     ok = low <= high
-    return sym[ok], low[ok], high[ok]
+    return starts, names, (run[ok], low[ok], high[ok])
 
 
 def shared_bitmap(pairs: DataFrame) -> np.ndarray:
@@ -122,9 +125,11 @@ def repeated_words(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
         ids = batch.column(0).to_numpy()
         for first, _, data, offsets in K.pieces(batch.column(1)):
             words = K.Words(data, offsets, seed=3)
-            sym, low, _ = kept_symbols(words, window)
-            own = ids[first + np.searchsorted(words.first, low, "right") - 1]
-            yield S.batch(symbol=K.signed(sym), id=own)
+            starts, names, (run, low, _) = window_names(words, window)
+            at = np.concatenate([starts, low])
+            own = np.searchsorted(words.first, at, "right") - 1
+            d, name, _ = K.unique_in_text(own, np.concatenate([names, run]))
+            yield S.batch(symbol=K.signed(name), id=ids[first + d])
 
     bitmap = docs.sparkSession.sparkContext.broadcast(shared_bitmap(S.arrow_map(singles, symbols, "symbol long, id long")))  # 16 MB
 
@@ -132,14 +137,14 @@ def repeated_words(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
         ids = batch.column(0).to_numpy()
         for first, _, data, offsets in K.pieces(batch.column(1)):
             words = K.Words(data, offsets, seed=3)
-            sym, low, high = kept_symbols(words, window)
-            hit = in_bitmap(bitmap.value, sym)
-            if not hit.any():
-                continue
+            starts, names, (run, low, high) = window_names(words, window)
             delta = np.zeros(len(words.hash) + 1, np.int64)
+            hit = in_bitmap(bitmap.value, run)
             np.add.at(delta, low[hit], 1)
             np.add.at(delta, high[hit] + 1, -1)
-            at = np.flatnonzero(np.cumsum(delta) > 0)
+            at = starts[in_bitmap(bitmap.value, names) | (np.cumsum(delta)[starts] > 0)]
+            if not len(at):
+                continue
             where = np.searchsorted(words.first, at, "right") - 1
             yield S.batch(hash=K.signed(K.grams(words.hash, window)[at]), doc_id=ids[first + where], start=(at - words.first[where]).astype(np.int32))
 
