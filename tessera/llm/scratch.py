@@ -10,13 +10,14 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import tessera
 
-#: A side of at most so many rows of a few numbers each is broadcast (about 100 MB as a hash relation).
-BROADCAST_ROWS = 1_000_000
+#: A side of at most so many values (columns and array elements of all rows) is broadcast: tens of MB as a hash relation.
+BROADCAST_VALUES = 1_500_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -54,9 +55,20 @@ class Scratch:
                 path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count shows that it is small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _values(kind: T.DataType, value: Column) -> Column:
+    """How many primitive values a column's value holds."""
+    if isinstance(kind, T.ArrayType):
+        inner = len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1
+        return F.coalesce(F.size(value), F.lit(0)) * inner + 1
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.length(value), F.lit(0)) / 16 + 1
+    return F.lit(1)
+
+
+def small(df: DataFrame, values: int = BROADCAST_VALUES) -> DataFrame:
+    """``df`` marked for broadcast if a count of its values shows that it is small; else as it is, for a shuffled join."""
+    total = sum((_values(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(total)).first()[0] or 0) <= values else df
 
 
 def ship(spark: SparkSession) -> None:
@@ -94,3 +106,23 @@ def texts_of(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") for c in ("doc_id", "text", *keep)))
 
 
+
+
+def merge_ranges(df: DataFrame, key: str) -> DataFrame:
+    """Per key, the union of its (low, high) ranges of integers, as two arrays; ranges that touch become one."""
+    ordered = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("x")).select(key, F.col("x.low").alias("low"), F.col("x.high").alias("high"))
+
+    def run(rows):
+        out = []
+        for low, high in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()):
+            lows, highs = [], []
+            for a, b in zip(low, high):
+                if highs and a <= highs[-1] + 1:
+                    highs[-1] = max(highs[-1], b)
+                else:
+                    lows.append(a)
+                    highs.append(b)
+            out.append((lows, highs))
+        yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in zip(*out))], names=[key, "low", "high"])
+
+    return arrow_map(ordered, run, f"{key} long, low array<long>, high array<long>")

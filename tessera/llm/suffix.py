@@ -7,8 +7,8 @@ Segments whose anchor occurs once in the corpus cannot hold a repeat; a bitmap o
 fixed size tells the others (a false bit only adds segments).  Segments that occur
 twice or more are repeated as a whole and need no sorting.  Of the anchors with
 several different segments, one of each is sent to the anchor's shard and clipped
-to the bytes around the anchor that some other segment of it shares; the clipped
-strings are sorted by external induced sorting, which carries the common-prefix
+to the bytes around the anchor that some other segment of it shares.  Where the
+clipped strings of an anchor are one string they are repeats; others are sorted by external induced sorting, which carries the common-prefix
 values, and starts next to a neighbour with at least ``length`` common bytes are
 repeats.  A shard is sorted in portions of ``portion`` bytes, since only segments of
 one anchor can share a string, so memory does not grow with a shard.
@@ -35,7 +35,7 @@ from tessera.llm import scratch as S
 from tessera.llm.substring import in_bitmap, shared_bitmap
 
 Q = 200
-PORTION = 1 << 20
+PORTION = 1 << 18
 
 
 def _sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
@@ -115,29 +115,38 @@ def _sort_shard(batches, length: int, memory: int):
                         yield key, s1, s2, base + int(run[0]), base + int(run[-1])
 
     def close(key, rows, strings):
-        if len(rows) > 1:
-            for (s1, s2, _, raw), (a, b) in zip(rows, _clip([(r[3], r[2]) for r in rows], length)):
-                if b > a:
-                    strings.setdefault(raw[a:b], []).append((key, s1, s2, a))
+        """Clipped strings of one anchor to the pool; where all are the same string there is nothing to sort."""
+        if len(rows) < 2:
+            return 0
+        clipped = [(r[3][a:b], (key, r[0], r[1], a)) for r, (a, b) in zip(rows, _clip([(r[3], r[2]) for r in rows], length)) if b > a]
+        kinds = {c for c, _ in clipped}
+        if len(kinds) == 1:
+            equal.extend((*owner[:3], owner[3], owner[3] + len(c) - length) for c, owner in clipped if len(clipped) > 1)
+            return 0
+        for c, owner in clipped:
+            strings.setdefault(c, []).append(owner)
+        return sum(map(len, kinds))
 
     def table(rows):
         if rows:
             yield S.batch(**{c: np.array(v, np.int64) for c, v in zip(("key", "s1", "s2", "low", "high"), zip(*rows))})
 
-    key, rows, strings, held = None, [], {}, 0
+    key, rows, strings, equal, held = None, [], {}, [], 0
     for batch in batches:
         keys, s1, s2, off = (batch.column(i).to_numpy() for i in range(4))
         raw = batch.column(4)
         for i in range(batch.num_rows):
             if keys[i] != key:
-                close(key, rows, strings)
-                held = held + sum(len(r[3]) for r in rows)
+                held += close(key, rows, strings)
                 key, rows = keys[i], []
                 if held > PORTION:
                     yield from table(list(flush(strings)))
                     strings, held = {}, 0
             rows.append((s1[i], s2[i], int(off[i]), raw[i].as_py()))
+        yield from table(equal)
+        equal.clear()
     close(key, rows, strings)
+    yield from table(equal)
     yield from table(list(flush(strings)))
 
 
@@ -180,14 +189,14 @@ def repeated_bytes(docs: DataFrame, length: int = 400, memory: int = 200_000) ->
     sorted_runs = scratch.write(shards.mapInArrow(lambda b: _sort_shard(b, length, memory), "key long, s1 long, s2 long, low long, high long"), "runs")
     whole = parts.join(kinds.where("n > 1").select("key", "s1", "s2"), ["key", "s1", "s2"], "left_semi").select("row_key", F.col("first").alias("low"), (F.col("first") + F.col("size") - length).alias("high"))
     partial = parts.join(sorted_runs, ["key", "s1", "s2"]).select("row_key", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
-    spans = scratch.write(whole.unionByName(partial).groupBy("row_key").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
+    spans = scratch.write(S.merge_ranges(whole.unionByName(partial), "row_key"), "spans")
     return rows, spans
 
 
 def dedup_bytes(docs: DataFrame, length: int = 400, keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``) for each row of ``docs``."""
     rows, spans = repeated_bytes(S.texts_of(docs), length)
-    joined = rows.join(S.small(spans), "row_key", "left").select("doc_id", "text", "copy", F.col("spans.low").alias("low"), F.col("spans.high").alias("high"))
+    joined = rows.join(S.small(spans), "row_key", "left").select("doc_id", "text", "copy", "low", "high")
 
     def run(batch):
         copy, low, high = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
