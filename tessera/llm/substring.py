@@ -113,7 +113,7 @@ def in_bitmap(bitmap: np.ndarray, symbol: np.ndarray) -> np.ndarray:
 
 
 def repeated_words(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): ``docs`` (doc_id, text) with ``copy`` (an earlier text is the same) and ``starts``: the repeated window starts by doc_id."""
+    """(rows, spans): ``docs`` (doc_id, text) with ``copy`` (an earlier text is the same) and the ranges (low, high) of repeated window starts by doc_id."""
     scratch = S.Scratch(docs.sparkSession)
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     copies = docs.where("doc_id is not null").groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
@@ -151,7 +151,7 @@ def repeated_words(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     found = S.arrow_map(singles, windows, "hash long, doc_id long, start int")
     earliest = found.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash", "low")
     later = found.join(earliest, "hash").where("doc_id > low").select("doc_id", "start")
-    spans = scratch.write(later.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("start")).alias("starts")), "spans")
+    spans = scratch.write(S.merge_ranges(later.distinct().select("doc_id", F.col("start").cast("long").alias("low"), F.col("start").cast("long").alias("high")), "doc_id"), "spans")
     return rows, spans
 
 
@@ -160,11 +160,11 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = False,
     keep = keep or []
     types = dict(docs.dtypes)
     rows, spans = repeated_words(S.texts_of(docs, *keep), window)
-    joined = rows.join(S.small(spans), "doc_id", "left").select("doc_id", "text", "copy", "starts", *[f"`{c}`" for c in keep])
+    joined = rows.join(S.small(spans), "doc_id", "left").select("doc_id", "text", "copy", "low", "high", *[f"`{c}`" for c in keep])
 
     def run(batch):
         copy = batch.column(2).to_numpy(zero_copy_only=False)
-        starts = batch.column(3).to_pylist()
+        low, high = batch.column(3).to_pylist(), batch.column(4).to_pylist()
         n_words, n_removed, sha, kept = [], [], [], []
         row = 0
         for _, _, data, offsets in K.pieces(batch.column(1)):
@@ -173,8 +173,10 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = False,
                 n = len(words)
                 if copy[row] and n >= window:
                     words = []
-                elif starts[row]:
-                    gone = K.cover(np.array(starts[row]), window, n)
+                elif low[row]:
+                    gone = np.zeros(n, bool)
+                    for i, j in zip(low[row], high[row]):
+                        gone[i : j + window] = True
                     words = [w for w, g in zip(words, gone) if not g]
                 text = b" ".join(words)
                 n_words.append(n)
@@ -186,7 +188,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = False,
         if keep_text:
             out["text"], out["kept"] = batch.column(1), S.pa.array([k.decode("utf-8", "replace") for k in kept], S.pa.string())
         for i, c in enumerate(keep):
-            out[c] = batch.column(4 + i)
+            out[c] = batch.column(5 + i)
         yield S.batch(**out)
 
     return S.arrow_map(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string, kept string" if keep_text else "") + "".join(f", `{c}` {types[c]}" for c in keep))
