@@ -1,6 +1,6 @@
 """All registered queries and their SQL oracles."""
 
-from tessera.operators import queries_batch, queries_rollout  # noqa: F401
+from tessera.operators import queries_batch, queries_metrics, queries_rollout  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
