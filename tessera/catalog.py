@@ -1,7 +1,7 @@
 """All registered queries and their SQL oracles."""
 
 from tessera.functions import queries_text  # noqa: F401
-from tessera.operators import queries_batch, queries_metrics, queries_rollout  # noqa: F401
+from tessera.operators import queries_batch, queries_curation, queries_metrics, queries_rollout  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
