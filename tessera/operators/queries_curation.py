@@ -100,7 +100,7 @@ def j7(t):
     return C.range_join(p, seg(t).where("b is not null"), "f", "a", "b", "user_id", 86400.0).select("pid", "event_id").distinct()
 
 
-@query("j8_covered_points", f"WITH {SEG}, p AS (SELECT user_id, epoch(ts)::DOUBLE + 45 AS f, event_id AS pid FROM events) SELECT pid FROM p WHERE EXISTS (SELECT 1 FROM seg WHERE seg.user_id = p.user_id AND f > a AND f < least(b, a + 3600))")
+@query("j8_covered_points", f"WITH {SEG}, p AS (SELECT user_id, epoch(ts)::DOUBLE + 45 AS f, event_id AS pid FROM events) SELECT pid FROM p WHERE EXISTS (SELECT 1 FROM seg WHERE seg.user_id = p.user_id AND f > a AND b IS NOT NULL AND f < least(b, a + 3600))")
 def j8(t):
     p = t.events.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + 45).alias("f"), F.col("event_id").alias("pid"))
     s = seg(t).where("b is not null").withColumn("b", F.least("b", F.col("a") + 3600))
