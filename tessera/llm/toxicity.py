@@ -211,7 +211,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7
         votes = voters.votes(doc, np.concatenate(slots) if slots else flat, t.column("words").to_numpy()[order], t.column("shouting").to_numpy(zero_copy_only=False)[order])
         target = model.posterior(votes)
         rows = [(s, np.ones(len(s)), float(p)) for s, p in zip(slots, target)]
-        weights, intercept = L.train_ftrl(rows, BITS, alpha=0.3, l1=1.5, epochs=4)
+        weights, intercept = L.train_ftrl(rows, BITS, alpha=0.3, l1=1.5 * min(1.0, len(rows) / 2500), epochs=int(np.clip(10_000 // max(len(rows), 1), 4, 40)))
     else:
         weights, intercept = np.zeros(1 << BITS, np.float32), -2.0
         weights[fixed_slots()] = 4.0

@@ -238,8 +238,8 @@ def test_quality_classifier(spark, edge_docs, no_docs, no_labels):
 
 
 def test_toxicity(spark, edge_docs, no_docs, no_labels):
-    d, l = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    assert accuracy(toxicity.score_toxicity(d, l), l, "toxic") > 0.93
+    d, l = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    assert accuracy(toxicity.score_toxicity(d, l), l, "toxic") > 0.95
     got = toxicity.score_toxicity(edge_docs, no_labels)
     assert got.where("score between 0 and 1").count() == edge_docs.count()
     assert toxicity.score_toxicity(no_docs, no_labels).count() == 0
