@@ -259,16 +259,18 @@ def test_label_model_finds_accuracies():
 def test_mixing(spark, edge_docs, no_docs):
     rows = [(i, "w " * (1 + i % 7), "big" if i < 600 else "mid" if i < 780 else "small") for i in range(800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mixing.mix_sources(docs, target_entropy=0.9, max_repeats=4.0, block_docs=16).toPandas()
+    out = mixing.mix_sources(docs, target_entropy=0.9, max_repeats=None, block_docs=16).toPandas()
     total = sum(1 + i % 7 for i in range(800))
     for s, g in out.groupby("source"):
         budget = math.floor(g.weight.iloc[0] * total)
         assert budget - 7 <= g.n_tokens.sum() <= budget
-        assert g.groupby("doc_id").epoch.nunique().max() <= 5 and not g.duplicated(["doc_id", "epoch"]).any()
+        assert g.groupby("doc_id").epoch.nunique().max() <= 12 and not g.duplicated(["doc_id", "epoch"]).any()
     p = np.array([0.75, 0.225, 0.025])
     w = out.groupby("source").weight.first().to_numpy()
     assert -(w * np.log(w)).sum() >= 0.9 * np.log(3) - 0.01 and w.sum() == pytest.approx(1, abs=1e-6)
     assert p[0] > w[0]
+    limited = mixing.mix_sources(docs, target_entropy=0.9, max_repeats=2.0).groupBy("source").agg(F.first("weight").alias("w")).toPandas()
+    assert (limited.sort_values("source").w / np.array([sum(1 + i % 7 for i in r) / total for r in (range(600), range(600, 780), range(780, 800))])).max() <= 2.001
     assert mixing.mix_sources(edge_docs).where("doc_id = 3").count() >= 1
     assert mixing.mix_sources(no_docs).count() == 0
 
