@@ -4,6 +4,8 @@ import glob
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 
 
 def connect(sf_dir):
@@ -16,11 +18,15 @@ def connect(sf_dir):
 
 def rows(pdf):
     def value(v):
-        if isinstance(v, float):
-            return "" if v != v else f"{round(v, 5) + 0.0:.5f}"
+        if v is None or v is pd.NA or v != v:
+            return ""
+        if isinstance(v, (bool, np.bool_)):
+            return str(bool(v))
+        if isinstance(v, (int, float, np.number)):
+            return f"{round(float(v), 5) + 0.0:.5f}"
         return str(v)
 
-    return sorted(tuple(value(float(v) if hasattr(v, "dtype") and v.dtype.kind in "fiu" or isinstance(v, (int, float)) and not isinstance(v, bool) else v) for v in r) for r in pdf[sorted(pdf.columns)].itertuples(index=False))
+    return sorted(tuple(map(value, r)) for r in pdf[sorted(pdf.columns)].itertuples(index=False))
 
 
 def check(spark, con, sf_dir, name, query, sql):
