@@ -9,9 +9,9 @@ position, and a run of entries whose sizes or positions cannot reach the require
 overlap is skipped as a block.  Answer-level skips: first each list compares its sets
 with one pivot only.  Sets found similar to a pivot take it as their leader, and
 their answers follow from the leader's: pairs already in one component need no
-comparison.  Of the rest, sets that meet in short lists are counted over the lists,
-and the count of common prefix shingles bounds their overlap; sets that meet in long
-lists meet through their leaders, and when two leaders' distance exceeds the
+comparison.  Of the rest, sets whose first common shingle has a short list are counted
+over the short lists; that count, and the long lists that both may be in, bound their
+overlap.  Sets whose first common shingle has a long list meet through their leaders, and when two leaders' distance exceeds the
 threshold distance by the members' distances to them (Jaccard distance is a metric)
 all pairs between their members are skipped.  Members are compared one by one only
 between leaders inside that ring.  Every reported link is checked exactly on the two
@@ -138,6 +138,10 @@ def _runs(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(token)))
 
 
+def few_pairs(size):
+    return size * (size - 1) // 2 <= LIST_PAIRS
+
+
 def pivot_pairs(batches):
     """Of each index list of two sets or more: its pivot with every other set that size and position allow; the list itself goes on as ``n`` > 0 rows."""
     percent = 80
@@ -154,20 +158,22 @@ def pivot_pairs(batches):
         pivot = best[group]
         ok = (pivot != np.arange(len(doc))) & enough(n, n[pivot], 1 + np.minimum(n - 1 - pos, n[pivot] - 1 - pos[pivot]), percent)
         zero, least = np.zeros(len(doc), np.int64), np.minimum(n, n[pivot])[ok]
-        yield S.batch(token=token, a=doc, b=zero - 1, n=n, pos=pos)
+        yield S.batch(token=token, a=doc, b=zero - 1, n=n, pos=pos, long=np.repeat(~few_pairs(size), size))
         a, b = doc[ok], doc[pivot][ok]
-        yield S.batch(token=zero[: len(a)], a=np.minimum(a, b), b=np.maximum(a, b), n=least, pos=zero[: len(a)].astype(np.int32))
+        yield S.batch(token=zero[: len(a)], a=np.minimum(a, b), b=np.maximum(a, b), n=least, pos=zero[: len(a)].astype(np.int32), long=np.zeros(len(a), bool))
 
 
 def list_pairs(batches):
     """Of each list, pairs of sets in different components.
 
-    A list with few such pairs gives all that sizes allow (a, b, na, nb), to be counted
-    over the lists; a longer one gives its pairs of leaders that sizes and positions
-    allow, with na = 0.
+    A list with few pairs gives all that sizes allow, to be counted over the lists:
+    ``need`` > 0 short lists must have the pair, and ``first`` tells whether its overlap
+    suffices if this list's shingle is the first common one.  A longer list gives its
+    pairs of leaders that sizes and positions allow, with need = 0; its positions hold
+    for sets that have their first common shingle here.
     """
     percent = 80
-    for token, n, doc, pos, leader, comp in _lists(batches, 6):
+    for token, n, doc, pos, leader, comp, n_long in _lists(batches, 7):
         start, size = _runs(token)
         out = []
         for s, z in zip(start[size > 1], size[size > 1]):
@@ -175,7 +181,7 @@ def list_pairs(batches):
             if (c == c[0]).all():
                 continue
             nn, dd, pp, ll = n[s : s + z], doc[s : s + z], pos[s : s + z], leader[s : s + z]
-            few = z * (z - 1) // 2 <= LIST_PAIRS
+            few = few_pairs(z)
             seen_a, seen_b = [], []
             for i in range(z - 1):  # sizes ascend: the block of sets that are small enough ends at ``stop``
                 stop = i + 1 + int(np.searchsorted(nn[i + 1 :], nn[i] * 100 // percent, "right"))
@@ -189,15 +195,18 @@ def list_pairs(batches):
             if seen_a:
                 a, b = np.concatenate(seen_a), np.concatenate(seen_b)
                 if few:
-                    swap = dd[a] > dd[b]
-                    a, b = np.where(swap, b, a), np.where(swap, a, b)
-                    out.append(np.stack([dd[a], dd[b], nn[a], nn[b]]))
+                    first = enough(nn[a], nn[b], 1 + np.minimum(nn[a] - 1 - pp[a], nn[b] - 1 - pp[b]), percent)
+                    # both prefixes hold every common shingle up to the smaller of their last ones: those counted, those in long lists, and what follows bound the overlap
+                    after = (percent * np.maximum(nn[a], nn[b]) + 99) // 100 - 1
+                    both = np.minimum(n_long[s + a], n_long[s + b])
+                    need = np.maximum(-(-percent * (nn[a] + nn[b]) // (100 + percent)) - after - both, 1)
+                    out.append(np.stack([np.minimum(dd[a], dd[b]), np.maximum(dd[a], dd[b]), need, first]))
                 else:
                     one = np.unique(np.stack([np.minimum(ll[a], ll[b]), np.maximum(ll[a], ll[b])]), axis=1)
                     out.append(np.vstack([one, np.zeros_like(one)]))
         if out:
-            a, b, na, nb = np.concatenate(out, axis=1)
-            yield S.batch(a=a, b=b, na=na, nb=nb)
+            a, b, need, first = np.concatenate(out, axis=1)
+            yield S.batch(a=a, b=b, need=need, first=first.astype(bool))
 
 
 def member_pairs(batches):
@@ -265,9 +274,9 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     lists = entries.select("token", "n", F.col("doc_id").alias("doc"), "pos").repartition(int(parts), "token").sortWithinPartitions("token", "n", "doc")
     S.ship(spark)
-    found = scratch.write(lists.mapInArrow(pivot_pairs, "token long, a long, b long, n long, pos int"), "lists")
+    found = scratch.write(lists.mapInArrow(pivot_pairs, "token long, a long, b long, n long, pos int, long boolean"), "lists")
     scratch.drop(sets)
-    index = found.where("b = -1").select("token", "n", F.col("a").alias("doc"), "pos")
+    index = found.where("b = -1").select("token", "n", F.col("a").alias("doc"), "pos", "long")
 
     def links_of(checked: DataFrame) -> DataFrame:
         return checked.where(f"{100 + percent} * overlap >= {percent} * (na + nb)")
@@ -287,13 +296,13 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     own = degree.select("doc", "deg").join(best, "doc").join(degree.select(F.col("doc").alias("leader"), F.col("deg").alias("ldeg")), "leader")
     own = own.select("doc", F.when((F.col("ldeg") > F.col("deg")) | ((F.col("ldeg") == F.col("deg")) & (F.col("leader") < F.col("doc"))), F.struct("leader", "dist")).otherwise(F.struct(F.col("doc").alias("leader"), F.lit(0.0).alias("dist"))).alias("x"))
     known = scratch.write(own.select("doc", "x.leader", "x.dist").join(comps.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc"), "leaders")
-    led = index.join(S.small(known), "doc", "left").select("token", "n", "doc", "pos", F.coalesce("leader", "doc").alias("leader"), F.coalesce("comp", "doc").alias("comp"))
+    in_long = scratch.write(index.where("long").groupBy("doc").agg(F.count("*").alias("n_long")), "in-long")
+    led = index.join(S.small(known), "doc", "left").join(S.small(in_long), "doc", "left")
+    led = led.select("token", "n", "doc", "pos", F.coalesce("leader", "doc").alias("leader"), F.coalesce("comp", "doc").alias("comp"), F.coalesce("n_long", F.lit(0).cast("long")).alias("n_long"))
     sorted_lists = led.repartition(int(parts), "token").sortWithinPartitions("token", "n", "doc")
-    met = scratch.write(sorted_lists.mapInArrow(list_pairs, "a long, b long, na long, nb long"), "met")
-    # both prefixes hold every common shingle up to the smaller of their last ones: c and what follows bound the overlap
-    after = F.greatest(F.expr(f"({percent} * na + 99) div 100"), F.expr(f"({percent} * nb + 99) div 100")) - 1
-    counted = met.where("na > 0").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where((100 + percent) * (F.col("c") + after) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
-    led_pairs = scratch.write(met.where("na = 0").select("a", "b").distinct(), "leader-pairs")
+    met = scratch.write(sorted_lists.mapInArrow(list_pairs, "a long, b long, need long, first boolean"), "met")
+    counted = met.where("need > 0").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need"), F.max("first").alias("first")).where("first and c >= need").select("a", "b")
+    led_pairs = scratch.write(met.where("need = 0").select("a", "b").distinct(), "leader-pairs")
     second = scratch.write(counted.unionByName(led_pairs).distinct(), "second")
     checked = verified(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), docs, scratch, k).unionByName(first.join(second, ["a", "b"], "left_semi"))
     scratch.drop(met)

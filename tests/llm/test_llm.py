@@ -188,6 +188,30 @@ def test_ngram_join(spark, edge_docs, no_docs, list_pairs, monkeypatch):
     assert sorted(map(tuple, got[["doc_id", "n_shingles", "component_id"]].itertuples(index=False))) == naive_components(rows)
 
 
+def test_ngram_join_short_and_long_lists(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(204)]
+    rows = []
+    for family in range(53):
+        slots = rng.sample(range(18), 8)
+
+        def edit(w, slot, width, name):
+            at = 6 + 11 * slot
+            w[at : at + width] = [f"{name}x{j}" for j in range(width)]
+
+        for member in range(3):
+            w = list(base)
+            edit(w, slots[0], 2, f"f{family}a")
+            edit(w, slots[1], 2, f"f{family}b")
+            edit(w, slots[2 + 2 * member], 1, f"f{family}m{member}a")
+            edit(w, slots[3 + 2 * member], 2, f"f{family}m{member}b")
+            rows.append((len(rows), " ".join(w)))
+    want = naive_components(rows)
+    assert len({c for _, _, c in want}) < len(rows) / 2
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sorted(map(tuple, got[["doc_id", "n_shingles", "component_id"]].itertuples(index=False))) == want
+
+
 def test_ngram_join_edges(spark, edge_docs, no_docs):
     got = ngram_join.ngram_components(edge_docs).where("doc_id is not null").distinct().toPandas()
     want = naive_components({(r.doc_id, r.text) for r in edge_docs.select("doc_id", "text").collect()})
