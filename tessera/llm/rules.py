@@ -11,6 +11,13 @@ follow from its counts of counts.  A document is rejected when its log-perplexit
 lies outside its language's band: median -/+ ``width`` times the spread, the
 spread being the scaled distance from the median to the quartiles.
 
+A second model for each language is over words: modified Kneser-Ney over pairs of
+consecutive words, each a 64-bit hash of its bytes.  It grows with the corpus, so it
+is never in one place: Spark counts the pairs, joins them with the counts of their
+words, and joins the model with each text's pairs.  Every occurrence is scored
+without itself (counts less one), as else each text's own pairs would be known.  A
+document must lie in the band of the word model, too (``word_width`` spreads).
+
 Defined results: null text has no words and fails the base rules; a null language
 is a language of its own; a document without characters has no perplexity and the
 band does not apply; repeated rows are scored each by itself and count each;
@@ -174,6 +181,62 @@ def _find(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.nda
     return table[1][at], table[0][at] == h
 
 
+def word_pairs(docs: DataFrame) -> DataFrame:
+    """(key, l, h, w, n): how often text ``key`` of language ``l`` has word w after h; the text start is the word 0."""
+
+    def run(rows):
+        for first, end, data, offsets in K.pieces(rows.column(0)):
+            words = K.Words(data, offsets)
+            if not len(words.hash):
+                continue
+            before = np.concatenate([np.zeros(1, np.uint64), words.hash[:-1]])
+            before[words.first[:-1][np.diff(words.first) > 0]] = 0
+            doc = words.doc()
+            order = np.lexsort((words.hash, before, doc))
+            d, h, w = doc[order], before[order], words.hash[order]
+            at = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
+            own = d[at] + first
+            yield S.batch(key=rows.column(1).take(S.pa.array(own)), l=rows.column(2).take(S.pa.array(own)), h=K.signed(h[at]), w=K.signed(w[at]), n=np.diff(np.append(at, len(d))))
+
+    return S.arrow_map(docs.select("text", F.xxhash64("text", "lang").alias("key"), F.hash("lang").alias("l")), run, "key long, l int, h long, w long, n long")
+
+
+def _discounts(n1, n2, n3, n4) -> list:
+    """The three discounts from counts of counts, as columns."""
+    a, b, c, d = (F.greatest(x, F.lit(1)).cast("double") for x in (n1, n2, n3, n4))
+    y = a / (a + 2 * b)
+    return [F.least(F.greatest(x, F.lit(0.05)), F.lit(top)) for x, top in ((1 - 2 * y * b / a, 0.95), (2 - 3 * y * c / b, 1.9), (3 - 4 * y * d / c, 2.85))]
+
+
+def _less_one(c, d1, d2, d3):
+    """What a count has left without one occurrence and its discount."""
+    return F.when(c <= 1, F.lit(0.0)).when(c == 2, 1 - d1).when(c == 3, 2 - d2).otherwise(c - 1 - d3)
+
+
+def word_perplexity(docs: DataFrame, scratch: S.Scratch) -> DataFrame:
+    """(key, word_log_ppl) of the texts that have words."""
+    c, k = F.col("c"), F.col("k")
+    counts = scratch.write(word_pairs(docs).groupBy("l", "h", "w").agg(F.sum("n").alias("c")), "pairs")
+    zero = F.lit(0).cast("long")
+    as_history = F.struct(F.col("h").alias("word"), c.alias("n"), (c == 1).cast("long").alias("t1"), (c == 2).cast("long").alias("t2"), (c > 2).cast("long").alias("t3"), zero.alias("k"))
+    as_word = F.struct(F.col("w").alias("word"), zero.alias("n"), zero.alias("t1"), zero.alias("t2"), zero.alias("t3"), F.lit(1).cast("long").alias("k"))
+    roles = counts.select("l", F.explode(F.array(as_history, as_word)).alias("x")).select("l", "x.*")
+    words = scratch.write(roles.groupBy("l", "word").agg(*[F.sum(x).alias(x) for x in ("n", "t1", "t2", "t3", "k")]), "words")
+    pairs = counts.groupBy("l").agg(F.count("*").alias("types"), F.array(*_discounts(*[F.count_if(c == i) for i in (1, 2, 3, 4)])).alias("d"))
+    single = words.where("k > 0").groupBy("l").agg(F.count("*").alias("v"), F.count_if(k == 1).alias("k1"), F.count_if(k == 2).alias("k2"), F.array(*_discounts(*[F.count_if(k == i) for i in (1, 2, 3, 4)])).alias("e"))
+    d, e = [F.col("d")[i] for i in range(3)], [F.col("e")[i] for i in range(3)]
+    kept_back = e[0] * F.col("k1") + e[1] * F.col("k2") + e[2] * (F.col("v") - F.col("k1") - F.col("k2"))
+    known = words.join(S.small(scratch.write(pairs.join(single, "l"), "languages")), "l")
+    known = scratch.write(known.select("l", "word", "n", (d[0] * F.col("t1") + d[1] * F.col("t2") + d[2] * F.col("t3")).alias("left"), ((_less_one(k, *e) + kept_back / F.col("v")) / F.col("types")).alias("p"), "d"), "known")
+    history = known.select("l", F.col("word").alias("h"), "n", "left", "d")
+    model = counts.join(S.small(history), ["l", "h"]).join(S.small(known.select("l", F.col("word").alias("w"), "p")), ["l", "w"])
+    rest = F.greatest(F.col("n") - 1, F.lit(1))
+    model = scratch.write(model.select("l", "h", "w", F.log(_less_one(c, *d) / rest + F.least(F.col("left") / rest, F.lit(1.0)) * F.col("p")).cast("float").alias("log_p")), "model")
+    scratch.drop(counts)
+    scored = word_pairs(docs).join(model, ["l", "h", "w"])
+    return scratch.write(scored.groupBy("key").agg((-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("word_log_ppl")), "word-scores")
+
+
 def language_groups(counts: DataFrame, model_rows: int) -> list[list[str | None]]:
     """Languages whose models fit together; each language's own model is bounded by the symbol classes."""
     groups: list[list[str | None]] = [[]]
@@ -200,13 +263,13 @@ def _with(models: dict) -> object:
                 distinct, which = np.unique(gram[mine], return_inverse=True)
                 log_p[mine] = models.value[lang].log_probs(distinct)[which]
             ppl = np.where(size > 0, -K.per_text(log_p, begin) / np.maximum(size, 1), np.nan)
-            yield S.batch(doc_id=rows.column(0).slice(first, end - first), lang=rows.column(2).slice(first, end - first), **{k: v.astype(np.int64) for k, v in counts.items()}, log_ppl=S.pa.array(ppl, from_pandas=True))
+            yield S.batch(doc_id=rows.column(0).slice(first, end - first), key=rows.column(3).slice(first, end - first), lang=rows.column(2).slice(first, end - first), **{k: v.astype(np.int64) for k, v in counts.items()}, log_ppl=S.pa.array(ppl, from_pandas=True))
 
     return run
 
 
-def quality_rules(docs: DataFrame, *, width: float = 12.0, min_words: int = 50, repeat_share: int = 50, model_rows: int = 8_000_000) -> DataFrame:
-    """doc_id, the base counts, base_failed, log_ppl, the band, and kept."""
+def quality_rules(docs: DataFrame, *, width: float = 12.0, word_width: float = 6.0, min_words: int = 50, repeat_share: int = 50, model_rows: int = 8_000_000) -> DataFrame:
+    """doc_id, the base counts, base_failed, log_ppl, the band, kept, and the same of the word model."""
     spark = docs.sparkSession
     scratch = S.Scratch(spark)
     docs = S.texts_of(docs, "lang").withColumn("lang", F.col("lang").cast("string"))
@@ -218,18 +281,23 @@ def quality_rules(docs: DataFrame, *, width: float = 12.0, min_words: int = 50,
             t = counts.where(F.col("lang").eqNullSafe(F.lit(lang))).select("gram", "n").toArrow()
             models[lang] = KneserNey(*(lambda g, n: (g[o := np.argsort(g)], n[o]))(t.column("gram").to_numpy(), t.column("n").to_numpy()))
         own = docs.where(F.coalesce(F.col("lang").isin([x for x in group if x is not None]), F.lit(None in group)))
-        scored.append(S.arrow_map(own, _with(spark.sparkContext.broadcast(models)), "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"))
+        scored.append(S.arrow_map(own.withColumn("key", F.xxhash64("text", "lang")), _with(spark.sparkContext.broadcast(models)), "doc_id long, key long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"))
     rows = scored[0]
     for more in scored[1:]:
         rows = rows.unionByName(more)
     rows = scratch.write(rows, "scored")
     scratch.drop(counts)
-    q = rows.where("log_ppl is not null").groupBy("lang").agg(F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("q"))
-    spread = 1.4826
-    bands = q.select("lang", (F.col("q")[1] - width * F.greatest(spread * (F.col("q")[1] - F.col("q")[0]), F.lit(0.02))).alias("low"), (F.col("q")[1] + width * F.greatest(spread * (F.col("q")[2] - F.col("q")[1]), F.lit(0.02))).alias("high"))
-    out = rows.alias("r").join(S.small(bands.alias("b")), F.col("r.lang").eqNullSafe(F.col("b.lang")), "left").drop(F.col("b.lang"))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_share * F.col("n_words"))
-    inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), "log_ppl", "low", "high")
+    words = word_perplexity(docs, scratch)
+    rows = scratch.write(rows.join(words, "key", "left"), "both")
 
+    def band(value: str, width: float, low: str, high: str) -> DataFrame:
+        q = rows.where(f"{value} is not null").groupBy("lang").agg(F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("q"))
+        spread = 1.4826
+        return q.select(F.col("lang").alias("b_lang"), (F.col("q")[1] - width * F.greatest(spread * (F.col("q")[1] - F.col("q")[0]), F.lit(0.02))).alias(low), (F.col("q")[1] + width * F.greatest(spread * (F.col("q")[2] - F.col("q")[1]), F.lit(0.02))).alias(high))
 
+    out = rows
+    for bands in (band("log_ppl", width, "low", "high"), band("word_log_ppl", word_width, "word_low", "word_high")):
+        out = out.join(S.small(bands), F.col("lang").eqNullSafe(F.col("b_lang")), "left").drop("b_lang")
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_share * F.col("n_words"))
+    inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True)) & F.coalesce(F.col("word_log_ppl").between(F.col("word_low"), F.col("word_high")), F.lit(True))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), "log_ppl", "low", "high", "word_log_ppl", "word_low", "word_high")

@@ -89,6 +89,28 @@ def test_quality_rules(spark, edge_docs, no_docs):
     assert rules.quality_rules(no_docs).count() == 0
 
 
+def test_word_order_is_judged(spark):
+    rng = random.Random(8)
+    rows = []
+    for lang, letters in (("xx", "abcdefghijkl"), ("zz", "天地玄黃宇宙洪荒日月盈昃")):
+        names = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(300)]
+        after = {w: rng.sample(names, 4) for w in names}
+        for i in range(250):
+            w = [rng.choice(names)]
+            while len(w) < 150:
+                w.append(rng.choice(after[w[-1]]))
+            if i < 5:
+                rng.shuffle(w)
+            elif i < 10:
+                w = [x if rng.random() < 0.5 else "".join(rng.sample(x, len(x))) for x in w]
+            rows.append((len(rows), " ".join(w), lang, i < 10))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, planted boolean")
+    got = {r.doc_id: r for r in rules.quality_rules(docs).collect()}
+    assert len(got) == len(rows)
+    assert [i for i, _, _, planted in rows if got[i].kept == planted and not got[i].base_failed] == []
+    assert sum(not got[i].base_failed for i, *_ in rows) > 0.9 * len(rows)
+
+
 def test_kneser_ney_is_a_distribution():
     rng = np.random.default_rng(1)
     raw = "".join(rng.choice(list("abcde ")) for _ in range(4000)).encode()
