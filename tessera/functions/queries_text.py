@@ -68,6 +68,45 @@ simple("f89_md5", "md5(text)", lambda: F.md5(F.col("text").cast("binary")))
 simple("f27_truncate", "CASE WHEN length(text) > 100 THEN left(text, 50) || '...(truncated)...' || right(text, 50) ELSE text END", lambda: X.truncate(c("text"), 100, "middle"))
 
 
+# Whole texts: the queries above take prefixes of them, as their SQL does.
+WHOLE_SQL = REPLY_SQL.replace("left(text, 40)", "text").replace("left(text, 12)", "text")
+
+
+def whole(name: str, sql: str | None, build):
+    """As ``simple``, with replies made of whole texts."""
+
+    def run(t):
+        d = c("doc_id").cast("string")
+        r = F.concat(F.lit("<think>"), c("text"), F.lit("</think> so \\boxed{"), d, F.lit("} <answer>"), c("text"), F.lit("</answer> or <answer> "), c("lang"), d, F.lit(" </answer>"))
+        return t.documents.select("doc_id", "text", "lang", r.alias("reply")).select("doc_id", build().alias("value"))
+
+    query(name, sql and f"WITH {WHOLE_SQL} SELECT doc_id, {sql} AS value FROM r")(run)
+
+
+whole("f1_first_answer_whole", "regexp_extract(reply, '(?s)<answer>(.*?)</answer>', 1)", lambda: X.first_answer(c("reply")))
+whole("f2_last_answer_whole", "trim(list_extract(regexp_extract_all(reply, '(?s)<answer>(.*?)</answer>', 1), -1))", lambda: X.last_answer(c("reply")))
+whole("f3_between_whole", "trim(string_split(list_extract(string_split(reply, '<answer>'), -1), '</answer>')[1])", lambda: X.between(c("reply"), "<answer>", "</answer>"))
+whole("f9_minerva_whole", "coalesce(trim(list_extract(regexp_extract_all('Answer: ' || text, '(?i)Answer\\s*:\\s*([^\\n]+)', 1), -1)), '[INVALID]')", lambda: X.minerva_answer(F.concat(F.lit("Answer: "), c("text"))))
+whole("f15_numbers_whole", "array_to_string(regexp_extract_all(reply, '(-?\\d+(?:\\.\\d+)?(?:[eE][+-]?\\d+)?)', 1), ',')", lambda: F.array_join(X.numbers(c("reply")), ","))
+whole("f18_code_block_whole", "string_split(list_extract(string_split('a```python' || text || '```b', '```python'), -1), '```')[1]", lambda: X.last_code_block(F.concat(F.lit("a```python"), c("text"), F.lit("```b"))))
+whole("f24_think_whole", "regexp_extract(reply, '(?s)<think>(.*?)</think>', 1)", lambda: F.regexp_extract("reply", r"(?s)<think>(.*?)</think>", 1))
+whole("f30_normalize_whole", None, lambda: X.normalize_answer(c("text")))
+whole("f33_relaxed_whole", "(length(trim(left(text, length(text) - 1))) >= 0.9 * length(trim(text)))::INT", lambda: X.relaxed_match(c("text"), F.left("text", F.length("text") - 1)))
+whole("f34_strip_dot_whole", "trim(regexp_replace(trim(text), '\\.$', ''))", lambda: X.strip_dot(c("text")))
+whole("f42_closest_choice_whole", None, lambda: X.closest_choice(c("text"), F.array(*map(F.lit, ("the", "und", "les", "que")))))
+whole("f44_clean_whole", "trim(replace(regexp_replace(replace('x [title] ' || text || ' [1]', ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' '))", lambda: F.trim(F.replace(F.regexp_replace(F.replace(F.concat(F.lit("x [title] "), c("text"), F.lit(" [1]")), F.lit(" [title]"), F.lit(". ")), r"\[.*?\]", ""), F.lit("  "), F.lit(" "))))
+whole("f50_format_whole", "regexp_full_match(reply, '(?s)\\s*<think>.*</think>.*<answer>.*</answer>\\s*')::INT::DOUBLE", lambda: X.format_ok(c("reply")))
+whole("f83_parse_or_null_whole", "TRY_CAST(text AS DOUBLE)", lambda: c("text").try_cast("double"))
+whole("f85_template_whole", "'Q: ' || text || ' (' || doc_id || ')'", lambda: F.format_string("Q: %s (%d)", c("text"), c("doc_id")))
+
+
+@query("f86_row_construction_whole", "SELECT doc_id, lang AS data_source, text AS prompt, 'test' AS split, doc_id AS index FROM documents")
+def f86_whole(t):
+    msg = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    row = t.documents.select("doc_id", F.col("lang").alias("data_source"), msg.alias("prompt"), F.struct(F.lit("test").alias("split"), F.col("doc_id").alias("index")).alias("extra_info"))
+    return row.select("doc_id", "data_source", F.col("prompt")[0]["content"].alias("prompt"), "extra_info.split", "extra_info.index")
+
+
 @query("f19_tool_calls", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def f19(t):
     call = F.concat(F.lit("x <tool_call>"), F.col("props"), F.lit("</tool_call>"))
