@@ -237,6 +237,12 @@ def t7(t):
     return t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.coalesce("toxic", "quality", F.lit(0)).alias("s")).orderBy(F.desc("s"), "doc_id").limit(50)
 
 
+@query("t7_coalesced_sort_whole", "SELECT doc_id, coalesce(toxic, quality, 0) AS s, row_number() OVER (ORDER BY coalesce(toxic, quality, 0) DESC, doc_id)::BIGINT - 1 AS pos FROM documents LEFT JOIN labels USING (doc_id)")
+def t7_whole(t):
+    d = t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.coalesce("toxic", "quality", F.lit(0)).alias("s"))
+    return B.with_pos(d.withColumn("k", -F.col("s")), "k", "doc_id").select("doc_id", "s", "pos")
+
+
 @query("t10_vector_topk", "SELECT vec_id, score FROM (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = (SELECT min(vec_id) FROM embeddings)) ORDER BY score DESC, vec_id LIMIT 10")
 def t10(t):
     q = t.embeddings.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))

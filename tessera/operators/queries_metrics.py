@@ -205,6 +205,11 @@ def a39(t):
     return t.events.where("event_id < 500").groupBy("event_type").agg(F.array_join(F.sort_array(F.collect_list("event_id")).cast("array<string>"), ",").alias("ids"))
 
 
+@query("a39_append_to_dict_whole", "SELECT event_type, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events GROUP BY event_type")
+def a39_whole(t):
+    return t.events.groupBy("event_type").agg(F.array_join(F.sort_array(F.collect_list("event_id")).cast("array<string>"), ",").alias("ids"))
+
+
 @query("a40_flops", "SELECT round((6.0 * 7000.0 * sum(n_chars) + 12.0 * 28 * 28 * 128 * sum(n_chars * n_chars)) / 1e9, 3) AS gflops FROM documents")
 def a40(t):
     return t.documents.agg(F.round(M.dense_flops("n_chars", 7000.0, 28, 28, 128) / 1e9, 3).alias("gflops"))

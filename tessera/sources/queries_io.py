@@ -37,6 +37,12 @@ def s7(t):
     return one.select(F.from_json("j", "event_id bigint, event_type string").alias("x")).select("x.*")
 
 
+@query("s7_json_round_trip_whole", "SELECT event_id, event_type FROM events")
+def s7_whole(t):
+    one = t.events.select(F.to_json(F.struct("event_id", "event_type")).alias("j"))
+    return one.select(F.from_json("j", "event_id bigint, event_type string").alias("x")).select("x.*")
+
+
 @query("s12_step_mask", "SELECT conv_id, turn, regexp_replace(text, '[0-9]+', '', 'g') AS text FROM conversations")
 def s12(t):
     return t.conversations.select("conv_id", "turn", F.regexp_replace("text", "[0-9]+", "").alias("text"))
