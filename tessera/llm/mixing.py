@@ -12,7 +12,7 @@ The weights are realised as budgeted block permutations.  A source's documents a
 dealt by hash into blocks of about ``block_docs``; every full pass takes all blocks,
 each pass in a permutation of its own, and the last pass takes blocks in permuted
 order up to the source's token budget, and of the block where the budget ends
-documents in hash order while they fit.  ``mix_order`` orders all sources together,
+each document, in hash order, that still fits.  ``mix_order`` orders all sources together,
 so that every stretch of the output has about the target weights.
 
 Defined results: a null source is a source of its own; null text has no tokens, and
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,8 +79,19 @@ def choose_exponent(totals: DataFrame, budget: float, target_entropy: float | No
     return round(exponent, 7)
 
 
+def fitting(block: pa.Table) -> pa.Table:
+    """Of a block's documents, by turn, each that fits in what the ones before it leave of ``room``."""
+    block = block.sort_by([("turn", "ascending"), ("doc_id", "ascending")])
+    room, keep = block.column("room")[0].as_py(), []
+    for n in block.column("n_tokens").to_pylist():
+        keep.append(n <= room)
+        room -= n if n <= room else 0
+    return block.filter(pa.array(keep))
+
+
 def mix_sources(docs: DataFrame, *, budget_tokens: int | None = None, target_entropy: float | None = None, max_repeats: float | None = 4.0, block_docs: int = 1024, seed: int = 1) -> DataFrame:
     """doc_id, source, n_tokens, epoch, block, mix_order, weight: a row for each pass of each document."""
+    S.ship(docs.sparkSession)
     scratch = S.Scratch(docs.sparkSession)
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), token_count("text").alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
     rows = scratch.write(rows, "rows")
@@ -110,6 +122,6 @@ def mix_sources(docs: DataFrame, *, budget_tokens: int | None = None, target_ent
     ranked = scratch.write(ranked.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "epoch", "rank", room.cast("long").alias("room")), "blocks")
     out = placed.join(S.small(ranked), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
     whole = out.where("room is null")
-    inside = Window.partitionBy("source", "block", "epoch").orderBy(F.xxhash64("h", "epoch"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    part = out.where("room is not null").withColumn("used", F.sum("n_tokens").over(inside)).where("used <= room").drop("used")
+    part = out.where("room is not null").withColumn("turn", F.xxhash64("h", "epoch"))
+    part = part.groupBy("b_source", "block", "epoch").applyInArrow(fitting, part.schema).drop("turn")
     return whole.unionByName(part).select("doc_id", "source", "n_tokens", "epoch", "block", order(F.col("epoch"), F.col("rank")).alias("mix_order"), "weight")

@@ -302,6 +302,15 @@ def test_label_model_finds_accuracies():
     assert model.dependence[3, 4] == model.dependence[~np.eye(5, dtype=bool)].max()
 
 
+def test_mixing_goes_past_a_long_document(spark):
+    rows = [(i, "w " * (400 if i % 50 == 3 else 5), "a" if i < 200 else "b") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(1, 4):
+        out = mixing.mix_sources(docs, budget_tokens=1000, target_entropy=None, max_repeats=None, seed=seed).toPandas()
+        got = out.groupby("source").n_tokens.sum()
+        assert ((got > 495) & (got <= 500)).all() and len(got) == 2
+
+
 def test_mixing(spark, edge_docs, no_docs):
     rows = [(i, "w " * (1 + i % 7), "big" if i < 600 else "mid" if i < 780 else "small") for i in range(800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
