@@ -11,7 +11,8 @@ else Last-Modified, else payload digest; a revisit with none is ``unvalidated``.
 Header fields that a 304 response may update are merged into the original's.
 
 Defined results: a null URL matches nothing (``no_original``); records with a null
-time are later than all; responses of equal time rank by record_id; a response of the
+time are later than all, so a revisit with a null time stands for its URL's last
+response that has one; responses of equal time rank by record_id; a response of the
 revisit's own time is not earlier; repeated rows each resolve; null headers are empty;
 field names compare without case; further columns are ignored.
 """
@@ -56,8 +57,10 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 4096) -> DataFram
     across = Window.partitionBy("canonical").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("canonical", "bucket", F.last("end", ignorenulls=True).over(across).alias("carry")).where("carry is not null")
     found = near.join(carried, ["canonical", "bucket"], "left").withColumn("o", F.coalesce("near", "carry"))
-    lost = r.where("not full and (canonical is null or ts is null)").withColumn("o", F.lit(None).cast(found.schema["o"].dataType))
-    found = found.select(*r.columns, "o").unionByName(lost.select(*r.columns, "o"))
+    last = known.where("full").groupBy("canonical").agg(F.max_by(source, F.struct("ts", "record_id")).alias("o"))
+    late = r.where("not full and canonical is not null and ts is null").join(last, "canonical", "left")
+    lost = r.where("not full and canonical is null").withColumn("o", F.lit(None).cast(found.schema["o"].dataType))
+    found = found.select(*r.columns, "o").unionByName(late.select(*r.columns, "o")).unionByName(lost.select(*r.columns, "o"))
     strong = lambda e: F.regexp_replace(e, "^W/", "")
     agree = (
         F.when(F.col("etag").isNotNull(), F.coalesce(strong(F.col("etag")) == strong(F.col("o.etag")), F.lit(False)))

@@ -311,6 +311,18 @@ def test_mixing_goes_past_a_long_document(spark):
         assert ((got > 495) & (got <= 500)).all() and len(got) == 2
 
 
+def test_revisit_without_time(spark):
+    kind = "record_id long, kind string, url string, ts double, etag string, last_modified string, digest string, headers map<string,string>"
+    rows = [
+        (1, "response", "http://a/x", 1.0, "e", None, None, None), (2, "response", "http://a/x", 9000.0, "f", None, None, None),
+        (3, "response", "http://a/x", None, "g", None, None, None), (4, "revisit", "http://a/x", None, "f", None, None, None),
+        (5, "revisit", "http://a/y", None, "f", None, None, None), (6, "revisit", None, None, "f", None, None, None),
+        (7, "revisit", "http://a/x", 2.0, "e", None, None, None), (8, "revisit", "http://a/x", None, "e", None, None, None),
+    ]
+    got = {r.record_id: (r.original_id, r.verdict) for r in revisit.resolve_revisits(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {4: (2, "resolved"), 5: (None, "no_original"), 6: (None, "no_original"), 7: (1, "resolved"), 8: (None, "validator_mismatch")}
+
+
 def test_mixing(spark, edge_docs, no_docs):
     rows = [(i, "w " * (1 + i % 7), "big" if i < 600 else "mid" if i < 780 else "small") for i in range(800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
