@@ -36,6 +36,9 @@ from tessera.llm.quality import fold, labelled_sample
 #: Common English insults, each a lexicon entry.
 INSULTS = ("idiot", "moron", "scum", "stupid", "loser", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "vermin", "bastard", "dumb", "filth")
 STEMS = (4, 5, 6, 7, 8)
+#: Training of the classifier, at any sample size: the L1 penalty for each labelled row, and the passes.
+L1_PER_ROW = 0.0006
+EPOCHS = 4
 BITS = 22
 ABSTAIN, CLEAN, TOXIC = 0, 1, 2
 _ASCII_UPPER = np.zeros(256, np.int64)
@@ -211,7 +214,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7
         votes = voters.votes(doc, np.concatenate(slots) if slots else flat, t.column("words").to_numpy()[order], t.column("shouting").to_numpy(zero_copy_only=False)[order])
         target = model.posterior(votes)
         rows = [(s, np.ones(len(s)), float(p)) for s, p in zip(slots, target)]
-        weights, intercept = L.train_ftrl(rows, BITS, alpha=0.3, l1=1.5 * min(1.0, len(rows) / 2500), epochs=int(np.clip(10_000 // max(len(rows), 1), 4, 40)))
+        weights, intercept = L.train_ftrl(rows, BITS, alpha=0.3, l1=L1_PER_ROW * len(rows), epochs=EPOCHS)
     else:
         weights, intercept = np.zeros(1 << BITS, np.float32), -2.0
         weights[fixed_slots()] = 4.0

@@ -291,6 +291,20 @@ def test_toxicity(spark, edge_docs, no_docs, no_labels):
     assert toxicity.score_toxicity(no_docs, no_labels).count() == 0
 
 
+def test_toxicity_has_one_training_rule(spark, monkeypatch):
+    rules_seen, train = [], toxicity.L.train_ftrl
+
+    def spy(rows, *args, l1, epochs, **more):
+        rules_seen.append((round(l1 / len(rows), 9), epochs))
+        return train(rows, *args, l1=l1, epochs=epochs, **more)
+
+    monkeypatch.setattr(toxicity.L, "train_ftrl", spy)
+    for sf, least in (("sf0.01", 0.87), ("sf0.1", 0.95)):
+        d, l = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+        assert accuracy(toxicity.score_toxicity(d, l), l, "toxic") > least
+    assert len(set(rules_seen)) == 1
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(20000) < 0.2
