@@ -26,4 +26,6 @@ def connected_components(edges: DataFrame, scratch: S.Scratch, rounds: int = 60)
         if stamp == before:
             break
         before = stamp
+    else:
+        raise RuntimeError(f"components: the edges still change after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,28 +1,33 @@
 """N-gram Jaccard self-join with skips over set relations.
 
 A document's set holds the 64-bit hashes of its distinct word shingles; equal sets
-collapse to one representative.  In the global order (frequent shingles last, then
-by hash) only a set's prefix of n - ceil(t n) + 1 shingles is indexed.
-
-Index-level skips: an index list is ordered by set size, entries carry their prefix
-position, and a run of entries whose sizes or positions cannot reach the required
-overlap is skipped as a block.  Answer-level skips: first each list compares its sets
-with one pivot only.  Sets found similar to a pivot take it as their leader, and
-their answers follow from the leader's: pairs already in one component need no
-comparison.  Of the rest, sets whose first common shingle has a short list are counted
-over the short lists; that count, and the long lists that both may be in, bound their
-overlap.  Sets whose first common shingle has a long list meet through their leaders, and when two leaders' distance exceeds the
-threshold distance by the members' distances to them (Jaccard distance is a metric)
-all pairs between their members are skipped.  Members are compared one by one only
-between leaders inside that ring.  Every reported link is checked exactly on the two
-whole texts.
+(128-bit digest) collapse to one node.  In the global order (frequent shingles last,
+then by hash) only a set's prefix of n - ceil(t n) + 1 shingles is indexed, and of
+those only the ones that a second set shares.
+
+Answers derived from a similar set: each index list first compares its sets with one
+pivot, the set that shares most of its prefix.  Sets linked with a pivot take over
+its answer, the component, so no two sets of one component are compared again.  What
+is left are lists with several components.  In these, lists are ordered by size and
+carry prefix positions, and runs of entries whose size or position cannot reach the
+overlap are skipped as blocks; the first set of each component computes its distances
+to the list once, and the component's other sets derive theirs from them: by the
+triangle inequality only sets inside the ring of its distance and the allowed
+distance are looked at.  Distances are Hamming distances of parity bitmaps (2 to 4
+bits a shingle), which never exceed the number of shingles that two sets do not
+share; so pairs that pass are few, and each is then checked exactly on both texts.
+
+A list of more than ``block`` entries is dealt to several tasks: entries of its
+largest component by hash, the others copied to each.  This changes where a pair is
+looked at, not which pairs are.
 
 Frequent shingles are found by mergeable counters over all documents (Misra-Gries);
-any set of them gives the same links.  Defined results: null text and text without
-words have the empty set, are linked with nothing and are their own component; a
-text of fewer than k words is one shingle; a null doc_id takes part in no component
-(component_id null); repeated rows each get a result row; further columns are
-ignored.
+any set of them gives the same links.  At most ``FREQUENT`` times the mean set size
+shingles are that frequent, whatever the corpus size.  Defined results: null text and
+text without words have the empty set, are linked with nothing and are their own
+component; a text of fewer than k words is one shingle; a null doc_id takes part in
+no component (component_id null); repeated rows each get a result row, and rows that
+share a doc_id but not a set are sets of their own; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +45,8 @@ from tessera.llm.components import connected_components
 #: A shingle in more than one of so many documents counts as frequent.
 FREQUENT = 16_000
 COUNTERS = 400_000
-#: Lists with more pairs of sets than this between components are compared through leaders, others pair by pair.
-LIST_PAIRS = 4096
+#: Entries of one list that one task takes at most.
+BLOCK = 4096
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +68,26 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return d, h
 
 
+def set_digests(d: np.ndarray, h: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and 128-bit digest of each text's set."""
+    one, two = np.zeros(texts, np.uint64), np.zeros(texts, np.uint64)
+    np.add.at(one, d, K.mix64(h))
+    np.add.at(two, d, K.mix64(h ^ np.uint64(0x5851F42D4C957F2D)))
+    return np.bincount(d, minlength=texts).astype(np.int64), K.signed(one), K.signed(two)
+
+
+def parity_bitmaps(d: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, words per text): each text's parities of hashed shingles in a power of two of at least 2 n bits."""
+    wide = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(size, 1) / 32)).clip(0).astype(np.int64))
+    wide[size == 0] = 0
+    begin = np.concatenate([[0], np.cumsum(wide)])
+    out = np.zeros(begin[-1], np.uint64)
+    slot = K.mix64(h ^ np.uint64(0x7F4A7C159E3779B9))
+    low = slot & (wide[d].astype(np.uint64) * np.uint64(64) - np.uint64(1))
+    np.bitwise_xor.at(out, begin[d] + (low >> np.uint64(6)).astype(np.int64), np.uint64(1) << (low & np.uint64(63)))
+    return out, wide
+
+
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Sorted hashes of shingles in about more than 1/FREQUENT of the documents: at most FREQUENT times the mean set size."""
 
@@ -70,7 +95,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
         key, count, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for rows in batches:
             n += rows.num_rows
-            for _, _, data, offsets in K.pieces(rows.column(0), 4 << 20):
+            for _, _, data, offsets in K.pieces(rows.column(0)):
                 _, h = shingle_sets(data, offsets, k)
                 new, c = np.unique(h, return_counts=True)
                 both, which = np.unique(np.concatenate([key, new]), return_inverse=True)
@@ -89,243 +114,202 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(K.unsigned(found.select("h").toArrow().column("h").to_numpy()))
 
 
-def indexed_sets(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, h1, h2, prefix): set size, 128-bit digest of the set, and its prefix in the global order."""
-    often = docs.sparkSession.sparkContext.broadcast(frequent)
+def indexed_sets(docs: DataFrame, k: int, percent: int, often) -> DataFrame:
+    """(doc_id, n, h1, h2, prefix, bits): set size, digest, prefix in the global order, parity bitmap; ``often`` is a broadcast."""
 
     def run(rows):
         hot = often.value
         for first, end, data, offsets in K.pieces(rows.column(1)):
             d, h = shingle_sets(data, offsets, k)
-            size = np.bincount(d, minlength=end - first)
+            size, one, two = set_digests(d, h, end - first)
             at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
             late = (hot[at] == h) if len(hot) else np.zeros(len(h), bool)
             order = np.lexsort((h, late, d))
-            begin = np.concatenate([[0], np.cumsum(size)])
-            place = np.arange(len(h)) - begin[d]
-            need = size - (percent * size + 99) // 100 + 1
-            keep = place < need[d]
-            total = [np.zeros(end - first, np.uint64), np.zeros(end - first, np.uint64)]
-            np.add.at(total[0], d, K.mix64(h))
-            np.add.at(total[1], d, K.mix64(h ^ np.uint64(0x5851F42D4C957F2D)))
-            yield S.batch(doc_id=rows.column(0).slice(first, end - first), n=size.astype(np.int64), h1=K.signed(total[0]), h2=K.signed(total[1]), prefix=K.list_array(K.signed(h[order][keep]), np.bincount(d[keep], minlength=end - first)))
-
-    return S.arrow_map(docs, run, "doc_id long, n long, h1 long, h2 long, prefix array<long>")
-
+            place = np.arange(len(h)) - np.concatenate([[0], np.cumsum(size)])[d]
+            keep = place < (size - (percent * size + 99) // 100 + 1)[d]
+            bits, wide = parity_bitmaps(d, h, size)
+            yield S.batch(doc_id=rows.column(0).slice(first, end - first), n=size, h1=one, h2=two, prefix=K.list_array(K.signed(h[order][keep]), np.bincount(d[keep], minlength=end - first)), bits=K.list_array(K.signed(bits), wide))
 
-def enough(na: np.ndarray, nb: np.ndarray, overlap: np.ndarray, percent: int) -> np.ndarray:
-    return (100 + percent) * overlap >= percent * (na + nb)
+    return S.arrow_map(docs, run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, bits array<long>")
 
 
-def _lists(batches, columns: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Whole index lists (runs of one token) of a sorted partition, several at a time."""
-    held = None
+def whole_lists(batches) -> Iterator:
+    """Record batches cut so that each run of equal first columns (sorted) lies in one table."""
+    held, last = [], None
     for rows in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in rows.columns[:columns]]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
-        token = cols[0]
-        cut = int(np.searchsorted(token, token[-1], "left")) if len(token) else 0
-        held = [c[cut:] for c in cols]
-        if cut:
-            yield tuple(c[:cut] for c in cols)
-    if held is not None and len(held[0]):
-        yield tuple(held)
-
-
-def _runs(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    return start, np.diff(np.append(start, len(token)))
-
-
-def few_pairs(size):
-    return size * (size - 1) // 2 <= LIST_PAIRS
-
-
-def pivot_pairs(batches):
-    """Of each index list of two sets or more: its pivot with every other set that size and position allow; the list itself goes on as ``n`` > 0 rows."""
-    percent = 80
-    for token, n, doc, pos in _lists(batches, 4):
-        start, size = _runs(token)
-        many = np.repeat(size > 1, size)
-        if not many.any():
+        if not rows.num_rows:
             continue
-        token, n, doc, pos = token[many], n[many], doc[many], pos[many]
-        start, size = _runs(token)
-        group = np.repeat(np.arange(len(start)), size)
-        rank = K.mix64(doc.astype(np.uint64))
-        best = np.lexsort((doc, rank, group))[start]
-        pivot = best[group]
-        ok = (pivot != np.arange(len(doc))) & enough(n, n[pivot], 1 + np.minimum(n - 1 - pos, n[pivot] - 1 - pos[pivot]), percent)
-        zero, least = np.zeros(len(doc), np.int64), np.minimum(n, n[pivot])[ok]
-        yield S.batch(token=token, a=doc, b=zero - 1, n=n, pos=pos, long=np.repeat(~few_pairs(size), size))
-        a, b = doc[ok], doc[pivot][ok]
-        yield S.batch(token=zero[: len(a)], a=np.minimum(a, b), b=np.maximum(a, b), n=least, pos=zero[: len(a)].astype(np.int32), long=np.zeros(len(a), bool))
-
-
-def list_pairs(batches):
-    """Of each list, pairs of sets in different components.
-
-    A list with few pairs gives all that sizes allow, to be counted over the lists:
-    ``need`` > 0 short lists must have the pair, and ``first`` tells whether its overlap
-    suffices if this list's shingle is the first common one.  A longer list gives its
-    pairs of leaders that sizes and positions allow, with need = 0; its positions hold
-    for sets that have their first common shingle here.
-    """
-    percent = 80
-    for token, n, doc, pos, leader, comp, n_long in _lists(batches, 7):
-        start, size = _runs(token)
-        out = []
-        for s, z in zip(start[size > 1], size[size > 1]):
-            c = comp[s : s + z]
-            if (c == c[0]).all():
+        key = rows.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1], "left"))
+        if held and cut == 0 and last == key[-1]:
+            held.append(rows)
+            continue
+        done = [*held, rows.slice(0, cut)] if cut else held
+        if done:
+            yield S.pa.Table.from_batches(done).combine_chunks()
+        held, last = [rows.slice(cut)], key[-1]
+    if held:
+        yield S.pa.Table.from_batches(held).combine_chunks()
+
+
+def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, begin: np.ndarray, wide: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of one list, ordered by size, that lie in different components and may be similar."""
+    out = []
+    rest = n - 1 - pos
+    for w in np.unique(wide):  # a similar set is at most 5/4 as large: its bitmap has as many words or twice as many
+        own = wide == w
+        at = np.flatnonzero(own | (wide == 2 * w))
+        cell = bits[begin[at][:, None] + np.arange(w)]
+        double = np.flatnonzero(~own[at])
+        cell[double] ^= bits[begin[at][double][:, None] + w + np.arange(w)]
+        nn, pp, rr, cc, mine = n[at], pos[at], rest[at], comp[at], own[at]
+        order = np.flatnonzero(mine)
+        order = order[np.argsort(cc[order], kind="stable")]
+        leader, distance = None, None
+        for i in order:
+            stop = int(np.searchsorted(nn, nn[i] * 100 // percent, "right"))
+            if stop <= i + 1:
                 continue
-            nn, dd, pp, ll = n[s : s + z], doc[s : s + z], pos[s : s + z], leader[s : s + z]
-            few = few_pairs(z)
-            seen_a, seen_b = [], []
-            for i in range(z - 1):  # sizes ascend: the block of sets that are small enough ends at ``stop``
-                stop = i + 1 + int(np.searchsorted(nn[i + 1 :], nn[i] * 100 // percent, "right"))
-                j = np.arange(i + 1, stop)
-                j = j[c[j] != c[i]]
-                if not few:
-                    j = j[enough(nn[j], nn[i], 1 + np.minimum(nn[j] - 1 - pp[j], nn[i] - 1 - pp[i]), percent)]
-                if len(j):
-                    seen_a.append(np.full(len(j), i))
-                    seen_b.append(j)
-            if seen_a:
-                a, b = np.concatenate(seen_a), np.concatenate(seen_b)
-                if few:
-                    first = enough(nn[a], nn[b], 1 + np.minimum(nn[a] - 1 - pp[a], nn[b] - 1 - pp[b]), percent)
-                    # both prefixes hold every common shingle up to the smaller of their last ones: those counted, those in long lists, and what follows bound the overlap
-                    after = (percent * np.maximum(nn[a], nn[b]) + 99) // 100 - 1
-                    both = np.minimum(n_long[s + a], n_long[s + b])
-                    need = np.maximum(-(-percent * (nn[a] + nn[b]) // (100 + percent)) - after - both, 1)
-                    out.append(np.stack([np.minimum(dd[a], dd[b]), np.maximum(dd[a], dd[b]), need, first]))
-                else:
-                    one = np.unique(np.stack([np.minimum(ll[a], ll[b]), np.maximum(ll[a], ll[b])]), axis=1)
-                    out.append(np.vstack([one, np.zeros_like(one)]))
-        if out:
-            a, b, need, first = np.concatenate(out, axis=1)
-            yield S.batch(a=a, b=b, need=need, first=first.astype(bool))
-
-
-def member_pairs(batches):
-    """As ``leader_pairs``, the pairs of sets themselves; the last column names the ring of leaders a list is opened for."""
-    percent = 80
-    for token, n, doc, pos, leader, comp, ring in _lists(batches, 7):
-        start, size = _runs(token)
-        for s, z in zip(start[size > 1], size[size > 1]):
-            sl = slice(s, s + z)
-            nn, dd, pp, c = n[sl], doc[sl], pos[sl], comp[sl]
-            for i in range(z - 1):
-                stop = i + 1 + int(np.searchsorted(nn[i + 1 :], nn[i] * 100 // percent, "right"))
-                j = np.arange(i + 1, stop)
-                j = j[(c[j] != c[i]) & enough(nn[j], nn[i], 1 + np.minimum(nn[j] - 1 - pp[j], nn[i] - 1 - pp[i]), percent)]
+            if leader is None or cc[leader] != cc[i]:  # the component's answer in this list
+                leader, distance = i, np.bitwise_count(cell ^ cell[i]).sum(1, dtype=np.int64)
+            j = np.arange(i + 1, stop)
+            most = (100 - percent) * (nn[j] + nn[i]) // (100 + percent)
+            j = j[(cc[j] != cc[i]) & (np.abs(distance[j] - distance[i]) <= most) & ((100 + percent) * (1 + np.minimum(pp[j], pp[i]) + np.minimum(rr[j], rr[i])) >= percent * (nn[j] + nn[i]))]
+            if len(j):
+                far = np.bitwise_count(cell[j] ^ cell[i]).sum(1, dtype=np.int64)
+                j = j[far <= (100 - percent) * (nn[j] + nn[i]) // (100 + percent)]
                 if len(j):
-                    yield S.batch(a=np.minimum(dd[i], dd[j]), b=np.maximum(dd[i], dd[j]))
+                    out.append((np.full(len(j), at[i]), at[j]))
+    return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, scratch: S.Scratch, k: int, chunk: int = 256) -> DataFrame:
-    """(a, b, na, nb, overlap) of distinct pairs, counted on the whole texts; each a's partners come in salted chunks."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = scratch.write(docs.join(S.small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
+def close_pairs(percent: int):
+    """Kernel: rows (cell, n, node, pos, comp, bits) sorted by cell and n in; pairs (a, b) out."""
+
+    def run(batches):
+        for rows in whole_lists(batches):
+            cell, n, node, pos, comp = (rows.column(i).to_numpy() for i in range(5))
+            lists = rows.column(5).combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, S.pa.ChunkedArray) else lists
+            offsets, bits = lists.offsets.to_numpy().astype(np.int64), K.unsigned(lists.values.to_numpy())
+            start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            stop = np.append(start[1:], len(cell))
+            found = []
+            for s, e in zip(start, stop):
+                if e - s > 1 and (comp[s:e] != comp[s]).any():
+                    found += [(i + s, j + s) for i, j in list_pairs(n[s:e], pos[s:e], comp[s:e], offsets[s:e], np.diff(offsets[s : e + 1]), bits, percent)]
+            if found:
+                i, j = (np.concatenate(x) for x in zip(*found))
+                pair = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+                for at in range(0, pair.shape[1], 100_000):
+                    yield S.batch(a=pair[0, at : at + 100_000], b=pair[1, at : at + 100_000])
+
+    return run
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: S.Scratch, k: int, chunk: int = 256) -> DataFrame:
+    """(a, b, na, nb, overlap) of distinct pairs of nodes, counted on the whole texts; each a's partners come in salted chunks."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = classes.join(S.small(ids), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "n", "h1", "h2")
+    wanted = scratch.write(wanted, "wanted")
+    texts = scratch.write(docs.join(S.small(wanted), "doc_id").select("node", "n", "h1", "h2", "text"), "pair-texts")
+    if texts.count() > wanted.count():  # rows that repeat a doc_id
+        texts = scratch.write(texts.dropDuplicates(["node", "text"]), "one-text-each")
     heavy = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
     salted = pairs.join(heavy, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    left = salted.select("a", "part").distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "part", F.lit(-1).cast("long").alias("b"), "text", F.lit(0).alias("kind"))
-    right = salted.join(texts, F.col("b") == F.col("doc_id")).select("a", "part", "b", "text", F.lit(1).alias("kind"))
-    rows = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
+    left = salted.select("a", "part").distinct().join(texts, F.col("a") == F.col("node")).select("a", "part", F.lit(-1).cast("long").alias("b"), "n", "h1", "h2", "text")
+    right = salted.join(texts, F.col("b") == F.col("node")).select("a", "part", "b", "n", "h1", "h2", "text")
+    rows = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", "b")
 
     def run(batches):
         key, mine = None, None
         for batch in batches:
-            a, part, b = (batch.column(i).to_numpy() for i in range(3))
-            for first, end, data, offsets in K.pieces(batch.column(3)):
+            a, part, b, n, h1, h2 = (batch.column(i).to_numpy() for i in range(6))
+            for first, end, data, offsets in K.pieces(batch.column(6)):
                 d, h = shingle_sets(data, offsets, k)
+                size, one, two = set_digests(d, h, end - first)
+                own = (size == n[first:end]) & (one == h1[first:end]) & (two == h2[first:end])  # another text of the same doc_id is not the node's
                 begin = np.searchsorted(d, np.arange(end - first + 1))
                 out = []
-                for i in range(end - first):
-                    own = h[begin[i] : begin[i + 1]]
-                    if b[first + i] == -1 and (key is None or key != (a[first + i], part[first + i])):
-                        key, mine = (a[first + i], part[first + i]), own
-                    else:
-                        at = np.minimum(np.searchsorted(mine, own), len(mine) - 1)
-                        out.append((a[first + i], b[first + i], len(mine), len(own), int((mine[at] == own).sum())))
+                for i in np.flatnonzero(own):
+                    x = h[begin[i] : begin[i + 1]]
+                    if b[first + i] == -1:
+                        key, mine = (a[first + i], part[first + i]), x
+                    elif key == (a[first + i], part[first + i]):
+                        at = np.minimum(np.searchsorted(mine, x), len(mine) - 1)
+                        out.append((a[first + i], b[first + i], len(mine), len(x), int((mine[at] == x).sum())))
                 if out:
                     yield S.batch(**{c: np.array(v, np.int64) for c, v in zip(("a", "b", "na", "nb", "overlap"), zip(*out))})
 
     S.ship(docs.sparkSession)
-    out = scratch.write(rows.select("a", "part", "b", "text").mapInArrow(run, "a long, b long, na long, nb long, overlap long"), "verified")
+    out = scratch.write(rows.mapInArrow(run, "a long, b long, na long, nb long, overlap long"), "verified")
     scratch.drop(texts)
     return out
 
 
-def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, S.Scratch]:
-    """(sets, links): doc_id, n, rep of every document, and the exact links (a, b) found between representatives."""
-    if percent != 80:
-        raise ValueError("the index kernels are built for 80 percent")
+def deal(lists: DataFrame, block: int) -> DataFrame:
+    """``cell`` for each entry: the list, or the parts of a long list in which the entry meets all entries of other components."""
+    own = F.xxhash64("node", F.lit(5))
+    major, other = F.ceil(F.col("most") / block), F.greatest(F.ceil((F.col("entries") - F.col("most")) / block), F.lit(1))
+    b, o = F.pmod(own, major), F.pmod(own, other)
+    cells = F.when(F.col("entries") <= block, F.array(F.lit(0).cast("long")))
+    cells = cells.when(F.col("comp") == F.col("major"), F.transform(F.sequence(F.lit(0).cast("long"), other - 1), lambda x: b * other + x))
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), major - 1), lambda x: x * other + o)
+    among = F.transform(F.sequence(F.lit(0).cast("long"), other - 1), lambda x: (major + F.least(x, o)) * other + F.greatest(x, o))
+    cells = cells.otherwise(F.concat(meet, among))
+    return lists.select("token", "n", "node", "pos", "comp", F.explode(cells).alias("cell")).select(F.xxhash64("token", "cell").alias("cell"), "n", "node", "pos", "comp")
+
+
+def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame, S.Scratch]:
+    """(membership, classes, links, scratch): doc_id, n, node of every document; node, rep; and enough exact links (a, b) of nodes to connect every component."""
     spark = docs.sparkSession
     scratch = S.Scratch(spark)
     docs = S.texts_of(docs).where("doc_id is not null")
-    sets = scratch.write(indexed_sets(docs, k, percent, frequent_shingles(docs, k)), "sets")
-    reps = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    membership = scratch.write(sets.select("doc_id", "n", "h1", "h2").join(reps, ["n", "h1", "h2"], "left").select("doc_id", "n", "rep"), "classes")
-    only = membership.where("rep = doc_id").select("doc_id").distinct()
-    entries = sets.join(S.small(only), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("n", "doc_id", F.posexplode("prefix").alias("pos", "token"))
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    lists = entries.select("token", "n", F.col("doc_id").alias("doc"), "pos").repartition(int(parts), "token").sortWithinPartitions("token", "n", "doc")
-    S.ship(spark)
-    found = scratch.write(lists.mapInArrow(pivot_pairs, "token long, a long, b long, n long, pos int, long boolean"), "lists")
+    often = spark.sparkContext.broadcast(frequent_shingles(docs, k))
+    sets = scratch.write(indexed_sets(docs, k, percent, often), "sets")
+    often.destroy()
+    classes = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")  # written: the ids stay
+    names = classes.select("node", "rep", "n", "h1", "h2")
+    membership = sets.select("doc_id", "n", "h1", "h2").join(S.small(names.select("node", "n", "h1", "h2")), ["n", "h1", "h2"], "left").select("doc_id", "n", "node")
+    membership = scratch.write(membership, "membership")
     scratch.drop(sets)
-    index = found.where("b = -1").select("token", "n", F.col("a").alias("doc"), "pos", "long")
+    entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = scratch.write(entries.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1").select("token"), "shared")
+    index = scratch.write(entries.join(S.small(shared), "token"), "index")
 
     def links_of(checked: DataFrame) -> DataFrame:
-        return checked.where(f"{100 + percent} * overlap >= {percent} * (na + nb)")
-
-    distance = (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("dist")
-    # the first round only has to find leaders: pairs that a sixteenth of the smaller set's shingles point at
-    pointed = found.where("b <> -1").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("16 * c >= n")
-    first = verified(scratch.write(pointed.select("a", "b"), "pivot-pairs"), docs, scratch, k)
-    linked = links_of(first)
-    sides = linked.select("a", "b", distance)
-    choice = sides.select(F.col("a").alias("doc"), F.col("b").alias("leader"), "dist").unionByName(sides.select(F.col("b").alias("doc"), F.col("a").alias("leader"), "dist"))
-    comps = connected_components(linked.select("a", "b"), scratch)
-    # of a component's sets the one with most links leads; sets not linked with it lead themselves
-    degree = choice.groupBy("doc").agg(F.count("*").alias("deg"))
-    ranked = choice.join(degree.select(F.col("doc").alias("leader"), "deg"), "leader")
-    best = ranked.groupBy("doc").agg(F.max(F.struct("deg", (-F.col("leader")).alias("low"), "dist")).alias("x")).select("doc", (-F.col("x.low")).alias("leader"), "x.dist")
-    own = degree.select("doc", "deg").join(best, "doc").join(degree.select(F.col("doc").alias("leader"), F.col("deg").alias("ldeg")), "leader")
-    own = own.select("doc", F.when((F.col("ldeg") > F.col("deg")) | ((F.col("ldeg") == F.col("deg")) & (F.col("leader") < F.col("doc"))), F.struct("leader", "dist")).otherwise(F.struct(F.col("doc").alias("leader"), F.lit(0.0).alias("dist"))).alias("x"))
-    known = scratch.write(own.select("doc", "x.leader", "x.dist").join(comps.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc"), "leaders")
-    in_long = scratch.write(index.where("long").groupBy("doc").agg(F.count("*").alias("n_long")), "in-long")
-    led = index.join(S.small(known), "doc", "left").join(S.small(in_long), "doc", "left")
-    led = led.select("token", "n", "doc", "pos", F.coalesce("leader", "doc").alias("leader"), F.coalesce("comp", "doc").alias("comp"), F.coalesce("n_long", F.lit(0).cast("long")).alias("n_long"))
-    sorted_lists = led.repartition(int(parts), "token").sortWithinPartitions("token", "n", "doc")
-    met = scratch.write(sorted_lists.mapInArrow(list_pairs, "a long, b long, need long, first boolean"), "met")
-    counted = met.where("need > 0").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need"), F.max("first").alias("first")).where("first and c >= need").select("a", "b")
-    led_pairs = scratch.write(met.where("need = 0").select("a", "b").distinct(), "leader-pairs")
-    second = scratch.write(counted.unionByName(led_pairs).distinct(), "second")
-    checked = verified(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), docs, scratch, k).unionByName(first.join(second, ["a", "b"], "left_semi"))
-    scratch.drop(met)
-    reach = known.groupBy("leader").agg(F.max("dist").alias("reach"))
-    near = checked.join(led_pairs, ["a", "b"], "left_semi").select("a", "b", distance).join(reach.select(F.col("leader").alias("a"), F.col("reach").alias("ra")), "a", "left").join(reach.select(F.col("leader").alias("b"), F.col("reach").alias("rb")), "b", "left")
-    limit = 1 - percent / 100
-    ring = near.where((F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)) > 0) & (F.col("dist") > limit + 1e-12) & (F.col("dist") <= limit + F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)) + 1e-9))
-    ring = scratch.write(ring.select("a", "b"), "rings")
-    links = linked.select("a", "b").unionByName(links_of(checked).select("a", "b"))
-    sides = ring.select(F.col("a").alias("leader"), F.xxhash64("a", "b").alias("ring")).unionByName(ring.select(F.col("b").alias("leader"), F.xxhash64("a", "b").alias("ring")))
-    opened = led.join(S.small(sides), "leader").select(F.xxhash64("token", "ring").alias("token"), "n", "doc", "pos", F.col("leader"), F.col("leader").alias("comp"), "ring")
-    third = opened.repartition(int(parts), "token").sortWithinPartitions("token", "n", "doc").mapInArrow(member_pairs, "a long, b long").distinct()
-    third = scratch.write(third.join(checked.select("a", "b").unionByName(first.select("a", "b")), ["a", "b"], "left_anti"), "member-pairs")
-    links = links.unionByName(links_of(verified(third, docs, scratch, k)).select("a", "b"))
-    return membership, links, scratch
-
-
-def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+        return checked.where(f"{100 + percent} * overlap >= {percent} * (na + nb)").select("a", "b")
+
+    typical = index.groupBy("node").agg(F.count("*").alias("known"))
+    ranked = index.join(S.small(scratch.write(typical, "typical")), "node")
+    pivot = ranked.groupBy("token").agg(F.max(F.struct("known", F.xxhash64("node").alias("order"), "node", "n", "pos")).alias("p"))
+    met = index.join(pivot.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp")), "token").where("node <> pivot")
+    reach = f"{100 + percent} * (1 + least(pos, pp) + least(n - 1 - pos, pn - 1 - pp)) >= {percent} * (n + pn)"
+    # the pivot round only has to find leaders: pairs that a twelfth of the smaller set's shingles point at
+    pointed = met.where(reach).groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("n", "pn")).alias("n")).where("12 * c >= n")
+    first = verified(scratch.write(pointed.select("a", "b"), "pivot-pairs"), names, docs, scratch, k)
+    comps = connected_components(links_of(first), scratch)
+    led = index.join(S.small(comps.select("node", F.col("component").alias("comp"))), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    kinds = led.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("kinds"), F.sum("c").alias("entries"), F.max(F.struct("c", "comp")).alias("x"))
+    mixed = scratch.write(kinds.where("kinds > 1").select("token", "entries", F.col("x.c").alias("most"), F.col("x.comp").alias("major")), "mixed")
+    cells = deal(led.join(S.small(mixed), "token"), block).join(classes.select("node", "bits"), "node").select("cell", "n", "node", F.col("pos").cast("long").alias("pos"), "comp", "bits")
+    S.ship(spark)
+    apart = cells.repartition("cell").sortWithinPartitions("cell", "n", "node").mapInArrow(close_pairs(percent), "a long, b long").distinct()
+    apart = scratch.write(apart.join(first.select("a", "b"), ["a", "b"], "left_anti"), "apart-pairs")
+    second = verified(apart, names, docs, scratch, k)
+    links = comps.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links_of(second))
+    return membership, names, links, scratch
+
+
+def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
-    sets, links, scratch = similar_sets(docs, k, percent)
+    membership, names, links, scratch = similar_sets(docs, k, percent, block)
     comps = connected_components(links, scratch)
-    out = sets.join(S.small(comps), F.col("rep") == F.col("node"), "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    linked = scratch.write(names.select("node", "rep").join(S.small(comps), "node", "left").withColumn("component", F.coalesce("component", "node")), "linked")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = linked.join(S.small(scratch.write(least, "least")), "component").select("node", "component_id")
+    out = membership.join(S.small(named), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     orphans = S.texts_of(docs).where("doc_id is null")
     sizes = S.arrow_map(orphans, _sizes(k), "doc_id long, n_shingles long").withColumn("component_id", F.lit(None).cast("long"))
     return out.unionByName(sizes)

@@ -192,9 +192,8 @@ def naive_components(rows):
     return sorted((d, len(s), find(d)) for d, s in sets)
 
 
-@pytest.mark.parametrize("list_pairs", [ngram_join.LIST_PAIRS, 0])
-def test_ngram_join(spark, edge_docs, no_docs, list_pairs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LIST_PAIRS", list_pairs)
+@pytest.mark.parametrize("block", [ngram_join.BLOCK, 3])
+def test_ngram_join(spark, block):
     rng = random.Random(3)
     base = [words(rng, rng.randrange(8, 120)).split() for _ in range(6)]
     rows = []
@@ -206,10 +205,48 @@ def test_ngram_join(spark, edge_docs, no_docs, list_pairs, monkeypatch):
     rows.append((70, " ".join(base[0][:4])))
     rows.append((71, " ".join(base[0][:4]).upper()))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = ngram_join.ngram_components(docs).toPandas()
+    got = ngram_join.ngram_components(docs, block=block).toPandas()
     assert sorted(map(tuple, got[["doc_id", "n_shingles", "component_id"]].itertuples(index=False))) == naive_components(rows)
 
 
+def test_ngram_join_pair_of_rare_and_common_shingles(spark):
+    """Two documents that share 8 rare shingles and 172 that many short documents have as well."""
+    base = [f"w{i}" for i in range(204)]
+    a, b = list(base), list(base)
+    for at in (5, 30, 55, 80):
+        a[at], b[at] = f"a{at}", f"b{at}"
+    rows = [(1, " ".join(a)), (2, " ".join(b))]
+    for i in range(1200):
+        at = 12 + (i * 7) % 180
+        rows.append((100 + i, " ".join([*base[at : at + 6], f"z{i}", f"y{i}", f"x{i}"])))
+    want = naive_components(rows)
+    assert dict((d, c) for d, _, c in want)[2] == 1
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), block=50).toPandas()
+    assert sorted(map(tuple, got[["doc_id", "n_shingles", "component_id"]].itertuples(index=False))) == want
+
+
+def test_ngram_join_large_family(spark):
+    """One text edited here and there 300 times, with sub-families; long lists with many components."""
+    rng = random.Random(8)
+    base = words(rng, 140).split()
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 6, 7, 9, 12])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), block=64).toPandas()
+    assert sorted(map(tuple, got[["doc_id", "n_shingles", "component_id"]].itertuples(index=False))) == naive_components(rows)
+
+
+def test_ngram_join_repeated_ids(spark):
+    """Rows that share a doc_id but not a text are sets of their own."""
+    one, two = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(60))
+    rows = [(5, one), (5, two), (7, one + " x"), (9, two + " y"), (5, one), (3, "else")]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(3, 1, 3), (5, 56, 5), (5, 56, 5), (5, 56, 5), (7, 57, 5), (9, 57, 5)]
+
+
 def test_ngram_join_short_and_long_lists(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(204)]
