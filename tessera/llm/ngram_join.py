@@ -14,8 +14,11 @@ overlap are skipped as blocks; the first set of each component computes its dist
 to the list once, and the component's other sets derive theirs from them: by the
 triangle inequality only sets inside the ring of its distance and the allowed
 distance are looked at.  Distances are Hamming distances of parity bitmaps (2 to 4
-bits a shingle), which never exceed the number of shingles that two sets do not
-share; so pairs that pass are few, and each is then checked exactly on both texts.
+bits a shingle, 512 bits at most), which never exceed the number of shingles that two
+sets do not share.  Two similar sets also share at least their required overlap less
+the larger rest behind a prefix in their prefixes: sets that know fewer shared
+shingles are no pair, and a pair that passes is counted over the lists.  Pairs with
+enough lists are few, and each is then checked exactly on both texts.
 
 A list of more than ``block`` entries is dealt to several tasks: entries of its
 largest component by hash, the others copied to each.  This changes where a pair is
@@ -47,6 +50,8 @@ FREQUENT = 16_000
 COUNTERS = 400_000
 #: Entries of one list that one task takes at most.
 BLOCK = 4096
+#: Words of a parity bitmap at most: what it cannot tell apart the counts of shared prefix shingles do.
+WIDEST = 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +82,8 @@ def set_digests(d: np.ndarray, h: np.ndarray, texts: int) -> tuple[np.ndarray, n
 
 
 def parity_bitmaps(d: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, words per text): each text's parities of hashed shingles in a power of two of at least 2 n bits."""
-    wide = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(size, 1) / 32)).clip(0).astype(np.int64))
+    """(words, words per text): each text's parities of hashed shingles in a power of two of at least 2 n bits, or of ``WIDEST`` words."""
+    wide = np.minimum(WIDEST, 1 << np.ceil(np.log2(np.maximum(size, 1) / 32)).clip(0).astype(np.int64))
     wide[size == 0] = 0
     begin = np.concatenate([[0], np.cumsum(wide)])
     out = np.zeros(begin[-1], np.uint64)
@@ -152,7 +157,7 @@ def whole_lists(batches) -> Iterator:
         yield S.pa.Table.from_batches(held).combine_chunks()
 
 
-def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, begin: np.ndarray, wide: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, known: np.ndarray, begin: np.ndarray, wide: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of one list, ordered by size, that lie in different components and may be similar."""
     out = []
     rest = n - 1 - pos
@@ -162,7 +167,7 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, begin: np.ndarr
         cell = bits[begin[at][:, None] + np.arange(w)]
         double = np.flatnonzero(~own[at])
         cell[double] ^= bits[begin[at][double][:, None] + w + np.arange(w)]
-        nn, pp, rr, cc, mine = n[at], pos[at], rest[at], comp[at], own[at]
+        nn, pp, rr, cc, kk, mine = n[at], pos[at], rest[at], comp[at], known[at], own[at]
         order = np.flatnonzero(mine)
         order = order[np.argsort(cc[order], kind="stable")]
         leader, distance = None, None
@@ -175,6 +180,7 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, begin: np.ndarr
             j = np.arange(i + 1, stop)
             most = (100 - percent) * (nn[j] + nn[i]) // (100 + percent)
             j = j[(cc[j] != cc[i]) & (np.abs(distance[j] - distance[i]) <= most) & ((100 + percent) * (1 + np.minimum(pp[j], pp[i]) + np.minimum(rr[j], rr[i])) >= percent * (nn[j] + nn[i]))]
+            j = j[np.minimum(kk[j], kk[i]) >= needed(nn[j], nn[i], percent)]
             if len(j):
                 far = np.bitwise_count(cell[j] ^ cell[i]).sum(1, dtype=np.int64)
                 j = j[far <= (100 - percent) * (nn[j] + nn[i]) // (100 + percent)]
@@ -183,13 +189,19 @@ def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, begin: np.ndarr
     return out
 
 
+def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Shared prefix shingles that two similar sets have at least: behind the prefix that ends first lie at most ceil(t n) - 1 more."""
+    overlap = -(-percent * (na + nb) // (100 + percent))
+    return np.maximum(overlap - (-(-percent * np.maximum(na, nb) // 100)) + 1, 1)
+
+
 def close_pairs(percent: int):
-    """Kernel: rows (cell, n, node, pos, comp, bits) sorted by cell and n in; pairs (a, b) out."""
+    """Kernel: rows (cell, n, node, pos, comp, known, bits) sorted by cell and n in; pairs (a, b), what they need and their lists out."""
 
     def run(batches):
         for rows in whole_lists(batches):
-            cell, n, node, pos, comp = (rows.column(i).to_numpy() for i in range(5))
-            lists = rows.column(5).combine_chunks()
+            cell, n, node, pos, comp, known = (rows.column(i).to_numpy() for i in range(6))
+            lists = rows.column(6).combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, S.pa.ChunkedArray) else lists
             offsets, bits = lists.offsets.to_numpy().astype(np.int64), K.unsigned(lists.values.to_numpy())
             start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
@@ -197,12 +209,13 @@ def close_pairs(percent: int):
             found = []
             for s, e in zip(start, stop):
                 if e - s > 1 and (comp[s:e] != comp[s]).any():
-                    found += [(i + s, j + s) for i, j in list_pairs(n[s:e], pos[s:e], comp[s:e], offsets[s:e], np.diff(offsets[s : e + 1]), bits, percent)]
+                    found += [(i + s, j + s) for i, j in list_pairs(n[s:e], pos[s:e], comp[s:e], known[s:e], offsets[s:e], np.diff(offsets[s : e + 1]), bits, percent)]
             if found:
                 i, j = (np.concatenate(x) for x in zip(*found))
-                pair = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+                pair, lists = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), needed(n[i], n[j], percent)]), axis=1, return_counts=True)
                 for at in range(0, pair.shape[1], 100_000):
-                    yield S.batch(a=pair[0, at : at + 100_000], b=pair[1, at : at + 100_000])
+                    part = slice(at, at + 100_000)
+                    yield S.batch(a=pair[0, part], b=pair[1, part], need=pair[2, part], lists=lists[part].astype(np.int64))
 
     return run
 
@@ -257,7 +270,7 @@ def deal(lists: DataFrame, block: int) -> DataFrame:
     meet = F.transform(F.sequence(F.lit(0).cast("long"), major - 1), lambda x: x * other + o)
     among = F.transform(F.sequence(F.lit(0).cast("long"), other - 1), lambda x: (major + F.least(x, o)) * other + F.greatest(x, o))
     cells = cells.otherwise(F.concat(meet, among))
-    return lists.select("token", "n", "node", "pos", "comp", F.explode(cells).alias("cell")).select(F.xxhash64("token", "cell").alias("cell"), "n", "node", "pos", "comp")
+    return lists.select("token", "n", "node", "pos", "comp", "known", F.explode(cells).alias("cell")).withColumn("cell", F.xxhash64("token", "cell"))
 
 
 def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame, S.Scratch]:
@@ -281,21 +294,22 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BL
     def links_of(checked: DataFrame) -> DataFrame:
         return checked.where(f"{100 + percent} * overlap >= {percent} * (na + nb)").select("a", "b")
 
-    typical = index.groupBy("node").agg(F.count("*").alias("known"))
-    ranked = index.join(S.small(scratch.write(typical, "typical")), "node")
-    pivot = ranked.groupBy("token").agg(F.max(F.struct("known", F.xxhash64("node").alias("order"), "node", "n", "pos")).alias("p"))
+    typical = scratch.write(index.groupBy("node").agg(F.count("*").alias("known")), "typical")
+    ranked = index.join(S.small(typical), "node")
+    pivot = ranked.groupBy("token").agg(F.max(F.struct("known", "node", F.col("n").cast("int").alias("n"), "pos")).alias("p"))
     met = index.join(pivot.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp")), "token").where("node <> pivot")
     reach = f"{100 + percent} * (1 + least(pos, pp) + least(n - 1 - pos, pn - 1 - pp)) >= {percent} * (n + pn)"
     # the pivot round only has to find leaders: pairs that a twelfth of the smaller set's shingles point at
     pointed = met.where(reach).groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("n", "pn")).alias("n")).where("12 * c >= n")
     first = verified(scratch.write(pointed.select("a", "b"), "pivot-pairs"), names, docs, scratch, k)
     comps = connected_components(links_of(first), scratch)
-    led = index.join(S.small(comps.select("node", F.col("component").alias("comp"))), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    led = ranked.join(S.small(comps.select("node", F.col("component").alias("comp"))), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     kinds = led.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("kinds"), F.sum("c").alias("entries"), F.max(F.struct("c", "comp")).alias("x"))
     mixed = scratch.write(kinds.where("kinds > 1").select("token", "entries", F.col("x.c").alias("most"), F.col("x.comp").alias("major")), "mixed")
-    cells = deal(led.join(S.small(mixed), "token"), block).join(classes.select("node", "bits"), "node").select("cell", "n", "node", F.col("pos").cast("long").alias("pos"), "comp", "bits")
+    cells = deal(led.join(S.small(mixed), "token"), block).join(classes.select("node", "bits"), "node").select("cell", "n", "node", F.col("pos").cast("long").alias("pos"), "comp", "known", "bits")
     S.ship(spark)
-    apart = cells.repartition("cell").sortWithinPartitions("cell", "n", "node").mapInArrow(close_pairs(percent), "a long, b long").distinct()
+    apart = cells.repartition("cell").sortWithinPartitions("cell", "n", "node").mapInArrow(close_pairs(percent), "a long, b long, need long, lists long")
+    apart = apart.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.max("need").alias("need")).where("lists >= need").select("a", "b")
     apart = scratch.write(apart.join(first.select("a", "b"), ["a", "b"], "left_anti"), "apart-pairs")
     second = verified(apart, names, docs, scratch, k)
     links = comps.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links_of(second))

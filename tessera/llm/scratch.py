@@ -19,6 +19,9 @@ import tessera
 #: A side of at most so many values (columns and array elements of all rows) is broadcast: tens of MB as a hash relation.
 BROADCAST_VALUES = 1_500_000
 
+#: Rows of an Arrow batch: whole texts, some of them long, and a worker holds two or three copies of a batch.
+BATCH_ROWS = 1000
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of this session's own only where the cluster names none (tests)."""
@@ -72,8 +75,9 @@ def small(df: DataFrame, values: int = BROADCAST_VALUES) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
+    """Send this package to the executors' Python workers, once for each application; keep Arrow batches of whole texts small."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, "_tessera_shipped", False):
         return
     top = Path(tessera.__file__).parent
@@ -93,6 +97,7 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
         for batch in batches:
             if batch.num_rows:
                 yield from f(batch)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -101,6 +106,11 @@ def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def row_key(doc_id: Column, digest: Column) -> Column:
+    """128-bit identity of a row: its doc_id (null is one, too) and the digest of its text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), digest).cast("binary")))
+
+
 def texts_of(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns an operator works on, whatever else the table holds."""
     return docs.select(*(F.col(f"`{c}`") for c in ("doc_id", "text", *keep)))
@@ -108,7 +118,7 @@ def texts_of(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 
-def merge_ranges(df: DataFrame, key: str) -> DataFrame:
+def merge_ranges(df: DataFrame, key: str, kind: str = "long") -> DataFrame:
     """Per key, the union of its (low, high) ranges of integers, as two arrays; ranges that touch become one."""
     ordered = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("x")).select(key, F.col("x.low").alias("low"), F.col("x.high").alias("high"))
 
@@ -125,4 +135,4 @@ def merge_ranges(df: DataFrame, key: str) -> DataFrame:
             out.append((lows, highs))
         yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in zip(*out))], names=[key, "low", "high"])
 
-    return arrow_map(ordered, run, f"{key} long, low array<long>, high array<long>")
+    return arrow_map(ordered, run, f"{key} {kind}, low array<long>, high array<long>")
