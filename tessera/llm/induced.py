@@ -3,10 +3,16 @@
 The sorter classifies suffixes (L: greater than their successor, S: smaller; S*: an S
 after an L), names the substrings between S* positions, recurses while names repeat,
 and induces first the L, then the S suffixes.  Both inductions run on a priority
-queue of (symbol, order of the successor, position) tuples that carries the common
-prefix with the queue's previous tuple of the same symbol; beyond ``memory`` tuples
-the queue writes sorted runs to anonymous temporary files (a task's own spill, gone
-with the task) and merges them on reading.
+queue of suffix tuples that carries the common prefix with the queue's previous tuple
+of the same symbol.
+
+Two queues serve.  With few symbols (``BucketQueue``) the queue is monotone: symbols
+are taken in order, and a symbol's tuples in order of arrival, so all that wait for a
+symbol are taken and induced from at once, as arrays.  With many symbols (the names of
+a recursion) tuples are taken one by one from a heap (``DiskQueue``).  Beyond
+``memory`` tuples either queue writes to anonymous temporary files (a task's own
+spill, gone with the task), and texts and results of more than ``memory`` symbols are
+arrays on disk as well.
 """
 
 from __future__ import annotations
@@ -18,6 +24,173 @@ from collections.abc import Iterator
 
 import numpy as np
 
+#: Common prefix of nothing yet.
+OPEN = np.int64(1) << 60
+
+
+def kept(values: np.ndarray, memory: int) -> np.ndarray:
+    """The array, on disk if it has more than ``memory`` values."""
+    if len(values) <= memory:
+        return values
+    out = np.memmap(tempfile.TemporaryFile(), values.dtype, "w+", shape=values.shape)
+    out[:] = values
+    return out
+
+
+class BucketQueue:
+    """Monotone priority queue: (position, common) tuples by symbol, in order of arrival; overflow is appended to a file."""
+
+    def __init__(self, memory: int):
+        self.memory, self.held, self.parts, self.file, self.end = memory, 0, {}, None, 0
+
+    def put(self, symbol: int, position: np.ndarray, common: np.ndarray) -> None:
+        self.parts.setdefault(symbol, []).append(np.stack([position, common]))
+        self.held += len(position)
+        if self.held > self.memory:
+            self._spill()
+
+    def _spill(self) -> None:
+        self.file = self.file or tempfile.TemporaryFile()  # noqa: SIM115  lives as long as the queue
+        self.file.seek(self.end)
+        for symbol, parts in self.parts.items():
+            for i, part in enumerate(parts):
+                if isinstance(part, np.ndarray):
+                    part.tofile(self.file)
+                    parts[i] = (self.end, part.shape[1])
+                    self.end += part.nbytes
+        self.held = 0
+
+    def __contains__(self, symbol: int) -> bool:
+        return symbol in self.parts
+
+    def take(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for part in self.parts.pop(symbol):
+            if isinstance(part, tuple):
+                self.file.seek(part[0])
+                part = np.fromfile(self.file, np.int64, 2 * part[1]).reshape(2, -1)
+            else:
+                self.held -= part.shape[1]
+            out.append(part)
+        both = out[0] if len(out) == 1 else np.concatenate(out, axis=1)
+        return both[0], both[1]
+
+
+class Minima:
+    """Range minima of an array, by doubling."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while 2 << (len(self.levels) - 1) <= len(values):
+            a, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(a[:-step], a[step:]))
+
+    def over(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Minimum of [low, high) each; ``OPEN`` where that is empty."""
+        size = high - low
+        out = np.full(len(low), OPEN)
+        level = np.frexp(np.maximum(size, 1).astype(np.float64))[1] - 1
+        for k in np.unique(level[size > 0]):
+            at = np.flatnonzero((level == k) & (size > 0))
+            row = self.levels[k]
+            out[at] = np.minimum(row[low[at]], row[high[at] - (1 << int(k))])
+        return out
+
+
+class Inducer:
+    """Sends the left neighbours of processed suffixes, of one type, to the queue with their common prefixes."""
+
+    def __init__(self, t: np.ndarray, is_s: np.ndarray, up: bool, skip: int, symbols: int, memory: int):
+        self.t, self.is_s, self.up, self.skip = t, is_s, up, skip
+        self.queue = BucketQueue(memory)
+        self.since = np.full(symbols, -1, np.int64)  # least gap since a symbol's last tuple; -1: none yet
+
+    def process(self, position: np.ndarray, gap: np.ndarray) -> None:
+        """``gap``: common prefix of each suffix with the one processed before it."""
+        left = position - 1
+        i = np.flatnonzero((left >= 0) & (self.is_s[left] == self.up))
+        i = i[self.t[left[i]] > self.skip]
+        lowest = gap.min()
+        if not len(i):
+            np.minimum(self.since, lowest, out=self.since)
+            return
+        symbol = self.t[left[i]]
+        order = np.argsort(symbol, kind="stable")
+        i, symbol = i[order], symbol[order]
+        new = np.concatenate([[True], symbol[1:] != symbol[:-1]])
+        start = np.flatnonzero(new)
+        stop = np.append(start[1:], len(i))
+        minima = Minima(gap)
+        before = np.where(new, 0, np.concatenate([[0], i[:-1] + 1]))
+        shared = minima.over(before, i + 1)
+        own = symbol[start]
+        shared[start] = np.minimum(shared[start], self.since[own])
+        shared += 1
+        np.minimum(self.since, lowest, out=self.since)
+        last = i[stop - 1]
+        self.since[own] = minima.over(last + 1, np.full(len(last), len(gap)))
+        left = left[i]
+        for c, a, b in zip(own.tolist(), start.tolist(), stop.tolist()):
+            self.queue.put(c, left[a:b], shared[a:b])
+
+
+def _join(parts: list[np.ndarray], memory: int) -> np.ndarray:
+    return kept(np.concatenate(parts), memory) if parts else np.zeros(0, np.int64)
+
+
+def _induce_l(t, is_s, run, seeds: np.ndarray, common: np.ndarray, ends: int, memory: int) -> tuple[np.ndarray, np.ndarray]:
+    """The L suffixes in ascending order, with common prefixes, from the sorted S* suffixes; symbols up to ``ends`` occur once each."""
+    symbols = int(t.max()) + 1
+    work = Inducer(t, is_s, False, -1, symbols, memory)
+    out_p, out_c = [], []
+    symbol = t[seeds]
+    first = np.searchsorted(symbol, np.arange(symbols + 1))
+    low = int(first[min(ends + 1, symbols)])
+    if low:
+        work.process(seeds[:low], np.zeros(low, np.int64))
+    for c in range(symbols):
+        before = None
+        while c in work.queue:
+            p, gap = work.queue.take(c)
+            out_p.append(p)
+            out_c.append(gap)
+            before = p[-1]
+            work.process(p, gap)
+        a, b = int(first[c]), int(first[c + 1])
+        if c > ends and b > a:
+            gap = np.array(common[a:b])
+            gap[0] = 0 if before is None else min(run[before], run[seeds[a]])
+            work.process(seeds[a:b], gap)
+    return _join(out_p, memory), _join(out_c, memory)
+
+
+def _induce_s(t, is_s, run, seeds: np.ndarray, common: np.ndarray, ends: int, memory: int) -> tuple[np.ndarray, np.ndarray]:
+    """The S suffixes in descending order from the sorted L suffixes; a value relates a suffix to the one after it."""
+    symbols = int(t.max()) + 1
+    work = Inducer(t, is_s, True, ends, symbols, memory)
+    out_p, out_c = [], []
+    first = np.searchsorted(t[seeds], np.arange(symbols + 1))
+    for c in range(symbols - 1, ends, -1):
+        before = None
+        while c in work.queue:
+            p, gap = work.queue.take(c)
+            out_p.append(p)
+            out_c.append(gap)
+            before = p[-1]
+            work.process(p, gap)
+        a, b = int(first[c]), int(first[c + 1])
+        if b > a:
+            gap = np.zeros(b - a, np.int64)
+            gap[1:] = common[a + 1 : b][::-1]
+            gap[0] = 0 if before is None else min(run[before], run[seeds[b - 1]])
+            work.process(seeds[a:b][::-1], gap)
+    once = np.flatnonzero(is_s & (t > 0) & (t <= ends))  # each symbol of its own, nothing to induce from
+    once = once[np.argsort(t[once])][::-1]
+    out_p.append(once)
+    out_c.append(np.zeros(len(once), np.int64))
+    pos, gap = _join(out_p, memory), _join(out_c, memory)
+    return pos, np.append(gap[1:], 0)
+
 
 class DiskQueue:
     """Priority queue of 4-tuples of integers, smallest first; overflow lives in sorted runs on disk."""
@@ -84,41 +257,37 @@ class RangeMinimum:
         return self.value[bisect_right(self.at, order)]
 
 
-def suffixes(text: np.ndarray, memory: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and LCP array of non-negative integers (a suffix that is a prefix of another comes first)."""
+def suffixes(text: np.ndarray, memory: int = 1_000_000, ends: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array and LCP array of non-negative integers (a suffix that is a prefix of another comes first); symbols below ``ends`` occur once each."""
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    t = np.append(text.astype(np.int64) + 1, 0)  # the end marker is the smallest symbol
+    t = kept(np.append(text.astype(np.int64) + 1, 0), memory)  # the end marker is the smallest symbol
     n += 1
     # S where the next different symbol is greater
     change = np.flatnonzero(t[:-1] != t[1:])
     block = np.searchsorted(change, np.arange(n - 1))
-    is_s = np.append(t[change[block]] < t[change[block] + 1], True)
-    run = np.append(change[block] - np.arange(n - 1) + 1, 1)
+    is_s = kept(np.append(t[change[block]] < t[change[block] + 1], True), memory)
+    run = kept(np.append(change[block] - np.arange(n - 1) + 1, 1), memory)
     star = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     order, common = _sort_stars(t, is_s, run, star, memory)
-    tl, sl, rl = t.tolist(), is_s.tolist(), run.tolist()
-    l_pos, l_lcp = _induce(tl, sl, rl, [(int(p), int(c)) for p, c in zip(order, common)], False, memory)
-    s_pos, s_lcp = _induce(tl, sl, rl, list(zip(l_pos, l_lcp)), True, memory)
+    if int(t.max()) - ends <= max(n >> 6, 300):
+        l_pos, l_lcp = _induce_l(t, is_s, run, order, common, ends, memory)
+        s_pos, s_lcp = _induce_s(t, is_s, run, l_pos, l_lcp, ends, memory)
+    else:
+        tl, sl, rl = t.tolist(), is_s.tolist(), run.tolist()
+        l_pos, l_lcp = _induce(tl, sl, rl, list(zip(order.tolist(), common.tolist())), False, memory)
+        s_pos, s_lcp = _induce(tl, sl, rl, list(zip(l_pos, l_lcp)), True, memory)
     # join both: symbols ascend, L before S within one
-    sa, lcp, i, j = [], [], 0, 0
-    s_pos, s_lcp = s_pos[::-1], s_lcp[::-1]
-    while i < len(l_pos) or j < len(s_pos):
-        take_l = j == len(s_pos) or (i < len(l_pos) and tl[l_pos[i]] <= tl[s_pos[j]])
-        p = l_pos[i] if take_l else s_pos[j]
-        if not sa or tl[sa[-1]] != tl[p]:
-            c = 0
-        elif take_l:
-            c = l_lcp[i]
-        elif not sl[sa[-1]]:
-            c = min(rl[sa[-1]], rl[p])
-        else:
-            c = s_lcp[j]
-        sa.append(p)
-        lcp.append(c)
-        i, j = (i + 1, j) if take_l else (i, j + 1)
-    return np.array(sa, np.int64), np.array(lcp, np.int64)
+    pos = np.concatenate([np.asarray(l_pos, np.int64), np.asarray(s_pos, np.int64)[::-1]])
+    own = np.concatenate([np.asarray(l_lcp, np.int64), np.asarray(s_lcp, np.int64)[::-1]])
+    place = np.argsort(2 * t[pos] + is_s[pos], kind="stable")
+    sa, lcp = pos[place], own[place]
+    if len(sa) > 1:
+        a, b = sa[:-1], sa[1:]
+        lcp[1:] = np.where(t[a] != t[b], 0, np.where(is_s[a] != is_s[b], np.minimum(run[a], run[b]), lcp[1:]))
+    lcp[0] = 0
+    return kept(sa, memory), kept(lcp, memory)
 
 
 def _induce(t, is_s, run, seeds, up: bool, memory: int):
@@ -174,34 +343,62 @@ def _induce(t, is_s, run, seeds, up: bool, memory: int):
     return out_pos, out_lcp
 
 
+def _names(t: np.ndarray, is_s: np.ndarray, star: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Ranks of the typed substrings between S* positions, several symbols to a sort key."""
+    bits = int(2 * int(t.max()) + 3).bit_length()
+    per = max(62 // bits, 1)
+
+    def key(own: np.ndarray, step: int) -> np.ndarray:
+        out = np.zeros(len(own), np.int64)
+        for k in range(step * per, (step + 1) * per):
+            at = np.minimum(star[own] + k, len(t) - 1)
+            out = (out << bits) | np.where(k < length[own], 2 * t[at] + is_s[at] + 1, 0)  # of equal symbols the L one is smaller
+        return out
+
+    rank = np.unique(key(np.arange(len(star)), 0), return_inverse=True)[1].astype(np.int64)
+    step = 1
+    while len(own := np.flatnonzero(length > step * per)):  # no substring is a prefix of another: shorter ones have their place
+        more = key(own, step)
+        order = np.lexsort((more, rank[own]))
+        new = np.concatenate([[0], (np.diff(rank[own][order]) == 0) & (np.diff(more[order]) != 0)])
+        sub = np.zeros(len(own), np.int64)
+        sub[order] = np.cumsum(new)  # ascends within a rank
+        fine = rank * (len(star) + 1)
+        fine[own] += sub
+        rank = np.unique(fine, return_inverse=True)[1].astype(np.int64)
+        step += 1
+    return rank
+
+
 def _sort_stars(t: np.ndarray, is_s: np.ndarray, run: np.ndarray, star: np.ndarray, memory: int) -> tuple[np.ndarray, np.ndarray]:
     """S* suffixes in order, with common prefixes, by naming their substrings and recursion where names repeat."""
-    if len(star) <= 1:
-        return star, np.zeros(len(star), np.int64)
-    ends = np.append(star[1:], star[-1])
-    typed = 2 * t + is_s  # of equal symbols the L one is smaller
-    raw = [tuple(typed[a : b + 1].tolist()) for a, b in zip(star.tolist(), ends.tolist())]
-    kinds = sorted(set(raw))
-    name = {k: i for i, k in enumerate(kinds)}
-    names = np.array([name[r] for r in raw], np.int64)
-    if len(kinds) == len(raw):
-        sub_order, sub_lcp = np.argsort(names), np.zeros(len(names), np.int64)
+    m, n = len(star), len(t)
+    if m <= 1:
+        return star, np.zeros(m, np.int64)
+    length = np.append(star[1:], star[-1]) - star + 1
+    names = _names(t, is_s, star, length)
+    if names.max() == m - 1:
+        sub_order, sub_lcp = np.argsort(names), np.zeros(m, np.int64)
     else:
         sub_order, sub_lcp = suffixes(names, memory)
-    common = np.zeros(len(star), np.int64)
-    for k in range(1, len(star)):
-        i, j, equal = int(sub_order[k - 1]), int(sub_order[k]), int(sub_lcp[k])
-        length = int(star[i + equal] - star[i]) if i + equal < len(star) else int(len(t) - star[i])
-        a = raw[i + equal] if i + equal < len(star) else ()
-        b = raw[j + equal] if j + equal < len(star) else ()
-        extra = 0
-        for x, y in zip(a, b):
-            if x != y:
-                if x >> 1 == y >> 1:  # one symbol, two types: equal up to the end of the shorter run
-                    extra += int(min(run[star[i + equal] + extra], run[star[j + equal] + extra]))
-                break
-            extra += 1
-        common[k] = length + extra
+    equal = sub_lcp[1:]
+    a, b = sub_order[:-1], sub_order[1:]
+    i, j = a + equal, b + equal
+    common = np.zeros(m, np.int64)
+    common[1:] = np.where(i < m, star[np.minimum(i, m - 1)], n) - star[a]
+    todo = np.flatnonzero((i < m) & (j < m))
+    k = 0
+    while len(todo):  # the first substrings that differ, symbol by symbol
+        ok = (k < length[i[todo]]) & (k < length[j[todo]])
+        todo = todo[ok]
+        x, y = star[i[todo]] + k, star[j[todo]] + k
+        same = t[x] == t[y]
+        both = same & (is_s[x] == is_s[y])
+        common[todo[both] + 1] += 1
+        mixed = same & ~both  # one symbol, two types: equal up to the end of the shorter run
+        common[todo[mixed] + 1] += np.minimum(run[x[mixed]], run[y[mixed]])
+        todo = todo[both]
+        k += 1
     return star[sub_order], common
 
 

@@ -10,8 +10,9 @@ several different segments, one of each is sent to the anchor's shard and clippe
 to the bytes around the anchor that some other segment of it shares.  Where the
 clipped strings of an anchor are one string they are repeats; others are sorted by external induced sorting, which carries the common-prefix
 values, and starts next to a neighbour with at least ``length`` common bytes are
-repeats.  A shard is sorted in portions of ``portion`` bytes, since only segments of
-one anchor can share a string, so memory does not grow with a shard.
+repeats.  Only segments of one anchor can share a string, so a shard is sorted in portions
+of whole anchors of about ``portion`` bytes; the sorter keeps ``memory`` tuples and
+symbols and puts the rest on disk.
 
 Exact copies of whole texts are set aside first (all of their bytes are repeats);
 one of each still counts as another place for near copies.
@@ -35,7 +36,9 @@ from tessera.llm import scratch as S
 from tessera.llm.substring import in_bitmap, shared_bitmap
 
 Q = 200
-PORTION = 1 << 18
+PORTION = 1 << 19
+#: Low bits of a packed gram that hold its place: texts are shorter than 2**32 bytes, and the cut does not depend on the piece.
+PLACE_BITS = np.uint64(32)
 
 
 def _sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
@@ -56,9 +59,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
         return none, none, none, none, np.zeros(0, np.uint64)
     at = np.arange(len(data) - Q + 1)
     grams = K.span_hash(data, at, at + Q, seed=17)
-    bits = np.uint64(int(len(grams)).bit_length())
-    low = _sliding_minimum((grams >> bits << bits) | at.astype(np.uint64), length - Q + 1)
-    place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    low = _sliding_minimum((grams >> PLACE_BITS << PLACE_BITS) | at.astype(np.uint64), length - Q + 1)
+    place = (low & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(low)]
     ok = np.arange(len(low)) + length <= offsets[1:][text]
     new = np.ones(len(low), bool)
@@ -88,20 +90,21 @@ def _clip(group: list[tuple[bytes, int]], length: int) -> list[tuple[int, int]]:
     return [(o - a, o + b) if a + b >= length else (0, 0) for (_, o), a, b in zip(group, left, right)]
 
 
-def _sort_shard(batches, length: int, memory: int):
+def _sort_shard(batches, length: int, memory: int, portion: int = PORTION):
     """Rows (key, s1, s2, offset, bytes) sorted by key, in; (key, s1, s2, first, last) runs of repeated starts out."""
 
     def flush(strings: dict[bytes, list[tuple]]):
         pool = sorted(strings)
         if not pool:
             return
-        sizes = [len(p) for p in pool]
-        at = np.concatenate([[0], np.cumsum([n + 1 for n in sizes])])
-        text = np.full(at[-1], 0, np.int64)
-        for i, p in enumerate(pool):
-            text[at[i] : at[i] + sizes[i]] = np.frombuffer(p, np.uint8).astype(np.int64) + len(pool)
-            text[at[i] + sizes[i]] = i  # each string has an end of its own
-        sa, lcp = induced.suffixes(text, memory)
+        sizes = np.array([len(p) for p in pool])
+        at = np.concatenate([[0], np.cumsum(sizes + 1)])
+        text = np.zeros(at[-1], np.int64)
+        inside = np.ones(at[-1], bool)
+        inside[at[1:] - 1] = False
+        text[inside] = np.frombuffer(b"".join(pool), np.uint8).astype(np.int64) + len(pool)
+        text[~inside] = np.arange(len(pool))  # each string has an end of its own
+        sa, lcp = induced.suffixes(text, memory, len(pool))
         near = np.zeros(len(text), bool)
         big = np.flatnonzero(lcp >= length)
         near[sa[big]] = near[sa[big - 1]] = True
@@ -139,7 +142,7 @@ def _sort_shard(batches, length: int, memory: int):
             if keys[i] != key:
                 held += close(key, rows, strings)
                 key, rows = keys[i], []
-                if held > PORTION:
+                if held > portion:
                     yield from table(list(flush(strings)))
                     strings, held = {}, 0
             rows.append((s1[i], s2[i], int(off[i]), raw[i].as_py()))
@@ -150,14 +153,14 @@ def _sort_shard(batches, length: int, memory: int):
     yield from table(list(flush(strings)))
 
 
-def repeated_bytes(docs: DataFrame, length: int = 400, memory: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def repeated_bytes(docs: DataFrame, length: int = 400, memory: int = 2_000_000, portion: int = PORTION) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): ``docs`` with ``copy`` and ``row_key``, and ranges of repeated starts by row_key."""
     scratch = S.Scratch(docs.sparkSession)
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     digest = F.md5(F.col("text").cast("binary"))
     copies = scratch.write(docs.groupBy(digest.alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").select("digest", "first"), "copies")
     rows = docs.withColumn("digest", digest).join(S.small(copies.withColumn("copy", F.lit(True))), "digest", "left")
-    rows = rows.withColumn("copy", F.coalesce("copy", F.lit(False))).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("copy", F.coalesce("copy", F.lit(False))).withColumn("row_key", S.row_key(F.col("doc_id"), F.col("digest")))
     singles = rows.where(F.col("copy") == F.lit(False)).select("row_key", "text").unionByName(rows.where(F.col("copy") & F.col("doc_id").eqNullSafe(F.col("first"))).select("row_key", "text"))
 
     def anchors(batch):
@@ -165,10 +168,10 @@ def repeated_bytes(docs: DataFrame, length: int = 400, memory: int = 200_000) ->
             yield S.batch(symbol=K.signed(segments(data, offsets, length)[4]))
 
     found = S.arrow_map(singles, anchors, "symbol long").groupBy("symbol").agg(F.count("*").alias("n"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(shared_bitmap(found.where("n > 1").select("symbol", F.explode(F.array(F.lit(0), F.lit(1))).alias("id"))))
+    bitmap = docs.sparkSession.sparkContext.broadcast(shared_bitmap(found.where("n > 1").select("symbol", F.explode(F.array(F.lit(0), F.lit(1))).alias("id")), scratch))
 
     def cut(batch):
-        keys = batch.column(0).to_numpy()
+        keys = batch.column(0)
         for row, _, data, offsets in K.pieces(batch.column(1)):
             text, first, stop, place, anchor = segments(data, offsets, length)
             hit = in_bitmap(bitmap.value, anchor)
@@ -176,20 +179,23 @@ def repeated_bytes(docs: DataFrame, length: int = 400, memory: int = 200_000) ->
                 continue
             text, first, stop, place, anchor = (x[hit] for x in (text, first, stop, place, anchor))
             end = stop + length - 1
-            yield S.batch(key=K.signed(anchor), s1=K.signed(K.span_hash(data, first, end, seed=19)), s2=K.signed(K.span_hash(data, first, end, seed=23)), row_key=keys[row + text], first=(first - offsets[text]).astype(np.int64), size=(end - first).astype(np.int64), off=(place - first).astype(np.int64))
+            yield S.batch(key=K.signed(anchor), s1=K.signed(K.span_hash(data, first, end, seed=19)), s2=K.signed(K.span_hash(data, first, end, seed=23)), row_key=keys.take(S.pa.array(row + text)), first=(first - offsets[text]).astype(np.int64), size=(end - first).astype(np.int64), off=(place - first).astype(np.int64))
 
-    parts = scratch.write(S.arrow_map(singles, cut, "key long, s1 long, s2 long, row_key long, first long, size long, off long"), "segments")
+    parts = scratch.write(S.arrow_map(singles, cut, "key long, s1 long, s2 long, row_key binary, first long, size long, off long"), "segments")
     kinds = scratch.write(parts.groupBy("key", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "first", "size", "off")).alias("rep")), "kinds")
     mixed = kinds.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     wanted = kinds.join(mixed, "key", "left_semi").select("rep.row_key", F.struct("key", "s1", "s2", "rep.off", "rep.first", "rep.size").alias("x"))
     wanted = scratch.write(wanted.groupBy("row_key").agg(F.collect_list("x").alias("x")), "wanted")  # per text, at most its segments
-    fetched = singles.join(S.small(wanted), "row_key").dropDuplicates(["row_key"]).select(F.col("text").cast("binary").alias("raw"), F.explode("x").alias("x"))
+    asked = scratch.write(singles.join(S.small(wanted.select("row_key")), "row_key", "left_semi"), "asked")
+    fetched = asked.join(wanted, "row_key").dropDuplicates(["row_key"]).select(F.col("text").cast("binary").alias("raw"), F.explode("x").alias("x"))
     fetched = fetched.select("x.key", "x.s1", "x.s2", "x.off", F.expr("substring(raw, cast(x.first + 1 AS int), cast(x.size AS int))").alias("raw"))
     shards = fetched.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "s1", "s2")
-    sorted_runs = scratch.write(shards.mapInArrow(lambda b: _sort_shard(b, length, memory), "key long, s1 long, s2 long, low long, high long"), "runs")
+    sorted_runs = scratch.write(shards.mapInArrow(lambda b: _sort_shard(b, length, memory, portion), "key long, s1 long, s2 long, low long, high long"), "runs")
     whole = parts.join(kinds.where("n > 1").select("key", "s1", "s2"), ["key", "s1", "s2"], "left_semi").select("row_key", F.col("first").alias("low"), (F.col("first") + F.col("size") - length).alias("high"))
     partial = parts.join(sorted_runs, ["key", "s1", "s2"]).select("row_key", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
-    spans = scratch.write(S.merge_ranges(whole.unionByName(partial), "row_key"), "spans")
+    spans = scratch.write(S.merge_ranges(whole.unionByName(partial), "row_key", "binary"), "spans")
+    bitmap.destroy()
+    scratch.drop(parts, kinds, wanted, asked, sorted_runs)
     return rows, spans
 
 
