@@ -44,7 +44,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = PIECE_BYTES + 1
     while size < n:
         size *= 2
@@ -113,7 +113,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tup
 
 
 def prefix_sums(data: np.ndarray, lower: bool = False, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    power, inverse = _power_tables(len(data) + 1)
+    power, inverse = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
     np.cumsum(_byte_codes(seed, lower)[data] * power[: len(data)], out=sums[1:])
     return sums, inverse
