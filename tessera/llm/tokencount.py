@@ -1,12 +1,15 @@
 """Token counts without token ids.
 
-Each task cuts its texts at ASCII white space into pre-tokens (runs that the
-tokenizer's own pre-tokenizer never joins), counts the pieces of each *distinct*
-pre-token once, and joins those piece counts to the per-document pre-token
-frequencies.  The join is a sorted-array lookup inside the task: documents are
-never shuffled, and no sequence of ids for a document ever exists.  The table of
-known pre-tokens is carried from batch to batch and started anew when it reaches
-``cache_entries``, so a task's memory has a fixed bound.
+A pre-token here is a run without ASCII white space, which the tokenizer's own
+pre-tokenizer never joins with another.  Spark gathers the distinct pre-tokens of all
+documents, each is tokenised once, and its number of pieces is joined to the
+per-document frequencies and summed; no sequence of ids for a document ever exists.
+
+The table of pieces is joined in one of two ways, with equal results.  If a count
+shows at most ``broadcast_entries`` distinct pre-tokens (16 bytes each), it is sent to
+the tasks as sorted arrays and looked up while the texts are read, so documents are
+never shuffled.  Beyond that, the frequencies are written once and joined by hash with
+a shuffle, and summed by row.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); special strings
 inside a text count as the library's default has them (one token); repeated rows
@@ -17,62 +20,108 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
 from tessera.llm import scratch as S
 
+#: Distinct pre-tokens that a task remembers having sent; then it starts anew.
+SENT = 1_000_000
+BROADCAST_ENTRIES = 4_000_000
 
-class PieceCounter:
-    """Pieces of distinct pre-tokens, remembered by hash."""
 
-    def __init__(self, tokenizer_file: str, cache_entries: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.limit = cache_entries
-        self.known, self.pieces = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def lookup(self, distinct: np.ndarray, spell) -> np.ndarray:
-        """Piece counts of the sorted distinct hashes; ``spell(i)`` gives the bytes of the i-th."""
-        at = np.searchsorted(self.known, distinct)
-        found = np.zeros(len(distinct), bool)
-        inside = at < len(self.known)
-        found[inside] = self.known[at[inside]] == distinct[inside]
-        out = np.zeros(len(distinct), np.int64)
-        out[found] = self.pieces[at[found]]
-        new = np.flatnonzero(~found)
-        if len(new):
-            coded = self.tokenizer.encode_batch_fast([spell(i) for i in new], add_special_tokens=False)
-            out[new] = [len(x) for x in coded]
-            if len(self.known) + len(new) > self.limit:
-                self.known, self.pieces = self.known[:0], self.pieces[:0]
-            known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(known, kind="stable")
-            self.known, self.pieces = known[order], np.concatenate([self.pieces, out[new]])[order]
-        return out
-
-
-def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 2048, cache_entries: int = 1_000_000) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) for each row of ``docs``."""
+def distinct_pretokens(docs: DataFrame) -> DataFrame:
+    """(hash, word): each pre-token of all texts once."""
 
     def run(batches):
-        counter = PieceCounter(tokenizer_file, cache_entries)
+        sent = np.zeros(0, np.uint64)
         for rows in batches:
-            ids, n_bytes, n_tokens = rows.column(0), [], []
-            for _, _, data, offsets in K.pieces(rows.column(1)):
+            for _, _, data, offsets in K.pieces(rows.column(0)):
                 words = K.Words(data, offsets)
-                distinct, one, which = np.unique(words.hash, return_index=True, return_inverse=True)
-                pieces = counter.lookup(distinct, lambda i: data[words.start[one[i]] : words.end[one[i]]].tobytes().decode("utf-8", "replace"))
-                n_bytes.append(np.diff(offsets))
-                n_tokens.append(K.per_text(pieces[which], words.first))
-            if n_bytes:
-                total = np.concatenate(n_tokens)
-                yield S.batch(doc_id=ids, n_bytes=np.concatenate(n_bytes).astype(np.int64), n_tokens=total, over_limit=total > limit)
+                h, one = np.unique(words.hash, return_index=True)
+                at = np.minimum(np.searchsorted(sent, h), max(len(sent) - 1, 0))
+                new = sent[at] != h if len(sent) else np.ones(len(h), bool)
+                h, one = h[new], one[new]
+                if not len(h):
+                    continue
+                a, b = words.start[one], words.end[one]
+                inside = K.cover(a, b - a, len(data))  # of one piece, so distinct words do not overlap
+                order = np.argsort(a)
+                size = np.concatenate([[0], np.cumsum((b - a)[order])]).astype(np.int32)
+                text = S.pa.Array.from_buffers(S.pa.binary(), len(h), [None, S.pa.py_buffer(size), S.pa.py_buffer(np.ascontiguousarray(data[inside]))])
+                yield S.batch(hash=K.signed(h[order]), word=text)
+                sent = np.union1d(sent, h) if len(sent) + len(h) <= SENT else h
 
     S.ship(docs.sparkSession)
-    return S.texts_of(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("text").mapInArrow(run, "hash long, word binary").groupBy("hash").agg(F.min("word").alias("word"))
+
+
+def pretoken_pieces(words: DataFrame, tokenizer_file: str) -> DataFrame:
+    """(hash, pieces) of (hash, word)."""
+
+    def run(batches):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        for rows in batches:
+            spelt = [w.decode("utf-8", "replace") for w in rows.column(1).to_pylist()]
+            coded = tokenizer.encode_batch_fast(spelt, add_special_tokens=False)
+            yield S.pa.RecordBatch.from_arrays([rows.column(0), S.pa.array([len(x) for x in coded], S.pa.int64())], names=["hash", "pieces"])
+
+    S.ship(words.sparkSession)
+    return words.mapInArrow(run, "hash long, pieces long")
+
+
+def _frequencies(rows):
+    """(first row, end row, distinct hashes, which of them each word is, word index where each text begins) of each piece."""
+    for first, end, data, offsets in K.pieces(rows.column(1)):
+        words = K.Words(data, offsets)
+        distinct, which = np.unique(words.hash, return_inverse=True)
+        yield first, end, distinct, which, words.first, np.diff(offsets)
+
+
+def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 2048, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) for each row of ``docs``."""
+    scratch = S.Scratch(docs.sparkSession)
+    docs = S.texts_of(docs)
+    table = scratch.write(pretoken_pieces(scratch.write(distinct_pretokens(docs), "pretokens"), tokenizer_file), "pieces")
+    joined = _by_broadcast if table.count() <= broadcast_entries else _by_shuffle
+    out = joined(docs, table, scratch)
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def _by_broadcast(docs: DataFrame, table: DataFrame, scratch: S.Scratch) -> DataFrame:
+    t = table.toArrow()
+    h, pieces = K.unsigned(t.column("hash").to_numpy()), t.column("pieces").to_numpy()
+    order = np.argsort(h)
+    known = docs.sparkSession.sparkContext.broadcast((h[order], pieces[order]))  # counted: at most broadcast_entries rows
+
+    def run(rows):
+        at, n = known.value
+        n_bytes, n_tokens = [], []
+        for _, _, distinct, which, begin, size in _frequencies(rows):
+            n_bytes.append(size)
+            n_tokens.append(K.per_text(n[np.searchsorted(at, distinct)][which] if len(which) else which, begin))
+        yield S.batch(doc_id=rows.column(0), n_bytes=np.concatenate(n_bytes).astype(np.int64), n_tokens=np.concatenate(n_tokens).astype(np.int64))
+
+    return S.arrow_map(docs, run, "doc_id long, n_bytes long, n_tokens long")
+
+
+def _by_shuffle(docs: DataFrame, table: DataFrame, scratch: S.Scratch) -> DataFrame:
+    def run(rows):
+        for first, end, distinct, which, begin, size in _frequencies(rows):
+            own = np.repeat(np.arange(end - first), np.diff(begin))
+            d, w, n = K.unique_in_text(own, which.astype(np.uint64))
+            counts = np.bincount(d, minlength=end - first)
+            yield S.batch(doc_id=rows.column(0).slice(first, end - first), n_bytes=size.astype(np.int64), hash=K.list_array(K.signed(distinct[w.astype(np.int64)]), counts), n=K.list_array(n, counts))
+
+    found = S.arrow_map(docs, run, "doc_id long, n_bytes long, hash array<long>, n array<long>")
+    found = scratch.write(found.select(F.monotonically_increasing_id().alias("row"), "*"), "frequencies")  # written: the ids stay
+    each = found.select("row", F.explode(F.arrays_zip("hash", "n")).alias("x")).select("row", "x.hash", "x.n").join(table, "hash")
+    sums = each.groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("n_tokens"))
+    return found.select("row", "doc_id", "n_bytes").join(sums, "row", "left").select("doc_id", "n_bytes", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
 
 
 def naive_token_counts(texts: list[str | None], tokenizer_file: str) -> list[int]:
@@ -81,5 +130,3 @@ def naive_token_counts(texts: list[str | None], tokenizer_file: str) -> list[int
 
     t = Tokenizer.from_file(tokenizer_file)
     return [len(t.encode(x or "", add_special_tokens=False)) for x in texts]
-
-

@@ -61,11 +61,19 @@ def test_token_counts(spark, sf, edge_docs, no_docs):
     special = spark.createDataFrame([(1, "a<|endoftext|>b <|startoftext|>"), (2, "İÉ é \x85 x y don't 12345")], "doc_id long, text string")
     for docs in (edge_docs, special, spark.read.parquet(f"{sf}/documents.parquet")):
         pdf = docs.select("doc_id", "text").toPandas()
-        got = tokencount.count_tokens(docs, path, cache_entries=500).toPandas()
         want = tokencount.naive_token_counts(list(pdf.text), path)
-        assert sorted(zip(got.doc_id.fillna(-1), got.n_tokens)) == sorted(zip(pdf.doc_id.fillna(-1), want))
-        assert (got.over_limit == (got.n_tokens > 2048)).all()
-    assert tokencount.count_tokens(no_docs, path).count() == 0
+        for entries in (10**6, 0):  # by broadcast and by shuffle
+            got = tokencount.count_tokens(docs, path, broadcast_entries=entries).toPandas()
+            assert sorted(zip(got.doc_id.fillna(-1), got.n_tokens)) == sorted(zip(pdf.doc_id.fillna(-1), want))
+            assert sorted(got.n_bytes) == sorted(len((t or "").encode()) for t in pdf.text)
+            assert (got.over_limit == (got.n_tokens > 2048)).all()
+            assert tokencount.count_tokens(no_docs, path, broadcast_entries=entries).count() == 0
+
+
+def test_pretokens_are_sent_once_each(spark):
+    docs = spark.createDataFrame([(1, "b a  a\tc"), (2, "a b"), (3, None), (4, "zz"), (5, "zz d")], "doc_id long, text string")
+    got = [bytes(r.word).decode() for r in tokencount.distinct_pretokens(docs).collect()]
+    assert sorted(got) == ["a", "b", "c", "d", "zz"]
 
 
 def naive_rules(t):
@@ -130,8 +138,37 @@ def test_induced_sorting():
         assert (sa.tolist(), lcp.tolist()) == induced.naive_suffixes(x)
 
 
-def test_byte_dedup(spark, sf, edge_docs, no_docs):
-    for docs in (edge_docs, spark.read.parquet(f"{sf}/documents.parquet").limit(120)):
+def test_induced_sorting_with_string_ends():
+    rng = random.Random(3)
+    for _ in range(200):
+        strings = [[rng.randrange(rng.choice([1, 2, 4])) for _ in range(rng.randrange(25))] for _ in range(rng.randrange(1, 6))] * rng.choice([1, 2])
+        k = len(strings)
+        x = [c for i, s in enumerate(strings) for c in [*(b + k for b in s), i]]
+        sa, lcp = induced.suffixes(np.array(x, np.int64), memory=rng.choice([3, 10**6]), ends=k)
+        assert (sa.tolist(), lcp.tolist()) == induced.naive_suffixes(x)
+
+
+def test_induced_sorting_beyond_memory():
+    """A shard 200 times as large as the memory given: arrays and queues lie on disk, and the result is the same."""
+    rng = np.random.default_rng(5)
+    block = rng.integers(0, 26, 3000)
+    x = np.concatenate([rng.integers(0, 26, 8000), block, rng.integers(0, 26, 8000), block, np.zeros(500, np.int64)])
+    small, large = induced.suffixes(x, memory=100), induced.suffixes(x, memory=10**7)
+    assert isinstance(small[0], np.memmap) and not isinstance(large[0], np.memmap)
+    assert (small[0] == large[0]).all() and (small[1] == large[1]).all()
+    raw = [bytes(x[i : i + 4000].astype(np.uint8)) for i in large[0][::500]]
+    assert raw == sorted(raw) and large[1].max() >= 3000
+
+
+def test_substring_colourings_are_chosen_over_all_texts(spark, edge_docs, no_docs):
+    singles = edge_docs.select("doc_id", "text")
+    chosen = substring.choose_colourings(singles)
+    assert chosen == substring.choose_colourings(singles.repartition(7)) and len(chosen) == substring.ROUNDS
+    assert len(substring.choose_colourings(no_docs.select("doc_id", "text"))) == substring.ROUNDS
+
+
+def test_byte_dedup(spark, edge_docs, no_docs):
+    for docs in (edge_docs, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
         pdf = docs.select("doc_id", "text").toPandas()
         got = suffix.dedup_bytes(spark.createDataFrame(pdf.astype({"doc_id": "Int64"}).astype(object).where(pdf.notna(), None), "doc_id long, text string")).toPandas()
         want = suffix.naive_dedup([None if t is None else t for t in pdf.text], 400)
