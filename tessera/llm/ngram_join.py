@@ -5,24 +5,25 @@ A document's set holds the 64-bit hashes of its distinct word shingles; equal se
 then by hash) only a set's prefix of n - ceil(t n) + 1 shingles is indexed, and of
 those only the ones that a second set shares.
 
-Answers derived from a similar set: each index list first compares its sets with one
-pivot, the set that shares most of its prefix.  Sets linked with a pivot take over
-its answer, the component, so no two sets of one component are compared again.  What
-is left are lists with several components.  In these, lists are ordered by size and
-carry prefix positions, and runs of entries whose size or position cannot reach the
-overlap are skipped as blocks; the first set of each component computes its distances
-to the list once, and the component's other sets derive theirs from them: by the
-triangle inequality only sets inside the ring of its distance and the allowed
-distance are looked at.  Distances are Hamming distances of parity bitmaps (2 to 4
-bits a shingle, 512 bits at most), which never exceed the number of shingles that two
-sets do not share.  Two similar sets also share at least their required overlap less
-the larger rest behind a prefix in their prefixes: sets that know fewer shared
-shingles are no pair, and a pair that passes is counted over the lists.  Pairs with
-enough lists are few, and each is then checked exactly on both texts.
-
-A list of more than ``block`` entries is dealt to several tasks: entries of its
-largest component by hash, the others copied to each.  This changes where a pair is
-looked at, not which pairs are.
+Answers derived from a similar set: each index list has a pivot, the set that shares
+most of its prefix, and the sets of all lists of a pivot are its cell.  Index level:
+an entry whose prefix position cannot leave the required overlap with the pivot's is
+skipped.  Sets linked with a pivot take over its answer, the component, so no two sets
+of one component are compared again.  What is left are cells with several components,
+and any two sets that share an indexed shingle are in one cell.  In these, sets are
+ordered by size, and runs whose size cannot reach the overlap are skipped as blocks;
+the first set of each component computes its distances to the cell once, and the
+component's other sets derive theirs from them: by the triangle inequality only sets
+inside the ring of its distance and the allowed distance are looked at.  Distances are
+Hamming distances of parity bitmaps, which never exceed the number of shingles that
+two sets do not share.  Two similar sets also share at least their required overlap
+less the larger rest behind a prefix in their prefixes: sets that know fewer shared
+shingles are no pair.  Pairs that pass are few, and each is then checked exactly on
+both texts.
+
+A cell of more than ``block`` sets is dealt to several tasks: sets of its largest
+component by hash, the others copied to each.  This changes where a pair is looked at,
+not which pairs are.
 
 Frequent shingles are found by mergeable counters over all documents (Misra-Gries);
 any set of them gives the same links.  At most ``FREQUENT`` times the mean set size
@@ -48,10 +49,10 @@ from tessera.llm.components import connected_components
 #: A shingle in more than one of so many documents counts as frequent.
 FREQUENT = 16_000
 COUNTERS = 400_000
-#: Entries of one list that one task takes at most.
+#: Sets of one cell that one task takes at most.
 BLOCK = 4096
-#: Words of a parity bitmap at most: what it cannot tell apart the counts of shared prefix shingles do.
-WIDEST = 8
+#: Words of a parity bitmap: 16 bits a shingle, at most ``WIDEST``; pairs are first looked at in ``NARROW`` folded words.
+WIDEST, NARROW = 256, 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +83,8 @@ def set_digests(d: np.ndarray, h: np.ndarray, texts: int) -> tuple[np.ndarray, n
 
 
 def parity_bitmaps(d: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, words per text): each text's parities of hashed shingles in a power of two of at least 2 n bits, or of ``WIDEST`` words."""
-    wide = np.minimum(WIDEST, 1 << np.ceil(np.log2(np.maximum(size, 1) / 32)).clip(0).astype(np.int64))
+    """(words, words per text): each text's parities of hashed shingles in a power of two of at least 16 n bits, or of ``WIDEST`` words."""
+    wide = np.minimum(WIDEST, 1 << np.ceil(np.log2(np.maximum(size, 1) / 4)).clip(0).astype(np.int64))
     wide[size == 0] = 0
     begin = np.concatenate([[0], np.cumsum(wide)])
     out = np.zeros(begin[-1], np.uint64)
@@ -120,7 +121,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def indexed_sets(docs: DataFrame, k: int, percent: int, often) -> DataFrame:
-    """(doc_id, n, h1, h2, prefix, bits): set size, digest, prefix in the global order, parity bitmap; ``often`` is a broadcast."""
+    """(doc_id, n, h1, h2, prefix): set size, digest, and prefix in the global order; ``often`` is a broadcast."""
 
     def run(rows):
         hot = often.value
@@ -132,10 +133,24 @@ def indexed_sets(docs: DataFrame, k: int, percent: int, often) -> DataFrame:
             order = np.lexsort((h, late, d))
             place = np.arange(len(h)) - np.concatenate([[0], np.cumsum(size)])[d]
             keep = place < (size - (percent * size + 99) // 100 + 1)[d]
+            yield S.batch(doc_id=rows.column(0).slice(first, end - first), n=size, h1=one, h2=two, prefix=K.list_array(K.signed(h[order][keep]), np.bincount(d[keep], minlength=end - first)))
+
+    return S.arrow_map(docs, run, "doc_id long, n long, h1 long, h2 long, prefix array<long>")
+
+
+def bitmaps(texts: DataFrame, k: int) -> DataFrame:
+    """(node, bits) of (node, n, h1, h2, text): the parity bitmap of each node's set."""
+
+    def run(rows):
+        node, n, h1, h2 = (rows.column(i).to_numpy() for i in range(4))
+        for first, end, data, offsets in K.pieces(rows.column(4)):
+            d, h = shingle_sets(data, offsets, k)
+            size, one, two = set_digests(d, h, end - first)
+            own = (size == n[first:end]) & (one == h1[first:end]) & (two == h2[first:end])  # another text of the same doc_id is not the node's
             bits, wide = parity_bitmaps(d, h, size)
-            yield S.batch(doc_id=rows.column(0).slice(first, end - first), n=size, h1=one, h2=two, prefix=K.list_array(K.signed(h[order][keep]), np.bincount(d[keep], minlength=end - first)), bits=K.list_array(K.signed(bits), wide))
+            yield S.batch(node=node[first:end][own], bits=K.list_array(K.signed(bits), wide).filter(S.pa.array(own)))
 
-    return S.arrow_map(docs, run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, bits array<long>")
+    return S.arrow_map(texts, run, "node long, bits array<long>")
 
 
 def whole_lists(batches) -> Iterator:
@@ -157,35 +172,39 @@ def whole_lists(batches) -> Iterator:
         yield S.pa.Table.from_batches(held).combine_chunks()
 
 
-def list_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, known: np.ndarray, begin: np.ndarray, wide: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of one list, ordered by size, that lie in different components and may be similar."""
+def cell_pairs(n: np.ndarray, comp: np.ndarray, known: np.ndarray, begin: np.ndarray, wide: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of one cell, ordered by size, that lie in different components and may be similar."""
     out = []
-    rest = n - 1 - pos
+
+    def far(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(rows ^ one).sum(1, dtype=np.int64)
+
     for w in np.unique(wide):  # a similar set is at most 5/4 as large: its bitmap has as many words or twice as many
         own = wide == w
         at = np.flatnonzero(own | (wide == 2 * w))
-        cell = bits[begin[at][:, None] + np.arange(w)]
+        full = bits[begin[at][:, None] + np.arange(w)]
         double = np.flatnonzero(~own[at])
-        cell[double] ^= bits[begin[at][double][:, None] + w + np.arange(w)]
-        nn, pp, rr, cc, kk, mine = n[at], pos[at], rest[at], comp[at], known[at], own[at]
-        order = np.flatnonzero(mine)
+        full[double] ^= bits[begin[at][double][:, None] + w + np.arange(w)]
+        narrow = full if w <= NARROW else np.bitwise_xor.reduce(full.reshape(len(at), -1, NARROW), axis=1)
+        nn, cc, kk = n[at], comp[at], known[at]
+        order = np.flatnonzero(own[at])
         order = order[np.argsort(cc[order], kind="stable")]
         leader, distance = None, None
         for i in order:
             stop = int(np.searchsorted(nn, nn[i] * 100 // percent, "right"))
             if stop <= i + 1:
                 continue
-            if leader is None or cc[leader] != cc[i]:  # the component's answer in this list
-                leader, distance = i, np.bitwise_count(cell ^ cell[i]).sum(1, dtype=np.int64)
+            if leader is None or cc[leader] != cc[i]:  # the component's answer in this cell
+                leader, distance = i, far(narrow, narrow[i])
             j = np.arange(i + 1, stop)
             most = (100 - percent) * (nn[j] + nn[i]) // (100 + percent)
-            j = j[(cc[j] != cc[i]) & (np.abs(distance[j] - distance[i]) <= most) & ((100 + percent) * (1 + np.minimum(pp[j], pp[i]) + np.minimum(rr[j], rr[i])) >= percent * (nn[j] + nn[i]))]
+            j = j[(cc[j] != cc[i]) & (np.abs(distance[j] - distance[i]) <= most)]
             j = j[np.minimum(kk[j], kk[i]) >= needed(nn[j], nn[i], percent)]
-            if len(j):
-                far = np.bitwise_count(cell[j] ^ cell[i]).sum(1, dtype=np.int64)
-                j = j[far <= (100 - percent) * (nn[j] + nn[i]) // (100 + percent)]
+            for table in (narrow, full):
                 if len(j):
-                    out.append((np.full(len(j), at[i]), at[j]))
+                    j = j[far(table[j], table[i]) <= (100 - percent) * (nn[j] + nn[i]) // (100 + percent)]
+            if len(j):
+                out.append((np.full(len(j), at[i]), at[j]))
     return out
 
 
@@ -196,12 +215,12 @@ def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 
 
 def close_pairs(percent: int):
-    """Kernel: rows (cell, n, node, pos, comp, known, bits) sorted by cell and n in; pairs (a, b), what they need and their lists out."""
+    """Kernel: rows (cell, n, node, comp, known, bits) sorted by cell and n in; pairs (a, b) out."""
 
     def run(batches):
         for rows in whole_lists(batches):
-            cell, n, node, pos, comp, known = (rows.column(i).to_numpy() for i in range(6))
-            lists = rows.column(6).combine_chunks()
+            cell, n, node, comp, known = (rows.column(i).to_numpy() for i in range(5))
+            lists = rows.column(5).combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, S.pa.ChunkedArray) else lists
             offsets, bits = lists.offsets.to_numpy().astype(np.int64), K.unsigned(lists.values.to_numpy())
             start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
@@ -209,25 +228,26 @@ def close_pairs(percent: int):
             found = []
             for s, e in zip(start, stop):
                 if e - s > 1 and (comp[s:e] != comp[s]).any():
-                    found += [(i + s, j + s) for i, j in list_pairs(n[s:e], pos[s:e], comp[s:e], known[s:e], offsets[s:e], np.diff(offsets[s : e + 1]), bits, percent)]
+                    found += [(i + s, j + s) for i, j in cell_pairs(n[s:e], comp[s:e], known[s:e], offsets[s:e], np.diff(offsets[s : e + 1]), bits, percent)]
             if found:
                 i, j = (np.concatenate(x) for x in zip(*found))
-                pair, lists = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), needed(n[i], n[j], percent)]), axis=1, return_counts=True)
+                pair = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
                 for at in range(0, pair.shape[1], 100_000):
-                    part = slice(at, at + 100_000)
-                    yield S.batch(a=pair[0, part], b=pair[1, part], need=pair[2, part], lists=lists[part].astype(np.int64))
+                    yield S.batch(a=pair[0, at : at + 100_000], b=pair[1, at : at + 100_000])
 
     return run
 
 
+def texts_of_nodes(nodes: DataFrame, classes: DataFrame, docs: DataFrame, scratch: S.Scratch) -> DataFrame:
+    """(node, n, h1, h2, text) of ``nodes``; where rows repeat a doc_id, with other texts of it."""
+    wanted = scratch.write(classes.join(S.small(nodes), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "n", "h1", "h2"), "wanted")
+    texts = scratch.write(docs.join(S.small(wanted), "doc_id").select("node", "n", "h1", "h2", "text"), "node-texts")
+    return scratch.write(texts.dropDuplicates(["node", "text"]), "one-text-each") if texts.count() > wanted.count() else texts
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: S.Scratch, k: int, chunk: int = 256) -> DataFrame:
     """(a, b, na, nb, overlap) of distinct pairs of nodes, counted on the whole texts; each a's partners come in salted chunks."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = classes.join(S.small(ids), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "n", "h1", "h2")
-    wanted = scratch.write(wanted, "wanted")
-    texts = scratch.write(docs.join(S.small(wanted), "doc_id").select("node", "n", "h1", "h2", "text"), "pair-texts")
-    if texts.count() > wanted.count():  # rows that repeat a doc_id
-        texts = scratch.write(texts.dropDuplicates(["node", "text"]), "one-text-each")
+    texts = texts_of_nodes(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs, scratch)
     heavy = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
     salted = pairs.join(heavy, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     left = salted.select("a", "part").distinct().join(texts, F.col("a") == F.col("node")).select("a", "part", F.lit(-1).cast("long").alias("b"), "n", "h1", "h2", "text")
@@ -260,17 +280,17 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: S.S
     return out
 
 
-def deal(lists: DataFrame, block: int) -> DataFrame:
-    """``cell`` for each entry: the list, or the parts of a long list in which the entry meets all entries of other components."""
+def deal(members: DataFrame, block: int) -> DataFrame:
+    """``cell`` for each set: its pivot's, or the parts of a large cell in which the set meets all sets of other components."""
     own = F.xxhash64("node", F.lit(5))
-    major, other = F.ceil(F.col("most") / block), F.greatest(F.ceil((F.col("entries") - F.col("most")) / block), F.lit(1))
+    major, other = F.ceil(F.col("most") / block), F.greatest(F.ceil((F.col("sets") - F.col("most")) / block), F.lit(1))
     b, o = F.pmod(own, major), F.pmod(own, other)
-    cells = F.when(F.col("entries") <= block, F.array(F.lit(0).cast("long")))
-    cells = cells.when(F.col("comp") == F.col("major"), F.transform(F.sequence(F.lit(0).cast("long"), other - 1), lambda x: b * other + x))
+    parts = F.when(F.col("sets") <= block, F.array(F.lit(0).cast("long")))
+    parts = parts.when(F.col("comp") == F.col("major"), F.transform(F.sequence(F.lit(0).cast("long"), other - 1), lambda x: b * other + x))
     meet = F.transform(F.sequence(F.lit(0).cast("long"), major - 1), lambda x: x * other + o)
     among = F.transform(F.sequence(F.lit(0).cast("long"), other - 1), lambda x: (major + F.least(x, o)) * other + F.greatest(x, o))
-    cells = cells.otherwise(F.concat(meet, among))
-    return lists.select("token", "n", "node", "pos", "comp", "known", F.explode(cells).alias("cell")).withColumn("cell", F.xxhash64("token", "cell"))
+    parts = parts.otherwise(F.concat(meet, among))
+    return members.select("pivot", "n", "node", "comp", "known", F.explode(parts).alias("part")).select(F.xxhash64("pivot", "part").alias("cell"), "n", "node", "comp", "known")
 
 
 def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame, S.Scratch]:
@@ -281,7 +301,7 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BL
     often = spark.sparkContext.broadcast(frequent_shingles(docs, k))
     sets = scratch.write(indexed_sets(docs, k, percent, often), "sets")
     often.destroy()
-    classes = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    classes = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")  # written: the ids stay
     names = classes.select("node", "rep", "n", "h1", "h2")
     membership = sets.select("doc_id", "n", "h1", "h2").join(S.small(names.select("node", "n", "h1", "h2")), ["n", "h1", "h2"], "left").select("doc_id", "n", "node")
@@ -295,21 +315,22 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BL
         return checked.where(f"{100 + percent} * overlap >= {percent} * (na + nb)").select("a", "b")
 
     typical = scratch.write(index.groupBy("node").agg(F.count("*").alias("known")), "typical")
-    ranked = index.join(S.small(typical), "node")
-    pivot = ranked.groupBy("token").agg(F.max(F.struct("known", "node", F.col("n").cast("int").alias("n"), "pos")).alias("p"))
-    met = index.join(pivot.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp")), "token").where("node <> pivot")
-    reach = f"{100 + percent} * (1 + least(pos, pp) + least(n - 1 - pos, pn - 1 - pp)) >= {percent} * (n + pn)"
-    # the pivot round only has to find leaders: pairs that a twelfth of the smaller set's shingles point at
-    pointed = met.where(reach).groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("n", "pn")).alias("n")).where("12 * c >= n")
-    first = verified(scratch.write(pointed.select("a", "b"), "pivot-pairs"), names, docs, scratch, k)
+    pivot = index.join(S.small(typical), "node").groupBy("token").agg(F.max(F.struct("known", "node", F.col("n").cast("int").alias("n"), "pos")).alias("p"))
+    met = index.join(pivot.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp")), "token")
+    reach = F.expr(f"{100 + percent} * (1 + least(pos, pp) + least(n - 1 - pos, pn - 1 - pp)) >= {percent} * (n + pn)")
+    members = met.groupBy("pivot", "node").agg(F.count_if(reach).alias("lists"), F.first("n").alias("n"), F.first("pn").alias("pn"))
+    members = scratch.write(members, "members")
+    # the pivots' round only has to find leaders: pairs that a twelfth of the smaller set's shingles point at
+    pointed = members.where("node <> pivot and 12 * lists >= least(n, pn)").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    first = verified(scratch.write(pointed, "pivot-pairs"), names, docs, scratch, k)
     comps = connected_components(links_of(first), scratch)
-    led = ranked.join(S.small(comps.select("node", F.col("component").alias("comp"))), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    kinds = led.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("kinds"), F.sum("c").alias("entries"), F.max(F.struct("c", "comp")).alias("x"))
-    mixed = scratch.write(kinds.where("kinds > 1").select("token", "entries", F.col("x.c").alias("most"), F.col("x.comp").alias("major")), "mixed")
-    cells = deal(led.join(S.small(mixed), "token"), block).join(classes.select("node", "bits"), "node").select("cell", "n", "node", F.col("pos").cast("long").alias("pos"), "comp", "known", "bits")
-    S.ship(spark)
-    apart = cells.repartition("cell").sortWithinPartitions("cell", "n", "node").mapInArrow(close_pairs(percent), "a long, b long, need long, lists long")
-    apart = apart.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.max("need").alias("need")).where("lists >= need").select("a", "b")
+    led = members.join(S.small(comps.select("node", F.col("component").alias("comp"))), "node", "left").select("pivot", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    kinds = led.groupBy("pivot", "comp").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.count("*").alias("kinds"), F.sum("c").alias("sets"), F.max(F.struct("c", "comp")).alias("x"))
+    mixed = scratch.write(kinds.where("kinds > 1").select("pivot", "sets", F.col("x.c").alias("most"), F.col("x.comp").alias("major")), "mixed")
+    cells = scratch.write(deal(led.join(S.small(mixed), "pivot").join(S.small(typical), "node"), block), "cells")
+    maps = scratch.write(bitmaps(texts_of_nodes(cells.select("node").distinct(), names, docs, scratch), k), "bitmaps")
+    apart = cells.join(maps, "node").select("cell", "n", "node", "comp", "known", "bits").repartition("cell").sortWithinPartitions("cell", "n", "node")
+    apart = apart.mapInArrow(close_pairs(percent), "a long, b long").distinct()
     apart = scratch.write(apart.join(first.select("a", "b"), ["a", "b"], "left_anti"), "apart-pairs")
     second = verified(apart, names, docs, scratch, k)
     links = comps.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links_of(second))
