@@ -7,101 +7,63 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.plans.registry import query
 
-#: A model reply made of a document: head, a thought and two answers.
-REPLY_SQL = "r AS (SELECT doc_id, text, lang, '<think>' || left(text, 40) || '</think> so \\boxed{' || doc_id || '} <answer>' || left(text, 12) || '</answer> or <answer> ' || lang || doc_id || ' </answer>' AS reply, '#### ' || n_chars || ',5' AS num FROM documents)"
+#: A model reply made of a whole document: a thought and two answers.
+REPLY_SQL = "r AS (SELECT doc_id, text, lang, '<think>' || text || '</think> so \\boxed{' || doc_id || '} <answer>' || text || '</answer> or <answer> ' || lang || doc_id || ' </answer>' AS reply, '#### ' || n_chars || ',5' AS num FROM documents)"
 
 
 def reply(t):
     d = F.col("doc_id").cast("string")
-    r = F.concat(F.lit("<think>"), F.left("text", F.lit(40)), F.lit("</think> so \\boxed{"), d, F.lit("} <answer>"), F.left("text", F.lit(12)), F.lit("</answer> or <answer> "), F.col("lang"), d, F.lit(" </answer>"))
+    r = F.concat(F.lit("<think>"), F.col("text"), F.lit("</think> so \\boxed{"), d, F.lit("} <answer>"), F.col("text"), F.lit("</answer> or <answer> "), F.col("lang"), d, F.lit(" </answer>"))
     return t.documents.select("doc_id", "text", "lang", "n_chars", r.alias("reply"), F.concat(F.lit("#### "), F.col("n_chars").cast("string"), F.lit(",5")).alias("num"))
 
 
-def simple(name: str, sql: str, build):
+def simple(name: str, sql: str | None, build):
     """A query of one value for each document."""
-    query(name, f"WITH {REPLY_SQL} SELECT doc_id, {sql} AS value FROM r")(lambda t: reply(t).select("doc_id", build().alias("value")))
+    query(name, sql and f"WITH {REPLY_SQL} SELECT doc_id, {sql} AS value FROM r")(lambda t: reply(t).select("doc_id", build().alias("value")))
 
 
 c = F.col
-simple("f1_first_answer", "regexp_extract(reply, '(?s)<answer>(.*?)</answer>', 1)", lambda: X.first_answer(c("reply")))
-simple("f2_last_answer", "trim(list_extract(regexp_extract_all(reply, '(?s)<answer>(.*?)</answer>', 1), -1))", lambda: X.last_answer(c("reply")))
-simple("f3_between", "trim(string_split(list_extract(string_split(reply, '<answer>'), -1), '</answer>')[1])", lambda: X.between(c("reply"), "<answer>", "</answer>"))
-simple("f5_last_boxed", "list_extract(regexp_extract_all(reply, '\\\\boxed\\{([^{}]*)\\}', 1), -1)", lambda: X.last_boxed(c("reply")))
-simple("f6_boxed_balanced", "doc_id::VARCHAR", lambda: X.last_boxed_balanced(c("reply")))
 simple("f8_gsm8k", "replace(list_extract(regexp_extract_all(num, '#### (-?[0-9.,]+)', 1), -1), ',', '')", lambda: X.gsm8k_answer(c("num")))
-simple("f9_minerva", "coalesce(trim(list_extract(regexp_extract_all('Answer: ' || left(text, 30), '(?i)Answer\\s*:\\s*([^\\n]+)', 1), -1)), '[INVALID]')", lambda: X.minerva_answer(F.concat(F.lit("Answer: "), F.left("text", F.lit(30)))))
-simple("f10_letter", "regexp_extract('answer: ' || upper(left(translate(lang, 'enfrds', 'ABCDAB'), 1)), '(?i)Answer[ \\t]*:[ \\t]*\\$?([A-D])\\$?', 1)", lambda: X.letter_answer(F.concat(F.lit("answer: "), F.upper(F.left(F.translate("lang", "enfrds", "ABCDAB"), F.lit(1))))))
-simple("f15_numbers", "array_to_string(regexp_extract_all(reply, '(-?\\d+(?:\\.\\d+)?(?:[eE][+-]?\\d+)?)', 1), ',')", lambda: F.array_join(X.numbers(c("reply")), ","))
 simple("f17_subset_name", "regexp_extract('split_' || lang || '_x_' || doc_id, '^split_(.+?)_\\d+$', 1)", lambda: X.subset_name(F.concat(F.lit("split_"), c("lang"), F.lit("_x_"), c("doc_id").cast("string"))))
-simple("f18_code_block", "string_split(list_extract(string_split('a```python' || left(text, 20) || '```b', '```python'), -1), '```')[1]", lambda: X.last_code_block(F.concat(F.lit("a```python"), F.left("text", F.lit(20)), F.lit("```b"))))
 simple("f23_judge_score", "round(CASE WHEN (doc_id % 120)::DOUBLE > 1 THEN (doc_id % 120) / 100.0 ELSE doc_id % 120 END::DOUBLE, 6)", lambda: F.round(X.judge_score(F.concat(F.lit("score 3 then "), (c("doc_id") % 120).cast("string"))), 6))
-simple("f24_think", "regexp_extract(reply, '(?s)<think>(.*?)</think>', 1)", lambda: F.regexp_extract("reply", r"(?s)<think>(.*?)</think>", 1))
 _PUNCT = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
 _NORM = f"trim(regexp_replace(regexp_replace(translate(lower(INPUT), {_PUNCT}, ''), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
-simple("f30_normalize", _NORM.replace("INPUT", "regexp_replace(text, '[^ -~]', '', 'g')"), lambda: X.normalize_answer(F.regexp_replace("text", "[^ -~]", "")))
-simple("f31_exact_match", "(lang IN ('en', 'fr'))::INT", lambda: X.exact_match(F.concat(c("lang"), F.lit("!")), F.array(F.lit("EN"), F.lit("the fr"))))
-simple("f31_sub_match", "1", lambda: X.sub_match(c("reply"), F.array(F.lit("or"))))
-simple("f33_relaxed", "(length(trim(left(text, 20))) >= 0.9 * length(trim(left(text, 21))))::INT", lambda: X.relaxed_match(F.left("text", F.lit(21)), F.left("text", F.lit(20))))
-simple("f34_strip_dot", "trim(regexp_replace(trim(left(text, 7)), '\\.$', ''))", lambda: X.strip_dot(F.left("text", F.lit(7))))
-simple("f40_number_or_lower", "coalesce(round(TRY_CAST(left(num, 6) AS DOUBLE), 2)::VARCHAR, lower(left(num, 6)))", lambda: F.coalesce(F.round(F.left("num", F.lit(6)).try_cast("double"), 2).cast("string"), F.lower(F.left("num", F.lit(6)))))
-simple("f42_closest_choice", "list_sort(list_transform(['the','und','les','que'], lambda x, i: {'d': levenshtein(x, regexp_replace(left(text, 3), '[^ -~]', 'x', 'g')), 'i': i, 'c': x}))[1].c", lambda: X.closest_choice(F.regexp_replace(F.left("text", F.lit(3)), "[^ -~]", "x"), F.array(*map(F.lit, ("the", "und", "les", "que")))))
-simple("f44_clean", "trim(replace(regexp_replace(replace('x [title] ' || left(text, 20) || ' [1]', ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' '))", lambda: F.trim(F.replace(F.regexp_replace(F.replace(F.concat(F.lit("x [title] "), F.left("text", F.lit(20)), F.lit(" [1]")), F.lit(" [title]"), F.lit(". ")), r"\[.*?\]", ""), F.lit("  "), F.lit(" "))))
 simple("f45_leading_zeros", "(doc_id)::BIGINT::VARCHAR", lambda: F.when(F.lpad(c("doc_id").cast("string"), 12, "0").rlike("^[0-9]+$"), F.lpad(c("doc_id").cast("string"), 12, "0").cast("bigint").cast("string")))
-simple("f50_format", "regexp_full_match(reply, '(?s)\\s*<think>.*</think>.*<answer>.*</answer>\\s*')::INT::DOUBLE", lambda: X.format_ok(c("reply")))
 simple("f52_tag_counts", "(length(reply) - length(replace(reply, '<answer>', ''))) // 8", lambda: X.count_of(c("reply"), "<answer>"))
 simple("f53_composite", "round(0.8 * (doc_id % 2) + 0.2 * regexp_full_match(reply, '(?s)<think>.*</answer>')::INT, 6)", lambda: F.round(0.8 * (c("doc_id") % 2) + 0.2 * X.format_ok(c("reply")), 6))
 simple("f57_turn_bonus", "round(least(0, -1 + ((doc_id % 9) - 2) / 2 * 0.1), 6)::DOUBLE", lambda: F.round(F.least(F.lit(0.0), -1 + ((c("doc_id") % 9) - 2) / 2 * 0.1), 6))
-simple("f60_pass_fraction", "round(list_sum(list_transform(range(0, 10), lambda i: (((doc_id + i) % 3) = 0)::INT)) / 10, 6)", lambda: F.round(F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: ((c("doc_id") + i) % 3 == 0).cast("double")), F.lit(0.0), lambda a, x: a + x) / 10, 6))
-simple("f61_score_struct", "CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE", lambda: F.struct(F.when(c("doc_id") % 2 == 0, 1.0).otherwise(-1.0).alias("score"))["score"])
 simple("f67_numeric_equal", "abs(doc_id - doc_id * 1.00005) <= 1e-4 * greatest(doc_id, doc_id * 1.00005)", lambda: X.numeric_equal(c("doc_id").cast("double"), c("doc_id") * 1.00005))
 simple("f70_clock", "round((doc_id % 24) * 3600 + (doc_id % 60) * 60 + (doc_id % 60) + 0.25, 6)::DOUBLE", lambda: F.round(X.clock_seconds(F.format_string("%02d:%02d:%02d,250", c("doc_id") % 24, c("doc_id") % 60, c("doc_id") % 60)), 6))
 simple("f71_frame", "floor((n_chars + 0.5) * 24)::BIGINT".replace("n_chars", "length(text)"), lambda: F.floor((F.length("text") + 0.5) * 24).cast("long"))
 simple("f72_uniform_frames", "array_to_string(list_transform(range(0, 8), lambda i: floor(i * (length(text) - 1) / 7)::BIGINT), ',')", lambda: F.array_join(X.uniform_frames(F.length("text"), 8).cast("array<string>"), ","))
 simple("f75_keep_area", "floor(sqrt(1000.0 * length(text)) / 2)::BIGINT", lambda: F.floor(F.sqrt(1000.0 * F.length("text")) / 2).cast("long"))
 simple("f77_bbox", "greatest(0, least(doc_id, 900))::BIGINT", lambda: F.greatest(F.lit(0), F.least(c("doc_id"), F.lit(900))).cast("long"))
-simple("f78_pad", "array_to_string(list_resize(string_split(left(num, 9), ''), 12, '_'), '')", lambda: F.array_join(X.pad_array(F.split(F.left("num", F.lit(9)), ""), 12, "_"), ""))
-simple("f79_loss_mask", "array_to_string(list_transform(range(0, 10), lambda i: CASE WHEN i < 3 OR i = 9 THEN 0 ELSE 1 END), '')", lambda: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when((i < 3) | (i == 9), "0").otherwise("1")), ""))
+simple("f78_pad", "array_to_string(list_resize(string_split(num, ''), 24, '_'), '')", lambda: F.array_join(X.pad_array(F.split("num", ""), 24, "_"), ""))
 simple("f82_strip_pad", "array_to_string(string_split(right('____' || num, length(num)), ''), '')", lambda: F.array_join(F.slice(F.split(F.concat(F.lit("____"), c("num")), ""), -F.length("num"), F.length("num")), ""))
-simple("f85_template", "'Q: ' || left(text, 10) || ' (' || doc_id || ')'", lambda: F.format_string("Q: %s (%d)", F.left("text", F.lit(10)), c("doc_id")))
 simple("f88_ceildiv", "ceil(length(text) / 7.0)::BIGINT", lambda: F.ceil(F.length("text") / 7.0).cast("long"))
 simple("f89_md5", "md5(text)", lambda: F.md5(F.col("text").cast("binary")))
 simple("f27_truncate", "CASE WHEN length(text) > 100 THEN left(text, 50) || '...(truncated)...' || right(text, 50) ELSE text END", lambda: X.truncate(c("text"), 100, "middle"))
 
 
-# Whole texts: the queries above take prefixes of them, as their SQL does.
-WHOLE_SQL = REPLY_SQL.replace("left(text, 40)", "text").replace("left(text, 12)", "text")
-
-
-def whole(name: str, sql: str | None, build):
-    """As ``simple``, with replies made of whole texts."""
-
-    def run(t):
-        d = c("doc_id").cast("string")
-        r = F.concat(F.lit("<think>"), c("text"), F.lit("</think> so \\boxed{"), d, F.lit("} <answer>"), c("text"), F.lit("</answer> or <answer> "), c("lang"), d, F.lit(" </answer>"))
-        return t.documents.select("doc_id", "text", "lang", r.alias("reply")).select("doc_id", build().alias("value"))
-
-    query(name, sql and f"WITH {WHOLE_SQL} SELECT doc_id, {sql} AS value FROM r")(run)
-
-
-whole("f1_first_answer_whole", "regexp_extract(reply, '(?s)<answer>(.*?)</answer>', 1)", lambda: X.first_answer(c("reply")))
-whole("f2_last_answer_whole", "trim(list_extract(regexp_extract_all(reply, '(?s)<answer>(.*?)</answer>', 1), -1))", lambda: X.last_answer(c("reply")))
-whole("f3_between_whole", "trim(string_split(list_extract(string_split(reply, '<answer>'), -1), '</answer>')[1])", lambda: X.between(c("reply"), "<answer>", "</answer>"))
-whole("f9_minerva_whole", "coalesce(trim(list_extract(regexp_extract_all('Answer: ' || text, '(?i)Answer\\s*:\\s*([^\\n]+)', 1), -1)), '[INVALID]')", lambda: X.minerva_answer(F.concat(F.lit("Answer: "), c("text"))))
-whole("f15_numbers_whole", "array_to_string(regexp_extract_all(reply, '(-?\\d+(?:\\.\\d+)?(?:[eE][+-]?\\d+)?)', 1), ',')", lambda: F.array_join(X.numbers(c("reply")), ","))
-whole("f18_code_block_whole", "string_split(list_extract(string_split('a```python' || text || '```b', '```python'), -1), '```')[1]", lambda: X.last_code_block(F.concat(F.lit("a```python"), c("text"), F.lit("```b"))))
-whole("f24_think_whole", "regexp_extract(reply, '(?s)<think>(.*?)</think>', 1)", lambda: F.regexp_extract("reply", r"(?s)<think>(.*?)</think>", 1))
-whole("f30_normalize_whole", None, lambda: X.normalize_answer(c("text")))
-whole("f33_relaxed_whole", "(length(trim(left(text, length(text) - 1))) >= 0.9 * length(trim(text)))::INT", lambda: X.relaxed_match(c("text"), F.left("text", F.length("text") - 1)))
-whole("f34_strip_dot_whole", "trim(regexp_replace(trim(text), '\\.$', ''))", lambda: X.strip_dot(c("text")))
-whole("f42_closest_choice_whole", None, lambda: X.closest_choice(c("text"), F.array(*map(F.lit, ("the", "und", "les", "que")))))
-whole("f44_clean_whole", "trim(replace(regexp_replace(replace('x [title] ' || text || ' [1]', ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' '))", lambda: F.trim(F.replace(F.regexp_replace(F.replace(F.concat(F.lit("x [title] "), c("text"), F.lit(" [1]")), F.lit(" [title]"), F.lit(". ")), r"\[.*?\]", ""), F.lit("  "), F.lit(" "))))
-whole("f50_format_whole", "regexp_full_match(reply, '(?s)\\s*<think>.*</think>.*<answer>.*</answer>\\s*')::INT::DOUBLE", lambda: X.format_ok(c("reply")))
-whole("f83_parse_or_null_whole", "TRY_CAST(text AS DOUBLE)", lambda: c("text").try_cast("double"))
-whole("f85_template_whole", "'Q: ' || text || ' (' || doc_id || ')'", lambda: F.format_string("Q: %s (%d)", c("text"), c("doc_id")))
+simple("f1_first_answer", "regexp_extract(reply, '(?s)<answer>(.*?)</answer>', 1)", lambda: X.first_answer(c("reply")))
+simple("f2_last_answer", "trim(list_extract(regexp_extract_all(reply, '(?s)<answer>(.*?)</answer>', 1), -1))", lambda: X.last_answer(c("reply")))
+simple("f3_between", "trim(string_split(list_extract(string_split(reply, '<answer>'), -1), '</answer>')[1])", lambda: X.between(c("reply"), "<answer>", "</answer>"))
+simple("f9_minerva", "coalesce(trim(list_extract(regexp_extract_all('Answer: ' || text, '(?i)Answer\\s*:\\s*([^\\n]+)', 1), -1)), '[INVALID]')", lambda: X.minerva_answer(F.concat(F.lit("Answer: "), c("text"))))
+simple("f15_numbers", "array_to_string(regexp_extract_all(reply, '(-?\\d+(?:\\.\\d+)?(?:[eE][+-]?\\d+)?)', 1), ',')", lambda: F.array_join(X.numbers(c("reply")), ","))
+simple("f18_code_block", "string_split(list_extract(string_split('a```python' || text || '```b', '```python'), -1), '```')[1]", lambda: X.last_code_block(F.concat(F.lit("a```python"), c("text"), F.lit("```b"))))
+simple("f24_think", "regexp_extract(reply, '(?s)<think>(.*?)</think>', 1)", lambda: F.regexp_extract("reply", r"(?s)<think>(.*?)</think>", 1))
+simple("f30_normalize", None, lambda: X.normalize_answer(c("text")))
+simple("f33_relaxed", "(length(trim(left(text, length(text) - 1))) >= 0.9 * length(trim(text)))::INT", lambda: X.relaxed_match(c("text"), F.left("text", F.length("text") - 1)))
+simple("f34_strip_dot", "trim(regexp_replace(trim(text), '\\.$', ''))", lambda: X.strip_dot(c("text")))
+simple("f42_closest_choice", None, lambda: X.closest_choice(c("text"), F.array(*map(F.lit, ("the", "und", "les", "que")))))
+simple("f44_clean", "trim(replace(regexp_replace(replace('x [title] ' || text || ' [1]', ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' '))", lambda: F.trim(F.replace(F.regexp_replace(F.replace(F.concat(F.lit("x [title] "), c("text"), F.lit(" [1]")), F.lit(" [title]"), F.lit(". ")), r"\[.*?\]", ""), F.lit("  "), F.lit(" "))))
+simple("f50_format", "regexp_full_match(reply, '(?s)\\s*<think>.*</think>.*<answer>.*</answer>\\s*')::INT::DOUBLE", lambda: X.format_ok(c("reply")))
+simple("f83_parse_or_null", "TRY_CAST(text AS DOUBLE)", lambda: c("text").try_cast("double"))
+simple("f85_template", "'Q: ' || text || ' (' || doc_id || ')'", lambda: F.format_string("Q: %s (%d)", c("text"), c("doc_id")))
 
 
-@query("f86_row_construction_whole", "SELECT doc_id, lang AS data_source, text AS prompt, 'test' AS split, doc_id AS index FROM documents")
-def f86_whole(t):
+@query("f86_row_construction", "SELECT doc_id, lang AS data_source, text AS prompt, 'test' AS split, doc_id AS index FROM documents")
+def f86(t):
     msg = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
     row = t.documents.select("doc_id", F.col("lang").alias("data_source"), msg.alias("prompt"), F.struct(F.lit("test").alias("split"), F.col("doc_id").alias("index")).alias("extra_info"))
     return row.select("doc_id", "data_source", F.col("prompt")[0]["content"].alias("prompt"), "extra_info.split", "extra_info.index")
@@ -124,18 +86,6 @@ def f48(t):
     return t.pages.select("page_id", F.element_at(F.split("url", "/"), -2).alias("category"))
 
 
-@query("f83_parse_or_null", "SELECT doc_id, TRY_CAST(left(text, 5) AS DOUBLE) AS value FROM documents")
-def f83(t):
-    return t.documents.select("doc_id", F.left("text", F.lit(5)).try_cast("double").alias("value"))
-
-
-@query("f86_row_construction", "SELECT doc_id, lang AS data_source, left(text, 20) AS prompt, 'test' AS split, doc_id AS index FROM documents")
-def f86(t):
-    msg = F.array(F.struct(F.lit("user").alias("role"), F.left("text", F.lit(20)).alias("content")))
-    row = t.documents.select("doc_id", F.col("lang").alias("data_source"), msg.alias("prompt"), F.struct(F.lit("test").alias("split"), F.col("doc_id").alias("index")).alias("extra_info"))
-    return row.select("doc_id", "data_source", F.col("prompt")[0]["content"].alias("prompt"), "extra_info.split", "extra_info.index")
-
-
 @query("f66_repetitiveness")
 def f66(t):
     udf = F.pandas_udf(lambda s: s.map(X.repetitiveness), "double")

@@ -9,6 +9,17 @@ ARTICLES = r"\b(a|an|the)\b"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once for the row; keeps plans small where a value is used again and again."""
+    return F.transform(F.array(value), body)[0]
+
+
+def steps(value: Column, *bodies) -> Column:
+    for body in bodies:
+        value = let(value, body)
+    return value
+
+
 def blank_to_null(x: Column) -> Column:
     return F.when(x != "", x)
 
@@ -39,11 +50,10 @@ def last_boxed(x: Column) -> Column:
 
 def last_boxed_balanced(x: Column) -> Column:
     """Content of the last \\boxed{}, braces balanced; null if it never closes. A fold over what follows the last box."""
-    tail = F.when(x.contains("\\boxed{"), F.substring_index(x, "\\boxed{", -1))
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
     step = lambda s, c: F.when(s["depth"] == 0, s).otherwise(F.struct((s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("depth"), (s["n"] + 1).alias("n")))
-    end = F.aggregate(F.split(tail, ""), start, step)
-    return F.when(end["depth"] == 0, F.substring(tail, F.lit(1), end["n"] - 1))
+    cut = lambda tail: let(F.aggregate(F.split(tail, ""), start, step), lambda end: F.when(end["depth"] == 0, F.substring(tail, F.lit(1), end["n"] - 1)))
+    return let(F.when(x.contains("\\boxed{"), F.substring_index(x, "\\boxed{", -1)), cut)
 
 
 def gsm8k_answer(x: Column, strict: bool = True) -> Column:

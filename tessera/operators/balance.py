@@ -14,20 +14,24 @@ def largest_differencing(sizes: list[int], k: int, equal: bool = False) -> list[
     if equal and n % k:
         raise ValueError(f"{n} items do not make {k} equal parts")
 
+    def large_first(part):
+        """Sort key: greater sums first, then more items, then greater items."""
+        return -part[0], -len(part[1]), [(-i, -s) for i, s in part[1]]
+
     def state(parts):
-        parts = sorted(parts, key=lambda p: (-p[0], p[1]))
-        return (-(parts[0][0] - parts[-1][0]), parts[0][1][:1], parts)
+        parts = sorted(parts, key=large_first)
+        return parts[-1][0] - parts[0][0], large_first(parts[0]), parts
 
     order = sorted(range(n), key=lambda i: (sizes[i], i))
     if equal:
-        heap = [state([(sizes[i], [i]) for i in order[g : g + k]]) for g in range(0, n, k)]
+        heap = [state([(sizes[i], [(i, sizes[i])]) for i in order[g : g + k]]) for g in range(0, n, k)]
     else:
-        heap = [state([(sizes[i], [i])] + [(0, [])] * (k - 1)) for i in order]
+        heap = [state([(sizes[i], [(i, sizes[i])])] + [(0, [])] * (k - 1)) for i in order]
     heapq.heapify(heap)
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
         heapq.heappush(heap, state([(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))]))
-    return [sorted(p[1]) for p in heap[0][2]] if heap else [[] for _ in range(k)]
+    return [sorted(i for i, _ in p[1]) for p in heap[0][2]] if heap else [[] for _ in range(k)]
 
 
 def greedy(sizes: list[int], k: int, equal: bool = False) -> list[list[int]]:

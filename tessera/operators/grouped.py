@@ -104,10 +104,11 @@ def band_filter(df: DataFrame, low: float, high: float, keep: int, uid: str = "u
 
 
 def rollout_ordinal(df: DataFrame, index: str, order: str) -> DataFrame:
-    """Ordinal that restarts whenever ``index`` changes along ``order``; islands are found inside each index value."""
-    whole = F.row_number().over(Window.orderBy(order))
+    """Ordinal that restarts whenever ``index`` changes along ``order``; islands are found inside each index value, places by a range sort."""
+    from tessera.operators.batch import with_pos
+
     own = F.row_number().over(Window.partitionBy(index).orderBy(order))
-    island = df.withColumn("_i", whole - own)
+    island = with_pos(df, order, pos="_p").withColumn("_i", F.col("_p") - own).drop("_p")
     return island.withColumn("ordinal", F.row_number().over(Window.partitionBy(index, "_i").orderBy(order)) - 1).drop("_i")
 
 

@@ -232,13 +232,8 @@ def t1(t):
     return B.with_pos(t.events.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id").select("user_id", "event_id", "pos")
 
 
-@query("t7_coalesced_sort", "SELECT doc_id, coalesce(toxic, quality, 0) AS s FROM documents LEFT JOIN labels USING (doc_id) ORDER BY s DESC, doc_id LIMIT 50")
+@query("t7_coalesced_sort", "SELECT doc_id, coalesce(toxic, quality, 0) AS s, row_number() OVER (ORDER BY coalesce(toxic, quality, 0) DESC, doc_id)::BIGINT - 1 AS pos FROM documents LEFT JOIN labels USING (doc_id)")
 def t7(t):
-    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.coalesce("toxic", "quality", F.lit(0)).alias("s")).orderBy(F.desc("s"), "doc_id").limit(50)
-
-
-@query("t7_coalesced_sort_whole", "SELECT doc_id, coalesce(toxic, quality, 0) AS s, row_number() OVER (ORDER BY coalesce(toxic, quality, 0) DESC, doc_id)::BIGINT - 1 AS pos FROM documents LEFT JOIN labels USING (doc_id)")
-def t7_whole(t):
     d = t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.coalesce("toxic", "quality", F.lit(0)).alias("s"))
     return B.with_pos(d.withColumn("k", -F.col("s")), "k", "doc_id").select("doc_id", "s", "pos")
 

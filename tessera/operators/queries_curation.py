@@ -152,16 +152,6 @@ def p25(t):
     return t.documents.where(F.contains("text", F.lit("tion"))).orderBy(F.desc("n_chars"), "doc_id").select("doc_id", "n_chars")
 
 
-@query("x4_balanced_partitions")
-def x4(t):
-    return B.balanced_partitions(t.documents, "lang", "doc_id", "n_chars", 8)
-
-
-@query("x5_greedy_partitions")
-def x5(t):
-    return B.balanced_partitions(t.documents, "lang", "doc_id", "n_chars", 8, method=B.greedy)
-
-
 @query("x7_microbatch_count", "SELECT source, (ceil(greatest(least(count(*), ceil(sum(n_chars) / 20000.0)), 1) / 2) * 2)::BIGINT AS micro_batches FROM documents GROUP BY source")
 def x7(t):
     return B.microbatch_count(t.documents, "source", "n_chars", 20000, multiple=2)

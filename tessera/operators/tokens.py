@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,8 +87,12 @@ def covariance(df: DataFrame, lp: str, adv: str, mask: str) -> DataFrame:
 
 
 def top_share(df: DataFrame, by: str, share: float, *tie: str) -> DataFrame:
-    """The max(1, floor(n * share)) rows with the largest ``by``."""
-    return df.orderBy(F.desc(by), *tie).limit(max(1, int(df.count() * share)))
+    """The max(1, floor(n * share)) rows with the largest ``by``: dense places of a range sort, not one task's limit."""
+    from tessera.operators.batch import with_pos
+
+    n = max(1, int(df.count() * share))
+    down = df.withColumn("_down", -F.col(by))
+    return with_pos(down, "_down", *tie, pos="_place").where(F.col("_place") < n).drop("_down", "_place")
 
 
 def reverse_cumsum(x: Column) -> Column:
@@ -94,25 +100,48 @@ def reverse_cumsum(x: Column) -> Column:
     return F.sum(x).over(Window.partitionBy("row_id").orderBy("pos").rowsBetween(0, Window.unboundedFollowing))
 
 
+def _backwards(step, *arrays: Column) -> Column:
+    """A fold over the token axis from the end, for all rows of an Arrow batch at a time; ``step(state, columns at a token) -> (state, value)``."""
+
+    def run(*series: pd.Series) -> pd.Series:
+        size = series[0].str.len().fillna(0).astype(int).to_numpy()
+        most = int(size.max()) if len(size) else 0
+        grid = []
+        for s in series:  # rows end at the right edge
+            g = np.zeros((len(size), most))
+            for i, x in enumerate(s):
+                if size[i]:
+                    g[i, most - size[i] :] = x
+            grid.append(g)
+        out, state = np.zeros((len(size), most)), None
+        for t in range(most - 1, -1, -1):
+            state, out[:, t] = step(state, [g[:, t] for g in grid])
+        return pd.Series([out[i, most - n :].tolist() for i, n in enumerate(size)])
+
+    return F.pandas_udf(run, "array<double>")(*arrays)
+
+
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Of a row's arrays: reverse discounted sums; the state is cut to 0 after masked tokens."""
-    pairs = F.reverse(F.arrays_zip(rewards.alias("r"), mask.alias("m")))
-    step = F.aggregate(pairs, F.struct(F.lit(0.0).alias("g"), F.array().cast("array<double>").alias("out")), lambda s, x: F.struct(((x["r"] + gamma * s["g"]) * x["m"]).alias("g"), F.concat(F.array(x["r"] + gamma * s["g"]), s["out"]).alias("out")))
-    return step["out"]
+
+    def step(g, x):
+        g = x[0] + gamma * (0.0 if g is None else g)
+        return g * x[1], g
+
+    return _backwards(step, rewards, mask)
 
 
 def gae(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
     """Of a row's arrays: generalised advantage estimates; masked tokens pass the state on."""
-    rows = F.reverse(F.arrays_zip(rewards.alias("r"), values.alias("v"), mask.alias("m")))
-    start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("out"))
 
-    def step(s, x):
-        last = x["r"] + gamma * s["next"] - x["v"] + gamma * lam * s["last"]
-        nxt = x["v"] * x["m"] + (1 - x["m"]) * s["next"]
-        kept = last * x["m"] + (1 - x["m"]) * s["last"]
-        return F.struct(nxt.alias("next"), kept.alias("last"), F.concat(F.array(kept), s["out"]).alias("out"))
+    def step(state, x):
+        nxt, last = (0.0, 0.0) if state is None else state
+        r, v, m = x
+        new = r + gamma * nxt - v + gamma * lam * last
+        kept = new * m + (1 - m) * last
+        return (v * m + (1 - m) * nxt, kept), kept
 
-    return F.aggregate(rows, start, step)["out"]
+    return _backwards(step, rewards, values, mask)
 
 
 def response_mask(eos: Column) -> Column:

@@ -74,7 +74,7 @@ def read_srt(spark: SparkSession, path: str) -> DataFrame:
     """Subtitles as (start, end, text) in seconds."""
     from tessera.functions.text import clock_seconds
 
-    blocks = spark.read.option("wholetext", True).text(path).select(F.explode(F.split(F.regexp_replace("value", "\r", ""), r"\n\s*\n")).alias("b"))
+    blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.regexp_replace("value", "\r", ""), r"\n\s*\n")).alias("b"))
     times = r"(\d+:\d+:\d+[,.]\d+) --> (\d+:\d+:\d+[,.]\d+)"
     return blocks.where(F.col("b").rlike(times)).select(clock_seconds(F.regexp_extract("b", times, 1)).alias("start"), clock_seconds(F.regexp_extract("b", times, 2)).alias("end"), F.trim(F.regexp_extract("b", r"(?s)-->[^\n]*\n(.*)", 1)).alias("text"))
 
@@ -141,3 +141,37 @@ def math_source(spark: SparkSession, rows: int, seed: int = 0) -> DataFrame:
     """Synthetic arithmetic prompts with their values."""
     d = lambda j: (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(j)), F.lit(10))).cast("int")
     return spark.range(rows).select("id", d(0).alias("a"), d(1).alias("b"), d(2).alias("c")).select("id", F.format_string("(%d + %d) * %d", "a", "b", "c").alias("prompt"), ((F.col("a") + F.col("b")) * F.col("c")).alias("answer"))
+
+
+def write_json(df: DataFrame, path: str, array: bool = False) -> None:
+    """JSON with characters as they are; ``array``: one indented array for each file, else a line for each row."""
+    if not array:
+        df.write.mode("overwrite").json(path)
+        return
+    whole = df.select(F.to_json(F.struct(*df.columns), {"pretty": "true"}).alias("value"))
+
+    def files(rows):
+        import pyarrow as pa
+
+        texts = [t for batch in rows for t in batch.column(0).to_pylist()]
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array(["[" + ",\n".join(texts) + "]"])], names=["value"])
+
+    whole.mapInArrow(files, "value string").write.mode("overwrite").text(path)
+
+
+def read_split(spark: SparkSession, root: str, name: str, config: str, split: str) -> DataFrame:
+    """A split of a configuration of a named data set: {root}/{name}/{config}/{split}*.parquet."""
+    return spark.read.option("pathGlobFilter", f"{split}*.parquet").parquet(f"{root}/{name}/{config}")
+
+
+def append_trajectory(df: DataFrame, path: str, name: str, step: int) -> None:
+    """A named dump of a step, appended; several runs of a step each leave their rows."""
+    df.withColumn("name", F.lit(name)).withColumn("step", F.lit(step)).write.mode("append").partitionBy("name", "step").parquet(path)
+
+
+def dump_generations(df: DataFrame, path: str, step: int, columns: Sequence[str] = ()) -> None:
+    """Inputs, outputs, scores and those of the further columns that are set in every row, as JSON lines of a step."""
+    full = df.agg(*[(F.count(c) == F.count("*")).alias(c) for c in columns]).first() if columns else {}
+    keep = [c for c in columns if full[c]]
+    write_steps(df.select("input", "output", "score", *keep).withColumn("step", F.lit(step)), path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.batch import seeded_order
 from tessera.plans.registry import query
-from tessera.sources import io
+from tessera.sources import files, io
 
 
 @query("s1_union_scan", "SELECT doc_id AS id, text FROM documents UNION ALL SELECT item_id, text FROM benchmark")
@@ -31,14 +31,8 @@ def s4(t):
     return t.events.groupBy("user_id").agg(F.max_by("event_id", F.struct("value", (-F.col("event_id")).alias("i"))).alias("chosen"), F.min_by("event_id", F.struct("value", (-F.col("event_id")).alias("i"))).alias("rejected"))
 
 
-@query("s7_json_round_trip", "SELECT event_id, event_type FROM events WHERE event_id < 200")
+@query("s7_json_round_trip", "SELECT event_id, event_type FROM events")
 def s7(t):
-    one = t.events.where("event_id < 200").select(F.to_json(F.struct("event_id", "event_type")).alias("j"))
-    return one.select(F.from_json("j", "event_id bigint, event_type string").alias("x")).select("x.*")
-
-
-@query("s7_json_round_trip_whole", "SELECT event_id, event_type FROM events")
-def s7_whole(t):
     one = t.events.select(F.to_json(F.struct("event_id", "event_type")).alias("j"))
     return one.select(F.from_json("j", "event_id bigint, event_type string").alias("x")).select("x.*")
 
@@ -73,3 +67,114 @@ def s21(t):
 @query("s23_flatten", "SELECT event_id AS \"a/id\", event_type AS \"a/b/kind\" FROM events")
 def s23(t):
     return io.flatten_struct(t.events.select(F.struct(F.col("event_id").alias("id"), F.struct(F.col("event_type").alias("kind")).alias("b")).alias("a")))
+
+
+@query("s5_cached_copy", "SELECT n_nationkey, n_name FROM nation")
+def s5(t):
+    cache = files.shared_folder(t.spark)
+    files.cached(t.spark, f"{t.sf_dir}/nation.parquet", cache)
+    return t.spark.read.parquet(files.cached(t.spark, f"{t.sf_dir}/nation.parquet", cache)).select("n_nationkey", "n_name")
+
+
+@query("s6_file_operations", "SELECT * FROM (VALUES ('before', false), ('made', true), ('folder', true), ('copied', true), ('file', true), ('removed', true), ('after', false)) v(step, ok)")
+def s6(t):
+    root = files.shared_folder(t.spark)
+    steps = [("before", files.exists(t.spark, root)), ("made", files.make_dirs(t.spark, root)), ("folder", files.exists(t.spark, root)), ("copied", files.copy(t.spark, f"{t.sf_dir}/region.parquet", f"{root}/region.parquet"))]
+    steps += [("file", files.exists(t.spark, f"{root}/region.parquet")), ("removed", files.remove(t.spark, root)), ("after", files.exists(t.spark, root))]
+    return t.spark.createDataFrame(steps, "step string, ok boolean")
+
+
+def _nations_as_json(t) -> str:
+    """Nations as a JSON array in a folder for each region (a handful)."""
+    root = files.shared_folder(t.spark)
+    n = t.nation.groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.struct(F.col("n_name").alias("video_path"), F.col("n_nationkey").alias("start_time")))).alias("rows"))
+    for r in n.toLocalIterator():
+        files.write_text(t.spark, f"{root}/n_regionkey={r.n_regionkey}/captions.json", r.rows)
+    return root
+
+
+@query("s8_json_tree", "SELECT n_name AS video_path, n_nationkey AS start_time, 'n_regionkey=' || n_regionkey AS folder FROM nation")
+def s8(t):
+    tree = io.read_json_tree(t.spark, _nations_as_json(t), "start_time long, video_path string")
+    return tree.select("video_path", "start_time", F.element_at(F.split("file", "/"), -2).alias("folder"))
+
+
+@query("s9_merged_json", "SELECT n_name AS video_path, n_nationkey AS start_time FROM nation ORDER BY ALL")
+def s9(t):
+    return io.merge_json(t.spark, _nations_as_json(t)).select("video_path", "start_time")
+
+
+@query("s10_list_scan", "SELECT '/videos/' || n_name || '.mp4' AS path FROM nation")
+def s10(t):
+    root = files.shared_folder(t.spark)
+    line = F.when(F.col("n_nationkey") % 3 == 0, F.array(F.lit("# note"), F.lit("   "), F.concat(F.lit("  /videos/"), "n_name", F.lit(".mp4 ")))).otherwise(F.array(F.concat(F.lit("/videos/"), "n_name", F.lit(".mp4"))))
+    t.nation.select(F.explode(line).alias("value")).write.text(root)
+    return io.read_list(t.spark, root)
+
+
+@query("s11_file_index", "SELECT n_regionkey AS name, max(n_nationkey) AS kept FROM (SELECT n_regionkey::VARCHAR AS n_regionkey, 'k=' || n_nationkey AS n_nationkey FROM nation) GROUP BY ALL")
+def s11(t):
+    root = files.shared_folder(t.spark)
+    for n, r in sorted((n, r) for n, r in t.nation.select("n_nationkey", "n_regionkey").toLocalIterator()):  # a handful of files
+        files.write_text(t.spark, f"{root}/k={n}/{r}.mp4", "x")
+    index = io.index_files(t.spark, root, first=False)
+    return index.select("name", F.element_at(F.split("path", "/"), -2).alias("kept"))
+
+
+@query("s14_config_split", "SELECT n_name FROM nation WHERE n_regionkey = 2 AND n_nationkey % 2 = 0")
+def s14(t):
+    root = files.shared_folder(t.spark)
+    for split, rest in (("train", 1), ("test", 0)):
+        part = t.nation.where((F.col("n_regionkey") == 2) & (F.col("n_nationkey") % 2 == rest)).select("n_name").coalesce(1)
+        part.write.parquet(f"{root}/tmp-{split}")
+        found = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{root}/tmp-{split}").first()["path"]
+        files.make_dirs(t.spark, f"{root}/nations/asia")
+        files.copy(t.spark, found, f"{root}/nations/asia/{split}-00000.parquet")
+    return io.read_split(t.spark, root, "nations", "asia", "test")
+
+
+@query("s17_parquet_sink", "SELECT event_id, event_type FROM events")
+def s17(t):
+    root = files.shared_folder(t.spark)
+    io.save(t.events.select("event_id", "event_type"), root)
+    return io.load(t.spark, root)
+
+
+@query("s18_json_sink", "SELECT n_nationkey AS id, n_name || ' é 中' AS name FROM nation")
+def s18(t):
+    root = files.shared_folder(t.spark)
+    io.write_json(t.nation.select(F.col("n_nationkey").alias("id"), F.concat("n_name", F.lit(" é 中")).alias("name")), root, array=True)
+    return io.read_json_array(t.spark, root, "id int, name string")
+
+
+@query("s20_generation_dump", "SELECT doc_id % 3 AS step, count(*)::BIGINT AS n, min(lang || doc_id) AS first, 'input,output,score,step,tag' AS columns FROM documents WHERE lang IS NOT NULL GROUP BY ALL")
+def s20(t):
+    root = files.shared_folder(t.spark)
+    d = t.documents.where("lang is not null").select(F.concat("lang", F.col("doc_id").cast("string")).alias("input"), F.col("text").alias("output"), F.col("n_chars").cast("double").alias("score"), F.lit("x").alias("tag"), F.when(F.col("doc_id") % 7 != 0, 1).alias("rare"), (F.col("doc_id") % 3).alias("s"))
+    for step in range(3):
+        io.dump_generations(d.where(F.col("s") == step), root, step, ["tag", "rare"])
+    out = t.spark.read.json(root)
+    return out.groupBy(F.col("step").cast("long").alias("step")).agg(F.count("*").alias("n"), F.min("input").alias("first")).withColumn("columns", F.lit(",".join(sorted(out.columns))))
+
+
+@query("s22_metric_sink", "SELECT n_nationkey::INT AS step, 'a' AS name, (n_nationkey * 2)::DOUBLE AS value FROM nation WHERE n_nationkey < 3 UNION ALL SELECT n_nationkey::INT, 'b', n_nationkey / 2.0 FROM nation WHERE n_nationkey < 3")
+def s22(t):
+    sink, seen = io.MetricSink(t.spark, root := files.shared_folder(t.spark), lambda rows: seen.extend(rows)), []
+    for step in range(3):
+        sink.log({"b": step / 2, "a": 2 * step}, step)
+    return t.spark.read.schema("step int, name string, value double").parquet(root)
+
+
+@query("s24_saved_batch", "SELECT user_id, count(*)::BIGINT AS n FROM events GROUP BY user_id")
+def s24(t):
+    root = files.shared_folder(t.spark)
+    io.save(t.events.groupBy("user_id").agg(F.collect_list("event_id").alias("ids")), root)
+    return io.load(t.spark, root).select("user_id", F.size("ids").cast("long").alias("n"))
+
+
+@query("s25_trajectory", "SELECT 'actor' AS name, n_regionkey AS step, count(*)::BIGINT AS n FROM nation WHERE n_regionkey < 2 GROUP BY ALL")
+def s25(t):
+    root = files.shared_folder(t.spark)
+    for step in range(2):
+        io.append_trajectory(t.nation.where(F.col("n_regionkey") == step), root, "actor", step)
+    return t.spark.read.parquet(root).groupBy("name", F.col("step").cast("long").alias("step")).agg(F.count("*").alias("n"))

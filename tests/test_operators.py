@@ -126,12 +126,15 @@ def test_response_mask(spark):
 @pytest.mark.parametrize("equal", [False, True])
 def test_balanced_parts(equal):
     sizes = [5, 9, 1, 7, 3, 8, 2, 6]
+    loads = lambda parts: [sum(sizes[i] for i in p) for p in parts]
     for f in (balance.largest_differencing, balance.greedy):
         parts = f(sizes, 4, equal)
         assert sorted(i for p in parts for i in p) == list(range(8))
-        loads = [sum(sizes[i] for i in p) for p in parts]
-        assert max(loads) - min(loads) <= max(sizes)
-        assert not equal or {len(p) for p in parts} == {2}
+        assert not equal or all(len(p) == 2 for p in parts)
+    best = loads(balance.largest_differencing(sizes, 4, equal))
+    assert max(best) - min(best) <= max(sizes)
+    # items in order, each to the lightest part; with equal counts, to the lightest of those with fewest items
+    assert loads(balance.greedy(sizes, 4, equal)) == ([13, 15, 4, 9] if equal else [13, 9, 12, 7])
 
 
 def test_registry():
