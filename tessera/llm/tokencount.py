@@ -1,15 +1,13 @@
 """Token counts without token ids.
 
 A pre-token here is a run without ASCII white space, which the tokenizer's own
-pre-tokenizer never joins with another.  Spark gathers the distinct pre-tokens of all
-documents, each is tokenised once, and its number of pieces is joined to the
-per-document frequencies and summed; no sequence of ids for a document ever exists.
-
-The table of pieces is joined in one of two ways, with equal results.  If a count
-shows at most ``broadcast_entries`` distinct pre-tokens (16 bytes each), it is sent to
-the tasks as sorted arrays and looked up while the texts are read, so documents are
-never shuffled.  Beyond that, the frequencies are written once and joined by hash with
-a shuffle, and summed by row.
+pre-tokenizer never joins with another.  Spark counts the pre-tokens of all documents
+(those that repeat within a task are sent), tokenises each of the ``shared_entries``
+most frequent ones once, and sends the table of their pieces to the tasks as sorted
+arrays.  There it is joined to each document's pre-token frequencies and summed; a
+pre-token that is not in the table is tokenised once for the task that meets it (a
+table of ``cache_entries``, started anew when full).  Documents are never shuffled, and
+no sequence of ids for a document ever exists.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); special strings
 inside a text count as the library's default has them (one token); repeated rows
@@ -25,103 +23,119 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels as K
 from tessera.llm import scratch as S
 
-#: Distinct pre-tokens that a task remembers having sent; then it starts anew.
-SENT = 1_000_000
-BROADCAST_ENTRIES = 4_000_000
+#: Pre-tokens of the shared table: 16 bytes each in a task.
+SHARED = 1_000_000
+#: Pre-tokens that a task counts before it sends those it met twice.
+PENDING = 1_000_000
 
 
-def distinct_pretokens(docs: DataFrame) -> DataFrame:
-    """(hash, word): each pre-token of all texts once."""
+def frequent_pretokens(docs: DataFrame, entries: int) -> DataFrame:
+    """(hash, word, n) of the most frequent pre-tokens, counted in tasks that meet them twice or more."""
 
     def run(batches):
-        sent = np.zeros(0, np.uint64)
+        h, n, spelt = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+
+        def send():
+            often = n > 1
+            for at in range(0, int(often.sum()), 50_000):
+                part = slice(at, at + 50_000)
+                yield S.batch(hash=K.signed(h[often][part]), word=S.pa.array(spelt[often][part].tolist(), S.pa.binary()), n=n[often][part])
+
         for rows in batches:
             for _, _, data, offsets in K.pieces(rows.column(0)):
                 words = K.Words(data, offsets)
-                h, one = np.unique(words.hash, return_index=True)
-                at = np.minimum(np.searchsorted(sent, h), max(len(sent) - 1, 0))
-                new = sent[at] != h if len(sent) else np.ones(len(h), bool)
-                h, one = h[new], one[new]
-                if not len(h):
-                    continue
-                a, b = words.start[one], words.end[one]
-                inside = K.cover(a, b - a, len(data))  # of one piece, so distinct words do not overlap
-                order = np.argsort(a)
-                size = np.concatenate([[0], np.cumsum((b - a)[order])]).astype(np.int32)
-                text = S.pa.Array.from_buffers(S.pa.binary(), len(h), [None, S.pa.py_buffer(size), S.pa.py_buffer(np.ascontiguousarray(data[inside]))])
-                yield S.batch(hash=K.signed(h[order]), word=text)
-                sent = np.union1d(sent, h) if len(sent) + len(h) <= SENT else h
+                new, one, count = np.unique(words.hash, return_index=True, return_counts=True)
+                raw = data.tobytes()
+                text = np.array([raw[a:b] for a, b in zip(words.start[one].tolist(), words.end[one].tolist())], object)
+                both, first, which = np.unique(np.concatenate([h, new]), return_index=True, return_inverse=True)
+                n = np.bincount(which, np.concatenate([n, count]), minlength=len(both)).astype(np.int64)
+                h, spelt = both, np.concatenate([spelt, text])[first]
+                if len(h) > PENDING:
+                    yield from send()
+                    h, n, spelt = h[:0], n[:0], spelt[:0]
+        yield from send()
 
     S.ship(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "hash long, word binary").groupBy("hash").agg(F.min("word").alias("word"))
+    found = docs.select("text").mapInArrow(run, "hash long, word binary, n long")
+    return found.groupBy("hash").agg(F.sum("n").alias("n"), F.first("word").alias("word")).orderBy(F.desc("n"), "hash").limit(entries)
+
+
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
 
 
 def pretoken_pieces(words: DataFrame, tokenizer_file: str) -> DataFrame:
     """(hash, pieces) of (hash, word)."""
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = _tokenizer(tokenizer_file)
         for rows in batches:
-            spelt = [w.decode("utf-8", "replace") for w in rows.column(1).to_pylist()]
-            coded = tokenizer.encode_batch_fast(spelt, add_special_tokens=False)
+            coded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rows.column(1).to_pylist()], add_special_tokens=False)
             yield S.pa.RecordBatch.from_arrays([rows.column(0), S.pa.array([len(x) for x in coded], S.pa.int64())], names=["hash", "pieces"])
 
     S.ship(words.sparkSession)
-    return words.mapInArrow(run, "hash long, pieces long")
+    return words.select("hash", "word").mapInArrow(run, "hash long, pieces long")
 
 
-def _frequencies(rows):
-    """(first row, end row, distinct hashes, which of them each word is, word index where each text begins) of each piece."""
-    for first, end, data, offsets in K.pieces(rows.column(1)):
-        words = K.Words(data, offsets)
-        distinct, which = np.unique(words.hash, return_inverse=True)
-        yield first, end, distinct, which, words.first, np.diff(offsets)
+class Pieces:
+    """Piece counts by sorted hash."""
 
+    def __init__(self):
+        self.hash, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 2048, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+    def add(self, h: np.ndarray, count: np.ndarray) -> None:
+        both = np.concatenate([self.hash, h])
+        order = np.argsort(both, kind="stable")
+        self.hash, self.count = both[order], np.concatenate([self.count, count])[order]
+
+    def join(self, h: np.ndarray, out: np.ndarray, todo: np.ndarray) -> np.ndarray:
+        """Fills ``out`` where a hash of ``todo`` (places in h) is known; the places that are left."""
+        if not len(self.hash) or not len(todo):
+            return todo
+        at = np.minimum(np.searchsorted(self.hash, h[todo]), len(self.hash) - 1)
+        found = self.hash[at] == h[todo]
+        out[todo[found]] = self.count[at[found]]
+        return todo[~found]
+
+
+def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 2048, shared_entries: int = SHARED, cache_entries: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) for each row of ``docs``."""
     scratch = S.Scratch(docs.sparkSession)
     docs = S.texts_of(docs)
-    table = scratch.write(pretoken_pieces(scratch.write(distinct_pretokens(docs), "pretokens"), tokenizer_file), "pieces")
-    joined = _by_broadcast if table.count() <= broadcast_entries else _by_shuffle
-    out = joined(docs, table, scratch)
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
-
-
-def _by_broadcast(docs: DataFrame, table: DataFrame, scratch: S.Scratch) -> DataFrame:
-    t = table.toArrow()
-    h, pieces = K.unsigned(t.column("hash").to_numpy()), t.column("pieces").to_numpy()
-    order = np.argsort(h)
-    known = docs.sparkSession.sparkContext.broadcast((h[order], pieces[order]))  # counted: at most broadcast_entries rows
-
-    def run(rows):
-        at, n = known.value
-        n_bytes, n_tokens = [], []
-        for _, _, distinct, which, begin, size in _frequencies(rows):
-            n_bytes.append(size)
-            n_tokens.append(K.per_text(n[np.searchsorted(at, distinct)][which] if len(which) else which, begin))
-        yield S.batch(doc_id=rows.column(0), n_bytes=np.concatenate(n_bytes).astype(np.int64), n_tokens=np.concatenate(n_tokens).astype(np.int64))
-
-    return S.arrow_map(docs, run, "doc_id long, n_bytes long, n_tokens long")
-
-
-def _by_shuffle(docs: DataFrame, table: DataFrame, scratch: S.Scratch) -> DataFrame:
-    def run(rows):
-        for first, end, distinct, which, begin, size in _frequencies(rows):
-            own = np.repeat(np.arange(end - first), np.diff(begin))
-            d, w, n = K.unique_in_text(own, which.astype(np.uint64))
-            counts = np.bincount(d, minlength=end - first)
-            yield S.batch(doc_id=rows.column(0).slice(first, end - first), n_bytes=size.astype(np.int64), hash=K.list_array(K.signed(distinct[w.astype(np.int64)]), counts), n=K.list_array(n, counts))
-
-    found = S.arrow_map(docs, run, "doc_id long, n_bytes long, hash array<long>, n array<long>")
-    found = scratch.write(found.select(F.monotonically_increasing_id().alias("row"), "*"), "frequencies")  # written: the ids stay
-    each = found.select("row", F.explode(F.arrays_zip("hash", "n")).alias("x")).select("row", "x.hash", "x.n").join(table, "hash")
-    sums = each.groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("n_tokens"))
-    return found.select("row", "doc_id", "n_bytes").join(sums, "row", "left").select("doc_id", "n_bytes", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    words = scratch.write(frequent_pretokens(docs, shared_entries), "frequent")
+    t = pretoken_pieces(words.repartition("hash"), tokenizer_file).toArrow()  # at most shared_entries rows
+    shared = Pieces()
+    shared.add(K.unsigned(t.column("hash").to_numpy()), t.column("pieces").to_numpy())
+    table = docs.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches):
+        tokenizer, own = _tokenizer(tokenizer_file), Pieces()
+        for rows in batches:
+            n_bytes, n_tokens = [], []
+            for _, _, data, offsets in K.pieces(rows.column(1)):
+                words = K.Words(data, offsets)
+                distinct, one, which = np.unique(words.hash, return_index=True, return_inverse=True)
+                pieces = np.zeros(len(distinct), np.int64)
+                new = own.join(distinct, pieces, table.value.join(distinct, pieces, np.arange(len(distinct))))
+                if len(new):
+                    raw = data.tobytes()
+                    spelt = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[one[new]].tolist(), words.end[one[new]].tolist())]
+                    pieces[new] = [len(x) for x in tokenizer.encode_batch_fast(spelt, add_special_tokens=False)]
+                    if len(own.hash) + len(new) > cache_entries:
+                        own = Pieces()
+                    own.add(distinct[new], pieces[new])
+                n_bytes.append(np.diff(offsets))
+                n_tokens.append(K.per_text(pieces[which] if len(which) else which, words.first))
+            if n_bytes:
+                total = np.concatenate(n_tokens).astype(np.int64)
+                yield S.batch(doc_id=rows.column(0), n_bytes=np.concatenate(n_bytes).astype(np.int64), n_tokens=total, over_limit=total > limit)
+
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def naive_token_counts(texts: list[str | None], tokenizer_file: str) -> list[int]:

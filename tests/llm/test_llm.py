@@ -62,18 +62,19 @@ def test_token_counts(spark, sf, edge_docs, no_docs):
     for docs in (edge_docs, special, spark.read.parquet(f"{sf}/documents.parquet")):
         pdf = docs.select("doc_id", "text").toPandas()
         want = tokencount.naive_token_counts(list(pdf.text), path)
-        for entries in (10**6, 0):  # by broadcast and by shuffle
-            got = tokencount.count_tokens(docs, path, broadcast_entries=entries).toPandas()
+        for shared, cache in ((10**6, 10**6), (40, 500), (0, 1)):  # all frequent words shared, few, none
+            got = tokencount.count_tokens(docs, path, shared_entries=shared, cache_entries=cache).toPandas()
             assert sorted(zip(got.doc_id.fillna(-1), got.n_tokens)) == sorted(zip(pdf.doc_id.fillna(-1), want))
             assert sorted(got.n_bytes) == sorted(len((t or "").encode()) for t in pdf.text)
             assert (got.over_limit == (got.n_tokens > 2048)).all()
-            assert tokencount.count_tokens(no_docs, path, broadcast_entries=entries).count() == 0
+    assert tokencount.count_tokens(no_docs, path).count() == 0
 
 
-def test_pretokens_are_sent_once_each(spark):
-    docs = spark.createDataFrame([(1, "b a  a\tc"), (2, "a b"), (3, None), (4, "zz"), (5, "zz d")], "doc_id long, text string")
-    got = [bytes(r.word).decode() for r in tokencount.distinct_pretokens(docs).collect()]
-    assert sorted(got) == ["a", "b", "c", "d", "zz"]
+def test_frequent_pretokens_are_counted_over_all_texts(spark):
+    docs = spark.createDataFrame([(1, "b a  a\tc a"), (2, "a b b"), (3, None), (4, "zz"), (5, "zz zz d")], "doc_id long, text string").coalesce(1)
+    got = {bytes(r.word).decode(): r.n for r in tokencount.frequent_pretokens(docs, 10).collect()}
+    assert got == {"a": 4, "b": 3, "zz": 3}
+    assert {bytes(r.word).decode() for r in tokencount.frequent_pretokens(docs, 1).collect()} == {"a"}
 
 
 def naive_rules(t):
@@ -119,15 +120,43 @@ def test_word_order_is_judged(spark):
     assert sum(not got[i].base_failed for i, *_ in rows) > 0.9 * len(rows)
 
 
-def test_kneser_ney_is_a_distribution():
+def test_perplexity_equals_brute_force(spark):
+    rng = random.Random(4)
+    texts = [("".join(rng.choice("abcdé 1中") for _ in range(rng.randrange(60))), rng.choice(["x", "y", None])) for _ in range(60)]
+    texts += [("A quick test of 12 things.\n", "x"), ("", "x"), ("a quick test of 99 things. ", "x")]
+    docs = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(texts)], "doc_id long, text string, lang string")
+    want = rules.naive_log_perplexities(texts)
+    for model_rows in (10**6, 100):  # at once, and in shards
+        got = {r.doc_id: r.log_ppl for r in rules.quality_rules(docs, model_rows=model_rows).collect()}
+        assert [got[i] is None for i in range(len(texts))] == [x is None for x in want]
+        assert all(got[i] == pytest.approx(x, abs=1e-5) for i, x in enumerate(want) if x is not None)
+
+
+def test_kneser_ney_is_a_distribution(spark):
+    """Over the symbols that follow a history: their probabilities and the mass kept back for others sum to one."""
     rng = np.random.default_rng(1)
-    raw = "".join(rng.choice(list("abcde ")) for _ in range(4000)).encode()
-    gram, _ = rules.text_grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-    key, n = np.unique(gram, return_counts=True)
-    model = rules.KneserNey(key, n)
-    for history in (key[5] >> 6, key[100] >> 6, 0x15000 | 63):
-        following = (int(history) << 6) + np.arange(64)
-        assert math.fsum(np.exp(model.log_probs(following))) == pytest.approx(1, abs=1e-3)
+    raw = "".join(rng.choice(list("abc ")) for _ in range(40000))
+    counts = rules.count_grams(spark.createDataFrame([(raw, 7)], "text string, l long"))
+    model = rules.kneser_ney(counts, Scratch(spark)).toPandas()
+    assert ((model.p > 0) & (model.p < 1) & (model.q > 0) & (model.q < 1)).all()
+    history = [(a >> 21, ((a & (1 << 21) - 1) << 42) | b >> 21) for a, b in zip(model.a, model.b)]
+    total = model.groupby(pd.Series(history)).p.sum()
+    size = pd.Series(history).value_counts()
+    full = total[size[total.index] == 4]  # all four symbols follow: only the one kept for unseen symbols is missing
+    assert len(full) > 50 and (full <= 1).all() and (full > 0.999).all()
+
+
+def test_bands_reject_on_both_sides(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnop"
+    names = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(names) for _ in range(120)), "xx") for i in range(300)]
+    rows += [(1000 + i, " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(120)), "xx") for i in range(3)]  # letters by chance
+    common = [rng.choice(names) for _ in range(3)]
+    rows += [(2000 + i, " ".join(rng.choice(common) + rng.choice(common) for _ in range(200)), "xx") for i in range(3)]  # nearly nothing but three names
+    got = rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas().set_index("doc_id").sort_index()
+    assert (got.log_ppl.loc[1000:1002] > got.high.loc[1000:1002]).all() and (got.log_ppl.loc[2000:2002] < got.low.loc[2000:2002]).all()
+    assert not got.kept.loc[1000:2002].any() and got.kept.loc[:299].mean() > 0.99 and not got.base_failed.loc[:1002].any()
 
 
 def test_induced_sorting():
