@@ -53,6 +53,11 @@ def hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def text_key() -> Column:
+    """128-bit identity of a row of (doc_id, text)."""
+    return S.row_key(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(verdicts, hits): a row per document row, and (row_key, doc_id, item_id, pos) of every hit word."""
     scratch = S.Scratch(docs.sparkSession)
@@ -64,20 +69,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5
         """Fingerprints of a document: of its n-word windows, and of each length that a short item has."""
         return F.concat(window_minima(gram_hashes(h, k), n - k + 1), *[F.array_distinct(gram_hashes(h, m)) for m in short])
 
-    key = F.xxhash64(F.col("doc_id"), F.col("text")).alias("row_key")
+    key = text_key().alias("row_key")
     base = S.texts_of(docs).select("doc_id", key, hashes(words_of("text")).alias("h"))
     base = scratch.write(base.select("doc_id", "row_key", F.size("h").cast("long").alias("n_words"), kept(F.col("h")).alias("prints")), "prints")
 
     def item_grams(m: int, size: int) -> DataFrame:
-        own = items.where(F.col("need") == m).select("item_id", "words", gram_hashes(hashes(F.col("words")), size).alias("g"))
-        keep = own.withColumn("kept", window_minima(F.slice(F.col("g"), 1, F.size("g")), n - size + 1 if m == n else 1))
-        return keep.select("item_id", "words", "kept", F.posexplode("g").alias("item_pos", "print")).where(F.array_contains("kept", F.col("print"))).drop("kept")
+        """(item_id, item_pos, print) of the kept fingerprints of items of one length, at every place they have."""
+        own = scratch.write(items.where(F.col("need") == m).select("item_id", gram_hashes(hashes(F.col("words")), size).alias("g")), "item-grams")
+        kept_prints = own.select("item_id", F.explode(window_minima(F.slice(F.col("g"), 1, F.size("g")), n - size + 1 if m == n else 1)).alias("print")).distinct()
+        return own.select("item_id", F.posexplode("g").alias("item_pos", "print")).join(kept_prints, ["item_id", "print"]).select("item_id", "item_pos", "print")
 
     prints = item_grams(n, k)
     for m in short:
         prints = prints.unionByName(item_grams(m, m))
     prints = scratch.write(prints, "item-prints")
-    hit_prints = S.small(prints.select("print").distinct())
+    hit_prints = S.small(scratch.write(prints.select("print").distinct(), "hit-prints"))
     suspects = base.select("row_key", F.explode("prints").alias("print")).join(hit_prints, "print", "left_semi").select("row_key").distinct()
     suspects = scratch.write(suspects, "suspects")
     texts = S.texts_of(docs).select("doc_id", key, words_of("text").alias("w")).join(S.small(suspects), "row_key", "left_semi").dropDuplicates(["row_key"])
@@ -87,7 +93,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5
     for _, size in dict.fromkeys(lengths):
         own = texts.select("row_key", F.posexplode(gram_hashes(F.col("h"), size)).alias("pos", "print"))
         places = own if places is None else places.unionByName(own)
-    diagonals = places.join(S.small(prints.select("print", "item_id", "item_pos", "words")), "print").select("row_key", "item_id", "words", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    diagonals = places.join(S.small(prints.select("print", "item_id", "item_pos")), "print").select("row_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    diagonals = scratch.write(diagonals, "diagonals").join(S.small(items.select("item_id", "words")), "item_id")
     same = F.filter(F.transform("words", lambda x, j: F.when(x == F.get(F.col("w"), j + F.col("shift")), j)), lambda j: j.isNotNull())
     aligned = diagonals.join(texts.select("row_key", "doc_id", "w"), "row_key").select("row_key", "doc_id", "item_id", "shift", F.least(F.size("words"), F.lit(n)).alias("need"), same.alias("j"))
     runs = aligned.select("row_key", "doc_id", "item_id", "shift", "need", F.explode(_long_runs(F.col("j"), F.col("need"))).alias("j"))
@@ -95,7 +102,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5
     counts = hits.select("row_key", "pos").distinct().groupBy("row_key").agg(F.count("*").alias("n_hit"))
     found = hits.select("row_key", "item_id").distinct().groupBy("row_key").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.col("item_id").cast("string"))), ","), 256).alias("items_sha256"))
     per_doc = counts.join(found, "row_key")
-    verdicts = base.drop("prints").join(S.small(per_doc), "row_key", "left").select(
+    verdicts = base.drop("prints").join(S.small(scratch.write(per_doc, "per-doc")), "row_key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), "row_key",
     )

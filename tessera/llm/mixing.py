@@ -93,8 +93,8 @@ def mix_sources(docs: DataFrame, *, budget_tokens: int | None = None, target_ent
     """doc_id, source, n_tokens, epoch, block, mix_order, weight: a row for each pass of each document."""
     S.ship(docs.sparkSession)
     scratch = S.Scratch(docs.sparkSession)
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), token_count("text").alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
-    rows = scratch.write(rows, "rows")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), token_count("text").alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("h"))
+    rows = scratch.write(rows.withColumn("salt", F.monotonically_increasing_id() % 256), "rows")  # written: the salt stays; it parts rows that repeat
     totals = scratch.write(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "totals")
     own = totals.where("tokens > 0")
     total = own.agg(F.sum("tokens")).first()[0] or 0
@@ -106,7 +106,7 @@ def mix_sources(docs: DataFrame, *, budget_tokens: int | None = None, target_ent
     plan = totals.withColumn("weight", weight).withColumn("budget", F.floor(F.col("weight") * budget).cast("long"))
     plan = plan.withColumn("passes", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(1).cast("long"))).withColumn("rest", F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(F.lit(0).cast("long")))
     plan = scratch.write(plan.withColumn("blocks", F.ceil(F.col("docs") / block_docs).cast("long")).withColumnRenamed("source", "p_source"), "plan")
-    placed = rows.join(S.small(plan), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("block", F.pmod(F.col("h"), F.col("blocks")))
+    placed = rows.join(S.small(plan), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("block", F.pmod(F.xxhash64("h", "salt"), F.col("blocks")))
     ends = F.col("passes") + F.when(F.col("rest") > 0, 1).otherwise(0)
 
     def order(epoch, rank):
@@ -122,6 +122,6 @@ def mix_sources(docs: DataFrame, *, budget_tokens: int | None = None, target_ent
     ranked = scratch.write(ranked.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "epoch", "rank", room.cast("long").alias("room")), "blocks")
     out = placed.join(S.small(ranked), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
     whole = out.where("room is null")
-    part = out.where("room is not null").withColumn("turn", F.xxhash64("h", "epoch"))
+    part = out.where("room is not null").withColumn("turn", F.xxhash64("h", "salt", "epoch"))
     part = part.groupBy("b_source", "block", "epoch").applyInArrow(fitting, part.schema).drop("turn")
     return whole.unionByName(part).select("doc_id", "source", "n_tokens", "epoch", "block", order(F.col("epoch"), F.col("rank")).alias("mix_order"), "weight")

@@ -121,7 +121,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def indexed_sets(docs: DataFrame, k: int, percent: int, often) -> DataFrame:
-    """(doc_id, n, h1, h2, prefix): set size, digest, and prefix in the global order; ``often`` is a broadcast."""
+    """(doc_id, row_key, n, h1, h2, prefix) of (doc_id, text, row_key): set size, digest, and prefix in the global order; ``often`` is a broadcast."""
 
     def run(rows):
         hot = often.value
@@ -133,9 +133,9 @@ def indexed_sets(docs: DataFrame, k: int, percent: int, often) -> DataFrame:
             order = np.lexsort((h, late, d))
             place = np.arange(len(h)) - np.concatenate([[0], np.cumsum(size)])[d]
             keep = place < (size - (percent * size + 99) // 100 + 1)[d]
-            yield S.batch(doc_id=rows.column(0).slice(first, end - first), n=size, h1=one, h2=two, prefix=K.list_array(K.signed(h[order][keep]), np.bincount(d[keep], minlength=end - first)))
+            yield S.batch(doc_id=rows.column(0).slice(first, end - first), row_key=rows.column(2).slice(first, end - first), n=size, h1=one, h2=two, prefix=K.list_array(K.signed(h[order][keep]), np.bincount(d[keep], minlength=end - first)))
 
-    return S.arrow_map(docs, run, "doc_id long, n long, h1 long, h2 long, prefix array<long>")
+    return S.arrow_map(docs, run, "doc_id long, row_key binary, n long, h1 long, h2 long, prefix array<long>")
 
 
 def bitmaps(texts: DataFrame, k: int) -> DataFrame:
@@ -293,18 +293,23 @@ def deal(members: DataFrame, block: int) -> DataFrame:
     return members.select("pivot", "n", "node", "comp", "known", F.explode(parts).alias("part")).select(F.xxhash64("pivot", "part").alias("cell"), "n", "node", "comp", "known")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row_key): rows that repeat both have one key."""
+    return S.texts_of(docs).withColumn("row_key", S.row_key(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+
+
 def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame, S.Scratch]:
-    """(membership, classes, links, scratch): doc_id, n, node of every document; node, rep; and enough exact links (a, b) of nodes to connect every component."""
+    """(membership, classes, links, scratch): doc_id, row_key, n, node of every document; node, rep; and enough exact links (a, b) of nodes to connect every component."""
     spark = docs.sparkSession
     scratch = S.Scratch(spark)
-    docs = S.texts_of(docs).where("doc_id is not null")
+    docs = keyed(docs).where("doc_id is not null")
     often = spark.sparkContext.broadcast(frequent_shingles(docs, k))
     sets = scratch.write(indexed_sets(docs, k, percent, often), "sets")
     often.destroy()
     classes = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")  # written: the ids stay
     names = classes.select("node", "rep", "n", "h1", "h2")
-    membership = sets.select("doc_id", "n", "h1", "h2").join(S.small(names.select("node", "n", "h1", "h2")), ["n", "h1", "h2"], "left").select("doc_id", "n", "node")
+    membership = sets.select("doc_id", "row_key", "n", "h1", "h2").join(S.small(names.select("node", "n", "h1", "h2")), ["n", "h1", "h2"], "left").select("doc_id", "row_key", "n", "node")
     membership = scratch.write(membership, "membership")
     scratch.drop(sets)
     entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -337,23 +342,24 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BL
     return membership, names, links, scratch
 
 
-def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``."""
+def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK, row_key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs``; on request its ``row_key`` and its ``group``, a component's own number (two components may share a component_id where rows share a doc_id; null for empty sets)."""
     membership, names, links, scratch = similar_sets(docs, k, percent, block)
     comps = connected_components(links, scratch)
     linked = scratch.write(names.select("node", "rep").join(S.small(comps), "node", "left").withColumn("component", F.coalesce("component", "node")), "linked")
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = linked.join(S.small(scratch.write(least, "least")), "component").select("node", "component_id")
-    out = membership.join(S.small(named), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    orphans = S.texts_of(docs).where("doc_id is null")
-    sizes = S.arrow_map(orphans, _sizes(k), "doc_id long, n_shingles long").withColumn("component_id", F.lit(None).cast("long"))
-    return out.unionByName(sizes)
+    named = linked.join(S.small(scratch.write(least, "least")), "component").select("node", "component_id", F.col("component").alias("group"))
+    out = membership.join(S.small(named), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row_key", "group")
+    orphans = keyed(docs).where("doc_id is null")
+    sizes = S.arrow_map(orphans, _sizes(k), "doc_id long, n_shingles long, row_key binary").withColumns({"component_id": F.lit(None).cast("long"), "group": F.lit(None).cast("long")})
+    out = out.unionByName(sizes)
+    return out if row_key else out.drop("row_key", "group")
 
 
 def _sizes(k: int):
     def run(rows):
         for first, end, data, offsets in K.pieces(rows.column(1)):
-            yield S.batch(doc_id=rows.column(0).slice(first, end - first), n_shingles=np.bincount(shingle_sets(data, offsets, k)[0], minlength=end - first).astype(np.int64))
+            yield S.batch(doc_id=rows.column(0).slice(first, end - first), n_shingles=np.bincount(shingle_sets(data, offsets, k)[0], minlength=end - first).astype(np.int64), row_key=rows.column(2).slice(first, end - first))
 
     return run
 

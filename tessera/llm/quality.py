@@ -30,7 +30,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_train: i
     """(doc_id, text, label) of at most ``max_train`` labelled rows outside the held-out fold."""
     own = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
     chosen = own.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    return S.texts_of(docs).join(F.broadcast(chosen), "doc_id")  # at most max_train rows
+    return S.texts_of(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")  # at most max_train rows; of texts that share a doc_id the least
 
 
 class QualityClassifier:
@@ -93,6 +93,6 @@ class QualityClassifier:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **params) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, held_out (false for a null doc_id), score, predicted."""
     scored = QualityClassifier(**params).fit(docs, labels).score(docs)
-    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

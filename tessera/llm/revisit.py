@@ -10,7 +10,7 @@ A match must agree with the revisit's strongest validator: ETag (weak comparison
 else Last-Modified, else payload digest; a revisit with none is ``unvalidated``.
 Header fields that a 304 response may update are merged into the original's.
 
-Defined results: a null URL matches nothing (``no_original``); records with a null
+Defined results: records of another or no kind take no part; a null URL matches nothing (``no_original``); records with a null
 time are later than all, so a revisit with a null time stands for its URL's last
 response that has one; responses of equal time rank by record_id; a response of the
 revisit's own time is not earlier; repeated rows each resolve; null headers are empty;
@@ -47,7 +47,7 @@ def _lower_names(headers: Column) -> Column:
 
 def resolve_revisits(records: DataFrame, bucket_seconds: int = 4096) -> DataFrame:
     """Revisit rows of ``records`` (record_id, kind, url, ts, etag, last_modified, digest, headers) with original_id, verdict and headers."""
-    r = records.select("record_id", F.col("kind") == "response", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("double"), "etag", "last_modified", "digest", "headers")
+    r = records.where(F.col("kind").isin("response", "revisit")).select("record_id", F.col("kind") == "response", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("double"), "etag", "last_modified", "digest", "headers")
     r = r.toDF("record_id", "full", "canonical", "ts", "etag", "last_modified", "digest", "headers").withColumn("bucket", F.floor(F.col("ts") / bucket_seconds))
     known = r.where("canonical is not null and ts is not null")
     source = F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")

@@ -30,6 +30,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -111,6 +113,16 @@ def row_key(doc_id: Column, digest: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), digest).cast("binary")))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def columns_of(row: str, docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` out of a struct that ``whole_row`` made."""
+    return [F.col(row).getField(c).alias(c) for c in docs.columns]
+
+
 def texts_of(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns an operator works on, whatever else the table holds."""
     return docs.select(*(F.col(f"`{c}`") for c in ("doc_id", "text", *keep)))

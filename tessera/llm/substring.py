@@ -205,12 +205,11 @@ def repeated_words(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     return rows, spans
 
 
-def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for each row of ``docs``; with ``keep_text`` also ``text``, ``kept`` (the remaining words) and the columns of ``keep``."""
-    keep = keep or []
-    types = dict(docs.dtypes)
-    rows, spans = repeated_words(S.texts_of(docs, *keep), window)
-    joined = rows.join(S.small(spans), "doc_id", "left").select("doc_id", "text", "copy", "low", "high", *[f"`{c}`" for c in keep])
+def dedup_substrings(docs: DataFrame, window: int = 50, keep_rows: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for each row of ``docs``; with ``keep_rows`` also ``kept`` (the remaining words) and ``row`` (all its columns)."""
+    more = [S.whole_row(docs).alias("row")] if keep_rows else []
+    rows, spans = repeated_words(docs.select("doc_id", "text", *more), window)
+    joined = rows.join(S.small(spans), "doc_id", "left").select("doc_id", "text", "copy", "low", "high", *["row"] * keep_rows)
 
     def run(batch):
         copy = batch.column(2).to_numpy(zero_copy_only=False)
@@ -235,13 +234,11 @@ def dedup_substrings(docs: DataFrame, window: int = 50, keep_text: bool = False,
                 kept.append(text)
                 row += 1
         out = {"doc_id": batch.column(0), "n_words": np.array(n_words, np.int64), "n_removed": np.array(n_removed, np.int64), "kept_sha256": sha}
-        if keep_text:
-            out["text"], out["kept"] = batch.column(1), S.pa.array([k.decode("utf-8", "replace") for k in kept], S.pa.string())
-        for i, c in enumerate(keep):
-            out[c] = batch.column(5 + i)
+        if keep_rows:
+            out["kept"], out["row"] = S.pa.array([k.decode("utf-8", "replace") for k in kept], S.pa.string()), batch.column(5)
         yield S.batch(**out)
 
-    return S.arrow_map(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string, kept string" if keep_text else "") + "".join(f", `{c}` {types[c]}" for c in keep))
+    return S.arrow_map(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (f", kept string, row {joined.schema['row'].dataType.simpleString()}" if keep_rows else ""))
 
 
 #: DuckDB SQL for the digest rows.

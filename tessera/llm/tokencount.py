@@ -26,7 +26,7 @@ from tessera.llm import scratch as S
 #: Pre-tokens of the shared table: 16 bytes each in a task.
 SHARED = 1_000_000
 #: Pre-tokens that a task counts before it sends those it met twice.
-PENDING = 1_000_000
+PENDING = 150_000
 
 
 def frequent_pretokens(docs: DataFrame, entries: int) -> DataFrame:

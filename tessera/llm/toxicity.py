@@ -174,7 +174,7 @@ class LabelModel:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, max_train: int = 8000, lexicon_size: int = 600, n_lexicons: int = 6, folds: int = 3, held_out: int = 1) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, held_out (false for a null doc_id), score, predicted."""
     spark = docs.sparkSession
     docs = S.texts_of(docs)
 
@@ -233,4 +233,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7
         yield S.batch(doc_id=rows.column(0), score=np.concatenate(out))
 
     scored = S.arrow_map(docs, score, "doc_id long, score double")
-    return scored.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -479,6 +479,73 @@ def test_revisits(spark):
     assert revisit.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_pipeline_stages_pass_any_columns_on(spark, sf, edge_docs, no_docs):
+    """Columns with the names of the operators' own, a map among them; nulls, repeated rows, rows that share a doc_id; no rows."""
+    import corpus_pipeline as P
+
+    names = ["digest", "first", "low", "high", "copy", "kept", "n_words", "row_key", "row", "cut", "key", "l", "node"]
+    wide = edge_docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat_ws("-", F.lit(c), "doc_id").alias(c) for c in names])
+    wide = wide.withColumn("m", F.create_map(F.lit("k"), "doc_id")).unionByName(wide.where("doc_id = 3").withColumn("text", F.lit("quite another text")).withColumn("m", F.create_map(F.lit("k"), F.lit(0).cast("long"))))
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, wide, sf)
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert len(rows) > 0 and all(r[c] == "-".join([c] + [str(r.doc_id)] * (r.doc_id is not None)) for r in rows for c in names), name
+        empty = stage(spark, wide.limit(0), sf)
+        assert empty.columns == wide.columns and empty.count() == 0
+    assert P.STAGES[-1][1](spark, wide, sf).count() > 0 and P.STAGES[-1][1](spark, no_docs, sf).count() == 0
+    near = P.STAGES[1][1](spark, wide, sf).collect()
+    texts = [r.text for r in near if r.doc_id is not None]
+    assert texts.count("quite another text") == 1 and len(near) - len(texts) == 2  # null ids stay
+    groups = {r.doc_id: r.component_id for r in ngram_join.ngram_components(edge_docs).where("doc_id is not null").collect()}
+    assert len(texts) == len(set(groups.values())) + 1
+
+
+def test_rows_without_doc_id_or_kind(spark, sf, edge_docs):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for f in (score_quality, toxicity.score_toxicity):
+        assert f(edge_docs, labels).where("held_out is null").count() == 0
+    kind = "record_id long, kind string, url string, ts double, etag string, last_modified string, digest string, headers map<string,string>"
+    rows = [(i, k, "http://a/x", float(i), "e", None, None, None) for i, k in enumerate(["response", "request", "metadata", None, "revisit"])]
+    assert [(r.record_id, r.original_id) for r in revisit.resolve_revisits(spark.createDataFrame(rows, kind)).collect()] == [(4, 0)]
+    same = spark.range(3000).selectExpr("cast(null AS long) AS doc_id", "'a b c' AS text", "'s' AS source")
+    blocks = mixing.mix_sources(same, block_docs=100).groupBy("block").count().toPandas()
+    assert blocks["count"].sum() == 3000 and len(blocks) > 20 and blocks["count"].max() < 500
+
+
+def test_label_samples_are_bounded_in_rows(spark):
+    from tessera.llm.quality import labelled_sample
+
+    docs = spark.createDataFrame([(i % 4, f"t{i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    assert labelled_sample(docs, labels, "quality", 3, 4, 9).count() == 3
+
+
+def test_texts_longer_than_a_piece(spark):
+    """One text of 2.5 MB beside short ones, in every operator that reads texts in pieces."""
+    import public_tokenizers
+
+    rng = random.Random(12)
+    long = " ".join(f"{rng.choice('abcdefg')}{rng.randrange(40000)}" for _ in range(380_000))
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(1, long, "x"), (2, passage + " end", "x"), (3, long[:1_200_000] + " " + passage + " " + long[1_200_000:], "x"), (4, "short", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(docs, path).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == tokencount.naive_token_counts([t for _, t, _ in rows], path)
+    comps = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs).collect()}
+    assert comps == {1: 1, 2: 2, 3: 1, 4: 4}
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in substring.dedup_substrings(docs).collect()}
+    n = len(rows[2][1].split())
+    assert cut[1] == (380_000, 0) and cut[2] == (121, 0) and cut[3][0] == n and cut[3][1] >= n - 2
+    gone = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix.dedup_bytes(docs).collect()}
+    assert gone[1] == (len(long), len(long)) and gone[2][1] >= len(passage) and gone[3][0] == len(rows[2][1]) and gone[4] == (5, 0)
+    kept = {r.doc_id: r.n_words for r in rules.quality_rules(docs).collect()}
+    assert kept[1] == 380_000 and kept[4] == 1
+    for f, label in ((score_quality, "quality"), (toxicity.score_toxicity, "toxic")):
+        assert f(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 4
+
+
 def test_pipeline_stages(spark, sf, no_docs):
     import corpus_pipeline as P
 
