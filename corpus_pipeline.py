@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 Parquet and read again as the next stage's documents.  All stages but the last give
 the columns of ``documents``; the last gives the passes of the mixed corpus.
 
-Null text is text without words; rows with a null doc_id pass the joins on doc_id
-unharmed; a table without rows gives no rows in every stage.
+Null text is text without words; rows with a null doc_id are near duplicates of none;
+further columns, whatever their names and kinds, pass all stages but the last as they
+are; a table without rows gives no rows in every stage.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import scratch as S
-from tessera.llm.decontaminate import decontaminate
+from tessera.llm.decontaminate import decontaminate, text_key
 from tessera.llm.mixing import mix_sources
 from tessera.llm.ngram_join import ngram_components
 from tessera.llm.quality import QualityClassifier
@@ -31,33 +32,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; of rows that repeat a doc_id one."""
-    table = S.Scratch(spark).write(ngram_components(docs), "components")
-    gone = table.where("component_id <> doc_id").select("doc_id").distinct()
-    repeated = table.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    gone, repeated = S.small(gone), S.small(repeated)
-    stay = docs.join(gone, "doc_id", "left_anti")
-    single = stay.join(repeated, "doc_id", "left_anti")
-    least = stay.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("x")).select("doc_id", "x.*")
-    return single.select(docs.columns).unionByName(least.select(docs.columns))
+    """Of each group of linked documents the one with the smallest doc_id; of rows that repeat doc_id and text one. Rows with a null doc_id stay."""
+    scratch = S.Scratch(spark)
+    table = scratch.write(ngram_components(docs, row_key=True).where("doc_id is not null").select("row_key", "doc_id", "group"), "components")
+    chosen = table.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "row_key")).alias("x")).select("group", F.col("x.row_key").alias("stays"))
+    gone = table.join(S.small(scratch.write(chosen, "chosen")), "group").where("row_key <> stays").select("row_key").distinct()
+    repeated = table.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key")
+    gone, repeated = S.small(scratch.write(gone, "gone")), S.small(scratch.write(repeated, "repeated"))
+    stay = docs.select(text_key().alias("row_key"), S.whole_row(docs).alias("row")).join(gone, "row_key", "left_anti")
+    single = stay.join(repeated, "row_key", "left_anti").select("row")
+    least = stay.join(repeated, "row_key", "left_semi").groupBy("row_key").agg(F.min_by("row", F.md5(F.to_json("row").cast("binary"))).alias("row")).select("row")
+    return single.unionAll(least).select(S.columns_of("row", docs))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without words of passages that stand in an earlier document; documents of which nothing is left go."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = dedup_substrings(docs, keep_text=True, keep=rest).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    out = dedup_substrings(docs, keep_rows=True).where("n_removed = 0 or n_removed < n_words").select("kept", "row", F.col("n_removed") > 0)
+    out = out.toDF("kept", "row", "cut")
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*[F.when(F.col("cut"), new[c].cast(docs.schema[c].dataType)).otherwise(old).alias(c) if c in new else old for c, old in zip(docs.columns, S.columns_of("row", docs))])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark passage."""
     _, hits = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = S.small(hits.select("row_key").distinct())
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).join(leaks, "row_key", "left_anti").select(docs.columns)
+    leaks = S.small(S.Scratch(spark).write(hits.select("row_key").distinct(), "leaks"))
+    keyed = docs.select(text_key().alias("row_key"), S.whole_row(docs).alias("row"))
+    return keyed.join(leaks, "row_key", "left_anti").select(S.columns_of("row", docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
