@@ -83,6 +83,18 @@ def naive_manager(df: DataFrame, **_) -> DataFrame:
     return score(df)
 
 
+@REWARD_MANAGERS.register("batch")
+def batch_manager(df: DataFrame, f: Callable, **_) -> DataFrame:
+    """A Python scorer of (source, response, truth), in Arrow batches."""
+    return score_batch(df, f, ["data_source", "response", "ground_truth"])
+
+
+@REWARD_MANAGERS.register("prime")
+def prime_manager(df: DataFrame, f: Callable, seconds: float = 300.0, **_) -> DataFrame:
+    """As ``batch``, with a time limit for each row; a row that fails or takes longer scores 0."""
+    return score_batch(df, f, ["data_source", "response", "ground_truth"], seconds=seconds)
+
+
 @REWARD_MANAGERS.register("dapo")
 def dapo_manager(df: DataFrame, length: str = "length", maximum: int = 16384, buffer: int = 4096, factor: float = 1.0) -> DataFrame:
     from tessera.operators.tokens import overlong_penalty

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
-from tessera.streaming.stateful import sessions
+from tessera.sources import files
+from tessera.streaming.stateful import TokenBucket, controller, curriculum, one_ahead, read_growing, record_scores, run_steps, sessions
 
 
 @query("r_tumbling_window", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
@@ -27,3 +28,91 @@ def batches(t):
     w = Window.partitionBy("user_id")
     k = t.events.select("user_id", "event_id", (F.row_number().over(w.orderBy("event_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
     return k.where("i < n div 16 * 16").groupBy("user_id", F.floor(F.col("i") / 16).alias("batch")).agg(F.min("event_id").alias("first"))
+
+
+def in_files(t, parts: int = 3) -> str:
+    """Events as files of a folder, one for each part."""
+    root = files.shared_folder(t.spark)
+    for i in range(parts):
+        t.events.where(F.col("event_id") % parts == i).select("event_id", "user_id", "event_type", "value").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return root
+
+
+KIND = "event_id long, user_id long, event_type string, value double"
+
+
+@query("r1_step_loop", "SELECT (event_id % 3)::BIGINT AS part, count(*)::BIGINT AS n FROM events GROUP BY part")
+def r1(t):
+    root = in_files(t)
+    run_steps(read_growing(t.spark, f"{root}/in", KIND), lambda df, step: df.withColumn("step", F.lit(step)).write.mode("append").parquet(f"{root}/out"), f"{root}/state")
+    out = t.spark.read.parquet(f"{root}/out")
+    return out.groupBy("step").agg(F.first(F.col("event_id") % 3).alias("part"), F.count("*").alias("n")).select("part", "n")
+
+
+@query("r2_one_step_ahead", "SELECT i::INT AS step, greatest(i - 1, 0)::INT AS weights FROM range(5) t(i)")
+def r2(t):
+    version = [0]
+
+    def update(made):
+        version[0] += 1
+        return made
+
+    return t.spark.createDataFrame(one_ahead(range(5), lambda i: (i, version[0]), update), "step int, weights int")
+
+
+@query("r3_growing_source", "SELECT event_id FROM events UNION ALL SELECT -event_id - 1 FROM events WHERE event_id % 3 = 0")
+def r3(t):
+    root = in_files(t)
+    step = lambda df, i: df.write.mode("append").parquet(f"{root}/out")
+    for more in (None, t.events.where("event_id % 3 = 0")):
+        if more is not None:
+            more.select((-F.col("event_id") - 1).alias("event_id"), "user_id", "event_type", "value").write.mode("append").parquet(f"{root}/in")
+        run_steps(read_growing(t.spark, f"{root}/in", KIND, 100), step, f"{root}/state")
+    return t.spark.read.parquet(f"{root}/out").select("event_id")
+
+
+@query("r5_controller_state", "SELECT event_type, round(0.2 * pow(1 + 0.2 * 4.0 / 1000.0, count(*)), 9) AS coef FROM events GROUP BY event_type")
+def r5(t):
+    root = in_files(t)
+    s = controller(read_growing(t.spark, f"{root}/in", KIND).withColumn("kl", F.lit(0.9)), "event_type", "kl", 4.0, 0.1, 1000.0, 0.2)
+    keep = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{root}/out")
+    s.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    out = t.spark.read.parquet(f"{root}/out").groupBy("event_type").agg(F.max_by("coef", "batch").alias("coef"))
+    return out.select("event_type", F.round("coef", 9).alias("coef"))
+
+
+@query("r6_curriculum_update", "SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def r6(t):
+    root = in_files(t)
+    run_steps(read_growing(t.spark, f"{root}/in", KIND), record_scores(f"{root}/scores", "event_type", "value"), f"{root}/state")
+    return curriculum(t.spark, f"{root}/scores", "event_type").select("event_type", F.round("mean", 6).alias("mean"))
+
+
+@query("r7_rate_limit", "SELECT i::INT AS request, greatest(i - 59, 0)::DOUBLE AS seconds FROM range(100) t(i)")
+def r7(t):
+    now = [0.0]
+    bucket = TokenBucket(60, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    rows = []
+    for i in range(100):
+        bucket.take()
+        rows.append((i, round(now[0], 6)))
+    return t.spark.createDataFrame(rows, "request int, seconds double")
+
+
+@query("r8_resumed_steps", "SELECT event_id, 1::BIGINT AS n FROM events")
+def r8(t):
+    root = in_files(t)
+
+    def fails_once(df, step):
+        if step == 1 and not files.exists(t.spark, f"{root}/failed"):
+            files.make_dirs(t.spark, f"{root}/failed")
+            raise RuntimeError("lost")
+        df.write.mode("overwrite").parquet(f"{root}/out/step={step}")
+
+    for _ in range(2):
+        try:
+            run_steps(read_growing(t.spark, f"{root}/in", KIND), fails_once, f"{root}/state")
+        except Exception as e:  # noqa: BLE001  the first run ends in its second step
+            if "lost" not in str(e):
+                raise
+    return t.spark.read.parquet(f"{root}/out").groupBy("event_id").agg(F.count("*").alias("n"))

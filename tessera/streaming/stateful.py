@@ -79,3 +79,37 @@ class TokenBucket:
                 self.level -= units
                 return
             self.sleep((units - self.level) / self.rate)
+
+
+def one_ahead(batches, generate: Callable, update: Callable) -> list:
+    """A pipeline of lag one: while a batch updates the model, the next is generated with the weights of before; the results in order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    out, source = [], iter(batches)
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        first = next(source, None)
+        running = None if first is None else pool.submit(generate, first)
+        while running is not None:
+            done = running.result()
+            following = next(source, None)
+            running = None if following is None else pool.submit(generate, following)
+            if running is not None:
+                running.result()  # the exchange of weights waits for the generation in flight
+            out.append(update(done))
+    return out
+
+
+def record_scores(path: str, group: str, score: str) -> Callable[[DataFrame, int], None]:
+    """A step that appends each group's score total of a micro-batch to a side table, once for each batch."""
+
+    def step(df: DataFrame, batch: int) -> None:
+        sums = df.groupBy(group).agg(F.sum(score).alias("total"), F.count("*").alias("n"))
+        sums.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return step
+
+
+def curriculum(spark: SparkSession, path: str, group: str) -> DataFrame:
+    """Groups with their mean score so far; the hardest (lowest) first."""
+    seen = spark.read.parquet(path)
+    return seen.groupBy(group).agg((F.sum("total") / F.sum("n")).alias("mean")).orderBy("mean", group)
