@@ -76,7 +76,7 @@ def read_srt(spark: SparkSession, path: str) -> DataFrame:
 
     blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.regexp_replace("value", "\r", ""), r"\n\s*\n")).alias("b"))
     times = r"(\d+:\d+:\d+[,.]\d+) --> (\d+:\d+:\d+[,.]\d+)"
-    return blocks.where(F.col("b").rlike(times)).select(clock_seconds(F.regexp_extract("b", times, 1)).alias("start"), clock_seconds(F.regexp_extract("b", times, 2)).alias("end"), F.trim(F.regexp_extract("b", r"(?s)-->[^\n]*\n(.*)", 1)).alias("text"))
+    return blocks.where(F.col("b").rlike(times)).select(clock_seconds(F.regexp_extract("b", times, 1)).alias("start"), clock_seconds(F.regexp_extract("b", times, 2)).alias("end"), F.regexp_replace(F.regexp_extract("b", r"(?s)-->[^\n]*\n(.*)", 1), r"\A\s+|\s+\z", "").alias("text"))
 
 
 def write_steps(df: DataFrame, path: str) -> None:

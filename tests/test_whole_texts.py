@@ -20,7 +20,7 @@ TEXTS = {
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("whole"))
-    spark.createDataFrame([(i, x, "en") for i, x in TEXTS.items()], "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, x, "en", len(x)) for i, x in TEXTS.items()], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{path}/documents.parquet")
     return path
 
 
