@@ -186,6 +186,9 @@ cases("f31_sub_match", [("I saw the Fox!", "1"), ("foxes run", "1"), ("an owl",
 cases("f40_number_or_lower", [("3.14159", "3.14"), ("ABC", "abc"), ("7", "7.0"), ("1e3", "1000.0")], lambda x: F.coalesce(F.round(x.try_cast("double"), 2).cast("string"), F.lower(x)))
 
 
+cases("f66_repetitiveness_known", [("aaaa", "0.6"), ("abcd", "0.0"), ("abab", "0.3"), ("", "0.0"), ("x", "0.0"), ("aa", "0.333333")], lambda x: F.round(F.pandas_udf(lambda s: s.map(X.repetitiveness), "double")(x), 6), "DOUBLE")
+
+
 @query("f76_rounds", "SELECT doc_id, CASE WHEN length(text) * 1.0 < 900 THEN 1 WHEN ('0x' || left(md5(lang || doc_id), 8))::UBIGINT % 16777216 / 16777216.0 < (least(length(text), 1200) - 900) / 300.0 THEN 2 ELSE 1 END::INT AS value FROM documents")
 def f76(t):
     return t.documents.select("doc_id", H.rounds_for(F.concat(c("lang"), c("doc_id").cast("string")), F.length("text").cast("double")).cast("int").alias("value"))

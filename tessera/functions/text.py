@@ -181,18 +181,35 @@ def closest_choice(pred: Column, choices: Column) -> Column:
 
 
 def repetitiveness(text: str | None) -> float:
-    """2 * sum of common prefixes of neighbouring suffixes over n (n + 1); 0 for up to one character. For a UDF."""
-    if not text or len(text) < 2:
+    """2 * sum of common prefixes of neighbouring suffixes over n (n + 1); 0 for up to one character. For a UDF.
+
+    Suffixes are ranked by their first 1, 2, 4, .. characters; the ranks of all rounds
+    then give the common prefix of two neighbours, the longest round first.
+    """
+    import numpy as np
+
+    n = len(text or "")
+    if n < 2:
         return 0.0
-    order = sorted(range(len(text)), key=lambda i: text[i:])
-    total = 0
-    for a, b in zip(order, order[1:]):
-        x, y = text[a:], text[b:]
-        k = 0
-        while k < min(len(x), len(y)) and x[k] == y[k]:
-            k += 1
-        total += k
-    return 2 * total / (len(text) * (len(text) + 1))
+    ranks = [np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)[1].astype(np.int64)]
+    width = 1
+    while ranks[-1].max() < n - 1 and width < n:
+        r = ranks[-1]
+        behind = np.concatenate([r[width:], np.full(min(width, n), -1)])  # past the end is least
+        ranks.append(np.unique(r * (n + 1) + behind + 1, return_inverse=True)[1].astype(np.int64))
+        width *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    a, b = order[:-1].copy(), order[1:].copy()
+    common = np.zeros(n - 1, np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        step = 1 << k
+        inside = np.maximum(a, b) + step <= n
+        same = np.zeros(n - 1, bool)
+        same[inside] = ranks[k][a[inside]] == ranks[k][b[inside]]
+        common[same] += step
+        a[same] += step
+        b[same] += step
+    return float(2 * common.sum() / (n * (n + 1)))
 
 
 def rpn(expression: str) -> float | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,11 +95,14 @@ def first_n_scores(df: DataFrame, doc: str, order: str, vote: str, acc: str, n:
     return head.groupBy(doc).agg(F.max(acc).alias("cov"), F.avg(acc).alias("avg")).join(majority_value(head, [doc], vote, acc, order).withColumnRenamed("value", "maj"), doc)
 
 
-def crossed(df: DataFrame, dims: Sequence[str], x: str) -> DataFrame:
-    """Every cell of the cross product of the dimensions' values, empty ones with zero."""
+def crossed(df: DataFrame, dims: Sequence[str], x: str, most: int = 1_000_000) -> DataFrame:
+    """Every cell of the cross product of the dimensions' values, empty ones with zero; more than ``most`` cells are an error."""
+    sizes = df.agg(*[F.countDistinct(d) + F.max(F.col(d).isNull().cast("int")) for d in dims]).first()
+    if math.prod(n or 0 for n in sizes) > most:
+        raise ValueError(f"{list(sizes)} values make more than {most} cells")
     cells = None
     for d in dims:
-        v = F.broadcast(df.select(d).distinct())  # values of a category
+        v = F.broadcast(df.select(d).distinct())  # counted: at most ``most`` values
         cells = v if cells is None else cells.crossJoin(v)
     sums = df.groupBy(*dims).agg(F.count("*").alias("n"), F.sum(x).alias("total"))
     return cells.join(sums, list(dims), "left").select(*dims, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"))
