@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -419,6 +420,120 @@ def test_label_model_finds_accuracies():
     assert model.dependence[3, 4] == model.dependence[~np.eye(5, dtype=bool)].max()
 
 
+def test_ftrl_equals_plain_loop():
+    """Training, coordinate by coordinate, and a score as a sparse dot product."""
+    from tessera.llm import linear
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for _ in range(60):
+        slot = np.sort(rng.choice(64, rng.integers(1, 9), replace=False))
+        rows.append((slot, rng.random(len(slot)), float(rng.random() < (0.8 if 3 in slot else 0.3))))
+    got, intercept = linear.train_ftrl(rows, 6, alpha=0.4, beta=1.0, l1=0.05, l2=0.01, epochs=3, seed=5)
+    z, n, order = [0.0] * 64, [0.0] * 64, np.random.default_rng(5)
+    mean = sum(y for _, _, y in rows) / len(rows)
+    b, g2 = math.log(mean / (1 - mean)), 0.0
+
+    def weight(i):
+        if abs(z[i]) <= 0.05:
+            return 0.0
+        return -(z[i] - math.copysign(0.05, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.4 + 0.01)
+
+    for _ in range(3):
+        for r in order.permutation(len(rows)):
+            slot, value, y = rows[r]
+            w = [weight(i) for i in slot]
+            p = 1 / (1 + math.exp(-(b + sum(a * v for a, v in zip(w, value)))))
+            for i, v, a in zip(slot, value, w):
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.4 * a
+                n[i] += g * g
+            g2 += (p - y) ** 2
+            b -= 0.1 * (p - y) / (1 + math.sqrt(g2))
+    assert got == pytest.approx([weight(i) for i in range(64)], abs=1e-6) and intercept == pytest.approx(b)
+
+
+def test_quality_scores_are_dot_products(spark, sf):
+    from tessera.llm import linear
+    from tessera.llm.kernels import pieces
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = QualityClassifier().fit(docs, labels)
+    got = {r.doc_id: r.score for r in model.score(docs).collect()}
+    for doc_id, text in docs.select("doc_id", "text").limit(20).collect():
+        for _, _, data, offsets in pieces(pa.array([text], pa.string())):
+            _, slot, value = linear.normalised(*linear.style_features(data, offsets), model.bits, 1)
+            x = model.intercept + sum(float(model.weights[s]) * float(v) for s, v in zip(slot, value))
+            assert got[doc_id] == pytest.approx(1 / (1 + math.exp(-x)), abs=1e-6)
+
+
+def test_mixing_exponent_equals_a_plain_search(spark):
+    shares = np.array([0.6, 0.25, 0.1, 0.04, 0.01])
+    totals = spark.createDataFrame([(int(1e6 * s),) for s in shares], "tokens long")
+
+    def entropy(a):
+        w = shares**a / (shares**a).sum()
+        return -(w * np.log(w)).sum()
+
+    def passes(a):
+        return (shares**a / (shares**a).sum() / shares).max()
+
+    grid = np.linspace(0, 1, 200_001)
+    for target in (0.7, 0.9, 0.97):
+        want = max(a for a in grid if entropy(a) >= target * math.log(5))
+        assert mixing.choose_exponent(totals, 1e6, target, None) == pytest.approx(want, abs=2e-5)
+    for most in (2.0, 4.0):
+        want = min(a for a in grid if passes(a) <= most)
+        assert mixing.choose_exponent(totals, 1e6, None, most) == pytest.approx(want, abs=2e-5)
+
+
+def test_label_model_equals_a_plain_expectation_step():
+    """The posterior is Bayes' rule over the fitted tables, voter by voter."""
+    rng = np.random.default_rng(3)
+    votes = rng.integers(0, 3, (50, 4))
+    model = toxicity.LabelModel(votes, np.ones(50))
+    for v, got in zip(votes, model.posterior(votes)):
+        odds = []
+        for c, share in ((0, 1 - model.prior), (1, model.prior)):
+            p = share
+            for i, j in enumerate(model.parent):
+                p *= model.single[c, i, v[i]] if j < 0 else model.given[c, i, j, v[i], v[j]]
+            odds.append(p)
+        assert got == pytest.approx(odds[1] / sum(odds), abs=1e-9)
+
+
+def test_pipeline_equals_its_parts(spark, sf):
+    """All stages but the classifier against brute force on the rows that each of them gets."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(150)
+    scratch, frames = Scratch(spark), [docs]
+    for _, stage in P.STAGES:
+        frames.append(scratch.write(stage(spark, frames[-1], sf), "stage"))
+    rows = [sorted((r.doc_id, r.text) for r in f.select("doc_id", "text").collect()) for f in frames[:5]]
+    quality = {r.doc_id: r.score for r in QualityClassifier().fit(docs, spark.read.parquet(f"{sf}/labels.parquet")).score(docs).collect()}
+    assert [d for d, _ in rows[1]] == [d for d, _ in rows[0] if quality[d] >= P.REJECT_BELOW]
+    assert [d for d, _ in rows[2]] == [d for d, _, c in naive_components(rows[1]) if c == d]
+    split = {d: t.split() for d, t in rows[2]}
+    first, cut = {}, {}
+    for d, w in sorted(split.items()):
+        again = {j for i in range(len(w) - 49) if first.setdefault(tuple(w[i : i + 50]), d) < d for j in range(i, i + 50)}
+        cut[d] = len(w), len(again)
+    assert [d for d, _ in rows[3]] == [d for d, _ in rows[2] if not cut[d][1] or cut[d][1] < cut[d][0]]
+    assert all(len(t.split()) == cut[d][0] - cut[d][1] for d, t in rows[3])
+    words_of = lambda t: [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w]
+    windows = set()
+    for item in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words_of(item.text)
+        windows |= {tuple(w[i : i + 10]) for i in range(max(len(w) - 9, 1))} if w else set()
+    sizes = {len(x) for x in windows}
+    leaks = lambda w: any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+    assert [d for d, _ in rows[4]] == [d for d, t in rows[3] if not leaks(words_of(t))]
+    mixed = frames[5].toPandas()
+    tokens = {d: len(t.split()) for d, t in rows[4]}
+    assert set(mixed.doc_id) <= set(tokens) and all(n == tokens[d] for d, n in zip(mixed.doc_id, mixed.n_tokens)) and not mixed.duplicated(["doc_id", "epoch"]).any()
+
+
 def test_mixing_goes_past_a_long_document(spark):
     rows = [(i, "w " * (400 if i % 50 == 3 else 5), "a" if i < 200 else "b") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
