@@ -198,7 +198,7 @@ def repeated_words(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFr
     found = S.arrow_map(singles, windows, "hash long, check long, doc_id long, start int")
     earliest = found.groupBy("hash", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash", "check", "low")
     earliest = scratch.write(earliest, "earliest")  # written: the join below can split a window of many documents
-    later = found.join(S.small(earliest), ["hash", "check"]).where("doc_id > low").select("doc_id", "start")
+    later = found.join(earliest, ["hash", "check"]).where("doc_id > low").select("doc_id", "start")
     spans = scratch.write(S.merge_ranges(later.distinct().select("doc_id", F.col("start").cast("long").alias("low"), F.col("start").cast("long").alias("high")), "doc_id"), "spans")
     bitmap.destroy()
     scratch.drop(earliest)
