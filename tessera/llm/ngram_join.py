@@ -113,6 +113,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
         often = count >= max(2, n // (2 * FREQUENT))
         for at in range(0, int(often.sum()), 100_000):
             yield S.batch(h=K.signed(key[often][at : at + 100_000]), n=count[often][at : at + 100_000])
+        S.release()
 
     S.ship(docs.sparkSession)
     total = docs.count()

@@ -50,12 +50,17 @@ class QualityClassifier:
 
         sample = labelled_sample(docs, labels, label, self.max_train, folds, held_out)
         table = S.arrow_map(sample, features, "doc_id long, label int, slots array<int>, vals array<float>").toArrow()
-        slots, vals = table.column("slots").combine_chunks(), table.column("vals").combine_chunks()
-        ids, target = table.column("doc_id").to_numpy(), table.column("label").to_numpy()
-        at, s, v = slots.offsets.to_numpy(), slots.values.to_numpy(), vals.values.to_numpy()
-        rows = [(s[at[i] : at[i + 1]], v[at[i] : at[i + 1]], float(target[i])) for i in np.lexsort((np.diff(at), ids))]
+        ids, target, rows, size = table.column("doc_id").to_numpy(), table.column("label").to_numpy(), [], []
+        for part in table.to_batches():
+            slots, vals = part.column("slots"), part.column("vals")
+            at, s, v = slots.offsets.to_numpy(), slots.values.to_numpy(), vals.values.to_numpy()
+            rows += [(s[a:b], v[a:b]) for a, b in zip(at[:-1], at[1:])]
+            size += np.diff(at).tolist()
+        rows = [(*rows[i], float(target[i])) for i in np.lexsort((size, ids))]
         if rows:
             self.weights, self.intercept = L.train_ftrl(rows, bits, alpha=self.alpha, l1=self.l1, epochs=self.epochs)
+        del table, rows
+        S.release()
         return self
 
     def _scores(self, model):

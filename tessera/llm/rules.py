@@ -131,6 +131,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             for at in range(0, len(n), 100_000):
                 own = order[at : at + 100_000]
                 yield S.batch(l=K.signed(l[own]), a=K.signed(a[own]), b=K.signed(b[own]), c=n[own])
+        S.release()
 
     S.ship(docs.sparkSession)
     return docs.mapInArrow(run, "l long, a long, b long, c long").groupBy("l", "a", "b").agg(F.sum("c").alias("c"))

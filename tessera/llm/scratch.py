@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -23,6 +24,15 @@ BROADCAST_VALUES = 1_500_000
 BATCH_ROWS = 1000
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system: driver and workers live on after a table is done."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of this session's own only where the cluster names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,6 +59,7 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count:02d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        release()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
@@ -99,7 +110,7 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
         for batch in batches:
             if batch.num_rows:
                 yield from f(batch)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -54,6 +54,7 @@ def frequent_pretokens(docs: DataFrame, entries: int) -> DataFrame:
                     yield from send()
                     h, n, spelt = h[:0], n[:0], spelt[:0]
         yield from send()
+        S.release()
 
     S.ship(docs.sparkSession)
     found = docs.select("text").mapInArrow(run, "hash long, word binary, n long")
@@ -61,6 +62,9 @@ def frequent_pretokens(docs: DataFrame, entries: int) -> DataFrame:
 
 
 def _tokenizer(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
@@ -69,14 +73,20 @@ def _tokenizer(path: str):
     return out
 
 
+def _pieces(tokenizer, words: list[str], at_once: int = 2048) -> list[int]:
+    """Numbers of pieces, a few words at a time: an encoding holds far more than its length."""
+    return [len(x) for i in range(0, len(words), at_once) for x in tokenizer.encode_batch_fast(words[i : i + at_once], add_special_tokens=False)]
+
+
 def pretoken_pieces(words: DataFrame, tokenizer_file: str) -> DataFrame:
     """(hash, pieces) of (hash, word)."""
 
     def run(batches):
         tokenizer = _tokenizer(tokenizer_file)
         for rows in batches:
-            coded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rows.column(1).to_pylist()], add_special_tokens=False)
-            yield S.pa.RecordBatch.from_arrays([rows.column(0), S.pa.array([len(x) for x in coded], S.pa.int64())], names=["hash", "pieces"])
+            count = _pieces(tokenizer, [w.decode("utf-8", "replace") for w in rows.column(1).to_pylist()])
+            yield S.pa.RecordBatch.from_arrays([rows.column(0), S.pa.array(count, S.pa.int64())], names=["hash", "pieces"])
+        S.release()
 
     S.ship(words.sparkSession)
     return words.select("hash", "word").mapInArrow(run, "hash long, pieces long")
@@ -125,7 +135,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 2048, shared
                 if len(new):
                     raw = data.tobytes()
                     spelt = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[one[new]].tolist(), words.end[one[new]].tolist())]
-                    pieces[new] = [len(x) for x in tokenizer.encode_batch_fast(spelt, add_special_tokens=False)]
+                    pieces[new] = _pieces(tokenizer, spelt)
                     if len(own.hash) + len(new) > cache_entries:
                         own = Pieces()
                     own.add(distinct[new], pieces[new])
@@ -134,6 +144,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 2048, shared
             if n_bytes:
                 total = np.concatenate(n_tokens).astype(np.int64)
                 yield S.batch(doc_id=rows.column(0), n_bytes=np.concatenate(n_bytes).astype(np.int64), n_tokens=total, over_limit=total > limit)
+        S.release()
 
     return docs.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
