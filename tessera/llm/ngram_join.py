@@ -315,7 +315,7 @@ def similar_sets(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BL
     scratch.drop(sets)
     entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = scratch.write(entries.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1").select("token"), "shared")
-    index = scratch.write(entries.join(S.small(shared), "token"), "index")
+    index = scratch.write(entries.join(shared, "token"), "index")  # grows with the corpus: never sent whole
 
     def links_of(checked: DataFrame) -> DataFrame:
         return checked.where(f"{100 + percent} * overlap >= {percent} * (na + nb)").select("a", "b")
