@@ -35,7 +35,7 @@ def e8(t):
 
 @query("e14_eval_task", "SELECT lang, round(avg((doc_id % 2)::DOUBLE), 6) AS acc FROM documents GROUP BY lang")
 def e14(t):
-    task = P.EvalTask("boxed", lambda: F.concat(F.lit("Q: "), F.left("text", F.lit(20))), "boxed")
+    task = P.EvalTask("boxed", lambda: F.concat(F.lit("Q: "), "text"), "boxed")
     d = t.documents.withColumn("reply", F.concat(F.lit("\\boxed{"), (F.col("doc_id") % 2).cast("string"), F.lit("}"))).withColumn("truth", F.lit("1"))
     return task.evaluate(d, "reply", "truth", ["lang"]).withColumn("acc", F.round("acc", 6))
 

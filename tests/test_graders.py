@@ -3,6 +3,7 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tessera.functions import latex as L
 from tessera.functions import text as X
 from tessera.operators import balance
 from tessera.operators import dispatch as D
+from tessera.operators.grouped import agreement_sums
 from tessera.plans import agents as A
 from tessera.sources import files, io
 
@@ -66,6 +68,17 @@ def test_partition_lists_are_validated():
             assert max(loads) - min(loads) <= max(sizes)
 
 
+def test_agreement_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        n = int(rng.integers(1, 40))
+        s, a = rng.integers(0, 6, n) / 2, rng.integers(0, 8, n)
+        pairs = [(i, j) for i in range(n) for j in range(i)]
+        alike = sum(abs(a[i] - a[j]) for i, j in pairs if np.sign(s[i] - s[j]) == np.sign(a[i] - a[j]))
+        got = agreement_sums(s, a)
+        assert got == pytest.approx((alike, sum(abs(a[i] - a[j]) for i, j in pairs)))
+
+
 def test_dispatch_needs_equal_parts(spark):
     df = spark.range(5).withColumnRenamed("id", "pos")
     with pytest.raises(ValueError):
