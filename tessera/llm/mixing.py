@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,6 +90,39 @@ def fitting(block: pa.Table) -> pa.Table:
     return block.filter(pa.array(keep))
 
 
+def running(rows: DataFrame, group: str, order: list[str], size: str, scratch: S.Scratch) -> DataFrame:
+    """``rows`` with ``rank`` (from 1) and ``before`` (sum of the sizes ahead) inside each group (a long), by a range sort: a group may take many tasks."""
+    S.ship(rows.sparkSession)
+    names = rows.columns
+    sorted_rows = rows.repartitionByRange(*[F.col(c) for c in (group, *order)]).sortWithinPartitions(group, *order).withColumn("part", F.spark_partition_id())
+
+    def run(batches):
+        last, n, total = None, 0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, x = b.column(names.index(group)).to_numpy(), b.column(names.index(size)).to_numpy().astype(np.int64)
+            new = np.concatenate([[last is None or g[0] != last], g[1:] != g[:-1]])
+            new[0] = True
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            ahead = np.cumsum(x) - x
+            before, rank = ahead - ahead[first], np.arange(len(x)) - first + 1
+            if g[0] == last:  # the group goes on from the batch before
+                own = first == 0
+                before[own] += total
+                rank[own] += n
+            last, n, total = g[-1], int(rank[-1]), int(before[-1] + x[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rank), pa.array(before)], names=[*b.schema.names, "own_rank", "own_before"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_rows.schema.fields)
+    local = scratch.write(sorted_rows.mapInArrow(run, kinds + ", own_rank long, own_before long"), "sorted")
+    parts = local.groupBy(group, "part").agg(F.count("*").alias("n"), F.sum(size).alias("total"))
+    ahead = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task at most
+    parts = parts.select(group, "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n"), F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("total"))
+    out = local.join(S.small(scratch.write(parts, "parts")), [group, "part"])
+    return out.select(*names, (F.col("own_rank") + F.col("n")).alias("rank"), (F.col("own_before") + F.col("total")).alias("before"))
+
+
 def mix_sources(docs: DataFrame, *, budget_tokens: int | None = None, target_entropy: float | None = None, max_repeats: float | None = 4.0, block_docs: int = 1024, seed: int = 1) -> DataFrame:
     """doc_id, source, n_tokens, epoch, block, mix_order, weight: a row for each pass of each document."""
     S.ship(docs.sparkSession)
@@ -115,8 +149,8 @@ def mix_sources(docs: DataFrame, *, budget_tokens: int | None = None, target_ent
     block_key = F.xxhash64(F.lit(seed), "source", "block", "epoch")
     sizes = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"), F.first("passes").alias("passes"), F.first("rest").alias("rest"), F.first("blocks").alias("blocks"))
     passes = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("epoch")).where((F.col("epoch") < F.col("passes")) | (F.col("rest") > 0))
-    w = Window.partitionBy("source", "epoch").orderBy(block_key, "block")
-    ranked = passes.withColumn("rank", F.row_number().over(w)).withColumn("before", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    keyed = passes.withColumn("pass", F.xxhash64(F.col("source").isNull(), "source", "epoch")).withColumn("order", block_key)
+    ranked = running(keyed, "pass", ["order", "block"], "size", scratch)
     ranked = ranked.where((F.col("epoch") < F.col("passes")) | (F.col("before") < F.col("rest")))
     room = F.when((F.col("epoch") < F.col("passes")) | (F.col("before") + F.col("size") <= F.col("rest")), F.lit(None)).otherwise(F.col("rest") - F.col("before"))
     ranked = scratch.write(ranked.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "epoch", "rank", room.cast("long").alias("room")), "blocks")

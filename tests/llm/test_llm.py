@@ -534,6 +534,18 @@ def test_pipeline_equals_its_parts(spark, sf):
     assert set(mixed.doc_id) <= set(tokens) and all(n == tokens[d] for d, n in zip(mixed.doc_id, mixed.n_tokens)) and not mixed.duplicated(["doc_id", "epoch"]).any()
 
 
+def test_running_sums_over_many_tasks(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([-5, 1, 9]), i, rng.randrange(10)) for i in range(3000)]
+    got = mixing.running(spark.createDataFrame(rows, "g long, k long, size long").repartition(5), "g", ["k"], "size", Scratch(spark)).collect()
+    want, total, n = {}, {}, {}
+    for g, k, size in rows:
+        n[g] = n.get(g, 0) + 1
+        want[k] = (n[g], total.get(g, 0))
+        total[g] = total.get(g, 0) + size
+    assert {r.k: (r["rank"], r.before) for r in got} == want
+
+
 def test_mixing_goes_past_a_long_document(spark):
     rows = [(i, "w " * (400 if i % 50 == 3 else 5), "a" if i < 200 else "b") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
