@@ -14,6 +14,7 @@ import types
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,8 +148,6 @@ def run_loop(df: DataFrame, loop: Callable[[], Loop], key: str, prompt: str, tru
     """(key, response, mask, turns, reward) of each conversation; ``loop`` makes a task's own loop with its tools."""
 
     def run(frames):
-        import pandas as pd
-
         machine = loop()
         for f in frames:
             rows = [machine.run(str(k), p, str(t)) for k, p, t in zip(f[key], f[prompt], f[truth])]
@@ -161,8 +160,6 @@ def interact(df: DataFrame, interaction: Callable[[], Interaction], answer: Call
     """(key, turns, reward) of conversations with a simulated user, of at most ``turns`` answers."""
 
     def run(frames):
-        import pandas as pd
-
         user = interaction()
         for f in frames:
             out = []
@@ -210,8 +207,14 @@ CLIENTS.register("echo")(lambda prefix="": lambda prompt: prefix + prompt)
 
 def reduce_groups(df: DataFrame, group: str, value: str, functions: dict[str, Callable]) -> DataFrame:
     """Python aggregates: each function takes a group's values (a series) and gives a number."""
-    out = [F.pandas_udf(lambda s, f=f: float(f(s)), "double", F.PandasUDFType.GROUPED_AGG)(F.col(value)).alias(name) for name, f in functions.items()]
-    return df.groupBy(group).agg(*out)
+
+    def aggregate(f: Callable):
+        def run(s: pd.Series) -> float:
+            return float(f(s))
+
+        return F.pandas_udf(run, "double")
+
+    return df.groupBy(group).agg(*[aggregate(f)(F.col(value)).alias(name) for name, f in functions.items()])
 
 
 @AGENT_LOOPS.register("single_turn")
