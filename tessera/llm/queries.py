@@ -1,8 +1,9 @@
-"""The ten operators as registered queries, and SQL for those that SQL can express."""
+"""The operators as registered queries, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, ngram_join, revisit, substring
 
@@ -74,5 +75,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_toxicity, op4_suffix_array_dedup, op5_quality_classifier, op6_warc_revisits, op7_token_counts, op8_source_mixing, op9_ngram_join, op10_quality_rules)}
+def op11_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of an upsert of ``client_changes`` into a part of ``clients``: one row for each file that is left."""
+    from tessera.llm.upsert import KeyedFiles, crc, latest_changes
+
+    clients, changes = table(spark, sf_dir, "clients"), table(spark, sf_dir, "client_changes")
+    files = KeyedFiles(spark, "client_id", 1 + clients.count() // 700).start(clients.where(crc(F.col("client_id")) % 7 > 3))
+    starting = files.scratch.write(files.files().select("path"), "starting")
+    columns = ["source", "segment", "city", "balance"]
+    latest = latest_changes(changes.select("client_id", "seq", "change_id", "op", *columns), "client_id", ["seq", "change_id"])
+    h, change = crc(F.col("home.first")) % 12, F.col("change")
+    gone = F.coalesce(change["op"] == "D", F.lit(False)) | F.coalesce(crc(change["change_id"]) % 8 < h, F.lit(False))
+    decided = files.route(latest).where(h <= 7)
+    files.apply(decided.select("id", F.struct(gone.alias("gone"), *[change[c].alias(c) for c in columns]).alias("change"), "home"), columns)
+    row = F.col("row")
+    text = F.concat(*[x for c in columns[:3] for x in (F.lit("|"), F.coalesce(row[c], F.lit("")))][1:])
+    digest = files.rows(index=True).groupBy("path").agg(
+        F.min("id").alias("first_id"),
+        F.count("*").alias("n_rows"),
+        F.coalesce(F.sum(F.floor(100 * row["balance"] + 0.5).cast("long")), F.lit(0)).cast("long").alias("cents"),
+        F.sum(F.crc32(text.cast("binary"))).alias("rows_crc"),
+        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "id"))), lambda x: x["id"].cast("string")), ","), 256).alias("ids_sha256"),
+    )
+    new = starting.withColumn("old", F.lit(True))
+    return digest.join(files.files().select("path", F.col("names").alias("columns")), "path").join(new, "path", "left").select("first_id", "n_rows", "cents", "rows_crc", "ids_sha256", "columns", "path", F.col("old").isNull().alias("rewritten"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_toxicity, op4_suffix_array_dedup, op5_quality_classifier, op6_warc_revisits, op7_token_counts, op8_source_mixing, op9_ngram_join, op10_quality_rules, op11_keyed_upsert)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_substring_dedup": substring.ORACLE, "op6_warc_revisits": revisit.ORACLE, "op9_ngram_join": ngram_join.ORACLE}
