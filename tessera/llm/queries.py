@@ -101,5 +101,14 @@ def op11_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.join(files.files().select("path", F.col("names").alias("columns")), "path").join(new, "path", "left").select("first_id", "n_rows", "cents", "rows_crc", "ids_sha256", "columns", "path", F.col("old").isNull().alias("rewritten"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_toxicity, op4_suffix_array_dedup, op5_quality_classifier, op6_warc_revisits, op7_token_counts, op8_source_mixing, op9_ngram_join, op10_quality_rules, op11_keyed_upsert)}
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts are those of the base spans; ``spans`` holds them and those that anchors add."""
+    from tessera.llm import pii
+
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined_spans(F.col("base")), 256).alias("base_sha256"), pii.joined_spans(F.concat("base", "added")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_toxicity, op4_suffix_array_dedup, op5_quality_classifier, op6_warc_revisits, op7_token_counts, op8_source_mixing, op9_ngram_join, op10_quality_rules, op11_keyed_upsert, op12_personal_data)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_substring_dedup": substring.ORACLE, "op6_warc_revisits": revisit.ORACLE, "op9_ngram_join": ngram_join.ORACLE}
