@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, ngram_join, revisit, substring
+from tessera.llm import collocations, decontaminate, ngram_join, revisit, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,5 +110,11 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined_spans(F.col("base")), 256).alias("base_sha256"), pii.joined_spans(F.concat("base", "added")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_toxicity, op4_suffix_array_dedup, op5_quality_classifier, op6_warc_revisits, op7_token_counts, op8_source_mixing, op9_ngram_join, op10_quality_rules, op11_keyed_upsert, op12_personal_data)}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_substring_dedup": substring.ORACLE, "op6_warc_revisits": revisit.ORACLE, "op9_ngram_join": ngram_join.ORACLE}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, contained_percent=50, top=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_toxicity, op4_suffix_array_dedup, op5_quality_classifier, op6_warc_revisits, op7_token_counts, op8_source_mixing, op9_ngram_join, op10_quality_rules, op11_keyed_upsert, op12_personal_data, op13_collocations)}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_substring_dedup": substring.ORACLE, "op6_warc_revisits": revisit.ORACLE, "op9_ngram_join": ngram_join.ORACLE, "op13_collocations": collocations.ORACLE}
