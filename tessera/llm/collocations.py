@@ -247,7 +247,7 @@ with pieces as (
   select doc_id, coalesce(lang, 'und') lang, i, unnest(range(1, len(p) + 1)) as j, p
   from (select row_number() over () as doc_id, lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as p, 0 as i from documents)
 ),
-words as (select lang, list_filter(regexp_split_to_array(p[j], '[\x20\x09]+'), x -> x <> '') as w from pieces),
+words as (select lang, regexp_extract_all(p[j], '[^\x20\x09]+') as w from pieces),
 grams as (
   select lang, k, array_to_string(w[s : s + k - 1], ' ') as phrase
   from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as s from words, (values (1), (2), (3)) t(k) where len(w) >= k)
@@ -265,7 +265,7 @@ scored as (
 weakest as (select * from (select *, row_number() over (partition by lang, phrase order by score, cut) as o from scored) where o = 1),
 longer as (
   select lang, phrase, max(f) as f from (
-    select lang, array_to_string(string_split(phrase, ' ')[t.at : t.at + 1], ' ') as phrase, f from counts, (values (1), (2)) t(at) where k = 3
+    select lang, array_to_string(string_split(phrase, ' ')[t.o : t.o + 1], ' ') as phrase, f from counts, (values (1), (2)) t(o) where k = 3
   ) group by all
 )
 select w.lang, cast(rank as bigint) as rank, w.phrase, a, l, r, n, cast(score as bigint) as score
