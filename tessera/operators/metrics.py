@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,13 +68,103 @@ def majority_value(df: DataFrame, group: Sequence[str], vote: str, value: str, o
     return v.groupBy(*group).agg(F.max_by("value", F.struct("_n", -F.col("_at"))).alias("value"))
 
 
-def validation_metrics(df: DataFrame, source: str, prompt: str, x: str, n: int) -> DataFrame:
-    """(source, metric, value): mean, population std, and expected best and worst of n; per prompt, then per source."""
-    per = df.groupBy(source, prompt).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
-    best = expected_extreme(df, [source, prompt], x, n).withColumnRenamed("value", "best")
-    worst = expected_extreme(df, [source, prompt], x, n, best=False).withColumnRenamed("value", "worst")
-    wide = per.join(best, [source, prompt]).join(worst, [source, prompt]).groupBy(source).agg(*[F.avg(c).alias(c) for c in ("mean", "std", "best", "worst")])
-    return wide.unpivot([source], ["mean", "std", "best", "worst"], "metric", "value")
+def ladder(size: Column) -> Column:
+    """2, 4, 8, .. below ``size``, then ``size``; nothing for a size of one."""
+    doubling = F.filter(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.expr("1L") * F.pow(F.lit(2.0), i).cast("long")), lambda n: n < size)
+    return F.when(size > 1, F.concat(doubling, F.array(size.cast("long")))).otherwise(F.array().cast("array<long>"))
+
+
+def extreme_moments(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:
+    """(group, n, metric, mean, std) of the best and worst of n draws with replacement, n along the ladder of each group's size: exact, by order statistics."""
+    every = Window.partitionBy(*group)
+    ranked = df.select(*group, F.col(x).cast("double").alias("_x"))
+    ranked = ranked.withColumns({"_m": F.count("*").over(every), "_up": F.row_number().over(every.orderBy("_x")), "_down": F.row_number().over(every.orderBy(F.desc("_x")))})
+    each = ranked.withColumn("n", F.explode(ladder(F.col("_m"))))
+    out = []
+    for place in ("_up", "_down"):
+        p = F.pow(F.col(place) / F.col("_m"), F.col("n")) - F.pow((F.col(place) - 1) / F.col("_m"), F.col("n"))
+        out += [F.sum(p * F.col("_x")), F.sum(p * F.col("_x") * F.col("_x"))]
+    sums = each.groupBy(*group, "n").agg(*[c.alias(a) for c, a in zip(out, ("_b1", "_b2", "_w1", "_w2"))])
+    row = lambda name, first, second: F.struct(F.lit(name).alias("metric"), F.col(first).alias("mean"), F.sqrt(F.greatest(F.col(second) - F.col(first) ** 2, F.lit(0.0))).alias("std"))
+    return sums.select(*group, "n", F.inline(F.array(row("best", "_b1", "_b2"), row("worst", "_w1", "_w2"))))
+
+
+def win_probabilities(counts: Sequence[int], n: int) -> list[float]:
+    """Of votes with these counts, the probability of each to be the most frequent among ``n`` draws with replacement; a tie goes to the vote drawn first.
+
+    Counts of the draws are independent Poisson numbers given their sum.  For each count c
+    of the winner a polynomial in the draws holds what the other votes can have: at most c
+    each, those with exactly c being ties, which are equally likely to have come first.
+    A count above n / 2 has no rival.
+    """
+    total, k = sum(counts), len(counts)
+
+    def poisson(mean: float) -> np.ndarray:
+        j = np.arange(n + 1)
+        return np.exp(j * math.log(mean) - mean - np.array([math.lgamma(i + 1) for i in j])) if mean > 0 else (j == 0).astype(float)
+
+    law = {a: poisson(n * a / total) for a in set(counts)}
+    found = {}
+    for a in set(counts):
+        others = list(counts)
+        others.remove(a)
+        rest = poisson(n * (total - a) / total)
+        low = n // 2 + 1
+        p = float(law[a][low:] @ rest[: n - low + 1][::-1])
+        for c in range(max(1, -(-n // k)), low):
+            left = n - c
+            ties = [np.zeros(left + 1) for _ in range(n // c)]  # by number of other votes with exactly c
+            ties[0][0] = 1.0
+            for u in others:
+                below = law[u][: min(c, left + 1)]
+                spread = [np.convolve(t, below)[: left + 1] if t.any() else t.copy() for t in ties]
+                for i in range(1, len(ties)):
+                    if left >= c:
+                        spread[i][c:] += law[u][c] * ties[i - 1][: left + 1 - c]
+                ties = spread
+            p += float(law[a][c] * sum(t[left] / (i + 1) for i, t in enumerate(ties)))
+        found[a] = p / float(poisson(float(n))[n])
+    return [found[a] for a in counts]
+
+
+def majority_moments(df: DataFrame, group: Sequence[str], vote: str, x: str, sizes: Column | None = None) -> DataFrame:
+    """(group, n, metric, mean, std) of the value of the first draw of the most frequent vote among n draws with replacement.
+
+    ``sizes``: the values of n, by default the ladder of each group's size.  Draws of one vote
+    have its mean and its mean square; a group is one row of its votes' counts.  A null vote is a vote.
+    """
+    def chances(counts: pd.Series, n: pd.Series) -> pd.Series:
+        known = cache(win_probabilities)
+        return pd.Series([known(tuple(int(v) for v in c), int(i)) for c, i in zip(counts, n)])
+
+    value = F.col(x).cast("double")
+    votes = df.groupBy(*group, vote).agg(F.count("*").alias("count"), F.avg(value).alias("first"), F.avg(value * value).alias("second"))
+    votes = votes.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("count", "first", "second"))).alias("_votes"), F.sum("count").alias("_m"))
+    each = votes.withColumn("n", F.explode(ladder(F.col("_m")) if sizes is None else sizes))
+    each = each.withColumn("_p", F.pandas_udf(chances, "array<double>")(F.col("_votes")["count"], "n"))
+    moment = lambda name: F.aggregate(F.zip_with("_votes", "_p", lambda v, p: v[name] * p), F.lit(0.0), lambda a, b: a + b)
+    return each.select(*group, "n", F.lit("maj").alias("metric"), moment("first").alias("mean"), F.sqrt(F.greatest(moment("second") - moment("first") ** 2, F.lit(0.0))).alias("std"))
+
+
+def validation_metrics(df: DataFrame, source: str, prompt: str, variables: Sequence[str], vote: str | None = None) -> DataFrame:
+    """(source, variable, metric, value): metrics of each prompt's samples, then their mean over the prompts of a source that have them.
+
+    With N samples of a prompt: mean@N; beyond one sample std@N (population) and, for n = 2, 4,
+    .. below N and N itself, mean and std of best@n, worst@n and, with ``vote``, maj@n: what
+    resampling with replacement estimates, exactly.  Missing values are left out.
+    """
+    keep = [source, prompt] + [vote] * (vote is not None)
+    long = df.select(*keep, F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("_x")) for v in variables]))).where("_x is not null")
+    group = [source, prompt, "variable"]
+    per = long.groupBy(*group).agg(F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"), F.count("*").alias("n"))
+    at = lambda name: F.concat(F.lit(f"{name}@"), F.col("n").cast("string")).alias("metric")
+    plain = per.select(source, "variable", at("mean"), F.col("mean").alias("value")).unionByName(per.where("n > 1").select(source, "variable", at("std"), F.col("std").alias("value")))
+    drawn = extreme_moments(long, group, "_x")
+    if vote is not None:
+        drawn = drawn.unionByName(majority_moments(long, group, vote, "_x"))
+    name = lambda part: F.concat("metric", F.lit("@"), F.col("n").cast("string"), F.lit(f"/{part}")).alias("metric")
+    drawn = drawn.select(source, "variable", F.inline(F.array(*[F.struct(name(p), F.col(p).alias("value")) for p in ("mean", "std")])))
+    return plain.unionByName(drawn).groupBy(source, "variable", "metric").agg(F.avg("value").alias("value"))
 
 
 def breakdown(df: DataFrame, dims: Sequence[str], x: str) -> DataFrame:

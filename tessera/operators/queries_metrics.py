@@ -66,12 +66,48 @@ def a9(t):
     return M.majority_value(ev(t), ["uid"], "event_type", "s", "id")
 
 
-@query("a10_validation_metrics", f"""WITH {EV}, k AS (SELECT event_type, uid, s, row_number() OVER (PARTITION BY event_type, uid ORDER BY s) AS k, row_number() OVER (PARTITION BY event_type, uid ORDER BY s DESC) AS d, count(*) OVER (PARTITION BY event_type, uid) AS n FROM ev),
-p AS (SELECT event_type, uid, avg(s) AS mean, stddev_pop(s) AS std, sum((pow(k / n, 4) - pow((k - 1) / n, 4)) * s) AS best, sum((pow(d / n, 4) - pow((d - 1) / n, 4)) * s) AS worst FROM k GROUP BY ALL),
-w AS (SELECT event_type AS source, avg(mean) AS mean, avg(std) AS std, avg(best) AS best, avg(worst) AS worst FROM p GROUP BY ALL)
-SELECT source, metric, round(value, 6) AS value FROM (UNPIVOT w ON mean, std, best, worst INTO NAME metric VALUE value)""")
+_LADDER = f"""WITH {EV}, v AS (SELECT event_type AS source, uid, unnest(['s', 'len']) AS variable, unnest([s, len::DOUBLE]) AS x FROM ev), g AS (SELECT * FROM v WHERE x IS NOT NULL),
+r AS (SELECT *, count(*) OVER w AS m, row_number() OVER (w ORDER BY x) AS up, row_number() OVER (w ORDER BY x DESC) AS down FROM g WINDOW w AS (PARTITION BY source, uid, variable)),
+n AS (SELECT source, uid, variable, m, unnest(list_append(list_filter([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024], lambda i: i < m), m)) AS n FROM (SELECT DISTINCT source, uid, variable, m FROM r) WHERE m > 1),
+d AS (SELECT source, uid, variable, n, sum((pow(up / m, n) - pow((up - 1) / m, n)) * x) AS b1, sum((pow(up / m, n) - pow((up - 1) / m, n)) * x * x) AS b2, sum((pow(down / m, n) - pow((down - 1) / m, n)) * x) AS w1, sum((pow(down / m, n) - pow((down - 1) / m, n)) * x * x) AS w2 FROM r JOIN n USING (source, uid, variable, m) GROUP BY ALL),
+p AS (SELECT source, uid, variable, m, avg(x) AS mean, stddev_pop(x) AS std FROM r GROUP BY ALL),
+a AS (SELECT source, variable, 'mean@' || m AS metric, mean AS value FROM p UNION ALL SELECT source, variable, 'std@' || m, std FROM p WHERE m > 1
+UNION ALL SELECT source, variable, 'best@' || n || '/mean', b1 FROM d UNION ALL SELECT source, variable, 'best@' || n || '/std', sqrt(greatest(b2 - b1 * b1, 0)) FROM d
+UNION ALL SELECT source, variable, 'worst@' || n || '/mean', w1 FROM d UNION ALL SELECT source, variable, 'worst@' || n || '/std', sqrt(greatest(w2 - w1 * w1, 0)) FROM d)
+SELECT source, variable, metric, round(avg(value), 4) AS value FROM a GROUP BY ALL"""
+
+
+def _samples(t):
+    return ev(t).withColumnRenamed("event_type", "source")
+
+
+@query("a10_validation_metrics", _LADDER)
 def a10(t):
-    return r6(M.validation_metrics(ev(t).withColumnRenamed("event_type", "source"), "source", "uid", "s", 4), "value")
+    return M.validation_metrics(_samples(t), "source", "uid", ["s", "len"]).withColumn("value", F.round("value", 4))
+
+
+# every sequence of 2 and of 4 draws of a group's votes, by the chances of the votes; the vote first drawn wins a tie
+_DRAWS = f"""WITH {EV}, v AS (SELECT uid, event_type AS vote, count(*) AS c, avg(s) AS m1, avg(s * s) AS m2 FROM ev GROUP BY ALL), p AS (SELECT *, c / sum(c) OVER (PARTITION BY uid) AS p FROM v),
+two AS (SELECT a.uid, 2 AS n, a.p * b.p AS p, [a.vote, b.vote] AS d FROM p a JOIN p b USING (uid)),
+four AS (SELECT x.uid, 4 AS n, x.p * y.p AS p, list_concat(x.d, y.d) AS d FROM two x JOIN two y USING (uid)),
+q AS (SELECT uid, n, p, d, row_number() OVER () AS i FROM (SELECT * FROM two UNION ALL SELECT * FROM four)),
+s AS (SELECT uid, n, p, i, d, unnest(d) AS vote FROM q),
+w AS (SELECT uid, n, i, any_value(p) AS p, vote, count(*) AS c, any_value(list_position(d, vote)) AS o FROM s GROUP BY uid, n, i, vote),
+best AS (SELECT uid, n, i, p, arg_max(vote, c * 10 - o) AS vote FROM w GROUP BY uid, n, i, p),
+e AS (SELECT b.uid, b.n, sum(b.p * v.m1) AS mean, sum(b.p * v.m2) AS second FROM best b JOIN v ON v.uid = b.uid AND v.vote = b.vote GROUP BY ALL)
+SELECT uid, n, round(mean, 5) AS mean, round(sqrt(greatest(second - mean * mean, 0)), 5) AS std FROM e"""
+
+
+@query("a10_majority", _DRAWS)
+def a10_majority(t):
+    found = M.majority_moments(ev(t), ["uid"], "event_type", "s", F.array(F.lit(2), F.lit(4)))
+    return found.select("uid", "n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+
+
+@query("a10_ladder_with_votes")
+def a10_ladder(t):
+    """The whole ladder of each user's events, with the majority of event types."""
+    return M.validation_metrics(ev(t).withColumn("source", F.pmod("uid", F.lit(5))), "source", "uid", ["s"], vote="event_type")
 
 
 @query("a11_metric_names", "SELECT event_type AS name, CASE WHEN event_type = 'click' THEN 'val-core/' ELSE 'val-aux/' END || event_type || '/mean@' || max(n) AS metric FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type")
