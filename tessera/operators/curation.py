@@ -84,20 +84,47 @@ def tree_merge(df: DataFrame, key: str, idx: str, text: str, rounds: int | None
     return cur.select(key, F.col("t").alias("merged"))
 
 
+def dyadic_cover(low: Column, high: Column) -> Column:
+    """The fewest (level, node) that cover the integers low..high: node k of a level holds k * 2 ** level and what follows up to the next; two at most for each level."""
+    end = high + 1
+    levels = F.sequence(F.lit(0), F.floor(F.log2((end - low).cast("double"))).cast("int") + 1)
+
+    def nodes(level: Column) -> Column:
+        step = F.expr("1L") * F.pow(F.lit(2.0), level).cast("long")
+        left, right = F.ceil(low / step), F.floor(end / step)
+        node = lambda ok, at: F.when((left < right) & ok, F.struct(level.cast("int").alias("level"), at.cast("long").alias("node")))
+        return F.array(node(F.pmod(left, F.lit(2)) == 1, left), node(F.pmod(right, F.lit(2)) == 1, right - 1))
+
+    return F.filter(F.flatten(F.transform(levels, nodes)), lambda x: x.isNotNull())
+
+
+def dyadic_pairs(points: DataFrame, intervals: DataFrame, key: str, cell: Column, low: Column, high: Column) -> DataFrame:
+    """Points and intervals of a key that share a cell, each pair once: intervals as their cover, points with their ancestors at the levels that covers have.
+
+    An interval of n cells makes at most 2 log2(n) + 2 rows and a point one row for each
+    level, whatever the width of a cell; the levels, 63 at most, are one broadcast row.
+    """
+    covered = intervals.withColumn("_n", F.explode(dyadic_cover(low, high))).withColumns({"_level": F.col("_n.level"), "_node": F.col("_n.node")}).drop("_n")
+    levels = intervals.select(F.explode(F.transform(dyadic_cover(low, high), lambda n: n["level"])).alias("_l")).agg(F.collect_set("_l").alias("_levels"))
+    placed = points.withColumn("_cell", cell.cast("long")).crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels"))
+    placed = placed.withColumn("_node", F.floor(F.col("_cell") / F.pow(F.lit(2.0), F.col("_level")).cast("long"))).drop("_cell", "_levels")
+    return placed.join(covered, [key, "_level", "_node"]).drop("_level", "_node")
+
+
 def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, key: str, width: float) -> DataFrame:
-    """Points inside [start, end) of the same key; both sides meet in buckets of ``width``, an equi-join."""
-    p = points.withColumn("_b", F.floor(F.col(point) / width))
-    last = F.greatest(F.ceil(F.col(end) / width) - 1, F.floor(F.col(start) / width))
-    i = intervals.where(F.col(end) > F.col(start)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), last)))
-    return p.join(i, [key, "_b"]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_b")
+    """Points inside [start, end) of the same key. ``width`` is the cell that both sides are rounded to before the exact comparison."""
+    first = F.floor(F.col(start) / width)
+    last = F.greatest(F.ceil(F.col(end) / width) - 1, first)
+    met = dyadic_pairs(points, intervals.where(F.col(end) > F.col(start)), key, F.floor(F.col(point) / width), first, last)
+    return met.where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
 
 
 def covered_points(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, key: str, width: float) -> DataFrame:
-    """Points strictly inside some interval of their key."""
-    p = points.withColumn("_b", F.floor(F.col(point) / width))
-    i = intervals.where(F.col(end) > F.col(start)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    i = i.select(F.col(key).alias("_k"), F.col("_b").alias("_ib"), F.col(start).alias("_s"), F.col(end).alias("_e"))
-    return p.join(i, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_ib")) & (F.col(point) > F.col("_s")) & (F.col(point) < F.col("_e")), "left_semi").drop("_b")
+    """Points strictly inside some interval of their key; each distinct (key, point) is looked up once."""
+    spans = intervals.where(F.col(end) > F.col(start)).select(key, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    met = dyadic_pairs(points.select(key, point).distinct(), spans, key, F.floor(F.col(point) / width), F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))
+    inside = met.where((F.col(point) > F.col("_s")) & (F.col(point) < F.col("_e"))).select(key, point).distinct()
+    return points.join(inside, [key, point], "left_semi")
 
 
 def fallback_lookup(df: DataFrame, index: DataFrame, name: str, suffix: str = ".mp4") -> DataFrame:
