@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,48 +100,73 @@ def reverse_cumsum(x: Column) -> Column:
     return F.sum(x).over(Window.partitionBy("row_id").orderBy("pos").rowsBetween(0, Window.unboundedFollowing))
 
 
-def _backwards(step, *arrays: Column) -> Column:
-    """A fold over the token axis from the end, for all rows of an Arrow batch at a time; ``step(state, columns at a token) -> (state, value)``."""
+#: Tokens of one step of a scan: what its temporary arrays hold.
+SCAN_TOKENS = 1 << 18
 
-    def run(*series: pd.Series) -> pd.Series:
-        size = series[0].str.len().fillna(0).astype(int).to_numpy()
-        most = int(size.max()) if len(size) else 0
-        grid = []
-        for s in series:  # rows end at the right edge
-            g = np.zeros((len(size), most))
-            for i, x in enumerate(s):
-                if size[i]:
-                    g[i, most - size[i] :] = x
-            grid.append(g)
-        out, state = np.zeros((len(size), most)), None
-        for t in range(most - 1, -1, -1):
-            state, out[:, t] = step(state, [g[:, t] for g in grid])
-        return pd.Series([out[i, most - n :].tolist() for i, n in enumerate(size)])
 
-    return F.pandas_udf(run, "array<double>")(*arrays)
+def reverse_scan(a: np.ndarray, b: np.ndarray, ends: np.ndarray, chunk: int = SCAN_TOKENS) -> np.ndarray:
+    """x[t] = a[t] * x[t + 1] + b[t] from the end of each segment, where x is 0; ``ends``: the index after the last of each token's segment.
+
+    Affine maps compose, so a chunk is scanned by doubling: after round k a token's map
+    reaches over 2 ** k tokens of its segment.  Chunks go from right to left, and a segment
+    that crosses a border takes the value at it along.
+    """
+    out, right = np.empty(len(a)), 0.0
+    for low in range((len(a) - 1) // chunk * chunk, -1, -chunk) if len(a) else ():
+        high = min(len(a), low + chunk)
+        f, g = a[low:high].astype(np.float64), b[low:high].astype(np.float64)
+        last = np.minimum(ends[low:high], high) - low
+        if ends[high - 1] > high:  # the segment goes on: its value at the border enters the chunk's last token
+            g[-1] += f[-1] * right
+        at, step = np.arange(high - low), 1
+        longest = int((last - at).max())
+        while step < longest:
+            reach = np.flatnonzero(at + step < last)
+            g[reach] += f[reach] * g[reach + step]
+            f[reach] *= f[reach + step]
+            step *= 2
+        out[low:high], right = g, g[0]
+    return out
+
+
+def _scanned(f, *arrays: Column) -> Column:
+    """``f`` of the rows' arrays as flat values and segment ends, as arrays of the same lengths; a missing array has no tokens, a missing value is 0."""
+
+    def run(columns):
+        first = columns[0]
+        offsets = np.concatenate([[0], np.cumsum(first.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        flat = [c.flatten().fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns]
+        values = f(*flat, np.repeat(offsets[1:], np.diff(offsets)))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.float64()))
+
+    two, three = (lambda a, b: run((a, b))), (lambda a, b, c: run((a, b, c)))
+    kernel = two if len(arrays) == 2 else three
+    kernel.__annotations__ = dict.fromkeys(("a", "b", "c")[: len(arrays)], pa.Array) | {"return": pa.Array}
+    return F.arrow_udf(kernel, "array<double>")(*[x.cast("array<double>") for x in arrays])
 
 
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Of a row's arrays: reverse discounted sums; the state is cut to 0 after masked tokens."""
 
-    def step(g, x):
-        g = x[0] + gamma * (0.0 if g is None else g)
-        return g * x[1], g
+    def scan(r, m, ends):
+        state = reverse_scan(gamma * m, m * r, ends)
+        follows = np.append(state[1:], 0.0)
+        follows[ends - 1 == np.arange(len(r))] = 0.0
+        return r + gamma * follows
 
-    return _backwards(step, rewards, mask)
+    return _scanned(scan, rewards, mask)
 
 
 def gae(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
-    """Of a row's arrays: generalised advantage estimates; masked tokens pass the state on."""
+    """Of a row's arrays: generalised advantage estimates; masked tokens pass the state on. Two scans: the next value, then the estimates."""
 
-    def step(state, x):
-        nxt, last = (0.0, 0.0) if state is None else state
-        r, v, m = x
-        new = r + gamma * nxt - v + gamma * lam * last
-        kept = new * m + (1 - m) * last
-        return (v * m + (1 - m) * nxt, kept), kept
+    def scan(r, v, m, ends):
+        value = reverse_scan(1 - m, m * v, ends)
+        follows = np.append(value[1:], 0.0)
+        follows[ends - 1 == np.arange(len(r))] = 0.0
+        return reverse_scan(1 - m + gamma * lam * m, m * (r + gamma * follows - v), ends)
 
-    return _backwards(step, rewards, values, mask)
+    return _scanned(scan, rewards, values, mask)
 
 
 def response_mask(eos: Column) -> Column:
