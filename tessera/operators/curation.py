@@ -53,26 +53,88 @@ def session_merge(df: DataFrame, key: str, start: str, end: str, gap: float) ->
     return s.groupBy(key, "session").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("events"))
 
 
-def merge_adjacent(df: DataFrame, key: str, order: str, text: str, same: Callable[[str, str], bool]) -> DataFrame:
-    """Divide-and-conquer merge of neighbouring events of a video by a judge of two captions, each group in one worker."""
+def _halves(place: Column, size: Column, depth: Column) -> Column:
+    """(lo, seg): where the part of 0..size that holds ``place`` begins after ``depth`` halvings, and its number."""
+    whole = F.struct(F.lit(0).cast("long").alias("lo"), size.cast("long").alias("hi"), F.lit(0).cast("long").alias("seg"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("long")
+        left = place < mid
+        return F.struct(F.when(left, s["lo"]).otherwise(mid).alias("lo"), F.when(left, mid).otherwise(s["hi"]).alias("hi"), (s["seg"] * 2 + F.when(left, 0).otherwise(1)).alias("seg"))
+
+    steps = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, whole, halve)
+
+
+def merge_adjacent(df: DataFrame, key: str, order: str, text: str, same: Callable[[str, str], bool], leaf: int = 4096) -> DataFrame:
+    """Divide-and-conquer merge of neighbouring events of a video by a judge of two captions: (key, event, captions).
+
+    Halves are merged first; then the judge sees the first caption of the last event on the
+    left and that of the first event on the right, and if it agrees the two become one.  A
+    video of more than ``leaf`` rows is cut at the recursion's own midpoints: each part is a
+    group of its own, and parts are joined at their borders, a round for each level, knowing
+    of each part only its first and last event.  The result is that of the recursion.
+    """
+    from tessera.operators.batch import with_pos
+    from tessera.sources.files import shared_folder
+
+    if leaf < 2:
+        raise ValueError("a part needs two rows or more")
+    kind, spark = dict(df.dtypes)[key], df.sparkSession
+    rows = with_pos(df.select(F.col(key).alias("_key"), F.col(order).alias("_o"), F.col(text).alias("_t")), "_key", "_o", "_t", pos="_pos")
+    sizes = rows.groupBy(F.col("_key").alias("_k")).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    depth = F.greatest(F.ceil(F.log2(F.col("_n") / leaf)), F.lit(0)).cast("int")
+    placed = rows.join(sizes, F.col("_key").eqNullSafe(F.col("_k"))).withColumn("_depth", depth)
+    placed = placed.withColumn("_h", _halves(F.col("_pos") - F.col("_first"), F.col("_n"), F.col("_depth"))).select("_key", "_depth", "_h.lo", "_h.seg", "_pos", "_t")
 
     def run(pdf):
         import pandas as pd
 
         def merge(lo: int, hi: int) -> list[list[str]]:
             if hi - lo == 1:
-                return [[rows[lo]]]
+                return [[captions[lo]]]
             mid = (lo + hi) // 2
             a, b = merge(lo, mid), merge(mid, hi)
             if same(a[-1][0], b[0][0]):
                 return [*a[:-1], a[-1] + b[0], *b[1:]]
             return a + b
 
-        rows = pdf.sort_values(order)[text].tolist()
-        events = merge(0, len(rows))
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(events), "event": range(len(events)), "captions": events})
-
-    return df.select(key, order, text).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, event long, captions array<string>")
+        captions = pdf.sort_values("_pos")["_t"].tolist()
+        return pd.DataFrame({"_key": pdf["_key"].iloc[:1], "depth": pdf["_depth"].iloc[:1], "lo": pdf["lo"].iloc[:1], "seg": pdf["seg"].iloc[:1], "events": [merge(0, len(captions))]})
+
+    parts = placed.groupBy("_key", "seg").applyInPandas(run, f"_key {kind}, depth int, lo long, seg long, events array<array<string>>")
+    most = sizes.agg(F.max(depth)).first()[0] or 0
+    if not most:
+        return parts.select(F.col("_key").alias(key), F.posexplode("events").alias("event", "captions")).withColumn("event", F.col("event").cast("long"))
+    folder = shared_folder(spark)
+
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+    parts = kept(parts, "parts")
+    part = F.struct("lo", "first", "last", "single")
+    now = parts.select("_key", "depth", "seg", "lo", F.col("events")[0][0].alias("first"), F.element_at("events", -1)[0].alias("last"), (F.size("events") == 1).alias("single"))
+    judge = F.pandas_udf(lambda a, b: (a.astype(object).combine(b.astype(object), lambda x, y: bool(same(x, y)))).astype(bool), "boolean")
+    borders = []
+    for level in range(most, 0, -1):
+        pairs = now.where(F.col("depth") == level).groupBy("_key", F.floor(F.col("seg") / 2).alias("seg")).agg(F.min_by(part, "seg").alias("l"), F.max_by(part, "seg").alias("r"))
+        pairs = kept(pairs.withColumn("joined", judge("l.last", "r.first")), f"level{level}")
+        borders.append(pairs.select("_key", "r.lo", "joined"))
+        both = F.col("joined")
+        merged = pairs.select("_key", F.lit(level - 1).alias("depth"), "seg", "l.lo", "l.first", F.when(both & F.col("r.single"), F.col("l.last")).otherwise(F.col("r.last")).alias("last"), (both & F.col("l.single") & F.col("r.single")).alias("single"))
+        now = now.where(F.col("depth") < level).unionByName(merged)
+    joins = borders[0]
+    for b in borders[1:]:
+        joins = joins.unionByName(b)
+    joins = joins.toDF("_jk", "_jlo", "joined")
+    parts = parts.join(joins, F.col("_key").eqNullSafe(F.col("_jk")) & (F.col("lo") == F.col("_jlo")), "left").withColumn("joined", F.coalesce("joined", F.lit(False)).cast("int"))
+    earlier = Window.partitionBy("_key").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    begun = parts.select("_key", "lo", "joined", F.size("events").alias("_size")).withColumn("_before", F.coalesce(F.sum(F.col("_size") - F.col("joined")).over(earlier), F.lit(0)))
+    parts = parts.drop("joined", "_jk", "_jlo").join(begun.select(F.col("_key").alias("_bk"), F.col("lo").alias("_blo"), "joined", "_before"), F.col("_key").eqNullSafe(F.col("_bk")) & (F.col("lo") == F.col("_blo")))
+    pieces = parts.select("_key", "lo", "_before", "joined", F.posexplode("events").alias("_i", "_c"))
+    events = pieces.groupBy(F.col("_key").alias(key), (F.col("_before") + F.col("_i") - F.col("joined")).cast("long").alias("event")).agg(F.sort_array(F.collect_list(F.struct("lo", "_c"))).alias("_x"))
+    return events.select(key, "event", F.flatten(F.transform("_x", lambda x: x["_c"])).alias("captions"))
 
 
 def tree_merge(df: DataFrame, key: str, idx: str, text: str, rounds: int | None = None) -> DataFrame:

@@ -136,17 +136,58 @@ def agreement_sums(score: np.ndarray, acc: np.ndarray) -> tuple[float, float]:
     return alike, float((x * (2 * place - n + 1)).sum())
 
 
-def pairwise_agreement(df: DataFrame, uid: str, order: str, score: str, acc: str) -> DataFrame:
-    """Share of pairs of a group that score and accuracy order alike, weighted by the accuracy gap; over all groups. A group is one task's, in memory and time linear but for a logarithm."""
+def _agreement_across(placed: DataFrame, chunk: int) -> DataFrame:
+    """(alike): gaps that pairs of different chunks add, one row for each piece of a block.
+
+    Two places of a group differ first in some bit above a chunk's: there the left one has
+    0 and the right one 1, and both share the block of the bits above.  Within a block,
+    sorted by score, a right row needs the number and the sum of the left rows before it:
+    running sums inside the pieces that a range sort makes, plus the totals of the pieces before.
+    """
+    bits = chunk.bit_length() - 1
+    levels = F.when(F.col("_n") > chunk, F.sequence(F.lit(bits), F.floor(F.log2((F.col("_n") - 1).cast("double"))).cast("int"))).otherwise(F.array().cast("array<int>"))
+    half = F.pow(F.lit(2.0), F.col("_level")).cast("long")
+    rows = placed.withColumn("_level", F.explode(levels)).withColumns({"_block": F.floor(F.col("_place") / (2 * half)), "_left": F.floor(F.col("_place") / half) % 2 == 0})
+    keys = ["_uid", "_level", "_block"]
+    rows = rows.select(*keys, "_y", "_left", "_x").repartitionByRange(*keys, "_y", "_left").withColumn("_part", F.spark_partition_id())  # of equal scores the right one first
+    before = Window.partitionBy(*keys, "_part").orderBy("_y", "_left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = F.col("_left")
+    rows = rows.withColumns({"_c": F.count_if(left).over(before), "_s": F.sum(F.when(left, F.col("_x")).otherwise(0.0)).over(before)})
+    right = lambda x: F.coalesce(F.sum(F.when(~left, x)), F.lit(0.0))
+    pieces = rows.groupBy(*keys, "_part").agg(
+        F.count_if(left).alias("n_left"), F.sum(F.when(left, F.col("_x")).otherwise(0.0)).alias("s_left"),
+        F.count_if(~left).alias("n_right"), right(F.col("_x")).alias("s_right"), right(F.col("_x") * F.col("_c") - F.col("_s")).alias("own"),
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = pieces.withColumns({"_nl": F.coalesce(F.sum("n_left").over(earlier), F.lit(0)), "_sl": F.coalesce(F.sum("s_left").over(earlier), F.lit(0.0))})
+    return sums.select((F.col("own") + F.col("s_right") * F.col("_nl") - F.col("n_right") * F.col("_sl")).alias("alike"))
+
+
+def pairwise_agreement(df: DataFrame, uid: str, order: str, score: str, acc: str, chunk: int = 1 << 16) -> DataFrame:
+    """Share of pairs of a group that score and accuracy order alike, weighted by the accuracy gap; over all groups.
+
+    Rows of a group get places in the order of accuracy; pairs inside ``chunk`` places (a
+    power of two) are summed in one task, others by sorts over all tasks, so a group may be
+    of any size.  Rows without a score or an accuracy are left out.
+    """
+    from tessera.operators.batch import with_pos
+
+    if chunk < 1 or chunk & (chunk - 1):
+        raise ValueError("chunk must be a power of two")
+    rows = df.select(F.col(uid).alias("_uid"), F.col(acc).cast("double").alias("_x"), F.col(score).cast("double").alias("_y"), F.col(order).alias("_o")).where("_x is not null and _y is not null")
+    placed = with_pos(rows, "_uid", "_x", "_y", "_o", pos="_pos")
+    sizes = placed.groupBy(F.col("_uid").alias("_u")).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    placed = placed.join(sizes, F.col("_uid").eqNullSafe(F.col("_u"))).withColumn("_place", F.col("_pos") - F.col("_first"))
 
     def run(pdf):
         import pandas as pd
 
-        alike, total = agreement_sums(pdf[score].to_numpy(), pdf[acc].to_numpy())
-        return pd.DataFrame({"alike": [alike], "total": [total]})
+        return pd.DataFrame({"alike": [agreement_sums(pdf["_y"].to_numpy(), pdf["_x"].to_numpy())[0]]})
 
-    sums = df.select(uid, order, score, acc).groupBy(uid).applyInPandas(run, "alike double, total double")
-    return sums.agg((F.sum("alike") / F.sum("total")).alias("accuracy"))
+    near = placed.select("_uid", F.floor(F.col("_place") / chunk).alias("_chunk"), "_x", "_y").groupBy("_uid", "_chunk").applyInPandas(run, "alike double")
+    alike = near.unionByName(_agreement_across(placed, chunk)).agg(F.sum("alike").alias("alike"))
+    total = placed.agg(F.sum(F.col("_x") * (2 * F.col("_place") - F.col("_n") + 1)).alias("total"))
+    return alike.crossJoin(total).select(F.try_divide("alike", "total").alias("accuracy"))  # one row each
 
 
 def consecutive_rloo(df: DataFrame, pos: str, n: int, s: str) -> DataFrame:

@@ -133,8 +133,7 @@ def w15(t):
 @query("w16_adaptive_kl", """WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS i, s_acctbal / 10000 AS x FROM supplier),
 c AS (SELECT 0::BIGINT AS i, 0.2::DOUBLE AS coef UNION ALL SELECT n.i, coef * (1 + greatest(least(x / 0.1 - 1, 0.2), -0.2) * 32.0 / 1000.0) FROM c JOIN n ON n.i = c.i + 1) SELECT round(coef, 9) AS coef FROM c ORDER BY i DESC LIMIT 1""")
 def w16(t):
-    k = t.supplier.agg(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", (F.col("s_acctbal") / 10000).alias("x")))), lambda s: s["x"]).alias("kl"))
-    return k.select(F.round(K.adaptive_kl(F.col("kl"), 32.0, 0.1, 1000.0, 0.2), 9).alias("coef"))
+    return t.supplier.agg(F.round(K.adaptive_kl(F.col("s_acctbal") / 10000, 32.0, 0.1, 1000.0, 0.2), 9).alias("coef"))
 
 
 @query("p21_accuracy_band", f"WITH {EV}, g AS (SELECT uid, row_number() OVER (ORDER BY (avg((s > 0)::INT) BETWEEN 0.2 AND 0.8) DESC, uid) AS k, count(*) OVER () AS n FROM ev GROUP BY uid) SELECT id FROM ev JOIN g USING (uid) WHERE k <= n // 2")

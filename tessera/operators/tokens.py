@@ -180,9 +180,9 @@ def position_ids(mask: Column) -> Column:
     return ((run - 1) * mask.cast("int")).cast("long")
 
 
-def adaptive_kl(kls: Column, steps: float, target: float, horizon: float, init: float) -> Column:
-    """Coefficient after an ordered array of KL values."""
-    return F.aggregate(kls, F.lit(float(init)), lambda k, x: k * (1 + F.greatest(F.least(x / target - 1, F.lit(0.2)), F.lit(-0.2)) * steps / horizon))
+def adaptive_kl(kl: Column, steps: float, target: float, horizon: float, init: float) -> Column:
+    """Coefficient after the KL values of a column: each multiplies it by a factor that does not depend on it, so their order does not count. An aggregate."""
+    return F.coalesce(F.product(1 + F.greatest(F.least(kl / target - 1, F.lit(0.2)), F.lit(-0.2)) * steps / horizon), F.lit(1.0)) * init
 
 
 def entropy_of_logits(logits: Column) -> Column:
