@@ -7,6 +7,7 @@ from fractions import Fraction
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import algebra
 from tessera.functions.choices import strip
 from tessera.functions.text import last, last_boxed_balanced, let, steps
 
@@ -142,10 +143,7 @@ def _same_value(p: Column, r: Column, percent: bool, rel: float) -> Column:
 
 
 def math_equal(pred: Column, ref: Column, percent: bool = True, rel: float = 1e-4) -> Column:
-    """Equality of answers: numbers to a relative tolerance (also as percentages), intervals and tuples part by part, matrices row by row, else texts.
-
-    Differences that only an algebra system could tell (x+1 against 1+x) count as unequal.
-    """
+    """Equality of answers: numbers to a relative tolerance (also as percentages), intervals and tuples part by part, matrices row by row, else texts or identical expressions."""
     rows = lambda x: F.regexp_replace(F.regexp_replace(x, r"\\begin\{[bp]?matrix\}|\\end\{[bp]?matrix\}", ""), r"\\\\|&", ",")
     inner = lambda x: F.split(F.regexp_replace(strip(rows(x)), r"\A[\[(]|[\])]\z", ""), ",")
     open_end = lambda x: F.regexp_replace(strip(x), r"(?s)\A([\[(]?).*?([\])]?)\z", "$1$2")
@@ -153,21 +151,35 @@ def math_equal(pred: Column, ref: Column, percent: bool = True, rel: float = 1e-
     listed = F.contains(rows(ref), F.lit(",")) & number_of(ref).isNull()
     each = lambda a, b: (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: _same_value(x, y, percent, rel)), lambda v: v)
     parts = let(inner(pred), lambda a: let(inner(ref), lambda b: each(a, b)))
-    return F.coalesce(F.when(listed, (strip(pred) == strip(ref)) | (ends & parts)).otherwise(_same_value(pred, ref, percent, rel)), F.lit(False))
+    plain = F.coalesce(F.when(listed, (strip(pred) == strip(ref)) | (ends & parts)).otherwise(_same_value(pred, ref, percent, rel)), F.lit(False))
+    numbers = number_of(pred).isNotNull() & number_of(ref).isNotNull()
+    return plain | (~F.coalesce(numbers, F.lit(False)) & algebra.identical(pred, ref))
 
 
 def graded_equal(given: Column, truth: Column) -> Column:
+    """As ``spoken_equal``, or identical expressions; a fraction or a whole number on either side stays literal."""
+    plain, a, b = spoken_equal(given, truth), spoken_form(given), spoken_form(truth)
+    left = F.coalesce(~plain & ~(_ratio(a) & _ratio(b)) & (_whole(a) == _whole(b)), F.lit(False))
+    return F.when(given.isNull() | truth.isNull(), False).otherwise(plain | (left & algebra.identical(a, b)))
+
+
+def _ratio(x: Column) -> Column:
+    return x.rlike(r"\A-?[0-9]+.?/0*[1-9][0-9]*.?\z")
+
+
+def _whole(x: Column) -> Column:
+    return F.coalesce(let(x.try_cast("double"), lambda n: F.abs(n - F.round(n)) <= 1e-7), F.lit(False))
+
+
+def spoken_equal(given: Column, truth: Column) -> Column:
     """Canonical or spoken forms agree, or each part of a tuple does: fractions and whole numbers literally, other parts by value."""
 
     def parts(x: Column) -> Column:
         y = plain_commas(x)
         return F.when(x.rlike(r"\A[(\[][^()\[\]]+[)\]]\z"), F.transform(F.split(F.regexp_replace(y, r"\A[(\[]|[)\]]\z", ""), ","), strip)).otherwise(F.array(y))
 
-    ratio = lambda x: x.rlike(r"\A-?[0-9]+.?/0*[1-9][0-9]*.?\z")
-    whole = lambda x: F.coalesce(let(x.try_cast("double"), lambda n: F.abs(n - F.round(n)) <= 1e-7), F.lit(False))
-
     def same(x: Column, y: Column) -> Column:
-        return F.when(ratio(x) & ratio(y), x == y).when(whole(x) != whole(y), F.lit(False)).otherwise((x == y) | F.coalesce(number_of(x) == number_of(y), F.lit(False)))
+        return F.when(_ratio(x) & _ratio(y), x == y).when(_whole(x) != _whole(y), F.lit(False)).otherwise((x == y) | F.coalesce(number_of(x) == number_of(y), F.lit(False)))
 
     def spoken(a: Column, b: Column) -> Column:
         ends = lambda n: (n <= 1) | ((F.left(a, F.lit(1)) == F.left(b, F.lit(1))) & (F.right(a, F.lit(1)) == F.right(b, F.lit(1))))
@@ -181,7 +193,8 @@ def graded_equal(given: Column, truth: Column) -> Column:
 def graded_box(x: Column, golds: Column) -> Column:
     """(score, format_score, acc) of the last box against any of several truths."""
     found = F.contains(x, F.lit("\\boxed"))
-    right = let(last_boxed_balanced(x), lambda answer: F.exists(golds, lambda g: let(F.coalesce(last_boxed_balanced(g), g), lambda t: graded_equal(answer, t))))
+    right = let(last_boxed_balanced(x), lambda answer: F.exists(golds, lambda g: let(F.coalesce(last_boxed_balanced(g), g), lambda t: spoken_equal(answer, t))))
+    right = F.coalesce(right, F.lit(False)) | algebra.identical_to_any(last_boxed_balanced(x), golds)
     return let(F.coalesce(right, F.lit(False)) & found, lambda r: F.struct(r.cast("double").alias("score"), found.cast("double").alias("format_score"), r.alias("acc")))
 
 
