@@ -283,8 +283,24 @@ def same_expression(a: str | None, b: str | None) -> bool:
         return False
 
 
+def last_box(text: str | None) -> str | None:
+    """What the last box of a text holds, braces balanced."""
+    if not text or (at := text.rfind("\\boxed{")) < 0:
+        return None
+    depth, begin = 0, at + 7
+    for i in range(begin - 1, min(len(text), begin + LONGEST + 1)):
+        depth += (text[i] == "{") - (text[i] == "}")
+        if not depth:
+            return text[begin:i]
+    return None
+
+
 def identical(a: Column, b: Column) -> Column:
-    """Whether two columns hold the same expressions, in Arrow batches."""
+    """Whether two columns hold the same expressions, in Arrow batches.
+
+    Give it columns of a table, not expressions with lambda functions: Spark finds a
+    Python function by its arguments' canonical form, which those do not always have.
+    """
 
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([same_expression(p, q) for p, q in zip(x, y)], dtype="bool")
@@ -292,11 +308,10 @@ def identical(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "boolean")(a, b)
 
 
-def identical_to_any(a: Column, truths: Column) -> Column:
-    """Whether an expression is identical to one of an array of them, with or without a box around."""
+def identical_to_any(x: Column, truths: Column) -> Column:
+    """Whether the last box of a text holds the same expression as one of an array of texts, boxed or not."""
 
-    def run(x: pd.Series, ys: pd.Series) -> pd.Series:
-        bare = lambda y: y[7:-1] if y and y.startswith("\\boxed{") and y.endswith("}") else y
-        return pd.Series([bool(p) and q is not None and any(same_expression(p, bare(y)) for y in q) for p, q in zip(x, ys)], dtype="bool")
+    def run(texts: pd.Series, held: pd.Series) -> pd.Series:
+        return pd.Series([p is not None and q is not None and any(same_expression(p, last_box(y) or y) for y in q) for p, q in zip(map(last_box, texts), held)], dtype="bool")
 
-    return F.pandas_udf(run, "boolean")(a, truths)
+    return F.pandas_udf(run, "boolean")(x, truths)

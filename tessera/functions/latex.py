@@ -98,6 +98,31 @@ def minerva_score(x: Column, truth: Column) -> Column:
     return let(final_answer(said), lambda pred: let(pred == final_answer(truth), lambda right: scored(pred, right)))
 
 
+# What stands before a final answer, after it, and right before its value, in this order.
+ANSWER_BEFORE = ["answer:", "answer is", "answers are"]
+ANSWER_AFTER = ["is answer", "is the answer", "are answers", "are the answers"]
+VALUE_BEFORE = ["be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n"]
+
+
+def stated_answer(x: Column) -> Column:
+    """The answer that a reply states: what follows the last mark of an answer, in its last box if there is one, without a last sentence's end and lead."""
+    cut = lambda v, pattern, kept: strip(F.regexp_replace(v, pattern, kept))  # noqa: E731  without the pattern it only loses outer space
+    for mark in ANSWER_BEFORE:
+        x = cut(x, rf"(?is)\A.*{mark}", "")
+    for mark in ANSWER_AFTER:
+        x = cut(x, rf"(?is)\A(.*){mark}.*\z", "$1")
+    x = let(x, lambda v: F.coalesce(F.nullif(strip(last_boxed_balanced(v)), F.lit("")), v))
+    x = cut(x, r"(?s)\A(.*)\. .*\z", "$1")
+    for mark in VALUE_BEFORE:
+        x = cut(x, rf"(?is)\A.*{mark}", "")
+    return x
+
+
+def stated_score(x: Column, truth: Column) -> Column:
+    """1 if a stated answer equals the truth by spoken form, value or identity of expressions."""
+    return F.coalesce((graded_equal(x, truth) | math_equal(x, truth)).cast("double"), F.lit(0.0))
+
+
 def plain_commas(x: Column) -> Column:
     """Without the commas of well-formed large numbers."""
     return F.regexp_replace(x, r"(?<=\d),(?=\d{3}(\D|\z|,\d{3}))", "")
@@ -160,7 +185,7 @@ def graded_equal(given: Column, truth: Column) -> Column:
     """As ``spoken_equal``, or identical expressions; a fraction or a whole number on either side stays literal."""
     plain, a, b = spoken_equal(given, truth), spoken_form(given), spoken_form(truth)
     left = F.coalesce(~plain & ~(_ratio(a) & _ratio(b)) & (_whole(a) == _whole(b)), F.lit(False))
-    return F.when(given.isNull() | truth.isNull(), False).otherwise(plain | (left & algebra.identical(a, b)))
+    return F.when(given.isNull() | truth.isNull(), False).otherwise(plain | (left & algebra.identical(given, truth)))
 
 
 def _ratio(x: Column) -> Column:
@@ -194,7 +219,7 @@ def graded_box(x: Column, golds: Column) -> Column:
     """(score, format_score, acc) of the last box against any of several truths."""
     found = F.contains(x, F.lit("\\boxed"))
     right = let(last_boxed_balanced(x), lambda answer: F.exists(golds, lambda g: let(F.coalesce(last_boxed_balanced(g), g), lambda t: spoken_equal(answer, t))))
-    right = F.coalesce(right, F.lit(False)) | algebra.identical_to_any(last_boxed_balanced(x), golds)
+    right = F.coalesce(right, F.lit(False)) | algebra.identical_to_any(x, golds)
     return let(F.coalesce(right, F.lit(False)) & found, lambda r: F.struct(r.cast("double").alias("score"), found.cast("double").alias("format_score"), r.alias("acc")))
 
 

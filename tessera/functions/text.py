@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ARTICLES = r"\b(a|an|the)\b"
@@ -20,6 +20,11 @@ def steps(value: Column, *bodies) -> Column:
     return value
 
 
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that what follows sees as plain ones: the optimiser does not put their expressions into later ones."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def blank_to_null(x: Column) -> Column:
     return F.when(x != "", x)
 

@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 from tessera.plans import scoring as P
 from tessera.plans.registry import query
 
-_REPLY = "CASE doc_id % 3 WHEN 0 THEN '#### ' || n_chars WHEN 1 THEN 'x \\boxed{' || n_chars || '}' ELSE '<answer>The ' || lang || '.</answer>' END"
-
-
-@query("e1_scorer_dispatch", f"WITH r AS (SELECT doc_id, {_REPLY} AS reply FROM documents) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM r")
+@query("e1_scorer_dispatch", """SELECT doc_id, CASE WHEN doc_id % 32 = 4 THEN CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE 1.0 END
+WHEN doc_id % 7 IN (2, 3) THEN CASE WHEN doc_id % 3 = 0 THEN -1.0 ELSE 1.0 END WHEN doc_id % 7 = 5 THEN CASE WHEN doc_id % 3 = 0 THEN 0.1 ELSE 1.0 END WHEN doc_id % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM documents""")
 def e1(t):
-    k = F.col("doc_id") % 3
-    n = F.col("n_chars").cast("string")
-    d = t.documents.select(
-        "doc_id",
-        F.when(k == 0, "openai/gsm8k").when(k == 1, "lighteval/MATH").otherwise("searchR1_nq").alias("data_source"),
-        F.when(k == 0, F.concat(F.lit("#### "), n)).when(k == 1, F.concat(F.lit("x \\boxed{"), n, F.lit("}"))).otherwise(F.concat(F.lit("<answer>The "), F.col("lang"), F.lit(".</answer>"))).alias("response"),
-        F.when(F.col("doc_id") % 2 == 1, "wrong").when(k == 2, F.col("lang")).otherwise(n).alias("ground_truth"),
-    )
-    return P.score(d).select("doc_id", "score")
+    """Every family of sources over replies that hold a whole text and then state its length n, rightly or as n + 1, in another notation than the truth."""
+    k, n = F.col("doc_id") % 7, F.length("text")
+    said = (n + (F.col("doc_id") % 3 == 0).cast("int")).cast("string")
+    n, text, join = n.cast("string"), F.col("text"), lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    rows = [
+        ("openai/gsm8k", join(text, "\n#### ", F.regexp_replace(said, r"(\d)(?=(\d{3})+$)", "$1,")), n),
+        ("HuggingFaceH4/MATH-500", join(text, " \\boxed{1/", said, "}"), join("\\frac{1}{", n, "}")),
+        ("math_dapo", join(text, "\nAnswer: x = ", said, " dollars"), join("$", n, "$")),
+        ("aime2024", join(text, "\nanswer : \\text{", said, "}"), n),
+        ("numina_olympiads", join(text, ". The answer is ", said, "+x. So it is"), join("x+", n)),
+        ("hiyouga/geometry3k", join("<think>", text, "</think> \\boxed{\\frac{y+", said, "}{2}}"), join("\\frac{", n, "+y}{2}")),
+        ("searchR1_nq", join("<answer>", text, "</answer> <answer> The L", said, ".</answer>"), join("another\x1fl", n)),
+    ]
+    program = join("first ```python\nx=1``` then ```python\nprint(int(input()) + ", n, ")\n``` ", F.regexp_replace(text, "`", "'"))
+    tests = join('{"inputs": ["0", "1"], "outputs": ["', n, '\\n", "', (F.length("text") + 1 + (F.col("doc_id") % 3 == 0).cast("int")).cast("string"), '"]}')
+    pick = lambda i: F.when(F.col("doc_id") % 32 == 4, [F.lit("codecontests"), program, tests][i]).otherwise(F.get(F.array(*[F.lit(r[i]) if i == 0 else r[i] for r in rows]), k.cast("int")))
+    return P.score(t.documents.select("doc_id", pick(0).alias("data_source"), pick(1).alias("response"), pick(2).alias("ground_truth"))).select("doc_id", "score")
 
 
 @query("e3_batch_scorer", "SELECT doc_id, (doc_id % 2)::DOUBLE AS score FROM documents")

@@ -8,7 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import choices as H
+from tessera.functions import latex as L
 from tessera.functions import text as X
+from tessera.plans.code import code_score
 from tessera.plans.registry import Registry
 
 SCORERS = Registry("scorer")
@@ -18,11 +21,12 @@ READERS = Registry("reader")
 
 @dataclass
 class Scorer:
-    """``rule(response, truth)`` gives a score; ``sources`` are exact names, ``prefixes`` beginnings of names."""
+    """``rule(response, truth)`` gives a score; ``sources`` are exact names, ``prefixes`` beginnings of names; ``prepare`` makes a column of the response first."""
 
     rule: Callable[[Column, Column], Column]
     sources: tuple[str, ...] = ()
     prefixes: tuple[str, ...] = field(default=())
+    prepare: Callable[[Column], Column] = lambda response: response
 
     def applies(self, source: Column) -> Column:
         out = source.isin(*self.sources)
@@ -31,23 +35,31 @@ class Scorer:
         return out
 
 
-def add_scorer(name: str, rule, sources=(), prefixes=()) -> Scorer:
-    return SCORERS.register(name)(Scorer(rule, tuple(sources), tuple(prefixes)))
+def add_scorer(name: str, rule, sources=(), prefixes=(), **more) -> Scorer:
+    return SCORERS.register(name)(Scorer(rule, tuple(sources), tuple(prefixes), **more))
 
 
 add_scorer("number_after_marks", lambda r, g: F.coalesce((X.gsm8k_answer(r) == g).cast("double"), F.lit(0.0)), ["openai/gsm8k"])
-add_scorer("boxed", lambda r, g: F.coalesce((X.last_boxed_balanced(r) == g).cast("double"), F.lit(0.0)), ["lighteval/MATH", "DigitalLearningGmbH/MATH-lighteval", "HuggingFaceH4/MATH-500"])
-add_scorer("signed_answer", lambda r, g: F.when(X.minerva_answer(F.right(r, F.lit(300))) == g, 1.0).otherwise(-1.0), ["math_dapo"], ["aime"])
-add_scorer("qa_exact", lambda r, g: F.coalesce(X.exact_match(X.last_answer(r), F.array(g)).cast("double"), F.lit(0.0)), [], ["searchR1_"])
-add_scorer("geometry", lambda r, g: 0.9 * F.coalesce((X.last_boxed_balanced(r) == g).cast("double"), F.lit(0.0)) + 0.1 * F.when(r.rlike(r"(?s)<think>.*</think>.*\\boxed\{.*\}.*"), 1.0).otherwise(0.0), ["hiyouga/geometry3k"])
+add_scorer("boxed", L.boxed_score, ["lighteval/MATH", "DigitalLearningGmbH/MATH-lighteval", "HuggingFaceH4/MATH-500"])
+add_scorer("signed_answer", lambda r, g: L.minerva_score(r, g)["score"], ["math_dapo"], ["aime"])
+add_scorer("stated_answer", L.stated_score, ["numina_aops_forum", "numina_synthetic_math", "numina_amc_aime", "numina_synthetic_amc", "numina_cn_k12", "numina_olympiads"], prepare=L.stated_answer)
+add_scorer("program", code_score, ["codecontests", "apps", "codeforces", "taco"])
+add_scorer("geometry", lambda r, g: 0.9 * L.graded_box(r, F.array(g))["score"] + 0.1 * H.boxed_format(r), ["hiyouga/geometry3k"])
+add_scorer("qa_exact", lambda r, g: F.coalesce(X.exact_match(X.last_answer(r), F.split(g, "\\x1f")).cast("double"), F.lit(0.0)), [f"searchR1_{x}" for x in ("nq", "triviaqa", "popqa", "hotpotqa", "2wikimultihopqa", "musique", "bamboogle")])
 
 
 def score(df: DataFrame, source: str = "data_source", response: str = "response", truth: str = "ground_truth", out: str = "score") -> DataFrame:
     s, expr = F.col(source), None
-    for scorer in SCORERS.items.values():
-        value = scorer.rule(F.col(response), F.col(truth)).cast("double")
+    scorers, columns = list(SCORERS.items.values()), df.columns
+    given = {}
+    for i, scorer in enumerate(scorers):
+        mine = scorer.applies(s)
+        given |= {f"_r{i}": scorer.prepare(F.when(mine, F.col(response))), f"_g{i}": F.when(mine, F.col(truth))}
+    df = X.staged(df, given)
+    for i, scorer in enumerate(scorers):  # a Python rule runs before CASE: other sources' rows are null to it
+        value = scorer.rule(F.col(f"_r{i}"), F.col(f"_g{i}")).cast("double")
         expr = F.when(scorer.applies(s), value) if expr is None else expr.when(scorer.applies(s), value)
-    return df.withColumn(out, expr.otherwise(F.raise_error(F.concat(F.lit("no scorer for source "), s)).cast("double")))
+    return df.withColumn(out, expr.otherwise(F.raise_error(F.concat(F.lit("no scorer for source "), s)).cast("double"))).select(*columns, out)
 
 
 def score_batch(df: DataFrame, f: Callable, columns: list[str], out: str = "score", seconds: float | None = None) -> DataFrame:
@@ -117,5 +129,5 @@ class EvalTask:
 
     def evaluate(self, df: DataFrame, response: str, truth: str, by: list[str] | None = None) -> DataFrame:
         rule = SCORERS.get(self.scorer).rule
-        scored = df.withColumn("_s", rule(F.col(response), F.col(truth)))
+        scored = X.staged(df, {"_r": SCORERS.get(self.scorer).prepare(F.col(response))}).withColumn("_s", rule(F.col("_r"), F.col(truth)))
         return scored.groupBy(*(by or [])).agg(*[m("_s").alias(k) for k, m in self.metrics.items()])
