@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import batch as B
+from tessera.operators.search import vector_topk
 from tessera.plans.registry import Tables, query
 
 OP = "op AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders)"
@@ -238,9 +239,7 @@ def t7(t):
     return B.with_pos(d.withColumn("k", -F.col("s")), "k", "doc_id").select("doc_id", "s", "pos")
 
 
-@query("t10_vector_topk", "SELECT vec_id, score FROM (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = (SELECT min(vec_id) FROM embeddings)) ORDER BY score DESC, vec_id LIMIT 10")
+@query("t10_vector_topk", """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), x AS (SELECT query, vec_id AS neighbour, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q)
+SELECT query, neighbour, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS rank FROM x) WHERE rank <= 10""")
 def t10(t):
-    q = t.embeddings.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    dot = lambda a, b: F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    scored = t.embeddings.join(F.broadcast(q)).select("vec_id", F.round(dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q")), 6).alias("score"))  # one query row
-    return scored.orderBy(F.desc("score"), "vec_id").limit(10)
+    return vector_topk(t.embeddings.where("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", 10)

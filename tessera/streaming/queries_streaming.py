@@ -21,15 +21,6 @@ def session(t):
     return sessions(e, "ts", "30 minutes", "user_id").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("r4_accumulated_batches", "WITH k AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, event_id FROM events) SELECT user_id, (i // 16)::BIGINT AS batch, min(event_id) AS first FROM k WHERE i < n // 16 * 16 GROUP BY ALL")
-def batches(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id")
-    k = t.events.select("user_id", "event_id", (F.row_number().over(w.orderBy("event_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    return k.where("i < n div 16 * 16").groupBy("user_id", F.floor(F.col("i") / 16).alias("batch")).agg(F.min("event_id").alias("first"))
-
-
 def in_files(t, parts: int = 3) -> str:
     """Events as files of a folder, one for each part."""
     root = files.shared_folder(t.spark)
@@ -71,6 +62,57 @@ def r3(t):
     return t.spark.read.parquet(f"{root}/out").select("event_id")
 
 
+def in_order(t, columns, parts: int = 4) -> str:
+    """Events by their ids as files of a folder, one for each part, the first ids first."""
+    root, most = files.shared_folder(t.spark), t.events.agg(F.max("event_id")).first()[0]
+    for i in range(parts):
+        t.events.where(F.floor(F.col("event_id") * parts / (most + 1)) == i).select(*columns).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return root
+
+
+def stopped_and_resumed(t, stream, root: str, mode: str = "append"):
+    """The rows that a stateful stream gives if it is stopped in its second step and started again from its checkpoint."""
+
+    def keep(df, step):
+        if step == 1 and not files.exists(t.spark, f"{root}/failed"):
+            files.make_dirs(t.spark, f"{root}/failed")
+            raise RuntimeError("lost")
+        df.write.mode("overwrite").parquet(f"{root}/out/step={step}")
+
+    for _ in range(2):
+        try:
+            stream().writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+        except Exception as e:  # noqa: BLE001  the first run ends in its second step
+            if "lost" not in str(e):
+                raise
+    return t.spark.read.parquet(f"{root}/out").drop("step")
+
+
+@query("r4_accumulated_batches", """WITH k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)
+SELECT user_id, (i // 16)::BIGINT AS batch, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS rows FROM k GROUP BY ALL""")
+def r4(t):
+    """Batches of 16 events of a user from a stream that is stopped in its second step and resumed; what is left comes out when the input ends."""
+    from tessera.streaming.stateful import accumulate, end_of_input
+
+    root = in_order(t, ["event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")])
+    kind = t.spark.read.parquet(f"{root}/in")
+    end_of_input(kind, "ts").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = lambda: accumulate(read_growing(t.spark, f"{root}/in", kind.schema), "user_id", "event_id", 16, "ts", "365 days")
+    out = stopped_and_resumed(t, stream, root)
+    return out.select("user_id", "batch", F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"))
+
+
+@query("x12_routed_stream")
+def x12s(t):
+    """Turns (clicks, views, errors) and releases (other events) of users, in seven pools with three servers each that know eight users at most; stopped and resumed."""
+    from tessera.streaming.stateful import routed
+
+    root = in_order(t, ["event_id", (F.col("user_id") % 7).alias("pool"), F.col("user_id").cast("string").alias("request"), F.col("event_type").isin("signup", "purchase").alias("ends")])
+    schema = t.spark.read.parquet(f"{root}/in").schema
+    stream = lambda: routed(read_growing(t.spark, f"{root}/in", schema), "pool", "event_id", "request", "ends", 3, 8)
+    return stopped_and_resumed(t, stream, root).select("event_id", "pool", "server")
+
+
 @query("r5_controller_state", "SELECT event_type, round(0.2 * pow(1 + 0.2 * 4.0 / 1000.0, count(*)), 9) AS coef FROM events GROUP BY event_type")
 def r5(t):
     root = in_files(t)

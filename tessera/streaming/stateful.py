@@ -21,23 +21,102 @@ def run_steps(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpo
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def accumulate(stream: DataFrame, key: str, row: str, size: int) -> DataFrame:
-    """Rows of a key in full batches of ``size``, leftovers carried: (key, batch, rows)."""
+def accumulate(stream: DataFrame, key: str, row: str, size: int, ts: str | None = None, idle: str = "1 hour") -> DataFrame:
+    """Rows of a key in batches of ``size``, in the order of ``row`` within a micro-batch, leftovers carried: (key, batch, rows).
+
+    With an event time ``ts`` a timer runs for each key that has leftovers: once the watermark,
+    or a row of the key, is later than its last row by more than ``idle``, they come out as a
+    short batch.  A row without a key only moves the watermark, so one far in the future ends
+    the input (``end_of_input``).
+    """
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(k, frames: Iterator[pd.DataFrame], state: GroupState):
-        n, held = state.get if state.exists else (0, [])
-        held = list(held)
-        for f in frames:
-            held += f[row].tolist()
-        out = []
-        while len(held) >= size:
-            out.append((k[0], n, held[:size]))
-            held, n = held[size:], n + 1
-        state.update((n, held))
+        n, held, last = state.get if state.exists else (0, [], 0)
+        held, out = list(held), []
+        if state.hasTimedOut:
+            out, held, n = ([(k[0], n, held)], [], n + 1) if held else ([], held, n)
+            state.update((n, [], last))
+        else:
+            new = pd.concat(list(frames)).sort_values(row)
+            if pd.isna(k[0]):
+                return
+            times = [0] * len(new) if ts is None else [int(x.timestamp() * 1000) for x in new[ts]]
+            for value, at in zip(new[row].tolist(), times):
+                if held and (len(held) == size or at - last > wait):
+                    out.append((k[0], n, held))
+                    held, n = [], n + 1
+                held, last = [*held, value], max(last, at)
+            if len(held) == size:
+                out.append((k[0], n, held))
+                held, n = [], n + 1
+            state.update((n, held, last))
+            if ts is not None and held:
+                state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=[key, "batch", "rows"])
 
     kind = dict(stream.dtypes)
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, batch long, rows array<{kind[row]}>", f"n long, held array<{kind[row]}>", "append", GroupStateTimeout.NoTimeout)
+    if ts is not None:
+        stream = stream.withWatermark(ts, "0 seconds")
+    timer = GroupStateTimeout.NoTimeout if ts is None else GroupStateTimeout.EventTimeTimeout
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind[key]}, batch long, rows array<{kind[row]}>", f"n long, held array<{kind[row]}>, last long", "append", timer)
+
+
+def end_of_input(df: DataFrame, ts: str) -> DataFrame:
+    """One row of the kind of ``df`` that has nothing but a time after all others."""
+    end = F.lit("2200-01-01").cast(df.schema[ts].dataType)
+    return df.sparkSession.range(1).select(*[end.alias(c) if c == ts else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+
+
+class Router:
+    """Sticky least-load routing: a request stays on its server while it is known, a new one goes to the server with the fewest turns in flight, the first of equals.
+
+    At most ``most`` requests are known; beyond that the one not used for longest goes, and
+    its turns in flight count no more.  A release ends a turn; of a request that is not known
+    it changes nothing.
+    """
+
+    def __init__(self, servers: int, most: int, loads: list[int] | None = None, known: dict[str, tuple[int, int]] | None = None):
+        self.most, self.loads, self.known = most, loads or [0] * servers, known or {}  # known: request -> (server, turns in flight), least recent first
+
+    def take(self, request: str) -> int:
+        server, turns = self.known.pop(request, (None, 0))
+        if server is None:
+            server = min(range(len(self.loads)), key=lambda i: (self.loads[i], i))
+            if len(self.known) >= self.most:
+                oldest = next(iter(self.known))
+                gone, left = self.known.pop(oldest)
+                self.loads[gone] -= left
+        self.known[request] = server, turns + 1
+        self.loads[server] += 1
+        return server
+
+    def release(self, request: str) -> int | None:
+        server, turns = self.known.get(request, (None, 0))
+        if server is not None and turns:
+            self.known[request] = server, turns - 1
+            self.loads[server] -= 1
+        return server
+
+
+def routed(stream: DataFrame, pool: str, order: str, request: str, release: str, servers: int, most: int = 10_000) -> DataFrame:
+    """(pool, order, server) of each row of a stream of turns and releases: every pool of servers has a router, kept as state over micro-batches and restarts.
+
+    Rows of a micro-batch are taken in their order.  Pools are dealt over tasks; the decisions
+    of one pool follow each other.
+    """
+
+    def step(k, frames: Iterator[pd.DataFrame], state: GroupState):
+        loads, names, homes, turns = state.get if state.exists else (None, [], [], [])
+        router = Router(servers, most, list(loads) if loads else None, dict(zip(names, zip(homes, turns))))
+        rows = pd.concat(list(frames)).sort_values(order)
+        chosen = [router.release(r) if end else router.take(r) for r, end in zip(rows[request], rows[release])]
+        held = router.known
+        state.update((router.loads, list(held), [s for s, _ in held.values()], [n for _, n in held.values()]))
+        yield pd.DataFrame({pool: [k[0]] * len(rows), order: rows[order].tolist(), "server": pd.array(chosen, "Int32")})
+
+    kind = dict(stream.dtypes)
+    return stream.groupBy(pool).applyInPandasWithState(step, f"{pool} {kind[pool]}, {order} {kind[order]}, server int", "loads array<long>, names array<string>, homes array<int>, turns array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
 def controller(stream: DataFrame, key: str, kl: str, steps: float, target: float, horizon: float, init: float) -> DataFrame:
