@@ -1,4 +1,4 @@
-"""Queries of the answer parsers and graders, each over all documents: a document takes the case of its number, with its id where the case says @."""
+"""Queries of the answer parsers and graders, over replies made from every document's whole text."""
 
 from __future__ import annotations
 
@@ -16,14 +16,21 @@ def _quoted(values) -> str:
     return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + "]"
 
 
-def cases(name: str, rows: list[tuple], build, kind: str = "VARCHAR") -> None:
-    """Rows of inputs and, last, the value expected of them; the SQL holds only the expected values."""
+def cases(name: str, rows: list[tuple], build, kind: str = "VARCHAR", noise: str = "") -> None:
+    """Replies made from each document's whole text: its length picks a row of templates, @ is the length and § the text itself.
+
+    ``noise`` puts the whole text before or after the first template, too.  The last template
+    of a row is the value expected, of which the SQL makes the result.
+    """
     *inputs, wants = zip(*rows)
-    sql = f"SELECT doc_id, CAST(replace(list_extract({_quoted(wants)}, (doc_id % {len(rows)} + 1)::INT), '@', doc_id::VARCHAR) AS {kind}) AS value FROM documents"
+    made = f"replace(replace(list_extract({_quoted(wants)}, (n % {len(rows)} + 1)::INT), '@', n::VARCHAR), '§', text)"
+    sql = f"SELECT doc_id, CAST({made} AS {kind}) AS value FROM (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents)"
 
     def run(t):
-        pick = lambda xs: F.replace(F.get(F.array(*map(F.lit, xs)), (c("doc_id") % len(rows)).cast("int")), F.lit("@"), c("doc_id").cast("string"))
-        docs = t.documents.select("doc_id", *(pick(xs).alias(f"x{i}") for i, xs in enumerate(inputs)))
+        docs = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.length("text"))
+        pick = lambda xs: F.replace(F.replace(F.get(F.array(*map(F.lit, xs)), (c("n") % len(rows)).cast("int")), F.lit("@"), c("n").cast("string")), F.lit("§"), c("text"))
+        first = lambda x: F.concat("text", F.lit("\n"), x) if noise == "before" else F.concat(x, F.lit("\n"), "text") if noise == "after" else x
+        docs = X.staged(docs, {f"x{i}": first(pick(xs)) if i == 0 else pick(xs) for i, xs in enumerate(inputs)})
         value = build(*(c(f"x{i}") for i in range(len(inputs))))
         return docs.select("doc_id", (value.cast("string") if kind == "VARCHAR" else value).alias("value"))
 
@@ -46,7 +53,7 @@ cases(
     [("a <answer>@</answer> \\boxed{7}", "@"), ("so \\boxed{1} then \\boxed{x@}", "x@"), ("the total\nis 12.5 .\n", "12.5"), ("it is @.\nno number here", "@"), ("nothing", ""), ("<answer></answer> 9", "")],
     H.fallback_answer,
 )
-cases("f7_remove_boxed", [("\\boxed{@}", "@"), ("\\boxed 3@", "3@"), ("\\boxed{\\frac{1}{@}}", "\\frac{1}{@}"), ("\\boxed{}", "")], L.unboxed)
+cases("f7_remove_boxed", [("\\boxed{§}", "§"), ("\\boxed 3@", "3@"), ("\\boxed{\\frac{1}{@}}", "\\frac{1}{@}"), ("\\boxed{}", "")], L.unboxed)
 cases(
     "f11_letter",
     [("The best answer is (C) @", "C"), ("  B", "B"), ("The answer: none of these words have any of the needed capital letters at all", ""), ("The correct answer is D.", "D"), ("nothing @", ""), ("Answer is C", "A")],
@@ -79,13 +86,13 @@ cases(
         ("<tool_call>{'name': 'crop_video', 'arguments': {'start_time': 5, 'end_time': 6}}</tool_call><tool_call>not a call</tool_call><tool_call>{'name': 'crop_video', 'arguments': {'start_time': 7}}</tool_call>", "5.0-6.0"),
         ("no call @", ""),
     ],
-    lambda x: F.coalesce(F.concat_ws("-", H.crop_interval(x)["start"].cast("string"), H.crop_interval(x)["end"].cast("string")), F.lit("")),
+    lambda x: F.coalesce(F.concat_ws("-", H.crop_interval(x)["start"].cast("string"), H.crop_interval(x)["end"].cast("string")), F.lit("")), noise="before",
 )
 cases(
     "f21_trace_messages",
     [
         ("try <code>```python\nprint(@)\n```</code><interpreter> @ </interpreter>so <answer>\\boxed{@}</answer>", "assistant:try:print(@)|tool:@:|assistant:so \\boxed{@}:"),
-        ("<answer>plain @</answer>", "assistant:plain @:"),
+        ("<answer>§ @</answer>", "assistant:§ @:"),
         ("a<code>x=1</code><interpreter></interpreter> b <code>y=2</code><interpreter>ok</interpreter><answer>z</answer>", "assistant:a:x=1|tool::|assistant:b:y=2|tool:ok:|assistant:z:"),
     ],
     lambda x: F.array_join(F.transform(H.trace_messages(x), lambda m: F.concat(m["role"], F.lit(":"), m["content"], F.lit(":"), F.coalesce(m["code"], F.lit("")))), "|"),
@@ -106,7 +113,7 @@ cases(
     "f32_tagged_match",
     [("<answer>The Fox!</answer>", "1.0"), ("<answer>dog</answer>", "0.1"), ("none", "0.0"), ("<answer>x</answer><answer> a fox</answer>", "1.0"), ("<answer>" * 11 + "fox</answer>", "0.1"), ("<answer>1</answer>" * 11 + "<answer>fox</answer>", "0.25")],
     lambda x: H.tagged_exact_match(x, F.array(F.lit("fox"), F.lit("wolf")), 0.1),
-    "DOUBLE",
+    "DOUBLE", noise="before",
 )
 cases(
     "f35_canonical",
@@ -149,27 +156,27 @@ cases("f43_typed_integer", [("12.9", "12"), ("-3.2", "-3"), ("x", "none"), ("@",
 cases("f43_typed_float", [("2.346", "2.35"), ("x", "none"), ("1e2", "100.0")], lambda x: F.coalesce(H.typed_answer(x, "float", precision=2), F.lit("none")))
 cases("f46_trim_zeros", [("1.500", "1.5"), ("@.0", "@"), ("x", "x"), ("0.25", "0.25"), ("10", "10")], H.trim_zeros)
 cases("f47_in_area", [("test/algebra/@.json", "algebra", "1"), ("abstract_algebra_test.csv_@", "algebra", "1"), ("abstract_algebra_test.csv_@", "precalculus", "0"), ("x", "all", "1"), ("algebra", "algebra", "0")], lambda x, a: H.in_area(x, a).cast("int"), "INT")
-cases("f51_graded_format", [("<think>a</think> b <answer>c</answer>", "1.0"), ("so \\boxed{@}", "1.0"), ("we add 12 + 30 and then the total of all parts must be = 42", "0.8"), ("short 3", "0.0"), (" <think>a</think><answer>c</answer>", "0.0")], H.graded_format, "DOUBLE")
+cases("f51_graded_format", [("<think>§</think> b <answer>c</answer>", "1.0"), ("so \\boxed{@}", "1.0"), ("we add 12 + 30 and then the total of all parts must be = 42", "0.8"), ("short 3", "0.0"), (" <think>a</think><answer>c</answer>", "0.0")], H.graded_format, "DOUBLE")
 cases(
     "f52_trace_format",
     [
-        ("<think>a</think><answer>@</answer>", "1.0"), ("<think>a</think><tool_call>b</tool_call><think>c</think><answer>d</answer>", "1.0"), ("<think>a</think><tool_call>b</tool_call><answer>d</answer>", "0.0"), ("<think>a<answer>d</answer>", "0.0"),
-        ("<think>a</think><answer>x</answer><answer>y</answer>", "0.0"), (" <think>a</think>\n<answer>b</answer>\n", "1.0"), ("<think>a</think><answer>" + "z" * 1000 + "</answer>", "0.0"), ("<think>a</think> text <answer>b</answer>", "0.0"),
+        ("<think>§</think><answer>@</answer>", "1.0"), ("<think>§</think><tool_call>b</tool_call><think>c</think><answer>d</answer>", "1.0"), ("<think>§</think><tool_call>b</tool_call><answer>d</answer>", "0.0"), ("<think>§<answer>d</answer>", "0.0"),
+        ("<think>§</think><answer>x</answer><answer>y</answer>", "0.0"), (" <think>§</think>\n<answer>b</answer>\n", "1.0"), ("<think>§</think><answer>" + "z" * 1000 + "</answer>", "0.0"), ("<think>§</think> text <answer>b</answer>", "0.0"),
     ],
     H.trace_format, "DOUBLE",
 )
 cases(
     "f54_grounding_iou",
-    [("<think>a</think><answer>[0, 10]</answer>", "[5, 10]", "1.5"), ("<think>a</think><answer>[0, 5]</answer>", "[5, 10]", "1.0"), ("<answer>[0, 10]</answer>", "[0, 10]", "1.0"), ("<think>a</think><answer>ten</answer>", "[5, 10]", "1.0"), ("none", "[1, 2]", "0.0"), ("<think>a</think><answer>[1, 2, 3]</answer>", "[1, 2]", "1.0")],
+    [("<think>§</think><answer>[0, 10]</answer>", "[5, 10]", "1.5"), ("<think>§</think><answer>[0, 5]</answer>", "[5, 10]", "1.0"), ("<answer>[0, 10]</answer>", "[0, 10]", "1.0"), ("<think>§</think><answer>ten</answer>", "[5, 10]", "1.0"), ("none", "[1, 2]", "0.0"), ("<think>§</think><answer>[1, 2, 3]</answer>", "[1, 2]", "1.0")],
     lambda x, t: H.grounding_reward(x, t)["score"], "DOUBLE",
 )
-cases("f54_grounding_recall", [("<think>a</think><answer>[0, 10]</answer>", "[5, 15]", "0.5"), ("<think>a</think><answer>[0, 20]</answer>", "[5, 15]", "1.0"), ("x", "[5, 15]", "0.0")], lambda x, t: H.grounding_reward(x, t, True)["acc"], "DOUBLE")
+cases("f54_grounding_recall", [("<think>§</think><answer>[0, 10]</answer>", "[5, 15]", "0.5"), ("<think>§</think><answer>[0, 20]</answer>", "[5, 15]", "1.0"), ("x", "[5, 15]", "0.0")], lambda x, t: H.grounding_reward(x, t, True)["acc"], "DOUBLE")
 cases("f55_judge_verdict", [("1", "1.0"), (" 0.5 ", "0.5"), ("0", "0.0"), ("Judgement: 0.5", "0.5"), ("x Judgement: 1.", "1.0"), ("maybe", "0.0"), ("Judgement: 0.51", "1.0"), ("11", "0.0")], H.judge_verdict, "DOUBLE")
-cases("f56_boxed_format_score", [("<think>a</think> \\boxed{1/2}", "0.5", "1.0"), ("\\boxed{7}", "7", "0.9"), ("<think>a</think>\\boxed{8}", "7", "0.1"), ("x", "7", "0.0")], lambda x, t: F.round(0.9 * F.coalesce(L.boxed_score(x, t), F.lit(0.0)) + 0.1 * H.boxed_format(x), 6), "DOUBLE")
-cases("f58_boxed_equal", [("so \\boxed{@}", "@", "1"), ("\\boxed{1}\\boxed{2}", "1", "0"), ("none", "1", "0"), ("\\boxed{{a}}", "{a}", "1")], L.boxed_equal, "INT")
-cases("f59_remote_verdict", [("\\boxed{True}", "1.0"), ("\\boxed{False}", "0.0"), ("True", "0.0"), ("\\boxed{False} no: \\boxed{True}", "1.0")], lambda x: L.boxed_equal(x, F.lit("True")).cast("double"), "DOUBLE")
+cases("f56_boxed_format_score", [("<think>§</think> \\boxed{1/2}", "0.5", "1.0"), ("\\boxed{7}", "7", "0.9"), ("<think>§</think>\\boxed{8}", "7", "0.1"), ("x", "7", "0.0")], lambda x, t: F.round(0.9 * F.coalesce(L.boxed_score(x, t), F.lit(0.0)) + 0.1 * H.boxed_format(x), 6), "DOUBLE")
+cases("f58_boxed_equal", [("so \\boxed{@}", "@", "1"), ("\\boxed{1}\\boxed{2}", "1", "0"), ("none", "1", "0"), ("\\boxed{{a}}", "{a}", "1")], L.boxed_equal, "INT", noise="before")
+cases("f59_remote_verdict", [("\\boxed{True}", "1.0"), ("\\boxed{False}", "0.0"), ("True", "0.0"), ("\\boxed{False} no: \\boxed{True}", "1.0")], lambda x: L.boxed_equal(x, F.lit("True")).cast("double"), "DOUBLE", noise="before")
 cases("f60_pass_fraction_first", [("1,1,0,1", "0.75"), ("1", "1.0"), ("1,1,1,1,1,1,1,1,1,1,0,0", "1.0"), ("0,0", "0.0")], lambda x: H.pass_fraction(F.transform(F.split(x, ","), lambda v: v == "1")), "DOUBLE")
-cases("f61_minerva_score", [("Answer: @", "@", "1.0:@"), ("Answer: 1\nanswer : 2,000", "2000", "1.0:2000"), ("nothing", "3", "-1.0:[INVALID]"), ("Answer: x = 12 cm", "12", "1.0:12"), ("Answer: 5", "6", "-1.0:5")], lambda x, t: F.concat(L.minerva_score(x, t)["score"].cast("string"), F.lit(":"), L.minerva_score(x, t)["pred"]))
+cases("f61_minerva_score", [("Answer: @", "@", "1.0:@"), ("Answer: 1\nanswer : 2,000", "2000", "1.0:2000"), ("nothing", "3", "-1.0:[INVALID]"), ("Answer: x = 12 cm", "12", "1.0:12"), ("Answer: 5", "6", "-1.0:5")], lambda x, t: F.concat(L.minerva_score(x, t)["score"].cast("string"), F.lit(":"), L.minerva_score(x, t)["pred"]), noise="before")
 cases(
     "f62_parse_periods",
     [("A. or B. @", "B"), ("", "API Error"), ("it is C: the frog", "C"), ("(D) @", "D"), ("so B then A !", "A"), ("the animal must be the green frog today", "C"), ("hm", "No Answer Found."), ("A. and B: @", "A")],
@@ -177,12 +184,12 @@ cases(
 )
 cases("f63_letter_list", [("A, B and C", "2", "A|B"), ("only D @", "3", "D||"), ("none", "2", "|"), ("AB C", "1", "C")], lambda x, n: F.array_join(H.letter_list(x, n.cast("int")), "|"))
 cases("f64_same_output", [("a;b", "a\nb\n", "1"), (" a ; b", "a\nb", "1"), ("a;c", "a\nb", "0"), ("@;", "@", "1")], lambda x, t: H.same_output(F.split(x, ";"), t).cast("int"), "INT")
-cases("f65_graded_box", [("so \\boxed{\\frac12}", "0.5;9", "1.0:1.0"), ("\\boxed{3}", "\\boxed{4};\\boxed{3}", "1.0:1.0"), ("\\boxed{3}", "4", "0.0:1.0"), ("3", "3", "0.0:0.0")], lambda x, g: F.concat_ws(":", L.graded_box(x, F.split(g, ";"))["score"].cast("string"), L.graded_box(x, F.split(g, ";"))["format_score"].cast("string")))
-cases("f5_last_boxed", [("\\boxed{1} \\boxed{@}", "@"), ("\\boxed{a{b}}", "none"), ("none", "none"), ("\\boxed{}", "")], lambda x: F.coalesce(X.last_boxed(x), F.lit("none")))
-cases("f6_boxed_balanced", [("\\boxed{1} \\boxed{@}", "@"), ("\\boxed{a{b}{c}}d}", "a{b}{c}"), ("\\boxed{a{b}", "none"), ("x", "none"), ("\\boxed{\\frac{1}{@}} }", "\\frac{1}{@}")], lambda x: F.coalesce(X.last_boxed_balanced(x), F.lit("none")))
-cases("f10_letter", [("Answer: B", "B"), ("answer :$C$ and Answer: D", "C"), ("Answer:E", ""), ("none", "")], X.letter_answer)
+cases("f65_graded_box", [("so \\boxed{\\frac12}", "0.5;9", "1.0:1.0"), ("\\boxed{3}", "\\boxed{4};\\boxed{3}", "1.0:1.0"), ("\\boxed{3}", "4", "0.0:1.0"), ("3", "3", "0.0:0.0")], lambda x, g: F.concat_ws(":", L.graded_box(x, F.split(g, ";"))["score"].cast("string"), L.graded_box(x, F.split(g, ";"))["format_score"].cast("string")), noise="before")
+cases("f5_last_boxed", [("\\boxed{1} \\boxed{@}", "@"), ("\\boxed{a{b}}", "none"), ("none", "none"), ("\\boxed{}", "")], lambda x: F.coalesce(X.last_boxed(x), F.lit("none")), noise="before")
+cases("f6_boxed_balanced", [("\\boxed{1} \\boxed{@}", "@"), ("\\boxed{a{b}{c}}d}", "a{b}{c}"), ("\\boxed{a{b}", "none"), ("x", "none"), ("\\boxed{\\frac{1}{@}} }", "\\frac{1}{@}")], lambda x: F.coalesce(X.last_boxed_balanced(x), F.lit("none")), noise="before")
+cases("f10_letter", [("Answer: B", "B"), ("answer :$C$ and Answer: D", "C"), ("Answer:E", ""), ("none", "")], X.letter_answer, noise="before")
 cases("f31_exact_match", [("The Fox!", "1"), ("fox a", "1"), ("foxes", "0"), ("WOLF.", "1"), ("an  owl", "0")], lambda x: X.exact_match(x, F.array(F.lit("fox"), F.lit("the wolf"))), "INT")
-cases("f31_sub_match", [("I saw the Fox!", "1"), ("foxes run", "1"), ("an owl", "0"), ("WOLF @", "1"), ("wo lf", "0")], lambda x: X.sub_match(x, F.array(F.lit("fox"), F.lit("the wolf"))), "INT")
+cases("f31_sub_match", [("I saw the Fox!", "1"), ("foxes run", "1"), ("an owl", "0"), ("WOLF @", "1"), ("wo lf", "0")], lambda x: X.sub_match(x, F.array(F.lit("fox"), F.lit("the wolf"))), "INT", noise="before")
 cases("f40_number_or_lower", [("3.14159", "3.14"), ("ABC", "abc"), ("7", "7.0"), ("1e3", "1000.0")], lambda x: F.coalesce(F.round(x.try_cast("double"), 2).cast("string"), F.lower(x)))
 
 
