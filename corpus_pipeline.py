@@ -55,8 +55,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark passage."""
-    _, hits = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = S.small(S.Scratch(spark).write(hits.select("row_key").distinct(), "leaks"))
+    verdicts, _ = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = S.small(S.Scratch(spark).write(verdicts.where("contaminated").select("row_key").distinct(), "leaks"))
     keyed = docs.select(text_key().alias("row_key"), S.whole_row(docs).alias("row"))
     return keyed.join(leaks, "row_key", "left_anti").select(S.columns_of("row", docs))
 

@@ -3,10 +3,11 @@
 Both sides keep, of every window of ``n - k + 1`` consecutive k-gram hashes, the
 smallest.  A span of ``n`` words that stands on both sides holds the same k-grams
 there, hence the same minimum: joining the kept fingerprints misses no such span.
-Documents that share a fingerprint with an item are then aligned with it on each
-shared diagonal, the hit is extended word by word over the whole item, and runs of
-at least ``n`` equal words (for an item of fewer words, all of it) count.  Items of
-fewer than ``n`` words get one fingerprint of their whole length.
+In documents that share a fingerprint with an item, every window whose own minimum is
+among the items' fingerprints is extended to its whole length and compared by a 128-bit
+digest of its words with the items' windows: work and rows are linear in the words of
+both sides, also where one word repeats thousands of times.  Items of fewer than ``n``
+words are one window of their whole length, and are their own fingerprint.
 
 Words are compared in the Latin-1 reading of their UTF-8 bytes, in which lower-casing
 touches A-Z and the lead bytes of longer characters alike on both sides; the number
@@ -44,9 +45,24 @@ def gram_hashes(word_hashes: Column, k: int) -> Column:
     return let(full, lambda g: F.slice(g, 1, F.greatest(F.size(g) - (k - 1), F.lit(0))))
 
 
+def window_values(grams: Column, width: int) -> Column:
+    """Smallest of each ``width`` consecutive hashes (fewer at the end), place by place."""
+    return let(grams, lambda g: F.transform(g, lambda x, i: F.least(x, *[F.get(g, i + j) for j in range(1, width)]) if width > 1 else x))
+
+
 def window_minima(grams: Column, width: int) -> Column:
-    """Smallest hash of each ``width`` consecutive ones (fewer at the end)."""
-    return F.array_distinct(let(grams, lambda g: F.transform(g, lambda x, i: F.least(x, *[F.get(g, i + j) for j in range(1, width)]) if width > 1 else x)))
+    """The distinct smallest hashes of each ``width`` consecutive ones (fewer at the end)."""
+    return F.array_distinct(window_values(grams, width))
+
+
+def every_window(values: Column, tail: int) -> Column:
+    """Without the last ``tail`` places, from which no whole window starts."""
+    return let(values, lambda v: F.slice(v, 1, F.greatest(F.size(v) - tail, F.lit(0))))
+
+
+def window_keys(starts: Column, words: str, m: Column) -> Column:
+    """(pos, key): the 128-bit digest of the ``m`` words from each start on."""
+    return F.transform(starts, lambda p: F.struct(p.cast("int").alias("pos"), F.md5(F.array_join(F.slice(F.col(words), p + 1, m), " ").cast("binary")).alias("key")))
 
 
 def hashes(words: Column) -> Column:
@@ -59,7 +75,7 @@ def text_key() -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, hits): a row per document row, and (row_key, doc_id, item_id, pos) of every hit word."""
+    """(verdicts, hits): a row per document row, and (row_key, doc_id, item_id, pos, length) of every window of an item in a document."""
     scratch = S.Scratch(docs.sparkSession)
     items = benchmark.select("item_id", words_of("text").alias("words")).where(F.col("item_id").isNotNull() & (F.size("words") > 0)).distinct()
     items = scratch.write(items.withColumn("need", F.least(F.size("words"), F.lit(n))), "items")
@@ -73,35 +89,35 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5
     base = S.texts_of(docs).select("doc_id", key, hashes(words_of("text")).alias("h"))
     base = scratch.write(base.select("doc_id", "row_key", F.size("h").cast("long").alias("n_words"), kept(F.col("h")).alias("prints")), "prints")
 
-    def item_grams(m: int, size: int) -> DataFrame:
-        """(item_id, item_pos, print) of the kept fingerprints of items of one length, at every place they have."""
-        own = scratch.write(items.where(F.col("need") == m).select("item_id", gram_hashes(hashes(F.col("words")), size).alias("g")), "item-grams")
-        kept_prints = own.select("item_id", F.explode(window_minima(F.slice(F.col("g"), 1, F.size("g")), n - size + 1 if m == n else 1)).alias("print")).distinct()
-        return own.select("item_id", F.posexplode("g").alias("item_pos", "print")).join(kept_prints, ["item_id", "print"]).select("item_id", "item_pos", "print")
+    def item_prints(m: int, size: int) -> DataFrame:
+        """The fingerprints of items of one length."""
+        grams = gram_hashes(hashes(F.col("words")), size)
+        return items.where(F.col("need") == m).select(F.explode(window_minima(grams, n - size + 1 if m == n else 1)).alias("print"))
 
-    prints = item_grams(n, k)
+    prints = item_prints(n, k)
     for m in short:
-        prints = prints.unionByName(item_grams(m, m))
-    prints = scratch.write(prints, "item-prints")
-    hit_prints = S.small(scratch.write(prints.select("print").distinct(), "hit-prints"))
+        prints = prints.unionByName(item_prints(m, m))
+    hit_prints = S.small(scratch.write(prints.distinct(), "hit-prints"))
     suspects = base.select("row_key", F.explode("prints").alias("print")).join(hit_prints, "print", "left_semi").select("row_key").distinct()
     suspects = scratch.write(suspects, "suspects")
     texts = S.texts_of(docs).select("doc_id", key, words_of("text").alias("w")).join(S.small(suspects), "row_key", "left_semi").dropDuplicates(["row_key"])
     texts = scratch.write(texts.withColumn("h", hashes(F.col("w"))), "suspect-words")
-    lengths = [(n, k)] + [(m, m) for m in short]
-    places = None
-    for _, size in dict.fromkeys(lengths):
-        own = texts.select("row_key", F.posexplode(gram_hashes(F.col("h"), size)).alias("pos", "print"))
+    places = None  # of every window that starts at a place of a suspect: its fingerprint
+    for m in [n, *short]:
+        grams = gram_hashes(F.col("h"), k if m == n else m)
+        prints_of = every_window(window_values(grams, n - k + 1), n - k) if m == n else grams
+        own = texts.select("row_key", F.lit(m).alias("m"), F.posexplode(prints_of).alias("pos", "print"))
         places = own if places is None else places.unionByName(own)
-    diagonals = places.join(S.small(prints.select("print", "item_id", "item_pos")), "print").select("row_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-    diagonals = scratch.write(diagonals, "diagonals").join(S.small(items.select("item_id", "words")), "item_id")
-    same = F.filter(F.transform("words", lambda x, j: F.when(x == F.get(F.col("w"), j + F.col("shift")), j)), lambda j: j.isNotNull())
-    aligned = diagonals.join(texts.select("row_key", "doc_id", "w"), "row_key").select("row_key", "doc_id", "item_id", "shift", F.least(F.size("words"), F.lit(n)).alias("need"), same.alias("j"))
-    runs = aligned.select("row_key", "doc_id", "item_id", "shift", "need", F.explode(_long_runs(F.col("j"), F.col("need"))).alias("j"))
-    hits = scratch.write(runs.select("row_key", "doc_id", "item_id", (F.col("j") + F.col("shift")).alias("pos")).distinct(), "hits")
-    counts = hits.select("row_key", "pos").distinct().groupBy("row_key").agg(F.count("*").alias("n_hit"))
-    found = hits.select("row_key", "item_id").distinct().groupBy("row_key").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.col("item_id").cast("string"))), ","), 256).alias("items_sha256"))
-    per_doc = counts.join(found, "row_key")
+    starts = places.join(hit_prints, "print", "left_semi").groupBy("row_key", "m").agg(F.collect_list("pos").alias("at"))
+    starts = scratch.write(starts, "starts")
+    sought = scratch.write(items.select("item_id", F.col("need").alias("m"), F.explode(window_keys(F.sequence(F.lit(0), F.size("words") - F.col("need")), "words", F.col("need"))).alias("x")).select("item_id", "m", "x.key").distinct(), "item-windows")
+    windows = starts.join(texts.select("row_key", "doc_id", "w"), "row_key").select("row_key", "doc_id", "m", F.explode(window_keys(F.col("at"), "w", F.col("m"))).alias("x")).select("row_key", "doc_id", "m", "x.pos", "x.key")
+    found = scratch.write(windows.join(S.small(sought.select("m", "key").distinct()), ["m", "key"], "left_semi"), "hit-windows")
+    hits = found.join(S.small(sought), ["m", "key"]).select("row_key", "doc_id", "item_id", "pos", F.col("m").alias("length"))
+    counts = found.select("row_key", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("m") - 1)).alias("pos")).distinct().groupBy("row_key").agg(F.count("*").alias("n_hit"))
+    named = found.select("row_key", "m", "key").distinct().join(S.small(sought), ["m", "key"]).select("row_key", "item_id").distinct()
+    named = named.groupBy("row_key").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.col("item_id").cast("string"))), ","), 256).alias("items_sha256"))
+    per_doc = counts.join(named, "row_key")
     verdicts = base.drop("prints").join(S.small(scratch.write(per_doc, "per-doc")), "row_key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), "row_key",
@@ -109,19 +125,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: int = 5
     return verdicts, hits
 
 
-def _long_runs(places: Column, need: Column) -> Column:
-    """Of ascending positions, those in runs of at least ``need`` consecutive ones."""
-    step = F.aggregate(
-        places,
-        F.struct(F.array().cast("array<int>").alias("run"), F.array().cast("array<int>").alias("out")),
-        lambda s, j: F.when(F.coalesce(F.try_element_at(s["run"], F.lit(-1)) == j - 1, F.lit(True)), F.struct(F.concat(s["run"], F.array(j)).alias("run"), s["out"].alias("out"))).otherwise(
-            F.struct(F.array(j).alias("run"), F.when(F.size(s["run"]) >= need, F.concat(s["out"], s["run"])).otherwise(s["out"]).alias("out"))
-        ),
-        lambda s: F.when(F.size(s["run"]) >= need, F.concat(s["out"], s["run"])).otherwise(s["out"]),
-    )
-    return step
-
-
 #: DuckDB SQL for the digest rows.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
