@@ -29,6 +29,61 @@ def e1(t):
     return P.score(t.documents.select("doc_id", pick(0).alias("data_source"), pick(1).alias("response"), pick(2).alias("ground_truth"))).select("doc_id", "score")
 
 
+_PACKED = """WITH d AS (SELECT doc_id, source, lang, length(coalesce(text, '')) AS n FROM documents WHERE text IS NOT NULL), r AS (SELECT *, (n % 3 <> 0)::INT::DOUBLE AS ok, CASE WHEN n < 400 THEN 'short' WHEN n < 1500 THEN 'medium' ELSE 'long' END AS duration FROM d),
+e AS (SELECT 'videomme' AS pack, 'acc' AS metric, unnest(['duration', 'category', 'duration_category', 'overall']) AS dimension, unnest([duration, source, duration || '_' || source, NULL]) AS key, ok AS value FROM r
+UNION ALL SELECT 'mmmu', 'acc', unnest(['subject', 'domain', 'overall']), unnest([source, CASE WHEN lang IN ('en', 'de') THEN 'north' ELSE 'south' END, NULL]), ok FROM r WHERE lang IS NOT NULL
+UNION ALL SELECT 'mathvista', 'acc', unnest(['answer_type', 'skill', 'skill', 'overall']), unnest([CASE WHEN n % 2 = 0 THEN 'integer' ELSE 'float' END, lang, duration, NULL]), ok FROM r
+UNION ALL SELECT 'mathvista', 'read', 'overall', NULL, 1.0 FROM r),
+u AS (SELECT doc_id // 3 AS unit, coalesce(bool_and(ok = 1) FILTER (WHERE doc_id % 3 = 0), FALSE) AS a, coalesce(bool_and(ok = 1) FILTER (WHERE doc_id % 3 = 1), FALSE) AS b, coalesce(bool_and(ok = 1) FILTER (WHERE doc_id % 3 = 2), FALSE) AS m FROM r GROUP BY 1),
+w AS (SELECT 'wemath' AS pack, unnest(['inadequate_generalization', 'insufficient_knowledge', 'complete_mastery_strict', 'rote_memorization_strict', 'score_strict', 'complete_mastery_loose', 'rote_memorization_loose', 'score_loose']) AS metric, 'overall' AS dimension, NULL AS key,
+unnest([(a AND b AND NOT m)::INT::DOUBLE, (NOT (a AND b) AND NOT m)::INT::DOUBLE, (a AND b AND m)::INT::DOUBLE, CASE WHEN m THEN (NOT (a AND b))::INT::DOUBLE END, CASE WHEN m THEN (a AND b)::INT::DOUBLE WHEN a AND b THEN 0.5 ELSE 0.0 END, ((a OR b) AND m)::INT::DOUBLE, CASE WHEN m THEN (NOT (a OR b))::INT::DOUBLE END, CASE WHEN m THEN (a OR b)::INT::DOUBLE WHEN a AND b THEN 0.5 ELSE 0.0 END]) AS value FROM u)
+SELECT pack, metric, dimension, key, round(avg(value), 6) AS value, count(*)::BIGINT AS n FROM (SELECT * FROM e UNION ALL SELECT * FROM w) WHERE value IS NOT NULL GROUP BY ALL"""
+
+
+def packs():
+    """Four packs that differ in kind, over replies that hold a whole text: a letter by video length and category, a bracketed choice by subject and domain, a number by kind and skills, and problems in steps."""
+    from tessera.functions import choices as H
+    from tessera.functions import latex as L
+    from tessera.functions import text as X
+    from tessera.plans.packs import Dimension, Measure, Pack, mastery
+
+    n, source, lang, col = F.col("n"), F.col("source"), F.col("lang"), F.col
+    letters = F.array(*map(F.lit, "ABCD"))
+    gold = F.substring(F.lit("ABCD"), n % 4 + 1, F.lit(1))
+    right = lambda truth: lambda answer: F.coalesce(answer == truth, F.lit(False))
+    by = lambda *dims: lambda s: [Measure("acc", s, dims)]
+    duration = Dimension("duration", col("duration"))
+    return [
+        Pack("videomme", right(gold), [H.first_letter(col("letter_reply"))], by(duration, Dimension("category", source), Dimension("duration_category", F.concat("duration", F.lit("_"), "source"))), prompt=F.concat(F.lit("Watch and choose: "), "text")),
+        Pack("mmmu", right(gold), [H.parse_brackets(col("bracket_reply"), letters, F.array(*map(F.lit, ("no 1", "no 2", "no 3", "no 4"))))], by(Dimension("subject", source), Dimension("domain", F.when(lang.isin("en", "de"), "north").otherwise("south"))), rows=lang.isNotNull(), prompt=F.concat(F.lit("Choose a letter: "), "text")),
+        Pack("mathvista", lambda a: L.close(L.number_of(a), n.cast("double")), [X.last_boxed_balanced(col("number_reply")), X.last(X.numbers(col("number_reply")))], lambda s: [*by(Dimension("answer_type", F.when(n % 2 == 0, "integer").otherwise("float")), Dimension("skill", F.array("lang", "duration"), many=True))(s), Measure("read", s.isNotNull())]),
+        Pack("wemath", right(gold), [H.first_letter(col("letter_reply"))], mastery(["0", "1"], "2"), unit=F.floor(col("doc_id") / 3), step=col("doc_id") % 3),
+    ]
+
+
+@query("e14_packs", _PACKED)
+def e14_packs(t):
+    from tessera.plans.packs import evaluate
+
+    n = F.length("text")
+    said = F.substring(F.lit("ABCD"), (n + (n % 3 == 0).cast("int")) % 4 + 1, F.lit(1))
+    value = (n + F.when(n % 3 == 0, n).otherwise(0)).cast("string")
+    d = t.documents.where("text is not null").select(
+        "doc_id", "source", "lang", "text", n.alias("n"), F.when(n < 400, "short").when(n < 1500, "medium").otherwise("long").alias("duration"),
+        F.concat(F.lit("The best answer is ("), said, F.lit(") as in "), "text").alias("letter_reply"), F.concat("text", F.lit(" so I take ("), said, F.lit(")")).alias("bracket_reply"),
+        F.concat("text", F.when(n % 2 == 0, F.concat(F.lit(" \\boxed{"), value, F.lit("}"))).otherwise(F.concat(F.lit(" it comes to "), value, F.lit(".0")))).alias("number_reply"),
+    )
+    return evaluate(d, packs()).withColumn("value", F.round("value", 6))
+
+
+@query("e14_prompts", "SELECT doc_id, unnest(['videomme', 'mmmu'][1 : CASE WHEN lang IS NULL THEN 1 ELSE 2 END]) AS pack, unnest(['Watch and choose: ' || text, 'Choose a letter: ' || text][1 : CASE WHEN lang IS NULL THEN 1 ELSE 2 END]) AS prompt FROM documents WHERE text IS NOT NULL")
+def e14_prompts(t):
+    from tessera.plans.packs import prompts
+
+    d = t.documents.where("text is not null").withColumns({"n": F.length("text"), "duration": F.lit(""), "letter_reply": F.lit(""), "bracket_reply": F.lit(""), "number_reply": F.lit("")})
+    return prompts(d, packs()).select("doc_id", "pack", "prompt")
+
+
 @query("e3_batch_scorer", "SELECT doc_id, (doc_id % 2)::DOUBLE AS score FROM documents")
 def e3(t):
     return P.score_batch(t.documents.select("doc_id"), lambda i: i % 2, ["doc_id"]).select("doc_id", "score")
