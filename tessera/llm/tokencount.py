@@ -2,8 +2,8 @@
 
 A pre-token here is a run without ASCII white space, which the tokenizer's own
 pre-tokenizer never joins with another.  Spark counts the pre-tokens of all documents
-(those that repeat within a task are sent), tokenises each of the ``shared_entries``
-most frequent ones once, and sends the table of their pieces to the tasks as sorted
+(those that repeat within a task are sent), tokenises the most
+frequent ones once, ``shared_entries`` at most, and sends the table of their pieces to the tasks as sorted
 arrays.  There it is joined to each document's pre-token frequencies and summed; a
 pre-token that is not in the table is tokenised once for the task that meets it (a
 table of ``cache_entries``, started anew when full).  Documents are never shuffled, and
@@ -30,7 +30,7 @@ PENDING = 150_000
 
 
 def frequent_pretokens(docs: DataFrame, entries: int) -> DataFrame:
-    """(hash, word, n) of the most frequent pre-tokens, counted in tasks that meet them twice or more."""
+    """(hash, word, n) of the most frequent pre-tokens, ``entries`` at most, counted in tasks that meet them twice or more."""
 
     def run(batches):
         h, n, spelt = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
@@ -58,7 +58,15 @@ def frequent_pretokens(docs: DataFrame, entries: int) -> DataFrame:
 
     S.ship(docs.sparkSession)
     found = docs.select("text").mapInArrow(run, "hash long, word binary, n long")
-    return found.groupBy("hash").agg(F.sum("n").alias("n"), F.first("word").alias("word")).orderBy(F.desc("n"), "hash").limit(entries)
+    counted = S.Scratch(docs.sparkSession).write(found.groupBy("hash").agg(F.sum("n").alias("n"), F.first("word").alias("word")).withColumn("level", F.floor(16 * F.log2("n")).cast("int")), "counted")
+    # the least level (a sixteenth of a doubling) above which at most ``entries`` lie, by a histogram of a thousand bins or so
+    least, above = None, 0
+    for r in sorted(counted.groupBy("level").agg(F.count("*").alias("words")).collect(), reverse=True):
+        above += r["words"]
+        if above > entries:
+            break
+        least = r["level"]
+    return counted.where(F.col("level") >= least if least is not None else F.lit(False)).select("hash", "word", "n")
 
 
 def _tokenizer(path: str):
