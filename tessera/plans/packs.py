@@ -19,16 +19,13 @@ from tessera.functions.text import staged
 
 @dataclass(frozen=True)
 class Dimension:
-    """Keys of a breakdown: one value of a row, or with ``many`` each of an array's."""
+    """Keys of a breakdown: one value of a row, with ``many`` each of an array's, or none."""
 
     name: str
-    key: Column
+    key: Column | None = None
     many: bool = False
 
 
-OVERALL = Dimension("overall", F.lit(None).cast("string"))
-
-
 @dataclass(frozen=True)
 class Measure:
     """An average of ``value`` (null: not counted) by each of the dimensions and overall."""
@@ -62,9 +59,10 @@ _ENTRY = "array<struct<pack: string, metric: string, dimension: string, key: str
 def _entries(pack: str, measures: Sequence[Measure]) -> Column:
     def of(m: Measure, d: Dimension) -> Column:
         row = lambda key: F.struct(F.lit(pack).alias("pack"), F.lit(m.name).alias("metric"), F.lit(d.name).alias("dimension"), key.cast("string").alias("key"), m.value.cast("double").alias("value"))
-        return (F.transform(d.key, row) if d.many else F.array(row(d.key))).cast(_ENTRY)
+        rows = F.coalesce(F.transform(d.key, row), F.array()) if d.many else F.array(row(F.lit(None) if d.key is None else d.key))
+        return rows.cast(_ENTRY)
 
-    return F.flatten(F.array(*[of(m, d) for m in measures for d in (*m.by, OVERALL)]))
+    return F.flatten(F.array(*[of(m, d) for m in measures for d in (*m.by, Dimension("overall"))]))
 
 
 def prompts(df: DataFrame, packs: Sequence[Pack]) -> DataFrame:
