@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import PUNCTUATION, blank_to_null, count_of, interval_iou, interval_recall, last, normalize_answer  # noqa: F401
+from tessera.functions.text import PUNCTUATION, blank_to_null, count_of, format_ok, interval_iou, interval_recall, last, let, normalize_answer  # noqa: F401
 
 # Characters stripped from choice replies, in this order.
 STRIPPED = [",", ".", "!", "?", ";", ":", "'"]
@@ -284,6 +284,51 @@ def grounding_reward(x: Column, truth: Column, recall: bool = False) -> Column:
     return F.struct((acc + form).alias("score"), acc.alias("acc"), form.alias("format"))
 
 
+def composite_reward(x: Column, acc: Column, start: Column, end: Column, kind: str = "weighted") -> Column:
+    """(score, format, extra) of a reply with a known accuracy.
+
+    ``weighted``: 0.8 of accuracy and 0.2 of format; ``equal``: their sum.  The others add to
+    the sum: ``tool`` 1 for a right reply that has used a tool; ``recall`` or ``iou`` the overlap
+    of the last video crop with [start, end] if a tool has replied.
+    """
+    form = format_ok(x)
+    used = F.contains(x, F.lit("<tool_response>"))
+    if kind in ("weighted", "equal"):
+        weights = (0.8, 0.2) if kind == "weighted" else (1.0, 1.0)
+        return F.struct((weights[0] * acc + weights[1] * form).alias("score"), form.alias("format"), F.lit(0.0).alias("extra"))
+    if kind == "tool":
+        extra = F.when(used & (acc >= 0.5), 1.0).otherwise(0.0)
+    elif kind in ("recall", "iou"):
+        share = interval_recall if kind == "recall" else interval_iou
+        extra = F.coalesce(F.when(used, let(crop_interval(x), lambda c: share(c["start"], c["end"], start, end))), F.lit(0.0))
+    else:
+        raise ValueError(f"unknown kind {kind!r}")
+    return F.struct((acc + form + extra).alias("score"), form.alias("format"), extra.alias("extra"))
+
+
+def valid_box(left: Column, top: Column, right: Column, bottom: Column, small: float = 30, ratio: float = 100) -> Column:
+    """Whether a box has an area, both sides longer than ``small``, and the longer at most ``ratio`` times the shorter."""
+    w, h = right - left, bottom - top
+    return F.coalesce((w > 0) & (h > 0) & (F.least(w, h) > small) & (F.greatest(w, h) <= ratio * F.least(w, h)), F.lit(False))
+
+
+def fitted_box(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column, least: int = 28, small: float = 30, ratio: float = 100) -> Column:
+    """(left, top, right, bottom) inside an image, grown around its centre until its shorter side has ``least``; null for a box that is not valid before or after."""
+    inside = [F.greatest(left, F.lit(0)), F.greatest(top, F.lit(0)), F.least(right, width), F.least(bottom, height)]
+    names = ("left", "top", "right", "bottom")
+    box = F.struct(*[x.cast("double").alias(n) for x, n in zip(inside, names)])
+
+    def grown(b: Column) -> Column:
+        w, h = b["right"] - b["left"], b["bottom"] - b["top"]
+        scale = least / F.least(w, h)
+        half_w, half_h = F.ceil(w * scale * 0.5), F.ceil(h * scale * 0.5)
+        x, y = (b["left"] + b["right"]) / 2, (b["top"] + b["bottom"]) / 2
+        larger = F.struct(*[v.cast("double").alias(n) for v, n in zip((F.floor(x - half_w), F.floor(y - half_h), F.ceil(x + half_w), F.ceil(y + half_h)), names)])
+        return F.when(F.least(w, h) >= least, b).otherwise(let(larger, lambda g: F.when(valid_box(*[g[n] for n in names], small, ratio), g)))
+
+    return let(box, lambda b: F.when(valid_box(*[b[n] for n in names], small, ratio), grown(b)))
+
+
 def same_output(lines: Column, truth: Column) -> Column:
     """A program's output lines against the expected text: joined and stripped, or each line stripped."""
     want = strip(truth)

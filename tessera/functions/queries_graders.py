@@ -212,3 +212,29 @@ def t9(t):
     at = F.transform(F.array(*map(F.lit, ("the ", "a ", "of ", "and "))), lambda w: F.struct((H.rfind(c("text"), w) + F.length(w)).alias("at"), w.alias("w")))
     found = F.filter(at, lambda s: F.contains(c("text"), s["w"]))
     return t.documents.select("doc_id", F.array_max(found)["w"].alias("value"))
+
+
+@query("f53_composite", """WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, (n % 3 = 0)::INT::DOUBLE AS acc, (n % 5 <> 0)::INT::DOUBLE AS form, n % 2 = 0 AS used, (n % 40)::DOUBLE AS s, n % 40 + 15.0 AS e FROM d),
+y AS (SELECT *, greatest(least(e, 40) - greatest(s, 20), 0) AS meet FROM x)
+SELECT doc_id, round(0.8 * acc + 0.2 * form, 6) AS weighted, acc + form AS equal, acc + form + (used AND acc >= 0.5)::INT AS tool, round(acc + form + used::INT * meet / 20, 6) AS recall, round(acc + form + used::INT * meet / (greatest(e, 40) - least(s, 20)), 6) AS iou FROM y""")
+def f53(t):
+    """All variants over replies that think a whole text, crop a video (some with a tool's reply), and answer; some lack the format."""
+    n = F.length("text")
+    call = F.format_string("<tool_call>{'name': 'crop_video', 'arguments': {'start_time': %d, 'end_time': %d}}</tool_call>", n % 40, n % 40 + 15)
+    reply = F.concat(F.when(n % 5 == 0, "so ").otherwise(""), F.lit("<think>"), "text", F.lit("</think>"), call, F.when(n % 2 == 0, "<tool_response>ok</tool_response>").otherwise(""), F.lit("<answer>x</answer>"))
+    d = X.staged(t.documents.where("text is not null"), {"reply": reply, "acc": (n % 3 == 0).cast("double")})
+    kinds = ("weighted", "equal", "tool", "recall", "iou")
+    return d.select("doc_id", *[F.round(H.composite_reward(c("reply"), c("acc"), F.lit(20.0), F.lit(40.0), k)["score"], 6).alias(k) for k in kinds])
+
+
+@query("f77_boxes", """WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, greatest(n % 97 - 10, 0)::DOUBLE AS l, greatest(n // 7 % 53 - 5, 0)::DOUBLE AS t, least(n % 97 - 10 + n % 211, 160)::DOUBLE AS r, least(n // 7 % 53 - 5 + n // 3 % 173, 120)::DOUBLE AS b FROM d),
+v AS (SELECT *, r - l > 0 AND b - t > 0 AND least(r - l, b - t) > 10 AND greatest(r - l, b - t) <= 4 * least(r - l, b - t) AS ok, 28 / least(r - l, b - t) AS k FROM b),
+g AS (SELECT doc_id, l, t, r, b, ok, least(r - l, b - t) >= 28 AS fits, floor((l + r) / 2 - ceil((r - l) * k * 0.5)) AS gl, floor((t + b) / 2 - ceil((b - t) * k * 0.5)) AS gt, ceil((l + r) / 2 + ceil((r - l) * k * 0.5)) AS gr, ceil((t + b) / 2 + ceil((b - t) * k * 0.5)) AS gb FROM v),
+f AS (SELECT *, ok AND (fits OR (gr > gl AND gb > gt AND least(gr - gl, gb - gt) > 10 AND greatest(gr - gl, gb - gt) <= 4 * least(gr - gl, gb - gt))) AS valid FROM g)
+SELECT doc_id, CASE WHEN valid THEN CASE WHEN fits THEN l ELSE gl END END::DOUBLE AS l, CASE WHEN valid THEN CASE WHEN fits THEN t ELSE gt END END::DOUBLE AS t, CASE WHEN valid THEN CASE WHEN fits THEN r ELSE gr END END::DOUBLE AS r, CASE WHEN valid THEN CASE WHEN fits THEN b ELSE gb END END::DOUBLE AS b FROM f""")
+def f77(t):
+    """Boxes by the texts' lengths, partly outside a picture of 160 x 120, small or narrow ones among them."""
+    n = F.length("text")
+    left, top = n % 97 - 10, F.floor(n / 7) % 53 - 5
+    box = H.fitted_box(left, top, left + n % 211, top + F.floor(n / 3) % 173, F.lit(160), F.lit(120), small=10, ratio=4)
+    return X.staged(t.documents.where("text is not null"), {"box": box}).select("doc_id", *[c("box")[k].alias(k[0]) for k in ("left", "top", "right", "bottom")])

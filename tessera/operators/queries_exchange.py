@@ -131,15 +131,17 @@ def x9(t):
     return D.balance_reorder(eights(t), "batch", "event_id", "size", 4).select("event_id", "rank", "place")
 
 
-@query("j2_union_meta", "SELECT 'a=1,b=2,c=3' AS meta, 'conflict' AS other")
+@query("j2_union_meta", "SELECT 'orders' AS name, count(*)::BIGINT AS value FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'users', count(DISTINCT user_id) FROM events UNION ALL SELECT 'conflict', 1")
 def j2(t):
+    """Metadata of two batches, which share an entry, and what becomes of a third that contradicts them."""
+    users = t.events.agg(F.countDistinct("user_id")).first()[0]
+    meta = B.union_meta({"orders": t.orders.count(), "users": users}, {"events": t.events.count(), "users": users})
     try:
-        B.union_meta({"a": 1}, {"a": 2})
-        other = "none"
+        B.union_meta(meta, {"users": users + 1})
+        meta["conflict"] = 0
     except ValueError:
-        other = "conflict"
-    meta = B.union_meta({"a": 1, "b": 2}, {"b": 2, "c": 3})
-    return t.spark.createDataFrame([(",".join(f"{k}={v}" for k, v in sorted(meta.items())), other)], "meta string, other string")
+        meta["conflict"] = 1
+    return t.spark.createDataFrame(list(meta.items()), "name string, value long")
 
 
 @query("t4_top_share", "WITH k AS (SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS k, count(*) OVER () AS n FROM events) SELECT event_id FROM k WHERE k <= greatest(1, floor(n * 0.05))")

@@ -46,40 +46,60 @@ class Tool:
         self.states.pop(conversation, None)
 
 
+class Scored:
+    """What a conversation has been rated so far: ``rate`` takes a value, gives what the change costs, and says whether it may end."""
+
+    def __init__(self, truth: str = "", penalty: float = 0.0, enough: float = 1.0):
+        self.truth, self.penalty, self.enough, self.values = truth, penalty, enough, [0.0]
+
+    def rate(self, value: float) -> tuple[float, bool]:
+        self.values.append(value)
+        return (-self.penalty if value <= self.values[-2] else 0.0), value >= self.enough
+
+    @property
+    def last(self) -> float:
+        return self.values[-1]
+
+
 class AnswerTool(Tool):
-    """Remembers the answer that it is given; a worse answer than before costs 0.05, and the reward is that of the last one."""
+    """Rates each answer that it is given; one that is no better than the one before costs ``penalty``."""
 
     name = "answer"
 
+    def __init__(self, penalty: float = 0.05):
+        super().__init__()
+        self.penalty = penalty
+
+    def create(self, conversation, **state):
+        self.states[conversation] = Scored(str(state.get("truth", "")), self.penalty)
+
     def execute(self, conversation, arguments):
-        state = self.states[conversation]
-        reward = float(str(arguments.get("answer")) == str(state["truth"]))
-        step = 0.0 if reward > state.get("reward", 0.0) else -0.05
-        state["reward"] = reward
-        return f"reward {reward}", step
+        held = self.states[conversation]
+        cost, _ = held.rate(1.0 if str(arguments.get("answer")) == held.truth else 0.0)
+        return f"reward {held.last}", cost
 
     def calc_reward(self, conversation):
-        return self.states[conversation].get("reward", 0.0)
+        return self.states[conversation].last
 
 
 class Interaction:
-    """A simulated user: says whether the last answer is right, and ends the conversation when it is."""
+    """A simulated user who rates the last answer by ``right`` and stops at a rating of ``enough``."""
 
-    def __init__(self, right: Callable[[str, str], bool]):
-        self.right, self.states = right, {}
+    REPLIES = {True: "correct", False: "incorrect, try again"}
+
+    def __init__(self, right: Callable[[str, str], bool], enough: float = 1.0):
+        self.right, self.enough, self.states = right, enough, {}
 
     def start(self, conversation: str, truth: str) -> None:
-        self.states[conversation] = {"truth": truth, "reward": 0.0}
+        self.states[conversation] = Scored(truth, enough=self.enough)
 
     def respond(self, conversation: str, messages: list[dict]) -> tuple[bool, str, float]:
-        said = next((m["content"] for m in reversed(messages) if m["role"] == "assistant"), "")
-        state = self.states[conversation]
-        state["reward"] = float(self.right(said, state["truth"]))
-        done = state["reward"] == 1.0
-        return done, "correct" if done else "incorrect, try again", state["reward"]
+        held, answers = self.states[conversation], [m["content"] for m in messages if m["role"] == "assistant"]
+        _, ends = held.rate(float(self.right(answers[-1] if answers else "", held.truth)))
+        return ends, self.REPLIES[ends], held.last
 
     def finalize(self, conversation: str) -> float:
-        return self.states.pop(conversation)["reward"]
+        return self.states.pop(conversation).last
 
 
 @TOOL_PARSERS.register("tagged")
@@ -225,3 +245,22 @@ def single_turn(generate, **_) -> Loop:
 @AGENT_LOOPS.register("tool_agent")
 def tool_agent(generate, tools=(), **limits) -> Loop:
     return Loop(generate, list(tools), Limits(**limits))
+
+
+def generate_batches(df: DataFrame, client: Callable[[list[str]], list[str]], key: str, prompt: str, samples: int, batch: int) -> DataFrame:
+    """Offline generation: (columns of df, responses), ``samples`` replies for each prompt in the order of the passes.
+
+    A task sends its prompts ``batch`` at a time, the last batch filled up with its first
+    prompt, whose further replies are dropped; ``client`` takes and gives lists of a batch.
+    """
+
+    def run(prompts: pd.Series) -> pd.Series:
+        texts, out = prompts.tolist(), []
+        for at in range(0, len(texts), batch):
+            part = texts[at : at + batch]
+            full = part + part[:1] * (batch - len(part))
+            passes = [client(full) for _ in range(samples)]
+            out += [list(replies) for replies in zip(*passes)][: len(part)]
+        return pd.Series(out)
+
+    return df.withColumn("responses", F.pandas_udf(run, "array<string>")(prompt))

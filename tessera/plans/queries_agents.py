@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import grouped as G
 from tessera.operators import tokens as K
-from tessera.operators.queries_rollout import adv, ev
+from tessera.operators.queries_rollout import TOK, adv, ev, tok
 from tessera.plans import agents as A
 from tessera.plans import scoring as P
 from tessera.plans.registry import Registry, query
@@ -53,9 +53,21 @@ def e5_by_name(t):
     return adv(G.ADVANTAGES.get("rloo")(ev(t)))
 
 
-@query("e6_loss_registry", "SELECT * FROM (VALUES ('gpg', 'known'), ('vanilla', 'known'), ('gpg', 'ValueError'), ('GPG', 'KeyError')) v(name, state)")
+@query("e6_loss_registry", f"""WITH {TOK}, x AS (SELECT -v AS old, -v - r / 4 AS lp, r - 0.05 AS adv FROM tok WHERE mask), y AS (SELECT *, exp(greatest(least(lp - old, 20), -20)) AS ratio FROM x),
+z AS (SELECT *, greatest(-adv * ratio, -adv * greatest(least(ratio, 1.2), 0.8)) AS worse FROM y)
+SELECT 'gpg' AS name, round(avg(-lp * adv), 6) AS loss FROM z UNION ALL SELECT 'vanilla', round(avg(CASE WHEN adv < 0 THEN least(-adv * 3.0, worse) ELSE worse END), 6) FROM z UNION ALL SELECT 'unknown', NULL""")
 def e6(t):
-    return registry_rows(t, K.POLICY_LOSSES, "gpg")
+    """The mean loss of the tokens by every registered name; of a name that is not registered none."""
+    x = tok(t).where("mask").select((-F.col("v")).alias("old"), (-F.col("v") - F.col("r") / 4).alias("lp"), (F.col("r") - 0.05).alias("adv"))
+    columns = []
+    for name in [*sorted(K.POLICY_LOSSES.items), "unknown"]:
+        try:
+            loss = K.POLICY_LOSSES.get(name)(F.col("old"), F.col("lp"), F.col("adv"))
+            loss = F.round(F.avg(loss[0] if isinstance(loss, tuple) else loss), 6)
+        except KeyError:
+            loss = F.lit(None).cast("double")
+        columns.append(F.struct(F.lit(name).alias("name"), loss.alias("loss")))
+    return x.agg(F.array(*columns).alias("x")).select(F.inline("x"))
 
 
 @query("e7_custom_reader", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 1 ORDER BY c_custkey")
@@ -105,9 +117,18 @@ def e11(t):
     return A.interact(c, lambda: A.Interaction(lambda said, truth: said == truth), count, "c_custkey", "prompt", "truth", 3)
 
 
-@query("e12_loop_registry", "SELECT * FROM (VALUES ('single_turn', 'known'), ('tool_agent', 'known'), ('tool_agent', 'ValueError'), ('TOOL_AGENT', 'KeyError')) v(name, state)")
+@query("e12_loop_registry", """SELECT c_custkey, 2 AS single_turn, 2 + 2 * (c_custkey % 3)::INT AS tool_agent, 'KeyError' AS other FROM customer""")
 def e12(t):
-    return registry_rows(t, A.AGENT_LOOPS, "tool_agent")
+    """The turns of every customer's conversation under each registered loop."""
+    out, other = conversations(t).select("c_custkey"), "none"
+    for name in sorted(A.AGENT_LOOPS.items):
+        made = A.run_loop(conversations(t), lambda name=name: A.AGENT_LOOPS.get(name)(_calls, tools=[A.AnswerTool()]), "c_custkey", "prompt", "truth")
+        out = out.join(made.select("c_custkey", F.col("turns").alias(name)), "c_custkey")
+    try:
+        A.AGENT_LOOPS.get("other")
+    except KeyError as e:
+        other = type(e).__name__
+    return out.withColumn("other", F.lit(other))
 
 
 @query("e15_client_call", "SELECT n_nationkey, 'said: ' || n_name AS reply FROM nation")

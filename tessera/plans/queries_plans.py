@@ -113,7 +113,21 @@ def l6(t):
     return t.documents.select("doc_id", F.regexp_extract(line, pattern, 2).cast("double").alias("start"), F.regexp_extract(line, pattern, 3).cast("double").alias("end"))
 
 
-@query("l10_generation_rows", "SELECT conv_id, string_agg(role, '|' ORDER BY turn) AS responses FROM conversations GROUP BY conv_id")
+@query("l10_generation_rows", "SELECT doc_id, length(text)::BIGINT AS first, length(text)::BIGINT + 1 AS second, md5(text || '#1') AS last FROM documents WHERE text IS NOT NULL")
 def l10(t):
-    x = t.conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("x"))
-    return x.select("conv_id", F.array_join("x.role", "|").alias("responses"))
+    """Two passes over batches of 100 whole texts; the model here appends the number of the pass."""
+    from tessera.plans.agents import generate_batches
+
+    class Model:
+        def __init__(self):
+            self.calls = 0
+
+        def __call__(self, prompts):
+            if len(prompts) != 100:
+                raise ValueError("a batch is full")
+            self.calls += 1
+            return [p if self.calls % 2 else p + "#1" for p in prompts]  # twice "#1" has two more characters
+
+    made = generate_batches(t.documents.where("text is not null").select("doc_id", "text"), Model(), "doc_id", "text", 2, 100)
+    r = F.col("responses")
+    return made.select("doc_id", F.length(r[0]).cast("long").alias("first"), (F.length(r[1]) - 1).cast("long").alias("second"), F.md5(r[1].cast("binary")).alias("last"))

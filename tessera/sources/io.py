@@ -127,20 +127,20 @@ class MetricSink:
             sink(rows)
 
 
-def char_count_source(spark: SparkSession, rows: int, seed: int = 0) -> DataFrame:
-    """Synthetic prompts that ask for the number of a letter in a short word."""
+def char_count_source(ids: DataFrame, seed: int = 0) -> DataFrame:
+    """For each id a prompt that asks for the number of a letter in a short word."""
     letters = F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz"))
     pick = lambda i, j: F.element_at(letters, (F.pmod(F.xxhash64(F.lit(seed), i, j), F.lit(26)) + 1).cast("int"))
     word = F.array_join(F.transform(F.sequence(F.lit(0), (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(3)) + 2).cast("int")), lambda j: pick(F.col("id"), j)), "")
-    df = spark.range(rows).select("id", word.alias("word"), pick(F.col("id"), F.lit(-1)).alias("letter"))
+    df = ids.select("id", word.alias("word"), pick(F.col("id"), F.lit(-1)).alias("letter"))
     n = F.length("word") - F.length(F.replace("word", "letter", F.lit("")))
     return df.select("id", F.format_string("How many %s are there in %s?", "letter", "word").alias("prompt"), F.format_string("\\boxed{%d}", n).alias("response"))
 
 
-def math_source(spark: SparkSession, rows: int, seed: int = 0) -> DataFrame:
-    """Synthetic arithmetic prompts with their values."""
+def math_source(ids: DataFrame, seed: int = 0) -> DataFrame:
+    """For each id an arithmetic prompt with its value."""
     d = lambda j: (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(j)), F.lit(10))).cast("int")
-    return spark.range(rows).select("id", d(0).alias("a"), d(1).alias("b"), d(2).alias("c")).select("id", F.format_string("(%d + %d) * %d", "a", "b", "c").alias("prompt"), ((F.col("a") + F.col("b")) * F.col("c")).alias("answer"))
+    return ids.select("id", d(0).alias("a"), d(1).alias("b"), d(2).alias("c")).select("id", F.format_string("(%d + %d) * %d", "a", "b", "c").alias("prompt"), ((F.col("a") + F.col("b")) * F.col("c")).alias("answer"))
 
 
 def write_json(df: DataFrame, path: str, array: bool = False) -> None:

@@ -42,21 +42,24 @@ def s12(t):
     return t.conversations.select("conv_id", "turn", F.regexp_replace("text", "[0-9]+", "").alias("text"))
 
 
-@query("s13_subtitle_times", "SELECT event_id, (event_id % 24) * 3600 + (event_id % 60) * 60 + (event_id % 60) + 0.5::DOUBLE AS seconds FROM events")
+@query("s13_subtitle_times", "SELECT (event_id * 2.25)::DOUBLE AS start, (event_id * 2.25 + 1.5)::DOUBLE AS end, event_type || chr(10) || 'of ' || user_id AS text FROM events")
 def s13(t):
-    from tessera.functions.text import clock_seconds
-
-    return t.events.select("event_id", clock_seconds(F.format_string("%02d:%02d:%02d,500", F.col("event_id") % 24, F.col("event_id") % 60, F.col("event_id") % 60)).alias("seconds"))
+    """Every event as a block of two lines in subtitle files, read back."""
+    stamp = lambda s: F.format_string("%02d:%02d:%02d,%03d", F.floor(s / 3600), F.floor(s / 60) % 60, F.floor(s) % 60, (s * 1000).cast("long") % 1000)
+    at, folder = F.col("event_id") * 2.25, f"{files.shared_folder(t.spark)}/subtitles"
+    block = F.concat(F.col("event_id").cast("string"), F.lit("\n"), stamp(at), F.lit(" --> "), stamp(at + 1.5), F.lit("\n"), "event_type", F.lit("\nof "), F.col("user_id").cast("string"), F.lit("\n"))
+    t.events.repartition(4, "event_id").sortWithinPartitions("event_id").select(block.alias("value")).write.text(folder)
+    return io.read_srt(t.spark, folder)
 
 
 @query("s15_generated_rows")
 def s15(t):
-    return io.math_source(t.spark, 1000)
+    return io.math_source(t.documents.select(F.col("doc_id").alias("id")))
 
 
 @query("s16_char_count_source")
 def s16(t):
-    return io.char_count_source(t.spark, 1000)
+    return io.char_count_source(t.documents.select(F.col("doc_id").alias("id")))
 
 
 @query("s21_sample_table", "SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 25")
@@ -121,16 +124,20 @@ def s11(t):
     return index.select("name", F.element_at(F.split("path", "/"), -2).alias("kept"))
 
 
-@query("s14_config_split", "SELECT n_name FROM nation WHERE n_regionkey = 2 AND n_nationkey % 2 = 0")
+@query("s14_config_split", "SELECT n_name, n_regionkey AS region FROM nation WHERE n_nationkey % 2 = 0")
 def s14(t):
-    root = files.shared_folder(t.spark)
-    for split, rest in (("train", 1), ("test", 0)):
-        part = t.nation.where((F.col("n_regionkey") == 2) & (F.col("n_nationkey") % 2 == rest)).select("n_name").coalesce(1)
-        part.write.parquet(f"{root}/tmp-{split}")
-        found = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{root}/tmp-{split}").first()["path"]
-        files.make_dirs(t.spark, f"{root}/nations/asia")
-        files.copy(t.spark, found, f"{root}/nations/asia/{split}-00000.parquet")
-    return io.read_split(t.spark, root, "nations", "asia", "test")
+    """Each region is a configuration with two splits; the test splits of all of them."""
+    root, out = files.shared_folder(t.spark), None
+    for r in t.region.select("r_regionkey").collect():  # a folder for each
+        for split, rest in (("train", 1), ("test", 0)):
+            part, made = t.nation.where((F.col("n_regionkey") == r[0]) & (F.col("n_nationkey") % 2 == rest)).select("n_name").coalesce(1), f"{root}/tmp-{r[0]}-{split}"
+            part.write.parquet(made)
+            found = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(made).first()["path"]
+            files.make_dirs(t.spark, f"{root}/nations/{r[0]}")
+            files.copy(t.spark, found, f"{root}/nations/{r[0]}/{split}-00000.parquet")
+        one = io.read_split(t.spark, root, "nations", str(r[0]), "test").withColumn("region", F.lit(r[0]))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("s17_parquet_sink", "SELECT event_id, event_type FROM events")
@@ -147,22 +154,24 @@ def s18(t):
     return io.read_json_array(t.spark, root, "id int, name string")
 
 
-@query("s20_generation_dump", "SELECT doc_id % 3 AS step, count(*)::BIGINT AS n, min(lang || doc_id) AS first, 'input,output,score,step,tag' AS columns FROM documents WHERE lang IS NOT NULL GROUP BY ALL")
+@query("s20_generation_dump", "SELECT doc_id % 3 AS step, count(*)::BIGINT AS n, min(coalesce(lang, '-') || doc_id) AS first, 'input,output,score,step,tag' AS columns FROM documents GROUP BY ALL")
 def s20(t):
     root = files.shared_folder(t.spark)
-    d = t.documents.where("lang is not null").select(F.concat("lang", F.col("doc_id").cast("string")).alias("input"), F.col("text").alias("output"), F.col("n_chars").cast("double").alias("score"), F.lit("x").alias("tag"), F.when(F.col("doc_id") % 7 != 0, 1).alias("rare"), (F.col("doc_id") % 3).alias("s"))
+    d = t.documents.select(F.concat(F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string")).alias("input"), F.col("text").alias("output"), F.col("n_chars").cast("double").alias("score"), F.lit("x").alias("tag"), F.when(F.col("doc_id") % 7 != 0, 1).alias("rare"), (F.col("doc_id") % 3).alias("s"))
     for step in range(3):
         io.dump_generations(d.where(F.col("s") == step), root, step, ["tag", "rare"])
     out = t.spark.read.json(root)
     return out.groupBy(F.col("step").cast("long").alias("step")).agg(F.count("*").alias("n"), F.min("input").alias("first")).withColumn("columns", F.lit(",".join(sorted(out.columns))))
 
 
-@query("s22_metric_sink", "SELECT n_nationkey::INT AS step, 'a' AS name, (n_nationkey * 2)::DOUBLE AS value FROM nation WHERE n_nationkey < 3 UNION ALL SELECT n_nationkey::INT, 'b', n_nationkey / 2.0 FROM nation WHERE n_nationkey < 3")
+@query("s22_metric_sink", "SELECT (user_id % 3)::INT AS step, unnest(['mean/' || event_type, 'n/' || event_type]) AS name, round(unnest([avg(value), count(*)]), 6)::DOUBLE AS value FROM events GROUP BY user_id % 3, event_type")
 def s22(t):
+    """Three steps of metrics of the events, logged one after the other."""
     sink, seen = io.MetricSink(t.spark, root := files.shared_folder(t.spark), lambda rows: seen.extend(rows)), []
+    sums = t.events.groupBy((F.col("user_id") % 3).alias("step"), "event_type").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
     for step in range(3):
-        sink.log({"b": step / 2, "a": 2 * step}, step)
-    return t.spark.read.schema("step int, name string, value double").parquet(root)
+        sink.log({f"{k}/{r['event_type']}": r[k] for r in sums.where(F.col("step") == step).collect() for k in ("mean", "n")}, step)  # a row for each kind of event
+    return t.spark.read.schema("step int, name string, value double").parquet(root).withColumn("value", F.round("value", 6))
 
 
 @query("s24_saved_batch", "SELECT user_id, count(*)::BIGINT AS n FROM events GROUP BY user_id")
@@ -172,9 +181,9 @@ def s24(t):
     return io.load(t.spark, root).select("user_id", F.size("ids").cast("long").alias("n"))
 
 
-@query("s25_trajectory", "SELECT 'actor' AS name, n_regionkey AS step, count(*)::BIGINT AS n FROM nation WHERE n_regionkey < 2 GROUP BY ALL")
+@query("s25_trajectory", "SELECT 'actor' AS name, n_regionkey AS step, count(*)::BIGINT AS n FROM nation GROUP BY ALL")
 def s25(t):
     root = files.shared_folder(t.spark)
-    for step in range(2):
+    for step in sorted(r[0] for r in t.region.select("r_regionkey").collect()):
         io.append_trajectory(t.nation.where(F.col("n_regionkey") == step), root, "actor", step)
     return t.spark.read.parquet(root).groupBy("name", F.col("step").cast("long").alias("step")).agg(F.count("*").alias("n"))

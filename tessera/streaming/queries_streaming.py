@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
 from tessera.sources import files
-from tessera.streaming.stateful import TokenBucket, controller, curriculum, one_ahead, read_growing, record_scores, run_steps, sessions
+from tessera.streaming.stateful import controller, curriculum, one_ahead, read_growing, record_scores, run_steps, sessions
 
 
 @query("r_tumbling_window", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
@@ -40,15 +40,19 @@ def r1(t):
     return out.groupBy("step").agg(F.first(F.col("event_id") % 3).alias("part"), F.count("*").alias("n")).select("part", "n")
 
 
-@query("r2_one_step_ahead", "SELECT i::INT AS step, greatest(i - 1, 0)::INT AS weights FROM range(5) t(i)")
+@query("r2_one_step_ahead", "SELECT (event_id % 5)::INT AS step, greatest(event_id % 5 - 1, 0)::INT AS weights, sum(event_id)::BIGINT AS total FROM events GROUP BY ALL")
 def r2(t):
+    """Five batches of events: each is summed with the weights of before the last update."""
     version = [0]
 
+    def generate(i):
+        return i, version[0], t.events.where(F.col("event_id") % 5 == i).agg(F.sum("event_id")).first()[0]
+
     def update(made):
         version[0] += 1
         return made
 
-    return t.spark.createDataFrame(one_ahead(range(5), lambda i: (i, version[0]), update), "step int, weights int")
+    return t.spark.createDataFrame(one_ahead(range(5), generate, update), "step int, weights int, total long")
 
 
 @query("r3_growing_source", "SELECT event_id FROM events UNION ALL SELECT -event_id - 1 FROM events WHERE event_id % 3 = 0")
@@ -130,15 +134,13 @@ def r6(t):
     return curriculum(t.spark, f"{root}/scores", "event_type").select("event_type", F.round("mean", 6).alias("mean"))
 
 
-@query("r7_rate_limit", "SELECT i::INT AS request, greatest(i - 59, 0)::DOUBLE AS seconds FROM range(100) t(i)")
+@query("r7_rate_limit", "WITH k AS (SELECT event_id, epoch(ts)::DOUBLE AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, user_id FROM events) SELECT event_id, round(max(s - (k - 1) * 6000.0) OVER (PARTITION BY user_id ORDER BY k) + (k - 1) * 6000.0, 3) AS admitted FROM k")
 def r7(t):
-    now = [0.0]
-    bucket = TokenBucket(60, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
-    rows = []
-    for i in range(100):
-        bucket.take()
-        rows.append((i, round(now[0], 6)))
-    return t.spark.createDataFrame(rows, "request int, seconds double")
+    """When each event of a user passes a limiter of one request in 6,000 seconds."""
+    from tessera.streaming.stateful import throttled
+
+    e = t.events.select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return throttled(e, "user_id", "at", "event_id", per_minute=0.01, burst=1.0).select("event_id", F.round("admitted", 3).alias("admitted"))
 
 
 @query("r8_resumed_steps", "SELECT event_id, 1::BIGINT AS n FROM events")

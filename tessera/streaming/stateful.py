@@ -146,20 +146,37 @@ def sessions(df: DataFrame, ts: str, gap: str, by: str) -> DataFrame:
 class TokenBucket:
     """At most ``per_minute`` units a minute in a task; ``take`` waits."""
 
-    def __init__(self, per_minute: float, clock=time.monotonic, sleep=time.sleep):
-        self.rate, self.level, self.clock, self.sleep = per_minute / 60, per_minute, clock, sleep
-        self.most, self.at = per_minute, clock()
+    def __init__(self, per_minute: float, clock=time.monotonic, sleep=time.sleep, burst: float | None = None):
+        self.most = per_minute if burst is None else burst
+        self.rate, self.level, self.clock, self.sleep, self.at = per_minute / 60, self.most, clock, sleep, clock()
 
     def take(self, units: float = 1) -> None:
         while True:
             now = self.clock()
             self.level, self.at = min(self.most, self.level + (now - self.at) * self.rate), now
-            if self.level >= units:
+            if self.level >= units - 1e-9:
                 self.level -= units
                 return
             self.sleep((units - self.level) / self.rate)
 
 
+def throttled(df: DataFrame, key: str, at: str, order: str, per_minute: float, burst: float, units: str | None = None) -> DataFrame:
+    """``df`` with ``admitted``: the second at which each request of a key, in the order of its time, passes the key's bucket. A key's requests follow each other in one task."""
+
+    def run(pdf):
+        pdf, now = pdf.sort_values([at, order]), [float(pdf[at].min())]
+        bucket = TokenBucket(per_minute, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s), burst)
+        out = []
+        for asked, n in zip(pdf[at], pdf[units] if units else [1.0] * len(pdf)):
+            now[0] = max(now[0], float(asked))
+            bucket.take(n)
+            out.append(now[0])
+        return pdf.assign(admitted=out)
+
+    kinds = ", ".join(f"{c} {kind}" for c, kind in df.dtypes)
+    return df.groupBy(key).applyInPandas(run, f"{kinds}, admitted double")
+
+
 def one_ahead(batches, generate: Callable, update: Callable) -> list:
     """A pipeline of lag one: while a batch updates the model, the next is generated with the weights of before; the results in order."""
     from concurrent.futures import ThreadPoolExecutor
