@@ -326,7 +326,8 @@ def fitted_box(left: Column, top: Column, right: Column, bottom: Column, width:
         larger = F.struct(*[v.cast("double").alias(n) for v, n in zip((F.floor(x - half_w), F.floor(y - half_h), F.ceil(x + half_w), F.ceil(y + half_h)), names)])
         return F.when(F.least(w, h) >= least, b).otherwise(let(larger, lambda g: F.when(valid_box(*[g[n] for n in names], small, ratio), g)))
 
-    return let(box, lambda b: F.when(valid_box(*[b[n] for n in names], small, ratio), grown(b)))
+    given = left.isNotNull() & top.isNotNull() & right.isNotNull() & bottom.isNotNull()
+    return let(box, lambda b: F.when(given & valid_box(*[b[n] for n in names], small, ratio), grown(b)))
 
 
 def same_output(lines: Column, truth: Column) -> Column:
