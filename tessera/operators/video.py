@@ -6,9 +6,10 @@ its row is dropped or rejected as the stage says.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import choices as H
@@ -95,3 +96,28 @@ def reasoning_traces(questions: DataFrame, name: str, seconds: str, client: Clie
     prompt = F.format_string("%s\nframes %s\nrounds %d", "question", F.array_join(F.col("frames").cast("array<string>"), ","), "rounds")
     asked = C.pipeline_call(told.withColumn("_p", prompt), client, "_p", "reply")
     return asked.withColumn("think", H.strip(F.regexp_extract("reply", r"(?s)<think>(.*?)</think>", 1))).where("think <> ''").drop("_p", "reply")
+
+
+def summarize(captions: DataFrame, key: str, start: str, end: str, caption: str, client: Client, longest: int = 100_000) -> DataFrame:
+    """(key, summary, segments, groups) of each video: event lines, sorted by their times.
+
+    Consecutive captions form groups of an adaptive size; a call for each group gives its
+    event lines, and calls on pairs of neighbouring blocks, round after round, merge them
+    until one is left (an odd block is carried on).  Prompts are cut in the middle beyond
+    ``longest`` characters; a failing call leaves an empty block.  Each round is one call
+    column and one grouping, so the blocks of a video are dealt over tasks.
+    """
+    line = F.format_string("Video_event %d [%.1fs - %.1fs]: %s", F.row_number().over(Window.partitionBy(key).orderBy(start, end, caption)), F.col(start).cast("double"), F.col(end).cast("double"), F.col(caption))
+    rows = C.group_captions(captions.select(key, F.col(start).alias("_start"), F.col(end).alias("_end"), line.alias("_line")), key, ["_start", "_end", "_line"])
+    groups = C.merge_groups(rows, [key, "group_id"], ["_start", "_end"], "_line", "_start", "_end")
+    counts = groups.groupBy(key).agg(F.sum("segments").alias("segments"), F.count("*").alias("groups"))
+    lines = lambda reply: F.array_join(H.sorted_event_lines(F.coalesce(reply, F.lit(""))), "\n")
+    asked = C.pipeline_call(groups.withColumn("_p", F.concat(F.lit("Summarize.\n---\n"), X.truncate(F.col("merged"), longest, "middle"))), client, "_p", "_reply")
+    blocks = asked.select(key, F.col("group_id").alias("i"), lines(F.col("_reply")).alias("block"))
+    rounds = max(0, math.ceil(math.log2(counts.agg(F.max("groups")).first()[0] or 1)))
+    for _ in range(rounds):
+        pairs = blocks.groupBy(key, F.floor(F.col("i") / 2).alias("i")).agg(F.sort_array(F.collect_list(F.struct(F.col("i").alias("o"), "block"))).alias("x"))
+        prompt = F.when(F.size("x") == 2, F.concat(F.lit("Merge.\n(Sequence A)\n"), F.col("x")[0]["block"], F.lit("\n---\n(Sequence B)\n"), F.get("x", F.lit(1))["block"]))
+        asked = C.pipeline_call(X.staged(pairs, {"_p": prompt}), client, "_p", "_reply")
+        blocks = X.staged(asked, {"block": F.when(F.size("x") == 2, lines(F.col("_reply"))).otherwise(F.col("x")[0]["block"])}).select(key, "i", "block")
+    return blocks.join(counts, key).select(key, F.col("block").alias("summary"), "segments", "groups")

@@ -106,11 +106,15 @@ def e17(t):
     return t.customer.select("c_custkey", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("c_nationkey") % 4).cast("long"))).alias("k"))
 
 
-@query("l6_summary_lines", "SELECT doc_id, (doc_id % 90)::DOUBLE AS start, (doc_id % 90 + 5.5)::DOUBLE AS end FROM documents")
+@query("l6_text_summary", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, string_agg('Video_event ' || i || ' [' || event_id || '.0s – ' || event_id || '.5s]: ' || event_type, chr(10) ORDER BY event_id) AS summary, any_value(n)::BIGINT AS segments, any_value(ceil(n / CASE WHEN n < 8 THEN n WHEN n <= 16 THEN 4 ELSE 8 END))::BIGINT AS groups FROM n GROUP BY user_id""")
 def l6(t):
-    line = F.format_string("Video_event 3 [%d - %s]: text", F.col("doc_id") % 90, (F.col("doc_id") % 90 + 5.5).cast("string"))
-    pattern = r"Video_event ([\d,\s]+)\[([\d.]+)\s*[-–]\s*([\d.]+)\]:\s*(.*)"
-    return t.documents.select("doc_id", F.regexp_extract(line, pattern, 2).cast("double").alias("start"), F.regexp_extract(line, pattern, 3).cast("double").alias("end"))
+    """Every user's events as captions of half a second; the model here repeats the event lines that it is shown, the last first."""
+    from tessera.operators.video import summarize
+
+    shown = lambda prompt: "\n".join(reversed([x for x in prompt.splitlines() if x.startswith("Video_event")])) + "\nThat is all."
+    e = t.events.select("user_id", "event_id", (F.col("event_id") + 0.5).alias("end"), "event_type")
+    return summarize(e, "user_id", "event_id", "end", "event_type", shown)
 
 
 @query("l10_generation_rows", "SELECT doc_id, length(text)::BIGINT AS first, length(text)::BIGINT + 1 AS second, md5(text || '#1') AS last FROM documents WHERE text IS NOT NULL")

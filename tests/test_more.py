@@ -76,3 +76,21 @@ def test_composite_rewards(spark):
         assert [r.s for r in got] == pytest.approx(scores), kind
     with pytest.raises(ValueError):
         H.composite_reward(F.col("x"), F.col("acc"), F.lit(0.0), F.lit(1.0), "other")
+
+
+def test_summary_rounds(spark):
+    """Pairs merge until one block is left; a failing call costs its own block only; videos of one caption and of many."""
+    from tessera.operators.video import summarize
+
+    def model(prompt):
+        lines = [x for x in prompt.splitlines() if x.startswith("Video_event")]
+        if prompt.startswith("Summarize") and any("bad" in x for x in lines):
+            raise RuntimeError
+        return "\n".join(lines)
+
+    rows = [("one", 0, 1.0, "c0")] + [("many", i, i + 1.0, "bad" if i == 9 else f"c{i}") for i in range(40)]
+    got = {r.v: r for r in summarize(spark.createDataFrame(rows, "v string, a int, b double, c string"), "v", "a", "b", "c", model).collect()}
+    assert (got["one"].summary, got["one"].segments, got["one"].groups) == ("Video_event 1 [0.0s – 1.0s]: c0", 1, 1)
+    lines = got["many"].summary.splitlines()
+    assert (got["many"].segments, got["many"].groups) == (40, 5)
+    assert [x.rpartition(" ")[2] for x in lines] == [f"c{i}" for i in range(40) if not 8 <= i < 16]
