@@ -22,6 +22,8 @@ columns of the rows stay as they are and are null in inserted rows.
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
@@ -60,7 +62,7 @@ class KeyedFiles:
     def __init__(self, spark: SparkSession, key: str, rows_per_file: int):
         self.spark, self.key, self.rows_per_file = spark, key, int(rows_per_file)
         self.scratch = S.Scratch(spark)
-        self.folder = f"{self.scratch.root}/files"
+        self.folder = f"{S.checkpoint_dir(spark).rstrip('/')}/keyed-files-{uuid.uuid4().hex}"  # holds nothing but the files
 
     # -- the folder -----------------------------------------------------------------
 
