@@ -330,6 +330,13 @@ def fitted_box(left: Column, top: Column, right: Column, bottom: Column, width:
     return let(box, lambda b: F.when(given & valid_box(*[b[n] for n in names], small, ratio), grown(b)))
 
 
+def kept_area(width: Column, height: Column, most: float) -> Column:
+    """(width, height) of a picture, shrunk in proportion to an area of ``most`` if it is larger; no side below 1."""
+    scale = F.sqrt(F.lit(float(most)) / (width.cast("double") * height))
+    side = lambda x: F.when(width.cast("double") * height <= most, x.cast("long")).otherwise(F.greatest(F.lit(1), F.floor(x * scale)).cast("long"))
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
 def same_output(lines: Column, truth: Column) -> Column:
     """A program's output lines against the expected text: joined and stripped, or each line stripped."""
     want = strip(truth)

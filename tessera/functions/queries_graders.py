@@ -238,3 +238,10 @@ def f77(t):
     left, top = n % 97 - 10, F.floor(n / 7) % 53 - 5
     box = H.fitted_box(left, top, left + n % 211, top + F.floor(n / 3) % 173, F.lit(160), F.lit(120), small=10, ratio=4)
     return X.staged(t.documents.where("text is not null"), {"box": box}).select("doc_id", *[c("box")[k].alias(k[0]) for k in ("left", "top", "right", "bottom")])
+
+
+@query("f75_keep_area", """WITH d AS (SELECT doc_id, length(text) + 1 AS w, length(text) % 700 + 1 AS h FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN w * h <= 200000 THEN w ELSE greatest(1, floor(w * sqrt(200000 / (w * h)))) END::BIGINT AS width, CASE WHEN w * h <= 200000 THEN h ELSE greatest(1, floor(h * sqrt(200000 / (w * h)))) END::BIGINT AS height FROM d""")
+def f75(t):
+    w, h = F.length("text") + 1, F.length("text") % 700 + 1
+    return X.staged(t.documents.where("text is not null"), {"size": H.kept_area(w, h, 200_000)}).select("doc_id", "size.width", "size.height")

@@ -35,7 +35,6 @@ simple("f67_numeric_equal", "abs(doc_id - doc_id * 1.00005) <= 1e-4 * greatest(d
 simple("f70_clock", "round((doc_id % 24) * 3600 + (doc_id % 60) * 60 + (doc_id % 60) + 0.25, 6)::DOUBLE", lambda: F.round(X.clock_seconds(F.format_string("%02d:%02d:%02d,250", c("doc_id") % 24, c("doc_id") % 60, c("doc_id") % 60)), 6))
 simple("f71_frame", "floor((n_chars + 0.5) * 24)::BIGINT".replace("n_chars", "length(text)"), lambda: F.floor((F.length("text") + 0.5) * 24).cast("long"))
 simple("f72_uniform_frames", "array_to_string(list_transform(range(0, 8), lambda i: floor(i * (length(text) - 1) / 7)::BIGINT), ',')", lambda: F.array_join(X.uniform_frames(F.length("text"), 8).cast("array<string>"), ","))
-simple("f75_keep_area", "floor(sqrt(1000.0 * length(text)) / 2)::BIGINT", lambda: F.floor(F.sqrt(1000.0 * F.length("text")) / 2).cast("long"))
 simple("f78_pad", "array_to_string(list_resize(string_split(num, ''), 24, '_'), '')", lambda: F.array_join(X.pad_array(F.split("num", ""), 24, "_"), ""))
 simple("f82_strip_pad", "array_to_string(string_split(right('____' || num, length(num)), ''), '')", lambda: F.array_join(F.slice(F.split(F.concat(F.lit("____"), c("num")), ""), -F.length("num"), F.length("num")), ""))
 simple("f88_ceildiv", "ceil(length(text) / 7.0)::BIGINT", lambda: F.ceil(F.length("text") / 7.0).cast("long"))

@@ -7,6 +7,7 @@ state for each conversation, created at its start and released at its end.
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 import json
 import re
@@ -202,7 +203,7 @@ def load_function(spark: SparkSession, path: str, name: str, **bound) -> Callabl
     rows = spark.read.text(path, wholetext=True).limit(2).collect()
     if not rows:
         raise FileNotFoundError(path)
-    module = types.ModuleType(f"loaded_{abs(hash(path))}")
+    module = types.ModuleType(f"loaded_{hashlib.md5(path.encode()).hexdigest()}")
     exec(compile(rows[0][0], path, "exec"), module.__dict__)  # noqa: S102  the user's own scorer
     if not hasattr(module, name):
         raise AttributeError(f"{path} has no {name}")

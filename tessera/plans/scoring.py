@@ -71,7 +71,9 @@ def score_batch(df: DataFrame, f: Callable, columns: list[str], out: str = "scor
 
         import pandas as pd
 
-        timed = seconds is not None and threading.current_thread() is threading.main_thread()
+        timed = seconds is not None
+        if timed and threading.current_thread() is not threading.main_thread():
+            raise RuntimeError("a time limit needs a worker's main thread")
 
         def one(args):
             try:

@@ -153,9 +153,17 @@ def write_json(df: DataFrame, path: str, array: bool = False) -> None:
     def files(rows):
         import pyarrow as pa
 
-        texts = [t for batch in rows for t in batch.column(0).to_pylist()]
-        if texts:
-            yield pa.RecordBatch.from_arrays([pa.array(["[" + ",\n".join(texts) + "]"])], names=["value"])
+        held = None  # the line before: the last one of a file closes the array
+        for batch in rows:
+            lines = []
+            for text in batch.column(0).to_pylist():
+                if held is not None:
+                    lines.append(held + ",")
+                held = text if held is not None else "[" + text
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(lines)], names=["value"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held + "]"])], names=["value"])
 
     whole.mapInArrow(files, "value string").write.mode("overwrite").text(path)
 
