@@ -50,9 +50,11 @@ def w19(t):
     return C.session_merge(s, "user_id", "a", "b", 60.0).select("user_id", F.col("session").cast("long").alias("session"), F.round("a", 3).alias("a"), F.round("b", 3).alias("b"), "events")
 
 
-@query("w19_adjacent_merge")
+@query("w19_adjacent_merge", """WITH n AS (SELECT *, (event_type IS DISTINCT FROM lag(event_type) OVER w)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS event FROM n)
+SELECT user_id, event::BIGINT AS event, string_agg(event_type, ',' ORDER BY event_id) AS captions FROM g GROUP BY ALL""")
 def w19j(t):
-    return C.merge_adjacent(t.events, "user_id", "event_id", "event_type", lambda a, b: a == b)
+    """With equal captions as the judge, the merge gives runs of equal neighbours."""
+    return C.merge_adjacent(t.events, "user_id", "event_id", "event_type", lambda a, b: a == b).withColumn("captions", F.array_join("captions", ","))
 
 
 @query("w20_tree_merge", "SELECT conv_id, string_agg(role, '+' ORDER BY turn) AS merged FROM conversations GROUP BY conv_id")
