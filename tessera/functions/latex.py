@@ -32,6 +32,7 @@ def _replace(x: Column, *pairs: tuple[str, str]) -> Column:
 def final_answer(x: Column) -> Column:
     """Normal form of a quantitative answer: what follows the last =, without units, decoration and shorthand."""
     x = _replace(F.substring_index(x, "=", -1), *SUBSTITUTIONS, *((w, "") for w in REMOVED))
+    # fixed values: patterns and what they become, in this order
     for pattern, after in (
         (r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"), (r"(\\text\{)(.*?)(\})", "$2"), (r"(\\textbf\{)(.*?)(\})", "$2"), (r"(\\overline\{)(.*?)(\})", "$2"), (r"(\\boxed\{)(.*)(\})", "$2"),
         (r"(frac)([^{])(.)", "frac{$2}{$3}"), (r"(sqrt)([^{])", "sqrt{$2}"),
@@ -42,6 +43,7 @@ def final_answer(x: Column) -> Column:
 
 def canonical(x: Column) -> Column:
     """Normal form of a LaTeX answer: fractions and roots braced, no spaces, units or decoration; null where the form is broken."""
+    # fixed values: replacements, in this order
     x = _replace(x, ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""))
 
     def fractions(v: Column) -> Column:
@@ -130,6 +132,7 @@ def plain_commas(x: Column) -> Column:
 
 def spoken_form(x: Column) -> Column:
     """Normal form of a spoken or typeset answer: no units, money and percent signs, mixed numbers summed, lower case."""
+    # fixed values: replacements, in this order
     x = F.regexp_replace(x, r"\A\\text\{(.+?)\}\z", "$1")
     x = _replace(x, ("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "), ("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12"))
     for unit in UNITS:

@@ -25,6 +25,15 @@ def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
+# How replies mark an answer.
+ANSWER_TAG = r"(?s)<answer>(.*?)</answer>"
+FLAT_BOX = r"\\boxed\{([^{}]*)\}"
+MARKED_NUMBER = r"#### (\-?[0-9\.\,]+)"
+ANY_NUMBER = r"(\-?[0-9\.\,]+)"
+ANSWER_LINE = r"(?i)Answer\s*:\s*([^\n]+)"
+ANSWER_LETTER = r"(?i)Answer[ \t]*:[ \t]*\$?([A-D])\$?"
+
+
 def blank_to_null(x: Column) -> Column:
     return F.when(x != "", x)
 
@@ -35,12 +44,12 @@ def last(xs: Column) -> Column:
 
 def first_answer(x: Column) -> Column:
     """Text of the first <answer> element, '' if none."""
-    return F.regexp_extract(x, r"(?s)<answer>(.*?)</answer>", 1)
+    return F.regexp_extract(x, ANSWER_TAG, 1)
 
 
 def last_answer(x: Column) -> Column:
     """Trimmed text of the last <answer> element, null if none."""
-    return F.trim(last(F.regexp_extract_all(x, F.lit(r"(?s)<answer>(.*?)</answer>"), 1)))
+    return F.trim(last(F.regexp_extract_all(x, F.lit(ANSWER_TAG), 1)))
 
 
 def between(x: Column, left: str, right: str) -> Column:
@@ -50,7 +59,7 @@ def between(x: Column, left: str, right: str) -> Column:
 
 def last_boxed(x: Column) -> Column:
     """Content of the last \\boxed{} without nested braces."""
-    return last(F.regexp_extract_all(x, F.lit(r"\\boxed\{([^{}]*)\}"), 1))
+    return last(F.regexp_extract_all(x, F.lit(FLAT_BOX), 1))
 
 
 def last_boxed_balanced(x: Column) -> Column:
@@ -64,17 +73,17 @@ def last_boxed_balanced(x: Column) -> Column:
 def gsm8k_answer(x: Column, strict: bool = True) -> Column:
     """Number after the last ####, or (not strict) the last number, of the last 300 characters, without , and $."""
     tail = F.right(x, F.lit(300))
-    found = last(F.regexp_extract_all(tail, F.lit(r"#### (\-?[0-9\.\,]+)"), 1)) if strict else last(F.filter(F.regexp_extract_all(tail, F.lit(r"(\-?[0-9\.\,]+)"), 1), lambda v: ~v.isin("", ".")))
+    found = last(F.regexp_extract_all(tail, F.lit(MARKED_NUMBER), 1)) if strict else last(F.filter(F.regexp_extract_all(tail, F.lit(ANY_NUMBER), 1), lambda v: ~v.isin("", ".")))
     return F.translate(found, ",$", "")
 
 
 def minerva_answer(x: Column) -> Column:
-    return F.coalesce(F.trim(last(F.regexp_extract_all(x, F.lit(r"(?i)Answer\s*:\s*([^\n]+)"), 1))), F.lit("[INVALID]"))
+    return F.coalesce(F.trim(last(F.regexp_extract_all(x, F.lit(ANSWER_LINE), 1))), F.lit("[INVALID]"))
 
 
 def letter_answer(x: Column) -> Column:
     """First "Answer: X" with X of A-D; '' if none."""
-    return F.regexp_extract(x, r"(?i)Answer[ \t]*:[ \t]*\$?([A-D])\$?", 1)
+    return F.regexp_extract(x, ANSWER_LETTER, 1)
 
 
 def numbers(x: Column) -> Column:
