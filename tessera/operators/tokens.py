@@ -104,12 +104,37 @@ def reverse_cumsum(x: Column) -> Column:
 SCAN_TOKENS = 1 << 18
 
 
-def reverse_scan(a: np.ndarray, b: np.ndarray, ends: np.ndarray, chunk: int = SCAN_TOKENS) -> np.ndarray:
+#: Segments up to this length are folded token by token, all at a time; longer ones by doubling.
+STEPS = 512
+
+
+def reverse_scan(a: np.ndarray, b: np.ndarray, ends: np.ndarray, chunk: int = SCAN_TOKENS, steps: int = STEPS) -> np.ndarray:
     """x[t] = a[t] * x[t + 1] + b[t] from the end of each segment, where x is 0; ``ends``: the index after the last of each token's segment.
 
-    Affine maps compose, so a chunk is scanned by doubling: after round k a token's map
-    reaches over 2 ** k tokens of its segment.  Chunks go from right to left, and a segment
-    that crosses a border takes the value at it along.
+    Segments of at most ``steps`` tokens go step by step from their ends, longest first, so
+    that those still open are a prefix: the arithmetic of the plain fold.
+    """
+    out = np.empty(len(a))
+    first = np.flatnonzero(np.diff(ends, prepend=-1))
+    size = ends[first] - first
+    short = np.flatnonzero(size <= steps)
+    short = short[np.argsort(-size[short], kind="stable")]
+    last, left, x = ends[first[short]] - 1, size[short], np.zeros(len(short))
+    for d in range(int(left[0]) if len(left) else 0):
+        k = int(np.searchsorted(-left, -d))  # segments longer than d
+        at = last[:k] - d
+        x[:k] = a[at] * x[:k] + b[at]
+        out[at] = x[:k]
+    if len(short) < len(size):
+        long = np.repeat(size > steps, size)
+        out[long] = _doubled(a[long], b[long], np.repeat(np.cumsum(size[size > steps]), size[size > steps]), chunk)
+    return out
+
+
+def _doubled(a: np.ndarray, b: np.ndarray, ends: np.ndarray, chunk: int) -> np.ndarray:
+    """The scan by composition: affine maps compose, so after round k a token's map reaches over 2 ** k tokens of its segment.
+
+    Chunks go from right to left, and a segment that crosses a border takes the value at it along.
     """
     out, right = np.empty(len(a)), 0.0
     for low in range((len(a) - 1) // chunk * chunk, -1, -chunk) if len(a) else ():

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tessera.operators import tokens as K
 
 
+@pytest.mark.parametrize("steps", [0, 4, 512])
 @pytest.mark.parametrize("chunk", [1, 2, 7, 64, 1 << 18])
-def test_reverse_scan_equals_loop(chunk):
+def test_reverse_scan_equals_loop(chunk, steps):
     rng = np.random.default_rng(chunk)
     for sizes in ([], [1], [5], [1, 1, 1], [0, 3, 0, 17, 64, 2], [200], list(rng.integers(0, 40, 30))):
         n = int(sum(sizes))
@@ -19,7 +20,8 @@ def test_reverse_scan_equals_loop(chunk):
         a, b, want = rng.uniform(-1, 1, n), rng.uniform(-1, 1, n), np.zeros(n)
         for t in range(n - 1, -1, -1):
             want[t] = a[t] * (want[t + 1] if t + 1 < ends[t] else 0.0) + b[t]
-        assert np.allclose(K.reverse_scan(a, b, ends, chunk), want)
+        got = K.reverse_scan(a, b, ends, chunk, steps)
+        assert np.allclose(got, want) and (steps < 512 or (got == want).all())
 
 
 def gae(r, v, m, gamma, lam):
