@@ -1,7 +1,7 @@
 """Keyed batch algebra: every row has an explicit order column, so no operator depends on physical position.
 
-Dense positions come from ``with_pos``: a range sort and per-partition offsets, not a
-window over one task.
+Dense positions come from ``with_pos``: a range sort, written once, and per-partition
+offsets, not a window over one task.
 """
 
 from __future__ import annotations
@@ -13,9 +13,17 @@ from pyspark.sql import functions as F
 
 
 def with_pos(df: DataFrame, *order: str, pos: str = "pos") -> DataFrame:
-    """Dense 0-based positions in the given (total) order."""
-    keys = [F.col(c) for c in order]
+    """Dense 0-based positions in the given (total) order.
+
+    The sorted rows are written once, with their partition and place: a range sort that runs
+    a second time may draw other borders, and its counts would not be those of the rows.
+    """
+    from tessera.sources.files import shared_folder
+
+    keys, spark, folder = [F.col(c) for c in order], df.sparkSession, shared_folder(df.sparkSession)
     parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % F.lit(1 << 33))
+    parts.write.option("compression", "zstd").parquet(folder)
+    parts = spark.read.schema(parts.schema).parquet(folder)
     sizes = parts.groupBy("_pid").agg(F.count("*").alias("_n"))
     running = F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))  # one row for each partition
     before = sizes.select("_pid", F.coalesce(running, F.lit(0)).alias("_base"))
