@@ -89,12 +89,19 @@ k AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY size, j) - 1 AS r
 q AS (SELECT k.*, size + first_value(size) OVER (PARTITION BY batch, least(r, 7 - r) ORDER BY r DESC) + first_value(size) OVER (PARTITION BY batch, least(r, 7 - r) ORDER BY r) - size AS load FROM k)"""
 
 
+def _residue(x):
+    """(x * x * 26544357 + x * 12345) mod 1000000007, reduced at each step: of x beyond half a million the product passes 64 bits."""
+    m = F.lit(1000000007).cast("long")
+    r = F.pmod(x, m)  # the sum is never negative, so its remainder is that of the residues
+    return (r * r % m * 26544357 % m + r * 12345) % m
+
+
 def eights(t):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = t.events.select("event_id", "user_id", (F.row_number().over(w) - 1).alias("i"))
-    b = e.select("event_id", F.concat_ws("/", "user_id", F.floor(F.col("i") / 8).cast("string")).alias("batch"), ((F.col("event_id") * F.col("event_id") * 26544357 + F.col("event_id") * 12345) % 1000000007 + 1).alias("size"))
+    b = e.select("event_id", F.concat_ws("/", "user_id", F.floor(F.col("i") / 8).cast("string")).alias("batch"), (_residue(F.col("event_id")) + 1).alias("size"))
     return b.withColumn("n", F.count("*").over(Window.partitionBy("batch"))).where("n = 8").drop("n")
 
 
