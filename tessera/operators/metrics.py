@@ -89,42 +89,53 @@ def extreme_moments(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:
     return sums.select(*group, "n", F.inline(F.array(row("best", "_b1", "_b2"), row("worst", "_w1", "_w2"))))
 
 
-def win_probabilities(counts: Sequence[int], n: int) -> list[float]:
+def win_probabilities(counts: Sequence[int], n: int, block: int = 64) -> list[float]:
     """Of votes with these counts, the probability of each to be the most frequent among ``n`` draws with replacement; a tie goes to the vote drawn first.
 
-    Counts of the draws are independent Poisson numbers given their sum.  For each count c
-    of the winner a polynomial in the draws holds what the other votes can have: at most c
-    each, those with exactly c being ties, which are equally likely to have come first.
-    A count above n / 2 has no rival.
+    Counts of the draws are independent Poisson numbers given their sum.  If the winner has
+    c draws, each other vote has fewer, or c as well: t such ties are equally likely to have
+    come first, and 1 / (t + 1) is the integral of u ** t over [0, 1], which a Gauss rule
+    gives exactly.  So the chance is the coefficient of z ** n in a product of one polynomial
+    for each vote, read off its values on the unit circle: the sum of all draws is nearly
+    Poisson with mean n, and what lies ``size`` or more from n, which would be added to it,
+    is below 1e-50.  Winner's counts of a chance below 1e-30 add nothing to a double.
     """
     total, k = sum(counts), len(counts)
-
-    def poisson(mean: float) -> np.ndarray:
-        j = np.arange(n + 1)
-        return np.exp(j * math.log(mean) - mean - np.array([math.lgamma(i + 1) for i in j])) if mean > 0 else (j == 0).astype(float)
-
-    law = {a: poisson(n * a / total) for a in set(counts)}
-    found = {}
-    for a in set(counts):
-        others = list(counts)
-        others.remove(a)
-        rest = poisson(n * (total - a) / total)
-        low = n // 2 + 1
-        p = float(law[a][low:] @ rest[: n - low + 1][::-1])
-        for c in range(max(1, -(-n // k)), low):
-            left = n - c
-            ties = [np.zeros(left + 1) for _ in range(n // c)]  # by number of other votes with exactly c
-            ties[0][0] = 1.0
-            for u in others:
-                below = law[u][: min(c, left + 1)]
-                spread = [np.convolve(t, below)[: left + 1] if t.any() else t.copy() for t in ties]
-                for i in range(1, len(ties)):
-                    if left >= c:
-                        spread[i][c:] += law[u][c] * ties[i - 1][: left + 1 - c]
-                ties = spread
-            p += float(law[a][c] * sum(t[left] / (i + 1) for i, t in enumerate(ties)))
-        found[a] = p / float(poisson(float(n))[n])
-    return [found[a] for a in counts]
+    kinds, many = np.unique(np.asarray(counts, dtype=np.int64), return_counts=True)
+    j = np.arange(n + 1)
+    factorials = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    poisson = lambda mean: np.exp(j * math.log(mean) - mean - factorials)
+    laws = [poisson(n * int(a) / total) if a else (j == 0).astype(float) for a in kinds]
+    likely = [np.flatnonzero(law[1:] > 1e-30) + 1 for law in laws]
+    first = min((int(x[0]) for x in likely if len(x)), default=1)
+    first, last = max(first, -(-n // k)), max((int(x[-1]) for x in likely if len(x)), default=n)
+    size = 2 * (8 * math.isqrt(n) + 40) + 1
+    t = np.arange(size // 2 + 1)
+    unit = np.exp(2j * np.pi * np.arange(size) / size)
+    weight = np.where(t == 0, 1.0, 2.0) / size * unit[(-n * t) % size]
+    below = [(law[:first] @ unit[np.outer(np.arange(first), t) % size]) if first <= 4 * block else sum(law[i : min(i + block, first)] @ unit[np.outer(np.arange(i, min(i + block, first)), t) % size] for i in range(0, first, block)) for law in laws]
+    won = np.zeros(len(kinds))
+    for low in range(first, last + 1, block):
+        c = np.arange(low, min(low + block, last + 1))
+        powers = unit[np.outer(c, t) % size]
+        here = [law[c, None] * powers for law in laws]
+        upto = [b + np.cumsum(h, axis=0) - h for b, h in zip(below, here)]
+        points = min(k - 1, n // low - 1) // 2 + 1
+        for x, w in zip(*np.polynomial.legendre.leggauss(points)):
+            u = (x + 1) / 2
+            side = [b + u * h for b, h in zip(upto, here)]
+            behind = [np.ones(1)]  # products of the kinds after each one
+            for s, m in zip(side[:0:-1], many[:0:-1]):
+                behind.append(behind[-1] * s ** int(m))
+            ahead = np.ones(1)
+            for i, (s, m) in enumerate(zip(side, many)):
+                others = ahead * behind[len(kinds) - 1 - i] * s ** int(m - 1)
+                won[i] += w / 2 * float((others * here[i] @ weight).real.sum())
+                ahead = ahead * s ** int(m)
+        below = [b + h.sum(axis=0) for b, h in zip(below, here)]
+    won /= math.exp(n * math.log(n) - n - factorials[n])
+    chance = dict(zip(kinds.tolist(), won.tolist()))
+    return [chance[int(a)] for a in counts]
 
 
 def majority_moments(df: DataFrame, group: Sequence[str], vote: str, x: str, sizes: Column | None = None) -> DataFrame:
@@ -141,6 +152,8 @@ def majority_moments(df: DataFrame, group: Sequence[str], vote: str, x: str, siz
     votes = df.groupBy(*group, vote).agg(F.count("*").alias("count"), F.avg(value).alias("first"), F.avg(value * value).alias("second"))
     votes = votes.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("count", "first", "second"))).alias("_votes"), F.sum("count").alias("_m"))
     each = votes.withColumn("n", F.explode(ladder(F.col("_m")) if sizes is None else sizes))
+    spark = df.sparkSession  # few bytes and long work: dealt by number, as Spark would put small partitions into one task
+    each = each.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism), *group, "n")
     each = each.withColumn("_p", F.pandas_udf(chances, "array<double>")(F.col("_votes")["count"], "n"))
     moment = lambda name: F.aggregate(F.zip_with("_votes", "_p", lambda v, p: v[name] * p), F.lit(0.0), lambda a, b: a + b)
     return each.select(*group, "n", F.lit("maj").alias("metric"), moment("first").alias("mean"), F.sqrt(F.greatest(moment("second") - moment("first") ** 2, F.lit(0.0))).alias("std"))
