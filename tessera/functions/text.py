@@ -188,10 +188,15 @@ def numeric_equal(a: Column, b: Column, rel: float = 1e-4) -> Column:
     return F.abs(a - b) <= rel * F.greatest(F.abs(a), F.abs(b))
 
 
+def utf8_units(text: Column) -> Column:
+    """A string with one character for each UTF-8 byte of ``text``: edit distances of such strings count bytes."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
 def closest_choice(pred: Column, choices: Column) -> Column:
-    """Choice with the smallest edit distance; the first of equals."""
+    """Choice with the smallest edit distance; the first of equals; null without a prediction."""
     ranked = F.transform(choices, lambda c, i: F.struct(F.levenshtein(c, pred).alias("d"), i.alias("i"), c.alias("c")))
-    return F.array_min(ranked)["c"]
+    return F.when(pred.isNotNull(), F.array_min(ranked)["c"])
 
 
 def repetitiveness(text: str | None) -> float:
