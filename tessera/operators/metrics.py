@@ -74,11 +74,16 @@ def ladder(size: Column) -> Column:
     return F.when(size > 1, F.concat(doubling, F.array(size.cast("long")))).otherwise(F.array().cast("array<long>"))
 
 
-def extreme_moments(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:
-    """(group, n, metric, mean, std) of the best and worst of n draws with replacement, n along the ladder of each group's size: exact, by order statistics."""
+def extreme_moments(df: DataFrame, group: Sequence[str], x: str, rows_per_task: int = 500_000) -> DataFrame:
+    """(group, n, metric, mean, std) of the best and worst of n draws with replacement, n along the ladder of each group's size: exact, by order statistics.
+
+    Groups are sorted once, dealt to as many tasks as their rows ask for, so that a task's memory does not grow with the table.
+    """
     every = Window.partitionBy(*group)
     ranked = df.select(*group, F.col(x).cast("double").alias("_x"))
-    ranked = ranked.withColumns({"_m": F.count("*").over(every), "_up": F.row_number().over(every.orderBy("_x")), "_down": F.row_number().over(every.orderBy(F.desc("_x")))})
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ranked.count() // rows_per_task))
+    ranked = ranked.repartition(parts, *group).withColumns({"_m": F.count("*").over(every), "_up": F.row_number().over(every.orderBy("_x"))})
+    ranked = ranked.withColumn("_down", F.col("_m") - F.col("_up") + 1)  # rows of one value may change places
     each = ranked.withColumn("n", F.explode(ladder(F.col("_m"))))
     out = []
     for place in ("_up", "_down"):

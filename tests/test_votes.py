@@ -19,3 +19,12 @@ def test_votes_are_dealt_over_tasks(spark):
     rows = spark.range(0, 400).select((F.col("id") % 40).alias("g"), (F.col("id") % 3).alias("vote"), F.col("id").alias("x"))
     tasks = M.majority_moments(rows, ["g"], "vote", "x").select("g", F.spark_partition_id().alias("task")).collect()
     assert len({r.task for r in tasks}) > 4
+
+
+def test_worst_mirrors_best(spark):
+    rows = spark.createDataFrame([("a", float(v)) for v in (1, 1, 2, 5, 5, 7)] + [("b", 3.0)], "g string, x double")
+    got = {(r.n, r.metric): (r["mean"], r["std"]) for r in M.extreme_moments(rows, ["g"], "x", rows_per_task=1).collect()}
+    back = {(r.n, r.metric): (r["mean"], r["std"]) for r in M.extreme_moments(rows.withColumn("x", -F.col("x")), ["g"], "x").collect()}
+    assert set(got) == {(n, m) for n in (2, 4, 6) for m in ("best", "worst")}
+    for n in (2, 4, 6):
+        assert got[n, "best"][0] == pytest.approx(-back[n, "worst"][0]) and got[n, "worst"][1] == pytest.approx(back[n, "best"][1])
