@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch of prompts: a worker holds some copies of one.
+BATCH_BYTES = 4 << 20
+
 
 def split_even(df: DataFrame, length: str, parts: int) -> DataFrame:
     """``parts`` equal (start, end) ranges of 0..length; the last ends one second early."""
@@ -216,7 +219,8 @@ def teams(df: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def pipeline_call(df: DataFrame, client: Callable[[str], str], prompt: str, out: str) -> DataFrame:
-    """A row-wise external call (a model) on a prompt column, in Arrow batches; failures give null."""
+    """A row-wise external call (a model) on a prompt column, in Arrow batches of some MB, whatever the prompts' length; failures give null."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def run(s):
         def one(x):
