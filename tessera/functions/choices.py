@@ -25,12 +25,12 @@ INDICATORS = ["could be ", "so ", "is ", "thus ", "therefore ", "final ", "answe
 
 def strip(x: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(x, r"\A\s+|\s+\z", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def rfind(x: Column, needle: Column) -> Column:
     """0-based place of the last ``needle``, -1 if none."""
-    return F.when(F.contains(x, needle), F.length(x) - F.length(needle) - F.position(F.reverse(needle), F.reverse(x)) + 1).otherwise(-1)
+    return F.when(F.contains(x, needle), F.length(x) - F.length(needle) - F.length(F.call_function("substring_index", x, needle, F.lit(-1)))).otherwise(-1)
 
 
 def find(x: Column, needle: Column, start: Column | None = None) -> Column:
@@ -77,11 +77,12 @@ def _last_of(candidates: Column, place) -> Column:
     return F.array_max(at)["c"]
 
 
-def _by_content(r: Column, letters: Column, texts: Column) -> tuple[Column, Column]:
+def _by_content(r: Column, letters: Column, texts: Column) -> Column:
+    """Letter of the option whose text stands last in a reply of more than five words, or null."""
     spoken = F.size(F.split(strip(r), r"\s+")) > 5
-    pairs = F.filter(F.arrays_zip(letters.alias("letter"), texts.alias("text")), lambda p: spoken & F.contains(F.lower(r), F.lower(p["text"])))
-    at = F.transform(pairs, lambda p, i: F.struct(rfind(F.lower(r), F.lower(p["text"])).alias("at"), (-i).alias("order"), p["letter"].alias("c")))
-    return pairs, F.array_max(at)["c"]
+    held = lambda low: F.filter(F.arrays_zip(letters.alias("letter"), texts.alias("text")), lambda p: F.contains(low, F.lower(p["text"])))
+    at = lambda low: F.transform(held(low), lambda p, i: F.struct(rfind(low, F.lower(p["text"])).alias("at"), (-i).alias("order"), p["letter"].alias("c")))
+    return F.when(spoken, let(F.lower(r), lambda low: F.array_max(at(low))["c"]))
 
 
 def parse_brackets(x: Column, letters: Column, texts: Column) -> Column:
@@ -89,27 +90,29 @@ def parse_brackets(x: Column, letters: Column, texts: Column) -> Column:
 
     Where no pattern holds the result is null (a random letter has no defined value).
     """
-    r = _choice(x)
-    mark = lambda left, right: F.filter(letters, lambda c: F.contains(r, F.concat(F.lit(left), c, F.lit(right))))
-    bracket, spaced, dotted = mark("(", ")"), mark("", " "), mark("", ".")
-    alone = lambda c: rfind(r, F.concat(F.lit(" "), c, F.lit(" ")))
-    _, content = _by_content(r, letters, texts)
-    out = F.when(F.size(bracket) > 0, _last_of(bracket, lambda c: rfind(r, F.concat(F.lit("("), c, F.lit(")")))))
-    return out.when(F.size(spaced) > 0, _last_of(spaced, alone)).when(F.size(dotted) > 0, _last_of(dotted, alone)).otherwise(content)
+
+    def read(r: Column) -> Column:
+        mark = lambda left, right: F.filter(letters, lambda c: F.contains(r, F.concat(F.lit(left), c, F.lit(right))))
+        at = lambda left, right: lambda c: rfind(r, F.concat(F.lit(left), c, F.lit(right)))
+        pick = lambda found, place: let(found, lambda cs: _last_of(cs, place))
+        bracket, spaced, dotted = pick(mark("(", ")"), at("(", ")")), pick(mark("", " "), at(" ", " ")), pick(mark("", "."), at(" ", " "))
+        return F.coalesce(bracket, spaced, dotted, _by_content(r, letters, texts))
+
+    return let(_choice(x), read)
 
 
 def parse_periods(x: Column, letters: Column, texts: Column) -> Column:
     """As ``parse_brackets`` with "A." and "A:" first; "API Error" for empty replies, "No Answer Found." where nothing holds."""
-    r = _choice(x)
-    mark = lambda left, right: F.filter(letters, lambda c: F.contains(r, F.concat(F.lit(left), c, F.lit(right))))
-    at = lambda left, right: lambda c: rfind(r, F.concat(F.lit(left), c, F.lit(right)))
-    dotted, colon, bracket, spaced = mark("", "."), mark("", ":"), mark("(", ")"), mark("", " ")
-    both = F.concat(dotted, colon)
-    _, content = _by_content(r, letters, texts)
-    out = F.when(x.isin("", "API Error"), F.lit("API Error"))
-    out = out.when(F.size(dotted) > 0, F.when(F.size(both) == 1, both[0]).otherwise(_last_of(both, at("", ".")))).when(F.size(colon) > 0, _last_of(colon, at("", ":")))
-    out = out.when(F.size(bracket) > 0, _last_of(bracket, at("(", ")"))).when(F.size(spaced) > 0, _last_of(spaced, at(" ", " ")))
-    return out.otherwise(F.coalesce(content, F.lit("No Answer Found.")))
+
+    def read(r: Column) -> Column:
+        mark = lambda left, right: F.filter(letters, lambda c: F.contains(r, F.concat(F.lit(left), c, F.lit(right))))
+        at = lambda left, right: lambda c: rfind(r, F.concat(F.lit(left), c, F.lit(right)))
+        dotted = let(mark("", "."), lambda found: F.when(F.size(found) > 0, let(F.concat(found, mark("", ":")), lambda both: F.when(F.size(both) == 1, both[0]).otherwise(_last_of(both, at("", "."))))))
+        pick = lambda found, place: let(found, lambda cs: _last_of(cs, place))
+        colon, bracket, spaced = pick(mark("", ":"), at("", ":")), pick(mark("(", ")"), at("(", ")")), pick(mark("", " "), at(" ", " "))
+        return F.coalesce(dotted, colon, bracket, spaced, _by_content(r, letters, texts), F.lit("No Answer Found."))
+
+    return F.when(x.isin("", "API Error"), F.lit("API Error")).otherwise(let(_choice(x), read))
 
 
 def first_letter(x: Column) -> Column:

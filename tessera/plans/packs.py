@@ -75,18 +75,22 @@ def evaluate(df: DataFrame, packs: Sequence[Pack]) -> DataFrame:
     """(pack, metric, dimension, key, value, n): averages of all packs over the replies in ``df``."""
     if len({p.name for p in packs}) < len(packs):
         raise ValueError("two packs with one name")
-    read = staged(df, {f"_a{i}": F.when(p.rows, F.coalesce(*p.answers)) for i, p in enumerate(packs)})
-    scored = staged(read, {f"_s{i}": F.when(p.rows, p.score(F.col(f"_a{i}")).cast("double")) for i, p in enumerate(packs)})
+
+    def scored(own: Sequence[tuple[int, Pack]]) -> DataFrame:
+        """Scores of these packs only: each reply is read once for each pack."""
+        read = staged(df, {f"_a{i}": F.when(p.rows, F.coalesce(*p.answers)) for i, p in own})
+        return staged(read, {f"_s{i}": F.when(p.rows, p.score(F.col(f"_a{i}")).cast("double")) for i, p in own})
+
     none = F.array().cast(_ENTRY)
     parts = []
     alone = [(i, p) for i, p in enumerate(packs) if p.unit is None]
     if alone:
         every = [F.when(p.rows, _entries(p.name, p.measures(F.col(f"_s{i}")))).otherwise(none) for i, p in alone]
-        parts.append(scored.select(F.inline(F.flatten(F.array(*every)))))
+        parts.append(scored(alone).select(F.inline(F.flatten(F.array(*every)))))
     steps = [(i, p) for i, p in enumerate(packs) if p.unit is not None]
     if steps:
         rows = [F.when(p.rows, F.struct(F.lit(i).alias("i"), p.unit.cast("string").alias("unit"), p.step.cast("string").alias("step"), F.col(f"_s{i}").alias("score"))) for i, p in steps]
-        rows = scored.select(F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
+        rows = scored(steps).select(F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
         units = rows.groupBy("i", "unit", "step").agg(F.min("score").alias("score")).groupBy("i", "unit").agg(F.map_from_entries(F.collect_list(F.struct("step", "score"))).alias("steps"))
         every = [F.when(F.col("i") == i, _entries(p.name, p.measures(F.col("steps")))).otherwise(none) for i, p in steps]
         parts.append(units.select(F.inline(F.flatten(F.array(*every)))))
