@@ -165,6 +165,11 @@ class Loop:
         return response[: limits.response], mask[: limits.response], asked + said + 1, reward
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Conversations dealt out over all tasks: their work is not in proportion to the bytes by which files are cut."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def run_loop(df: DataFrame, loop: Callable[[], Loop], key: str, prompt: str, truth: str) -> DataFrame:
     """(key, response, mask, turns, reward) of each conversation; ``loop`` makes a task's own loop with its tools."""
 
@@ -174,7 +179,7 @@ def run_loop(df: DataFrame, loop: Callable[[], Loop], key: str, prompt: str, tru
             rows = [machine.run(str(k), p, str(t)) for k, p, t in zip(f[key], f[prompt], f[truth])]
             yield pd.DataFrame({key: f[key], "response": [r[0] for r in rows], "mask": [r[1] for r in rows], "turns": [r[2] for r in rows], "reward": [r[3] for r in rows]})
 
-    return df.select(key, prompt, truth).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, response array<string>, mask array<int>, turns int, reward double")
+    return dealt(df.select(key, prompt, truth), key).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, response array<string>, mask array<int>, turns int, reward double")
 
 
 def interact(df: DataFrame, interaction: Callable[[], Interaction], answer: Callable[[list[dict]], str], key: str, prompt: str, truth: str, turns: int) -> DataFrame:
@@ -195,7 +200,7 @@ def interact(df: DataFrame, interaction: Callable[[], Interaction], answer: Call
                 out.append((n, user.finalize(k)))
             yield pd.DataFrame({key: f[key], "turns": [x[0] for x in out], "reward": [x[1] for x in out]})
 
-    return df.select(key, prompt, truth).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, turns int, reward double")
+    return dealt(df.select(key, prompt, truth), key).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, turns int, reward double")
 
 
 def load_function(spark: SparkSession, path: str, name: str, **bound) -> Callable:
