@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,17 +52,31 @@ def greedy(sizes: list[int], k: int, equal: bool = False) -> list[list[int]]:
 
 def balanced_partitions(df: DataFrame, group: str, order: str, size: str, k: int, equal: bool = False, method=largest_differencing) -> DataFrame:
     """Part number of each row of each group (a batch), one group in one worker."""
-
-    def run(pdf):
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        part = [0] * len(pdf)
-        for p, rows in enumerate(method(pdf[size].astype(int).tolist(), k, equal)):
-            for i in rows:
-                part[i] = p
-        return pdf.assign(part=part)
-
-    types = dict(df.dtypes)
-    return df.select(group, order, size).groupBy(group).applyInPandas(run, f"{group} {types[group]}, {order} {types[order]}, {size} {types[size]}, part long")
+    return partitioned(df, group, order, size, lambda sizes: method(sizes, k, equal)).select(group, order, size, F.col("_part").alias("part"))
+
+
+def partitioned(df: DataFrame, group: str, order: str, size: str, method: Callable[[list[int]], list[list[int]]]) -> DataFrame:
+    """(group, order, size, _part, _place) by ``method``'s lists of a group's places: the number of a row's list, and its place in all of them one after another.
+
+    Groups go to Python as arrays, many to a batch: a group of a few rows costs its own work, not a frame.
+    """
+
+    def run(groups: pd.Series) -> pd.DataFrame:
+        parts, places = [], []
+        for sizes in groups:
+            part, place, at = [0] * len(sizes), [0] * len(sizes), 0
+            for p, rows in enumerate(method([int(s) for s in sizes])):
+                for i in rows:
+                    part[i], place[i], at = p, at, at + 1
+            parts.append(part)
+            places.append(place)
+        return pd.DataFrame({"part": parts, "place": places})
+
+    row = F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("order"), F.col(size).alias("size"))
+    rows = df.groupBy(group).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    found = rows.withColumn("_p", F.pandas_udf(run, "part array<long>, place array<long>")(F.transform("_rows", lambda r: r["size"].cast("long"))))
+    each = found.select(group, F.inline(F.arrays_zip(F.col("_rows").alias("row"), F.col("_p.part").alias("_part"), F.col("_p.place").alias("_place"))))
+    return each.select(group, F.col("row.order").alias(order), F.col("row.size").alias(size), "_part", "_place")
 
 
 def microbatch_count(df: DataFrame, group: str, size: str, budget: int, least: int = 1, multiple: int = 1) -> DataFrame:
