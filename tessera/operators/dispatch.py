@@ -119,14 +119,5 @@ def partition_lists(sizes: list[int], k: int, equal: bool = False) -> list[list[
 
 def balance_reorder(df: DataFrame, group: str, order: str, size: str, k: int) -> DataFrame:
     """Each group's rows (a batch) with their place after a reorder that gives ``k`` equal runs of rows similar totals: (group, order, place, rank)."""
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        parts = partition_lists(pdf[size].astype(int).tolist(), k, True)
-        index = [i for p in parts for i in p]
-        return pd.DataFrame({group: pdf[group].iloc[index].values, order: pdf[order].iloc[index].values, "place": range(len(index)), "rank": [r for r, p in enumerate(parts) for _ in p]})
-
-    types = dict(df.dtypes)
-    return df.select(group, order, size).groupBy(group).applyInPandas(run, f"{group} {types[group]}, {order} {types[order]}, place long, rank long")
+    rows = balance.partitioned(df, group, order, size, lambda sizes: partition_lists(sizes, k, True))
+    return rows.select(group, order, F.col("_place").alias("place"), F.col("_part").alias("rank"))
