@@ -36,3 +36,8 @@ def test_pairs_of_preference_batch(spark, against_sql):
         (F.col("k") % 9 / 100).alias("l_tax"), F.lit(0.04).alias("l_discount"), F.lit(7.0).alias("l_quantity"), F.lit("N").alias("l_returnflag"), F.lit("O").alias("l_linestatus"),
     )
     against_sql("j15_preference_batch", lineitem=lines)
+
+
+def test_places_of_coalesced_sort(spark, against_sql):
+    labels = mixed(spark).where("k % 3 > 0").select(F.col("k").alias("doc_id"), (F.col("k") % 2).cast("int").alias("quality"), F.when(F.col("k") % 5 > 0, (F.col("k") % 7 > 3).cast("int")).alias("toxic"))
+    against_sql("t7_coalesced_sort", documents=mixed(spark).select(F.col("k").alias("doc_id")), labels=labels)
