@@ -41,3 +41,8 @@ def test_pairs_of_preference_batch(spark, against_sql):
 def test_places_of_coalesced_sort(spark, against_sql):
     labels = mixed(spark).where("k % 3 > 0").select(F.col("k").alias("doc_id"), (F.col("k") % 2).cast("int").alias("quality"), F.when(F.col("k") % 5 > 0, (F.col("k") % 7 > 3).cast("int")).alias("toxic"))
     against_sql("t7_coalesced_sort", documents=mixed(spark).select(F.col("k").alias("doc_id")), labels=labels)
+
+
+def test_places_and_edge_of_padded_orders(spark, against_sql):
+    orders = mixed(spark).select(F.col("k").alias("o_orderkey"), (F.col("k") % 11).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), (F.col("k") / 4).alias("o_totalprice"))
+    against_sql("u8_pad_edge", orders=orders)
