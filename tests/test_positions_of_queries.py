@@ -46,3 +46,12 @@ def test_places_of_coalesced_sort(spark, against_sql):
 def test_places_and_edge_of_padded_orders(spark, against_sql):
     orders = mixed(spark).select(F.col("k").alias("o_orderkey"), (F.col("k") % 11).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), (F.col("k") / 4).alias("o_totalprice"))
     against_sql("u8_pad_edge", orders=orders)
+
+
+def events(spark):
+    k = F.col("k")
+    return mixed(spark).select(k.alias("event_id"), (k % 60).alias("user_id"), (k * 31 % 101 / 8).alias("value"), F.lit("{}").alias("props"), F.substring(F.lit("abc"), (k * k / 60 % 3 + 1).cast("int"), F.lit(1)).alias("event_type"), k.alias("ts"))
+
+
+def test_runs_of_consecutive_rloo(spark, against_sql):
+    against_sql("w10_consecutive_rloo", events=events(spark))
