@@ -55,3 +55,7 @@ def events(spark):
 
 def test_runs_of_consecutive_rloo(spark, against_sql):
     against_sql("w10_consecutive_rloo", events=events(spark))
+
+
+def test_ordinals_of_rollouts(spark, against_sql):
+    against_sql("w13_rollout_ordinal", events=events(spark))
