@@ -28,8 +28,10 @@ def tok(t):
 
 
 def r6(df, *cols):
+    """Columns rounded to 6 places; what rounds to zero from below is -0.0, as in the SQL."""
     for c in cols:
-        df = df.withColumn(c, F.round(c, 6))
+        signed = df.schema[c].dataType.typeName() == "double"
+        df = df.withColumn(c, F.round(F.abs(c), 6) * F.signum(c) if signed else F.round(c, 6))
     return df
 
 
