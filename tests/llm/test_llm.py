@@ -1,9 +1,11 @@
 """Brute-force checks and edge cases of the corpus operators."""
 
+import collections
 import hashlib
 import math
 import random
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -206,6 +208,42 @@ def test_byte_dedup(spark, edge_docs, no_docs):
     assert suffix.dedup_bytes(no_docs).count() == 0
 
 
+def one_passage(n, rng):
+    """Texts around one passage or parts of it, each with a border of its own that may share some bytes with others'."""
+    letters = lambda k: "".join(rng.choice("ab") for _ in range(k))
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(460))
+    return [letters(rng.randrange(150, 260)) + passage[rng.choice([0, 0, 5, 40, 70]) : len(passage) - rng.choice([0, 0, 3, 20, 61])] + letters(rng.randrange(150, 260)) for _ in range(n)]
+
+
+def test_byte_dedup_deals_out_one_anchors_strings(spark, tmp_path, monkeypatch):
+    """No task gets more than 256 different strings of an anchor, and no link is lost."""
+    sort = suffix._sort_shard
+
+    def seen(batches, *rest):
+        batches = list(batches)
+        counts = collections.Counter(k for b in batches for k in b.column(0).to_pylist())
+        (tmp_path / uuid.uuid4().hex).write_text(str(max(counts.values(), default=0)))
+        yield from sort(iter(batches), *rest)
+
+    monkeypatch.setattr(suffix, "_sort_shard", seen)
+    texts = one_passage(700, random.Random(8))
+    got = suffix.dedup_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == suffix.naive_dedup(texts, 400)
+    assert 0 < max(int(f.read_text()) for f in tmp_path.iterdir()) <= 256
+
+
+@pytest.mark.parametrize("most", [1, 2, 7])
+def test_byte_dedup_in_finer_parts(spark, most):
+    """Every anchor of several strings is cut, once or twice."""
+    rng = random.Random(9)
+    base = "".join(rng.choice("abc") for _ in range(1500))
+    cuts = [base[a : a + rng.randrange(380, 1100)] for a in (rng.randrange(900) for _ in range(30))]
+    edited = ["".join(rng.choice("xyz") if rng.random() < 0.002 else c for c in t) for t in cuts]
+    texts = one_passage(40, rng) + cuts + edited + ["ha " * n for n in (133, 134, 135, 300, 700)] + ["a" * n for n in (399, 400, 401, 1000)] + [None, "", cuts[0], "é" * 500]
+    got = suffix.dedup_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most=most).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == suffix.naive_dedup(texts, 400)
+
+
 def naive_substring(rows, window=50):
     toks = [(d, re.findall("[^\x20\x09-\x0d]+", t or "")) for d, t in rows]
     first = {}
